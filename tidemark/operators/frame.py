@@ -260,8 +260,8 @@ class Frame:
         po, pc = self.prev("open"), self.prev("close")
         o, c = F.col("open"), F.col("close")
         if _side(direction):
-            return (pc < po) & (c > o) & (c >= po) & (o <= pc) & po.isNotNull()
-        return (pc > po) & (c < o) & (c <= po) & (o >= pc) & po.isNotNull()
+            return F.when(po.isNotNull(), (pc < po) & (c > o) & (c >= po) & (o <= pc))
+        return F.when(po.isNotNull(), (pc > po) & (c < o) & (c <= po) & (o >= pc))
 
     @staticmethod
     def pin_bar(direction: str = "up", ratio: float = 2.0) -> Column:
