@@ -35,14 +35,14 @@ def overlap_totals(outcomes: DataFrame, by: list[str]) -> DataFrame:
     at = stage(usable.select(*keys, F.explode(marks).alias("m")).groupBy(*keys, F.col("m.t").alias("t"))
                .agg(F.sum("m.s").alias("s"), F.sum("m.e").alias("e")), "marks")
     run = scan(at, keys, ["t"], time_chunk("t", SPAN), {"cs": ("sum", "s"), "ce": ("sum", "e")})
-    pairs = F.col("e") * F.col("cs") - F.col("s") * (F.col("ce") - F.col("e"))
-    return run.groupBy(*keys).agg(F.sum(pairs).cast("bigint").alias("overlaps"),
+    met = F.col("e") * F.col("cs") - F.col("s") * (F.col("ce") - F.col("e"))
+    return run.groupBy(*keys).agg(F.sum(met).cast("bigint").alias("pairs"),
                                   F.sum("s").cast("bigint").alias("n"))
 
 
 def effective_n(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """Sample size divided by the mean holding overlap."""
-    t = overlap_totals(outcomes, by).groupBy(*by).agg(F.sum("overlaps").alias("o"), F.sum("n").alias("n"))
+    t = overlap_totals(outcomes, by).groupBy(*by).agg(F.sum("pairs").alias("o"), F.sum("n").alias("n"))
     mean = F.greatest(F.lit(1.0), F.col("o") / F.col("n"))
     return t.select(*by, "n", F.when(F.col("n") < 2, F.col("n").cast("double"))
                     .otherwise(F.col("n") / mean).alias("n_eff"))

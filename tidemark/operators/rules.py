@@ -163,29 +163,28 @@ def trigger_frame(booked: dict[str, DataFrame], rule: Rule) -> DataFrame:
     twin = F.col("_after.emit_ts") == F.col("emit_ts")
     result = {r: F.when(twin, F.col("_after")[r]).otherwise(F.col(sat[r])) for r in own}
     stamp = {r: F.col("close_ts") for r in own}
-    ctx = {"close": F.col("close"), "volume": F.col("volume")}
-    ctx.update({n: F.col(f"ctx__{rule.slug}__{n}") for n in rule.context})
+    values = {"close": F.col("close"), "volume": F.col("volume")}
+    values.update({n: F.col(f"ctx__{rule.slug}__{n}") for n in rule.context})
+    values.update({f"{r}.{n}": F.col(f"ctx__{rule.slug}__{r}__{n}")
+                   for r in own for n in rule.context_by_role.get(r, {})})
+    names = list(values)  # the value of names[i] travels as column _x<i>
     df = stage(df.select(
         *BOOK_KEEP, *[result[r].alias(f"_s_{r}") for r in own],
-        *[ctx[n].alias(f"_x_{n}") for n in ctx],
-        *[F.col(f"ctx__{rule.slug}__{r}__{n}").alias(f"_x_{r}.{n}")
-          for r in own for n in rule.context_by_role.get(r, {})]), "trigger")
-    names = [c[3:] for c in df.columns if c.startswith("_x_")]
+        *[v.alias(f"_x{i}") for i, v in enumerate(values.values())]), "trigger")
 
     for tf in [t for t in rule.required_timeframes if t != rule.timeframe and t in booked]:
         roles = [c.role for c in rule.conditions if c.timeframe == tf]
         if not roles:
             continue
-        other = booked[tf]
-        snap = {f"_x_{r}.{n}": f"ctx__{rule.slug}__{r}__{n}"
+        snap = {f"{r}.{n}": f"ctx__{rule.slug}__{r}__{n}"
                 for r in roles for n in rule.context_by_role.get(r, {})}
-        joined = asof_known(df, other, ["close_ts", *snap.values()], "_ref",
+        joined = asof_known(df, booked[tf], ["close_ts", *snap.values()], "_ref",
                             latest=[sat[r] for r in roles], latest_out="_latest")
         df = stage(joined.select(
-            *[f"`{c}`" for c in df.columns], F.col("_ref.close_ts").alias(f"_t_{tf}"),
+            *df.columns, F.col("_ref.close_ts").alias(f"_t_{tf}"),
             *[F.col("_latest")[sat[r]].alias(f"_s_{r}") for r in roles],
-            *[F.col("_ref")[src].alias(dst) for dst, src in snap.items()]), "trigger")
-        names += [d[3:] for d in snap]
+            *[F.col("_ref")[src].alias(f"_x{len(names) + i}") for i, src in enumerate(snap.values())]), "trigger")
+        names += list(snap)
         stamp.update({r: F.col(f"_t_{tf}") for r in roles})
     order = [c.role for c in rule.conditions]
     return df.select(
@@ -193,7 +192,7 @@ def trigger_frame(booked: dict[str, DataFrame], rule: Rule) -> DataFrame:
         F.array(*[F.col(f"_s_{r}") for r in order]).alias("satisfied"),
         F.array(*[stamp[r] for r in order]).alias("role_ts"),
         F.map_from_arrays(F.array(*[F.lit(n) for n in names]),
-                          F.array(*[F.col(f"`_x_{n}`") for n in names])).alias("context"),
+                          F.array(*[F.col(f"_x{i}") for i in range(len(names))])).alias("context"),
         F.map_filter(F.map_from_arrays(F.array(*[F.lit(r) for r in order]),
                                        F.array(*[stamp[r] for r in order])),
                      lambda _, v: v.isNotNull()).alias("role_bars"))
@@ -239,12 +238,18 @@ def single_condition_signals(booked: dict[str, DataFrame], rule: Rule, key: Colu
     df = booked[c.timeframe].filter(F.col(f"sat__{rule.slug}__{c.role}"))
     if rule.universe:
         df = df.filter(F.col("symbol").isin(*rule.universe))
-    first = df.withColumn("dedup_key", key).groupBy("symbol", "dedup_key").agg(
-        F.min_by(F.struct("timeframe", "close_ts", "close", "trading_day"), F.struct("emit_ts", "close_ts")).alias("b"))
+    values = {"close": "close", "volume": "volume",
+              **{n: f"ctx__{rule.slug}__{n}" for n in rule.context}}
+    first = df.withColumn("dedup_key", key).groupBy("symbol", "dedup_key").agg(F.min_by(
+        F.struct("timeframe", "close_ts", "trading_day", *dict.fromkeys(values.values())),
+        F.struct("emit_ts", "close_ts")).alias("b"))
+    at = F.col("b.close_ts")
     return first.select(
         F.lit(rule.id).alias("rule_id"), "symbol", F.lit(rule.emit.direction).alias("direction"),
-        "b.timeframe", F.col("b.close_ts").alias("fired_at"),
-        F.col("b.close").alias("trigger_price"), "dedup_key",
+        "b.timeframe", at.alias("fired_at"), F.col("b.close").alias("trigger_price"), "dedup_key",
+        F.map_from_arrays(F.array(*[F.lit(n) for n in values]),
+                          F.array(*[F.col("b")[v] for v in values.values()])).alias("context"),
+        F.create_map(F.lit(c.role), at).alias("role_bars"), F.lit(False).alias("tentative"),
         F.lit(rule.emit.priority).alias("priority"), F.col("b.trading_day").alias("trading_day"))
 
 
