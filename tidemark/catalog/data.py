@@ -147,11 +147,7 @@ s AS MATERIALIZED (
   WHERE emit_ts IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY close_ts))"""
 
 
-def r6(col: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison; adding zero turns -0.0 into 0.0."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.round(c, digits) + F.lit(0.0)
-
-
 def q6(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    """Rounded for comparison.  The nudge settles exact halves the same way in both engines, and
+    adding zero turns -0.0 into 0.0."""
+    return f"(round({expr} + 1e-{digits + 3}, {digits}) + 0.0)"

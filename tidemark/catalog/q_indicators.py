@@ -312,7 +312,7 @@ def _(spark, sf):
     return _out(f, moved=truth(f["close"] - f["open"]), known=truth(f.sma("close", 10)))
 
 
-@query("exp12_bar_fields", f"WITH {EX} SELECT symbol, close_ts, round(open + high + low + close, 6) + 0.0 AS total, volume, 0.0::DOUBLE AS open_interest FROM x")
+@query("exp12_bar_fields", f"WITH {EX} SELECT symbol, close_ts, round(open + high + low + close + 1e-9, 6) + 0.0 AS total, volume, 0.0::DOUBLE AS open_interest FROM x")
 def _(spark, sf):
     f = _frame(spark, sf)
     return _out(f, total=f["open"] + f["high"] + f["low"] + f["close"], volume=f["volume"], open_interest=f["open_interest"])

@@ -17,7 +17,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         kind = f.dataType.typeName()
         c = F.col(f"`{f.name}`")
         if kind == "double":
-            c = F.round(c, digits) + F.lit(0.0)
+            c = F.round(c + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)
         elif kind in ("integer", "short", "byte"):
             c = c.cast("bigint")
         cols.append(c.alias(f.name))

@@ -60,7 +60,9 @@ class ChainSpec:
 
 
 def step(state: ChainState, spec: ChainSpec, ok, ts: int) -> str:
-    """Advance by one trigger bar; the outcome is '' when nothing changed."""
+    """Advance by one trigger bar; the outcome is '' when nothing changed.
+
+    ``ok`` holds one bool per condition; an unknown result counts as not satisfied."""
     last = spec.length - 1
     outcome = ""
     if state.cooldown_until:
@@ -68,7 +70,7 @@ def step(state: ChainState, spec: ChainSpec, ok, ts: int) -> str:
             return ""
         state.cooldown_until, state.stage, outcome = 0, spec.rest, "cooled"
     for i in range(min(state.stage, spec.length)):
-        if spec.persistent[i] and ok[i] is not True:
+        if spec.persistent[i] and not ok[i]:
             state.stage, state.ttl_left, state.armed_at = i, 0, 0
             return "retreated"
     if last and state.stage == last and spec.ttl_bars:
@@ -76,7 +78,7 @@ def step(state: ChainState, spec: ChainSpec, ok, ts: int) -> str:
         if state.ttl_left < 0:
             state.stage, state.ttl_left, state.armed_at = last - 1, 0, 0
             return "expired"
-    while state.stage <= last and ok[state.stage] is True:
+    while state.stage <= last and ok[state.stage]:
         state.stage += 1
         outcome = "advanced"
         if last and state.stage == last:
@@ -113,13 +115,14 @@ def dedup_key(spec: ChainSpec, rule_id: str, symbol: str, ts: int, day, role_ts,
 def run_rows(state: ChainState, spec: ChainSpec, rows: Iterator[tuple]) -> Iterator[tuple]:
     """Fold ``(rule_id, symbol, rn, close_ts, satisfied, role_ts, trading_day)`` rows of one key."""
     for rule_id, symbol, rn, ts, ok, role_ts, day in rows:
-        outcome = step(state, spec, ok, ts)
+        # Arrow hands over numpy booleans, or objects with None where a result is unknown
+        outcome = step(state, spec, [v is not None and bool(v) for v in ok], int(ts))
         if not outcome:
             continue
         key, emitted = None, False
         if outcome == "fired":
-            key = dedup_key(spec, rule_id, symbol, ts, day, role_ts, state.armed_at)
-            emitted = settle(state, spec, key, ts)
+            key = dedup_key(spec, rule_id, symbol, int(ts), day, role_ts, state.armed_at)
+            emitted = settle(state, spec, key, int(ts))
         yield rule_id, symbol, rn, ts, outcome, state.stage, emitted, key
 
 
