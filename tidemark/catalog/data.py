@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import aggregate, index_bars, ticks_to_minutes
+from tidemark.operators.bars import bar_series, ticks_to_minutes
 from tidemark.plans.staging import stage
 
 FIXED = ["5m", "15m", "30m", "1h", "4h"]
@@ -48,8 +48,7 @@ def minutes(spark: SparkSession, sf: str) -> DataFrame:
 def series(spark: SparkSession, sf: str, *timeframes: str) -> DataFrame:
     """Indexed closed bars of every timeframe (or of those asked for)."""
     def make():
-        m1 = minutes(spark, sf)
-        return index_bars(aggregate(m1, DERIVED).unionByName(m1))
+        return bar_series(minutes(spark, sf), DERIVED, with_base=True)
     df = once(spark, ("series", sf), make)
     return df.filter(F.col("timeframe").isin(*timeframes)) if timeframes else df
 
@@ -59,14 +58,16 @@ def build_supply_minutes(spark: SparkSession, sf: str) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return ticks_to_minutes(
         li, F.concat(F.lit("SUP."), F.col("l_suppkey").cast("string")), F.col("l_shipdate"), price,
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"),
+        # order key, line and part as one number of at most 29 digits
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(17,0)") * F.lit(10**11).cast("decimal(12,0)")
+         + F.col("l_partkey")).cast("decimal(29,0)"),
         volume=F.col("l_quantity"), money=F.col("l_extendedprice"))
 
 
 def supply_series(spark: SparkSession, sf: str) -> DataFrame:
     """Indexed daily bars per supplier."""
     def make():
-        return index_bars(aggregate(stage(build_supply_minutes(spark, sf), "supply"), ["1d"]))
+        return bar_series(stage(build_supply_minutes(spark, sf), "supply"), ["1d"])
     return once(spark, ("supply", sf), make)
 
 
@@ -134,9 +135,9 @@ SUPPLY = """
 m1 AS MATERIALIZED (
   SELECT 'SUP.' || l_suppkey AS symbol, '1m' AS timeframe, epoch(l_shipdate)::BIGINT - 60 AS open_ts,
          epoch(l_shipdate)::BIGINT AS close_ts,
-         first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS open,
+         first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey) AS open,
          max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-         last(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS close,
+         last(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey) AS close,
          sum(l_quantity) AS volume, sum(l_extendedprice) AS money
   FROM lineitem GROUP BY l_suppkey, l_shipdate),
 s AS MATERIALIZED (

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
-from tidemark.functions.timekeys import bar_date, ceil_to, epoch_micros, period_start
+from tidemark.functions.timekeys import as_date, bar_date, ceil_to, day_text, epoch_micros, period_start
 from tidemark.plans.chunks import CHUNK_ROWS, scan
 from tidemark.plans.staging import stage
 from tidemark.schema import KEYS, TIMEFRAMES, lookup
@@ -32,7 +33,9 @@ def ticks_to_minutes(
     ticks: DataFrame, symbol: Column, ts: Column, price: Column, tie: Column,
     volume: Column | None = None, money: Column | None = None,
 ) -> DataFrame:
-    """One-minute bars of a tick table; ``tie`` orders ticks with equal timestamps.
+    """One-minute bars of a tick table; ``tie`` (an integer, a whole decimal of
+    at most 29 digits, or a struct) orders ticks with equal
+    timestamps.
 
     One partially aggregated shuffle: a hot symbol is spread over its minutes, and each map task
     sends at most one row per minute.
@@ -44,8 +47,15 @@ def ticks_to_minutes(
         price.alias("open"), price.alias("high"), price.alias("low"), price.alias("close"),
         volume.alias("volume"), (price * volume if money is None else money).alias("money"),
     ).withColumn("close_ts", (-F.floor(-F.col("_us") / F.lit(60_000_000)) * 60).cast("bigint"))
+    kind = flat.schema["_tie"].dataType
+    if isinstance(kind, IntegralType) or (isinstance(kind, DecimalType) and kind.scale == 0 and kind.precision <= 29):
+        # microsecond of the minute, then the tie, as one wide number: the aggregate stays hash-based
+        inside = (F.col("_us") - (F.col("close_ts") - 60) * 1_000_000).cast("decimal(8,0)")
+        place = inside * F.lit("1" + "0" * 29).cast("decimal(30,0)") + F.col("_tie")
+    else:
+        place = F.struct("_us", "_tie")
     return (
-        flat.groupBy("symbol", "close_ts").agg(*_ohlc(F.struct("_us", "_tie")))
+        flat.withColumn("_place", place).groupBy("symbol", "close_ts").agg(*_ohlc(F.col("_place")))
         .select("symbol", F.lit("1m").alias("timeframe"), (F.col("close_ts") - 60).alias("open_ts"),
                 "close_ts", "open", "high", "low", "close", "volume", "money",
                 F.lit(0.0).alias("open_interest"), F.lit(None).cast("string").alias("trading_day"),
@@ -66,7 +76,8 @@ def _bucketed(base: DataFrame, timeframes: list[str]) -> DataFrame:
         F.min_by("open_ts", "close_ts").alias("_first_open"), F.min("close_ts").alias("_first"),
         F.max("close_ts").alias("_last"), *_ohlc(F.col("close_ts")),
         F.max_by("open_interest", "close_ts").alias("open_interest"),
-        F.max_by(F.struct("trading_day"), "close_ts").getField("trading_day").alias("trading_day"),
+        # as a day number, so that the whole aggregate stays hash-based
+        F.max_by(F.unix_date(F.col("trading_day").cast("date")), "close_ts").alias("_day"),
     )
     period = lookup(F.col("timeframe"), {t: TIMEFRAMES[t] for t in timeframes}).cast("bigint")
     fixed = period > 0
@@ -74,7 +85,8 @@ def _bucketed(base: DataFrame, timeframes: list[str]) -> DataFrame:
         "symbol", "timeframe", "bucket", "_first", "_last",
         F.when(fixed, F.col("bucket") - period).otherwise(F.col("_first_open")).alias("open_ts"),
         F.when(fixed, F.col("bucket")).otherwise(F.col("_last")).alias("close_ts"),
-        "open", "high", "low", "close", "volume", "money", "open_interest", "trading_day",
+        "open", "high", "low", "close", "volume", "money", "open_interest",
+        F.when(F.col("_day").isNotNull(), day_text(as_date("_day"))).alias("trading_day"),
         (fixed & (F.col("bucket") == F.col("_last"))).alias("_on_time"),
     )
 
@@ -116,6 +128,38 @@ def flush(bars: DataFrame) -> DataFrame:
         "emit_ts": F.coalesce("emit_ts", "close_ts"), "closed": F.lit(True)})
 
 
+def bar_series(
+    base: DataFrame, timeframes: list[str], with_base: bool = False, chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Closed derived bars (and the base bars themselves) as an indexed table, in one scan.
+
+    Same result as ``index_bars(aggregate(...))``: the emission clock, the row number and the
+    neighbours come out of one pass over the buckets.
+    """
+    grouped = _bucketed(base, timeframes)
+    all_tfs = list(timeframes)
+    if with_base:
+        own = base.select(
+            "symbol", "timeframe", F.col("close_ts").alias("bucket"), F.col("close_ts").alias("_first"),
+            F.col("close_ts").alias("_last"), "open_ts", "close_ts", "open", "high", "low", "close", "volume", "money",
+            "open_interest", "trading_day", F.lit(True).alias("_on_time"))
+        grouped = grouped.unionByName(own)
+        all_tfs.append("1m")
+    grouped = stage(grouped, "buckets")
+    out = scan(grouped, KEYS, ["bucket"], _chunk(all_tfs, chunk_rows), {
+        "rn": ("count", "bucket"), "prev_close": ("lag", "close"), "next_open": ("lead", "open"),
+        "next_close_ts": ("lead", "close_ts"), "_next_first": ("lead", "_first"),
+        "_next_on_time": ("lead", "_on_time"), "_next_bucket": ("lead", "bucket"), "_final": ("overall", "bucket")})
+    emit = F.when(F.col("_on_time"), F.col("close_ts")).otherwise(F.col("_next_first"))
+    # the last bucket of a series is unfinished unless it was on time, and is nobody's neighbour
+    real = F.col("_next_on_time") | (F.col("_next_bucket") < F.col("_final"))
+    out = out.withColumns({
+        "emit_ts": emit, "closed": F.lit(True),
+        "next_open": F.when(real, F.col("next_open")), "next_close_ts": F.when(real, F.col("next_close_ts"))})
+    closed = out.filter("emit_ts IS NOT NULL")
+    return stage(closed.select(*BAR_COLUMNS, "rn", "prev_close", "next_open", "next_close_ts"), "series")
+
+
 def index_bars(bars: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Number each series and attach its neighbours, as a staged table.
 

@@ -51,6 +51,7 @@ class Frame:
         self.w = block_window(KEYS)
         self.back = self.ahead = 0
         self._pre: dict[str, Callable[[DataFrame], DataFrame]] = {}
+        self._points: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self._scans: list[dict[str, Recurrence]] = [{}, {}]
         self._ready: dict[str, Column] = {}
         self._steps: dict[str, Column] = {}
@@ -288,7 +289,7 @@ class Frame:
         """Struct ``(price, rn, prev_price, prev_rn)`` of the last two swings confirmed by now."""
         n = _count(n)
         name = f"swing_{side}_{n}"
-        self._pre.setdefault(name, lambda df: with_swings(df, side, n, name, self.block_rows, self.chunk_rows))
+        self._points.setdefault(name, lambda df: swing_points(df, side, n, self.block_rows, self.chunk_rows))
         return F.col(name)
 
     def swing_high(self, n: int = 5, back: int = 0) -> Column:
@@ -306,8 +307,8 @@ class Frame:
     def _double(self, side: str, n: int, tol: float) -> Column:
         n = _count(n)
         name = f"double_{side}_{n}_{str(tol).replace('.', 'p')}"
-        self._pre.setdefault(name, lambda df: with_double(df, side, n, tol, name, self.block_rows, self.chunk_rows))
-        return F.col(name)
+        self._points.setdefault(name, lambda df: double_points(df, side, n, tol, self.block_rows, self.chunk_rows))
+        return F.col(name)["ok"]
 
     # ---- conditions over time
 
@@ -330,9 +331,11 @@ class Frame:
 
     def build(self, keep: list[str] | None = None) -> DataFrame:
         df = self.bars
-        if self._pre:
-            for fn in self._pre.values():
-                df = stage(fn(df), "structure")
+        if self._points:
+            points = {name: stage(fn(df), "points") for name, fn in self._points.items()}
+            df = stage(with_latest(df, points, self.chunk_rows), "structure")
+        for fn in self._pre.values():
+            df = stage(fn(df), "structure")
         if self._scans[0]:
             df = linear_scan(df, KEYS, self._scans[0])
             if self._scans[1]:
@@ -355,44 +358,51 @@ def _pivots(df: DataFrame, side: str, n: int, block_rows: int) -> DataFrame:
     return core_rows(to_blocks(df, n, n, block_rows).withColumn("_pivot", flag))
 
 
-def _with_latest(bars: DataFrame, points: DataFrame, name: str, chunk_rows: int) -> DataFrame:
-    """Carry the newest ``points`` value (keyed by the row it is known at) down each series."""
-    fields = [c for c in points.columns if c not in (*KEYS, "rn")]
-    marked = bars.join(
-        points.select(*KEYS, "rn", F.struct(*fields).alias("_point")), [*KEYS, "rn"], "left")
-    return scan(stage(marked, "marked"), KEYS, ["rn"], rn_chunk(chunk_rows),
-                {name: ("last", "_point")}).drop("_point")
+def with_latest(bars: DataFrame, points: dict[str, DataFrame], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Carry the newest value of every point table (keyed by the row it is known at) down each
+    series: one scan for all of them."""
+    both = bars.select(*KEYS, "rn", F.lit(1).alias("_side"), F.struct(*bars.columns).alias("_bar"))
+    for name, table in points.items():
+        fields = [c for c in table.columns if c not in (*KEYS, "rn")]
+        both = both.unionByName(
+            table.select(*KEYS, "rn", F.lit(0).alias("_side"), F.struct(*fields).alias(f"_p_{name}")),
+            allowMissingColumns=True)
+    found = scan(both, KEYS, ["rn", "_side"], rn_chunk(chunk_rows), {n: ("last", f"_p_{n}") for n in points})
+    return found.filter("_side = 1").select("_bar.*", *points)
 
 
-def with_swings(bars: DataFrame, side: str, n: int, name: str, block_rows: int = BLOCK_ROWS,
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def swing_points(bars: DataFrame, side: str, n: int, block_rows: int = BLOCK_ROWS,
+                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Swings and the swing before each, keyed by the row that confirms them."""
     pivots = stage(_pivots(bars.select(*KEYS, "rn", side), side, n, block_rows)
                    .filter("_pivot").select(*KEYS, "rn", F.col(side).alias("price")), "pivots")
     paired = scan(pivots, KEYS, ["rn"], rn_chunk(chunk_rows),
                   {"prev_price": ("lag", "price"), "prev_rn": ("lag", "rn")})
     # a pivot is known n bars after it happened
-    known = paired.select(*KEYS, (F.col("rn") + n).alias("rn"), "price", F.col("rn").alias("at_rn"),
-                          "prev_price", "prev_rn")
-    return _with_latest(bars, known, name, chunk_rows)
+    return paired.select(*KEYS, (F.col("rn") + n).alias("rn"), "price", F.col("rn").alias("at_rn"),
+                         "prev_price", "prev_rn")
 
 
-def with_double(bars: DataFrame, side: str, n: int, tol: float, name: str,
-                block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Two nearby swings with a neckline between them, judged at the later swing's confirmation.
+def double_points(bars: DataFrame, side: str, n: int, tol: float, block_rows: int = BLOCK_ROWS,
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Verdict on each pair of neighbouring swings, keyed by the row that confirms the later one.
 
-    The bars between consecutive swings get one running segment number, so the neckline is a
-    partially aggregated groupBy and not a range join.
+    Every bar is given the number of the swing before it, so the neckline of a pair is a partially
+    aggregated groupBy and not a range join.
     """
-    other = "low" if side == "high" else "high"
-    flagged = stage(_pivots(bars.select(*KEYS, "rn", "high", "low"), side, n, block_rows), "flags")
-    segs = stage(scan(flagged, KEYS, ["rn"], rn_chunk(chunk_rows),
-                      {"seg": ("sum", F.col("_pivot").cast("int"))}), "segments")
-    between = segs.filter(~F.col("_pivot")).groupBy(*KEYS, "seg").agg(
-        (F.min(other) if side == "high" else F.max(other)).alias("neck"))
-    pivots = segs.filter("_pivot").select(*KEYS, "seg", "rn", F.col(side).alias("price"))
-    earlier = pivots.select(*KEYS, (F.col("seg") + 1).alias("seg"), F.col("price").alias("old"))
-    pair = (pivots.join(earlier, [*KEYS, "seg"])
-            .join(between.withColumn("seg", F.col("seg") + 1), [*KEYS, "seg"], "left"))
+    other, extreme = ("low", F.min) if side == "high" else ("high", F.max)
+    pivots = stage(_pivots(bars.select(*KEYS, "rn", side), side, n, block_rows)
+                   .filter("_pivot").select(*KEYS, "rn", F.col(side).alias("price")), "pivots")
+    numbered = stage(scan(pivots, KEYS, ["rn"], rn_chunk(chunk_rows), {"seg": ("count", "rn")}), "pivots")
+    # a pivot row itself carries its own number but no price, so it never counts as "between"
+    both = bars.select(*KEYS, "rn", F.lit(1).alias("_side"), F.col(other).alias("x")).unionByName(
+        numbered.select(*KEYS, "rn", F.lit(0).alias("_side"), "seg"), allowMissingColumns=True)
+    tagged = scan(both, KEYS, ["rn", "_side"], rn_chunk(chunk_rows), {
+        "_seg": ("last", "seg"), "_at": ("last", F.when(F.col("_side") == 0, F.col("rn")))})
+    between = tagged.filter("_side = 1 AND rn > _at").groupBy(*KEYS, (F.col("_seg") + 1).alias("seg")).agg(
+        extreme("x").alias("neck"))
+    earlier = numbered.select(*KEYS, (F.col("seg") + 1).alias("seg"), F.col("price").alias("old"))
+    pair = numbered.join(earlier, [*KEYS, "seg"]).join(between, [*KEYS, "seg"], "left")
     new, old, neck = F.col("price"), F.col("old"), F.col("neck")
     base = F.least(F.abs(new), F.abs(old))
     depth = F.least(new, old) - neck if side == "high" else neck - F.greatest(new, old)
@@ -400,5 +410,4 @@ def with_double(bars: DataFrame, side: str, n: int, tol: float, name: str,
                .when(F.try_divide(F.abs(new - old), base) > tol, False)
                .when(neck.isNull(), False)
                .otherwise(F.try_divide(depth, base) >= tol))
-    known = pair.select(*KEYS, (F.col("rn") + n).alias("rn"), verdict.alias("ok"))
-    return _with_latest(bars, known, "_dbl", chunk_rows).withColumn(name, F.col("_dbl.ok")).drop("_dbl")
+    return pair.select(*KEYS, (F.col("rn") + n).alias("rn"), verdict.alias("ok"))

@@ -149,57 +149,67 @@ def booked_rows(booked: dict[str, DataFrame], rule: Rule) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def trigger_frame(booked: dict[str, DataFrame], rule: Rule) -> DataFrame:
-    """One row per trigger bar: latest evaluated result of every role at emission, the role bars
-    visible at the bar's close, and the context snapshot."""
-    sat = {c.role: f"sat__{rule.slug}__{c.role}" for c in rule.conditions}
-    df = booked[rule.timeframe]
-    if rule.universe:
-        df = df.filter(F.col("symbol").isin(*rule.universe))
-    own = [c.role for c in rule.conditions if c.timeframe == rule.timeframe]
+def _sat(rule: Rule, role: str) -> str:
+    return f"sat__{rule.slug}__{role}"
+
+
+def _context_columns(rule: Rule) -> dict[str, tuple[str | None, str]]:
+    """Snapshot name -> (timeframe or None for the trigger's own, booked column)."""
+    out: dict[str, tuple[str | None, str]] = {"close": (None, "close"), "volume": (None, "volume")}
+    out.update({n: (None, f"ctx__{rule.slug}__{n}") for n in rule.context})
+    for c in rule.conditions:
+        for n in rule.context_by_role.get(c.role, {}):
+            own = c.timeframe == rule.timeframe
+            out[f"{c.role}.{n}"] = (None if own else c.timeframe, f"ctx__{rule.slug}__{c.role}__{n}")
+    return out
+
+
+def _wide_frame(booked: dict[str, DataFrame], tf: str, rules: list[Rule]) -> DataFrame:
+    """Trigger bars of one timeframe with everything its rules read: one lead scan for the own
+    timeframe and one as-of join per other timeframe, whatever the number of rules."""
+    own = [_sat(r, c.role) for r in rules for c in r.conditions if c.timeframe == tf]
     # two bars emitted at the same instant are both evaluated before either is decided
-    after = F.struct("emit_ts", *[F.col(sat[r]).alias(r) for r in own])
-    df = scan(df, KEYS, ["rn"], rn_chunk(), {"_after": ("lead", after)})
+    df = scan(booked[tf], KEYS, ["rn"], rn_chunk(), {"_after": ("lead", F.struct("emit_ts", *own))})
     twin = F.col("_after.emit_ts") == F.col("emit_ts")
-    result = {r: F.when(twin, F.col("_after")[r]).otherwise(F.col(sat[r])) for r in own}
-    stamp = {r: F.col("close_ts") for r in own}
-    values = {"close": F.col("close"), "volume": F.col("volume")}
-    values.update({n: F.col(f"ctx__{rule.slug}__{n}") for n in rule.context})
-    values.update({f"{r}.{n}": F.col(f"ctx__{rule.slug}__{r}__{n}")
-                   for r in own for n in rule.context_by_role.get(r, {})})
-    names = list(values)  # the value of names[i] travels as column _x<i>
-    df = stage(df.select(
-        *BOOK_KEEP, *[result[r].alias(f"_s_{r}") for r in own],
-        *[v.alias(f"_x{i}") for i, v in enumerate(values.values())]), "trigger")
-
-    for tf in [t for t in rule.required_timeframes if t != rule.timeframe and t in booked]:
-        roles = [c.role for c in rule.conditions if c.timeframe == tf]
-        if not roles:
-            continue
-        snap = {f"{r}.{n}": f"ctx__{rule.slug}__{r}__{n}"
-                for r in roles for n in rule.context_by_role.get(r, {})}
-        joined = asof_known(df, booked[tf], ["close_ts", *snap.values()], "_ref",
-                            latest=[sat[r] for r in roles], latest_out="_latest")
+    df = df.withColumns({s: F.when(twin, F.col("_after")[s]).otherwise(F.col(s)) for s in own})
+    df = stage(df.drop("_after", *[c for c in df.columns if c.startswith("raw__")]), "trigger")
+    others = sorted({c.timeframe for r in rules for c in r.conditions} - {tf}, key=RANK.get)
+    for other in others:
+        latest = [_sat(r, c.role) for r in rules for c in r.conditions if c.timeframe == other]
+        snap = [col for r in rules for t, col in _context_columns(r).values() if t == other]
+        joined = asof_known(df, booked[other], ["close_ts", *snap], "_ref", latest=latest, latest_out="_latest")
         df = stage(joined.select(
-            *df.columns, F.col("_ref.close_ts").alias(f"_t_{tf}"),
-            *[F.col("_latest")[sat[r]].alias(f"_s_{r}") for r in roles],
-            *[F.col("_ref")[src].alias(f"_x{len(names) + i}") for i, src in enumerate(snap.values())]), "trigger")
-        names += list(snap)
-        stamp.update({r: F.col(f"_t_{tf}") for r in roles})
-    order = [c.role for c in rule.conditions]
+            *df.columns, F.col("_ref.close_ts").alias(f"_t_{other}"), *[F.col("_latest")[s].alias(s) for s in latest],
+            *[F.col("_ref")[c].alias(c) for c in snap]), "trigger")
+    return df
+
+
+def _rule_rows(wide: DataFrame, rule: Rule) -> DataFrame:
+    df = wide.filter(F.col("symbol").isin(*rule.universe)) if rule.universe else wide
+    roles = [c.role for c in rule.conditions]
+    stamp = [F.col("close_ts") if c.timeframe == rule.timeframe else F.col(f"_t_{c.timeframe}") for c in rule.conditions]
+    ctx = _context_columns(rule)
+    names = F.array(*[F.lit(r) for r in roles])
     return df.select(
         F.lit(rule.id).alias("rule_id"), *BOOK_KEEP,
-        F.array(*[F.col(f"_s_{r}") for r in order]).alias("satisfied"),
-        F.array(*[stamp[r] for r in order]).alias("role_ts"),
-        F.map_from_arrays(F.array(*[F.lit(n) for n in names]),
-                          F.array(*[F.col(f"_x{i}") for i in range(len(names))])).alias("context"),
-        F.map_filter(F.map_from_arrays(F.array(*[F.lit(r) for r in order]),
-                                       F.array(*[stamp[r] for r in order])),
-                     lambda _, v: v.isNotNull()).alias("role_bars"))
+        F.array(*[F.col(_sat(rule, r)) for r in roles]).alias("satisfied"), F.array(*stamp).alias("role_ts"),
+        F.map_from_arrays(F.array(*[F.lit(n) for n in ctx]), F.array(*[F.col(c) for _, c in ctx.values()])).alias("context"),
+        F.map_filter(F.map_from_arrays(names, F.array(*stamp)), lambda _, v: v.isNotNull()).alias("role_bars"))
 
 
 def trigger_frames(booked: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [trigger_frame(booked, r) for r in rules])
+    """One row per rule and trigger bar: latest evaluated result of every role at emission, the
+    role bars visible at the bar's close, and the context snapshot."""
+    parts = []
+    for tf in sorted({r.timeframe for r in rules}, key=RANK.get):
+        mine = [r for r in rules if r.timeframe == tf]
+        wide = _wide_frame(booked, tf, mine)
+        parts += [_rule_rows(wide, r) for r in mine]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def trigger_frame(booked: dict[str, DataFrame], rule: Rule) -> DataFrame:
+    return trigger_frames(booked, [rule])
 
 
 def transitions(frames: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -23,14 +23,18 @@ def with_notional(fills: DataFrame, symbols: DataFrame) -> DataFrame:
 def pair_trades(fills: DataFrame) -> DataFrame:
     """One trade per signal: its first entry with its first exit at or after it.
 
-    Open trades have no exit columns; exits without an entry are dropped.  One grouped pass."""
-    fill = F.struct("ts", "price", "side", "kind", "realized", "notional")
-    is_entry = F.col("kind") == "entry"
-    entry = F.min_by(fill, F.when(is_entry, F.struct("ts", "price")))
-    exits = F.array_sort(F.collect_list(F.when(~is_entry, fill)))  # a signal has a handful of fills
-    g = fills.groupBy("signal_key", "symbol").agg(entry.alias("e"), exits.alias("x")).filter("e IS NOT NULL")
-    out = F.try_element_at(F.filter("x", lambda f: f["ts"] >= F.col("e.ts")), F.lit(1))
-    g = g.withColumn("o", out)
+    Open trades have no exit columns; exits without an entry are dropped.  Both steps are partially
+    aggregated arg-mins, and the entry side of the join has one row per signal, so a signal with
+    very many fills is split by the skew join and never gathered."""
+    fill = F.struct("ts", "price", "side", "kind", "realized")
+    entries = (
+        fills.filter("kind = 'entry'").groupBy("signal_key", "symbol")
+        .agg(F.min_by(F.struct("ts", "price", "side", "notional"), F.struct("ts", "price")).alias("e")))
+    exits = fills.filter("kind <> 'entry'").join(
+        entries.select("signal_key", "symbol", F.col("e.ts").alias("_from")), ["signal_key", "symbol"])
+    first = exits.filter("ts >= _from").groupBy("signal_key", "symbol").agg(
+        F.min_by(fill, F.struct("ts", "price")).alias("o"))
+    g = entries.join(first, ["signal_key", "symbol"], "left")
     base = F.col("e.notional")
     return g.select(
         "signal_key", "symbol", F.col("e.side").alias("side"), F.col("e.ts").alias("entry_ts"),

@@ -38,68 +38,58 @@ def scan(
 
     ``sum``, ``count``, ``max``, ``min`` and ``last`` (last non-NULL) cover the rows up to and
     including the current one, or up to the one before with ``exclusive``; ``lag`` and ``lead``
-    read the neighbouring row.  ``order`` must be ascending and unique within a series for a
+    read the neighbouring row; ``overall`` is the maximum of the whole series.  ``order`` must be ascending and unique within a series for a
     deterministic result.
     """
     part = [*keys, _CHUNK]
-    base = df.withColumn(_CHUNK, chunk)
-    vals = {}
-    for name, (op, value) in specs.items():
-        value = F.col(value) if isinstance(value, str) else value
-        if op in ("lag", "lead", "last"):
-            # a struct tells "no row" from "a row that holds NULL"
-            present = F.struct(value.alias("v"))
-            value = F.when(value.isNotNull(), present) if op == "last" else present
-        vals[f"_v_{name}"] = value
-    base = base.withColumns(vals)
+    values = {f"_v_{name}": F.col(v) if isinstance(v, str) else v for name, (_, v) in specs.items()}
+    base = df.withColumn(_CHUNK, chunk).withColumns(values)
 
     ordered = Window.partitionBy(*part).orderBy(*order)
     upto = ordered.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    pos = F.struct(*[F.col(o) for o in order])
+    # plain columns keep the totals in a hash aggregate; only a composite order needs a struct
+    pos = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
     across = Window.partitionBy(*keys).orderBy(_CHUNK)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
 
-    local, totals, carried = {}, [], []
+    local, totals, carried, out = {}, [], [], {}
     for name, (op, _) in specs.items():
-        v, t, c = F.col(f"_v_{name}"), f"_t_{name}", f"_c_{name}"
+        v, t, c, here = F.col(f"_v_{name}"), f"_t_{name}", f"_c_{name}", f"_l_{name}"
+        mine, inherited = F.col(here), F.col(c)
         if op in ("sum", "count"):
             agg = F.sum if op == "sum" else F.count
-            local[f"_l_{name}"] = agg(v).over(upto)
+            local[here] = agg(v).over(upto)
             totals.append(agg(v).alias(t))
             carried.append(F.sum(t).over(before).alias(c))
+            out[name] = F.coalesce(mine, F.lit(0)) + F.coalesce(inherited, F.lit(0))
         elif op in ("max", "min"):
             agg = F.max if op == "max" else F.min
-            local[f"_l_{name}"] = agg(v).over(upto)
+            local[here] = agg(v).over(upto)
             totals.append(agg(v).alias(t))
             carried.append(agg(t).over(before).alias(c))
+            out[name] = F.greatest(mine, inherited) if op == "max" else F.least(mine, inherited)
         elif op == "last":
-            local[f"_l_{name}"] = F.last(v, ignorenulls=True).over(upto)
+            local[here] = F.last(v, ignorenulls=True).over(upto)
             totals.append(F.max_by(v, F.when(v.isNotNull(), pos)).alias(t))
             carried.append(F.last(t, ignorenulls=True).over(before).alias(c))
-        elif op == "lag":
-            local[f"_l_{name}"] = F.lag(v).over(ordered)
-            totals.append(F.max_by(v, pos).alias(t))
-            carried.append(F.lag(t).over(across).alias(c))
-        elif op == "lead":
-            local[f"_l_{name}"] = F.lead(v).over(ordered)
-            totals.append(F.min_by(v, pos).alias(t))
-            carried.append(F.lead(t).over(across).alias(c))
+            out[name] = F.coalesce(mine, inherited)
+        elif op in ("lag", "lead"):
+            # a neighbour that holds NULL is not the same as no neighbour in this chunk
+            shift, edge = (F.lag, F.max_by) if op == "lag" else (F.lead, F.min_by)
+            local[here] = shift(v).over(ordered)
+            local[f"_has_{op}"] = shift(F.lit(1)).over(ordered)
+            totals.append(edge(v, pos).alias(t))
+            carried.append(shift(t).over(across).alias(c))
+            out[name] = F.when(F.col(f"_has_{op}").isNull(), inherited).otherwise(mine)
+        elif op == "overall":
+            totals.append(F.max(v).alias(t))
+            carried.append(F.max(t).over(Window.partitionBy(*keys)).alias(c))
+            out[name] = inherited
         else:
             raise ValueError(op)
 
     carry = base.groupBy(*part).agg(*totals).select(*part, *carried)
     joined = base.withColumns(local).join(carry, part)
-    out = {}
-    for name, (op, _) in specs.items():
-        loc, car = F.col(f"_l_{name}"), F.col(f"_c_{name}")
-        if op in ("sum", "count"):
-            out[name] = F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))
-        elif op == "max":
-            out[name] = F.greatest(loc, car)
-        elif op == "min":
-            out[name] = F.least(loc, car)
-        else:
-            out[name] = F.coalesce(loc, car).getField("v")
     kept = [c for c in df.columns if c not in out]
     return joined.select(*kept, *[col.alias(name) for name, col in out.items()])
 

@@ -1,8 +1,9 @@
 """The stored bar table: scans, coverage, upsert, compaction.
 
-Layout: ``market / symbol / timeframe / part`` directories, where part is a day for intraday bars
-and a year for calendar bars, so range scans prune directories and calendar series stay in few
-files.
+Layout: ``market / timeframe / part`` directories, where part is a day for intraday bars and a year
+for calendar bars.  Range scans prune directories; inside a part rows are sorted by symbol and
+close, so the footer statistics skip other symbols, and the number of directories does not grow
+with the number of symbols.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from tidemark.plans.chunks import CHUNK_ROWS, scan
 from tidemark.plans.staging import stage
 from tidemark.schema import BAR_SCHEMA, KEYS, TIMEFRAMES, lookup, seconds_of
 
-PARTS = ["market", "symbol", "timeframe", "part"]
+PARTS = ["market", "timeframe", "part"]
 STORED = [c.split()[0] for c in BAR_SCHEMA.split(", ")]
 
 
@@ -135,8 +136,8 @@ def merge(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def _laid_out(bars: DataFrame) -> DataFrame:
     keyed = bars.filter("closed").select(*STORED).withColumns({"market": market_of(), "part": partition_key()})
-    # one writer per part, and inside it sorted; AQE splits nothing here because parts are small
-    return keyed.repartition(*PARTS).sortWithinPartitions(*PARTS, "close_ts")
+    # adaptive execution merges small parts and splits one that is too large for a single file
+    return keyed.hint("rebalance", *PARTS).sortWithinPartitions(*PARTS, "symbol", "close_ts")
 
 
 def write_bars(bars: DataFrame, root: str) -> None:
