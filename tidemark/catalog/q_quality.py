@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import sigdata as S
 from tidemark.catalog.data import once, q6, series
-from tidemark.catalog.q_indicators import H1
+from tidemark.catalog.q_indicators import H1, TR
+from tidemark.catalog.q_signals import CHAIN
 from tidemark.catalog.registry import query
-from tidemark.catalog.util import rounded, sel
+from tidemark.catalog.util import recur, rounded, sel
 from tidemark.operators import baseline as B
 from tidemark.operators import quality as Q
 from tidemark.operators.outcomes import OutcomeParams, evaluate
@@ -73,6 +74,18 @@ def _(spark, sf):
     return rounded(Q.report(S.outcomes(spark, sf)))
 
 
+# the demo rule's signals, labelled and reported: the whole trial as SQL
+TRIAL = f"""{CHAIN}, a1 AS MATERIALIZED (SELECT *, {TR} AS tr FROM a), {recur('atr1', 'a1', 'tr', 14, 1 / 14)},
+dsig AS MATERIALIZED (SELECT 'demo' AS rule_id, a.symbol, 'long' AS direction, '1h' AS timeframe, a.close_ts AS fired_at, a.close AS trigger_price, atr1.y AS atr14, a.rn AS base_rn, a.next_open, a.next_close_ts
+  FROM ch JOIN a ON a.symbol = ch.symbol AND a.rn = ch.rn LEFT JOIN atr1 ON atr1.symbol = a.symbol AND atr1.rn = a.rn WHERE emitted),
+{S.outcome_cte('dsig', 'o', 20, 0.0, bars='a')}, {REPORT.split(", od AS MATERIALIZED", 1)[1].join(["od AS MATERIALIZED", ""])}"""
+
+
+@query("rul11_trial_report", f"WITH RECURSIVE {TRIAL} SELECT * FROM rep")
+def _(spark, sf):
+    return rounded(S.demo_trial(spark, sf).report)
+
+
 @query("agg05_mixed_basis", f"WITH RECURSIVE {OD} SELECT count(DISTINCT exit_basis) > 1 AS mixed_basis, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT exit_basis || '=' || count(*) AS p FROM od GROUP BY exit_basis)) AS parts FROM od")
 def _(spark, sf):
     return Q.mixed_basis(Q.report(S.outcomes(spark, sf), ["basis"]))

@@ -15,7 +15,7 @@ from tidemark.operators import rules as R
 from tidemark.operators import trades, views
 from tidemark.operators.frame import Frame
 from tidemark.operators.outcomes import OutcomeParams, atr_from_context, exit_basis, risk_distances
-from tidemark.operators.shipped import stock_rules
+from tidemark.operators.shipped import stock_rules, zone_short
 from tidemark.plans.staging import stage
 from tidemark.sources import logs
 
@@ -89,22 +89,29 @@ fr AS MATERIALIZED (SELECT a.symbol, a.rn, a.close_ts, a.close, a.volume, eb.tre
         ASOF LEFT JOIN b c ON ax.symbol = c.symbol AND ax.close_ts >= c.close_ts ASOF LEFT JOIN be e ON ax.symbol = e.symbol AND ax.emit_ts >= e.emit_ts) a
   LEFT JOIN bs eb ON eb.symbol = a.symbol AND eb.rn = a.erow LEFT JOIN bs vb ON vb.symbol = a.symbol AND vb.rn = a.vis)"""
 
-# one fold step per trigger bar, for the demo rule's three conditions, TTL 6 and cooldown 7200 s
-_STEP = """SELECT q.symbol, q.rn, q.t,
-  CASE WHEN cooling OR st1 IS NULL THEN p_stage WHEN retreat THEN 0 WHEN expired THEN 1 WHEN c3 = 3 THEN 2 ELSE c3 END AS stage,
-  CASE WHEN cooling THEN p_ttl WHEN retreat OR expired THEN 0 WHEN c3 = 3 AND NOT dup THEN 0 WHEN b2 = 2 AND st1 < 2 THEN 6 WHEN st1 = 2 THEN p_ttl - 1 ELSE p_ttl END AS ttl,
-  CASE WHEN cooling THEN p_cd WHEN NOT retreat AND NOT expired AND c3 = 3 AND NOT dup THEN t + 7200 ELSE 0 END AS cd,
-  CASE WHEN NOT cooling AND NOT retreat AND NOT expired AND c3 = 3 AND NOT dup THEN list_append(keys, key) ELSE keys END AS keys,
-  CASE WHEN cooling THEN '' WHEN retreat THEN 'retreated' WHEN expired THEN 'expired' WHEN c3 = 3 THEN 'fired' WHEN c3 > st1 THEN 'advanced' WHEN p_cd > 0 THEN 'cooled' ELSE '' END AS outcome,
-  (NOT cooling AND NOT retreat AND NOT expired AND c3 = 3 AND NOT dup) AS emitted, CASE WHEN NOT cooling AND NOT retreat AND NOT expired AND c3 = 3 THEN key END AS key
- FROM (SELECT *, list_contains(keys, key) AS dup, CASE WHEN b2 = 2 AND s2 THEN 3 ELSE b2 END AS c3 FROM (SELECT *, CASE WHEN a1 = 1 AND s1 THEN 2 ELSE a1 END AS b2 FROM (
-  SELECT *, CASE WHEN st1 = 0 AND s0 THEN 1 ELSE st1 END AS a1, st1 >= 1 AND NOT s0 AS retreat, NOT (st1 >= 1 AND NOT s0) AND st1 = 2 AND p_ttl - 1 < 0 AS expired FROM (
-   SELECT f.symbol, f.rn, f.close_ts AS t, coalesce(f.trend, FALSE) AS s0, coalesce(f.setup, FALSE) AS s1, coalesce(f.trig, FALSE) AS s2,
-    f.symbol || ':demo:' || f.trend_ts AS key, p.stage AS p_stage, p.ttl AS p_ttl, p.cd AS p_cd, p.keys, p.cd > 0 AND f.close_ts < p.cd AS cooling,
+def chain_cte(rule_id: str, ttl: int, cooldown: int, second_holds: bool) -> str:
+    """The chain of a three-condition rule over ``fr(symbol, rn, close_ts, trend, setup, trig, trend_ts)``,
+    one recursive step per trigger bar.  The first condition always holds the chain; the second one
+    does when it is a state condition."""
+    back = "CASE WHEN st1 >= 1 AND NOT s0 THEN 0" + (" WHEN st1 >= 2 AND NOT s1 THEN 1" if second_holds else "") + " END"
+    step = f"""SELECT q.symbol, q.rn, q.t,
+  CASE WHEN cooling THEN p_stage WHEN back IS NOT NULL THEN back WHEN expired THEN 1 WHEN c3 = 3 THEN 2 ELSE c3 END AS stage,
+  CASE WHEN cooling THEN p_ttl WHEN back IS NOT NULL OR expired THEN 0 WHEN c3 = 3 AND NOT dup THEN 0 WHEN b2 = 2 AND st1 < 2 THEN {ttl} WHEN st1 = 2 THEN p_ttl - 1 ELSE p_ttl END AS ttl,
+  CASE WHEN cooling THEN p_cd WHEN fired AND NOT dup THEN t + {cooldown} ELSE 0 END AS cd,
+  CASE WHEN fired AND NOT dup THEN list_append(keys, key) ELSE keys END AS keys,
+  CASE WHEN cooling THEN '' WHEN back IS NOT NULL THEN 'retreated' WHEN expired THEN 'expired' WHEN fired THEN 'fired' WHEN c3 > st1 THEN 'advanced' WHEN p_cd > 0 THEN 'cooled' ELSE '' END AS outcome,
+  fired AND NOT dup AS emitted, CASE WHEN fired THEN key END AS key
+ FROM (SELECT *, list_contains(keys, key) AS dup, NOT cooling AND back IS NULL AND NOT expired AND c3 = 3 AS fired FROM (SELECT *, CASE WHEN b2 = 2 AND s2 THEN 3 ELSE b2 END AS c3 FROM (
+  SELECT *, CASE WHEN a1 = 1 AND s1 THEN 2 ELSE a1 END AS b2 FROM (SELECT *, CASE WHEN st1 = 0 AND s0 THEN 1 ELSE st1 END AS a1, back IS NULL AND st1 = 2 AND p_ttl - 1 < 0 AS expired FROM (
+   SELECT *, {back} AS back FROM (SELECT f.symbol, f.rn, f.close_ts AS t, coalesce(f.trend, FALSE) AS s0, coalesce(f.setup, FALSE) AS s1, coalesce(f.trig, FALSE) AS s2,
+    f.symbol || ':{rule_id}:' || f.trend_ts AS key, p.stage AS p_stage, p.ttl AS p_ttl, p.cd AS p_cd, p.keys, p.cd > 0 AND f.close_ts < p.cd AS cooling,
     CASE WHEN p.cd > 0 AND f.close_ts >= p.cd THEN 1 ELSE p.stage END AS st1
-   FROM ch p JOIN fr f ON f.symbol = p.symbol AND f.rn = p.rn + 1)))) q"""
-CHAIN = f"""{DEMO}, ch AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS t, 0 AS stage, 0 AS ttl, CAST(0 AS BIGINT) AS cd, CAST([] AS VARCHAR[]) AS keys, '' AS outcome, FALSE AS emitted, CAST(NULL AS VARCHAR) AS key FROM fr
- UNION ALL {_STEP})"""
+   FROM ch p JOIN fr f ON f.symbol = p.symbol AND f.rn = p.rn + 1)))))) q"""
+    return f"""ch AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS t, 0 AS stage, 0 AS ttl, CAST(0 AS BIGINT) AS cd, CAST([] AS VARCHAR[]) AS keys, '' AS outcome, FALSE AS emitted, CAST(NULL AS VARCHAR) AS key FROM fr
+ UNION ALL {step})"""
+
+
+CHAIN = f"{DEMO}, {chain_cte('demo', 6, 7200, second_holds=False)}"
 
 
 def _booked(spark, sf):
@@ -175,11 +182,6 @@ def _(spark, sf):
     return _moves(spark, sf).select("symbol", "close_ts", "outcome", "stage", "emitted")
 
 
-@query("rul11_trial_report")
-def _(spark, sf):
-    return rounded(S.demo_trial(spark, sf).report)
-
-
 @query("rul12_single_condition_rules", f"WITH RECURSIVE {S.SIG} SELECT rule_id, symbol, direction, fired_at, {q6('trigger_price')} AS trigger_price, dedup_key, {q6('atr14')} AS atr14, priority FROM sig")
 def _(spark, sf):
     sig = S.signals(spark, sf)
@@ -196,6 +198,28 @@ def _(spark, sf):
     return moves.groupBy("rule_id", "symbol", "outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if("emitted").alias("n_signals"))
 
 
+_W20 = "(PARTITION BY symbol ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+ZONE = f"""{series_cte('5m', '1h')}, t5 AS MATERIALIZED (SELECT *, CASE WHEN rn > 20 THEN min(low) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS rl,
+  CASE WHEN count(volume) OVER {_W20} = 20 THEN avg(volume) OVER {_W20} END AS v20 FROM s WHERE timeframe = '5m'),
+h AS MATERIALIZED (SELECT *, CASE WHEN prev_close IS NULL THEN high - low ELSE greatest(high - low, abs(high - prev_close), abs(low - prev_close)) END AS tr FROM s WHERE timeframe = '1h'),
+{recur('e1', 'h', 'close', 20, 2 / 21)}, {recur('atr1', 'h', 'tr', 14, 1 / 14)},
+hb AS MATERIALIZED (SELECT h.*, close < e1.y AND e1.y < lag(e1.y, 6) OVER (PARTITION BY symbol ORDER BY rn) AS trend, abs(close - e1.y) < atr1.y * 0.8 AS zone FROM h LEFT JOIN e1 USING (symbol, rn) LEFT JOIN atr1 USING (symbol, rn)),
+tr1 AS (SELECT *, close < rl AND volume > v20 * 1.5 AS brk FROM t5), tr2 AS (SELECT *, coalesce(brk AND lag(brk) OVER (PARTITION BY symbol ORDER BY rn) = FALSE, FALSE) AS edge FROM tr1),
+tx AS MATERIALIZED (SELECT *, CASE WHEN lead(emit_ts) OVER w = emit_ts THEN lead(edge) OVER w ELSE edge END AS trig FROM tr2 WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+he AS MATERIALIZED (SELECT symbol, emit_ts, max(rn) AS rn FROM h GROUP BY symbol, emit_ts),
+fr AS MATERIALIZED (SELECT a.symbol, a.rn, a.close_ts, eb.trend, eb.zone AS setup, a.trig, vb.close_ts AS trend_ts
+  FROM (SELECT tx.*, CASE WHEN c.rn IS NOT NULL AND e.rn IS NOT NULL THEN least(c.rn, e.rn) END AS vis, e.rn AS erow FROM tx
+        ASOF LEFT JOIN h c ON tx.symbol = c.symbol AND tx.close_ts >= c.close_ts ASOF LEFT JOIN he e ON tx.symbol = e.symbol AND tx.emit_ts >= e.emit_ts) a
+  LEFT JOIN hb eb ON eb.symbol = a.symbol AND eb.rn = a.erow LEFT JOIN hb vb ON vb.symbol = a.symbol AND vb.rn = a.vis), {chain_cte('zone_short', 48, 1800, second_holds=True)}"""
+
+
+@query("rul13_stock_rule_zone_short", f"WITH RECURSIVE {ZONE} SELECT symbol, t AS close_ts, outcome, CAST(stage AS BIGINT) AS stage, emitted, key AS dedup_key FROM ch WHERE outcome <> ''")
+def _(spark, sf):
+    rules = [zone_short()]
+    frames = stage(R.trigger_frames(R.book(series(spark, sf), rules), rules), "frames")
+    return R.transitions(frames, rules).select("symbol", "close_ts", "outcome", "stage", "emitted", "dedup_key")
+
+
 @query("win08_condition_bands", f"""WITH RECURSIVE {DEMO}, p AS (SELECT symbol, 'trend' AS role, rn, close_ts, CASE WHEN trend THEN 'true' WHEN trend IS NULL THEN 'unknown' ELSE '' END AS value FROM bs
  UNION ALL SELECT symbol, 'setup', rn, close_ts, CASE WHEN setup THEN 'true' WHEN setup IS NULL THEN 'unknown' ELSE '' END FROM bs UNION ALL SELECT symbol, 'trig', rn, close_ts, CASE WHEN edge THEN 'true' WHEN edge IS NULL THEN 'unknown' ELSE '' END FROM ae),
  g AS (SELECT *, rn - row_number() OVER (PARTITION BY symbol, role, value ORDER BY rn) AS grp FROM p)

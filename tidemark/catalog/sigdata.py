@@ -98,7 +98,7 @@ sig AS MATERIALIZED (SELECT rule_id, symbol, direction, '1h' AS timeframe, s.clo
   FROM sg JOIN s USING (symbol, rn) LEFT JOIN atr USING (symbol, rn))"""
 
 
-def outcome_cte(src: str, name: str, h: int, cost: float, stop_pct=0.005, target_pct=0.01, stop_atr=1.5, target_atr=3.0) -> str:
+def outcome_cte(src: str, name: str, h: int, cost: float, stop_pct=0.005, target_pct=0.01, stop_atr=1.5, target_atr=3.0, bars: str = "s") -> str:
     """CTEs that label ``src`` (base_rn, next_open, next_close_ts, atr14, direction) as ``name``."""
     p = name
     return f"""{p}_e AS (SELECT *, row_number() OVER () AS eid, next_open AS entry, CASE WHEN direction = 'short' THEN -1.0 ELSE 1.0 END::DOUBLE AS sgn,
@@ -107,7 +107,7 @@ def outcome_cte(src: str, name: str, h: int, cost: float, stop_pct=0.005, target
   entry + sgn * CASE WHEN atr14 > 0 THEN atr14 * {target_atr} ELSE entry * {target_pct} END AS target FROM {p}_e),
 {p}_f AS (SELECT e.eid, b.rn - e.base_rn AS off, b.close_ts AS ts, b.close AS c, b.high AS hi, b.low AS lo,
   CASE WHEN CASE WHEN sgn > 0 THEN b.low <= stop ELSE b.high >= stop END THEN 'stop' WHEN CASE WHEN sgn > 0 THEN b.high >= target ELSE b.low <= target END THEN 'target' END AS why
-  FROM {p}_l e JOIN s b ON b.symbol = e.symbol AND b.rn BETWEEN e.base_rn + 1 AND e.base_rn + {h} WHERE e.ok),
+  FROM {p}_l e JOIN {bars} b ON b.symbol = e.symbol AND b.rn BETWEEN e.base_rn + 1 AND e.base_rn + {h} WHERE e.ok),
 {p}_x AS (SELECT eid, coalesce(min(off) FILTER (why IS NOT NULL), max(off)) AS x FROM {p}_f GROUP BY eid),
 {p}_m AS (SELECT f.eid, max(hi) AS mx, min(lo) AS mn, arg_max(ts, off) AS exit_ts, arg_max(c, off) AS c, max(why) FILTER (off = x) AS why, any_value(x) AS x
   FROM {p}_f f JOIN {p}_x USING (eid) WHERE off <= x GROUP BY f.eid),

@@ -24,18 +24,14 @@ def to_blocks(df: DataFrame, back: int, ahead: int = 0, block_rows: int = BLOCK_
     pos = (F.col("rn") - 1) % F.lit(rows)
     own = F.floor((F.col("rn") - 1) / F.lit(rows)).cast("bigint")
 
-    def slot(block, core):
-        return F.struct(block.alias("b"), F.lit(core).alias("core"))
-
-    slots = [slot(own, True)]
-    if back:
-        slots.append(F.when(pos >= rows - back, slot(own + 1, False)))
-    if ahead:
-        slots.append(F.when((pos < ahead) & (own > 0), slot(own - 1, False)))
-    if len(slots) == 1:
+    if not back and not ahead:
         return df.withColumns({"_blk": own, "_core": F.lit(True)})
-    spread = df.withColumn("_slot", F.explode(F.array_compact(F.array(*slots))))
-    return spread.withColumns({"_blk": F.col("_slot.b"), "_core": F.col("_slot.core")}).drop("_slot")
+    late, early = pos >= rows - back, (pos < ahead) & (own > 0)
+    # plain CASE over short arrays: most rows go to one block, edge rows to two or three
+    blocks = (F.when(late & early, F.array(own, own + 1, own - 1)).when(late, F.array(own, own + 1))
+              .when(early, F.array(own, own - 1)).otherwise(F.array(own)))
+    spread = df.withColumn("_own", own).withColumn("_blk", F.explode(blocks))
+    return spread.withColumn("_core", F.col("_blk") == F.col("_own")).drop("_own")
 
 
 def core_rows(df: DataFrame) -> DataFrame:
