@@ -27,7 +27,7 @@ def main() -> None:
     from tidemark.operators.frame import Frame
     from tidemark.operators.outcomes import OutcomeParams, evaluate
     from tidemark.operators.shipped import stock_rules
-    from tidemark.plans.staging import stage
+    from tidemark.plans.staging import drop_staged, stage
     from tidemark.session import local_session
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -93,6 +93,7 @@ def main() -> None:
 
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": sf}))
+    drop_staged(spark)
     spark.stop()
 
 

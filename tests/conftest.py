@@ -12,4 +12,7 @@ def spark():
     s = local_session(8, partitions=4, app="tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from tidemark.plans.staging import drop_staged
+
+    drop_staged(s)
     s.stop()

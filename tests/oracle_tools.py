@@ -70,6 +70,7 @@ def compare(spark, con, sf, name, fn, sql):
 def main(argv):
     sys.path.insert(0, "/root/repo")
     import __spark_entry__ as entry
+    from tidemark.plans.staging import drop_staged
     from tidemark.session import local_session
 
     sf = "/root/testdata/sf0.01"
@@ -99,6 +100,7 @@ def main(argv):
             print("   ", diff, flush=True)
             bad.append(name)
     print(f"{len(bad)} bad: {bad}")
+    drop_staged(spark)
     spark.stop()
     return 1 if bad else 0
 

@@ -51,6 +51,13 @@ def _(spark, sf):
     return m.select("symbol", "bucket_ts", "direction", "dedup_key", "rule_id", "count", F.array_join("members.dedup_key", ",").alias("members"))
 
 
+@query("agg16_marker_counts", f"""WITH RECURSIVE {S.SIG}, {B4} SELECT symbol, bucket_ts, direction, count(*) AS count, first(rule_id ORDER BY -pr, rule_id, dedup_key) AS rule_id FROM (SELECT sig.*, {_B4} AS bucket_ts, CASE priority WHEN 'low' THEN 0 WHEN 'high' THEN 2 ELSE 1 END AS pr FROM sig) x
+ WHERE EXISTS (SELECT 1 FROM b4 WHERE b4.symbol = x.symbol AND b4.close_ts = x.bucket_ts) GROUP BY ALL""")
+def _(spark, sf):
+    placed, _dropped = views.place_signals(S.signals(spark, sf), series(spark, sf), "4h")
+    return views.collapse(placed, members=False).select("symbol", "bucket_ts", "direction", "count", "rule_id")
+
+
 # ------------------------------------------------------------------ watchlist and freshness
 
 @query("jon16_watchlist", f"""WITH RECURSIVE {S.SIG}, pin AS (SELECT 'CRYPTO.SIM.' || event_type AS symbol, min(event_id) AS pinned_at FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1 UNION ALL SELECT 'SUP.' || s_suppkey, 1000000 + s_suppkey FROM supplier WHERE s_acctbal > 9900),

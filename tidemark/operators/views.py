@@ -53,18 +53,26 @@ def place_signals(signals: DataFrame, bars: DataFrame, timeframe: str) -> tuple[
     return found.filter("bucket_ts IS NOT NULL"), found.filter("bucket_ts IS NULL").drop("bucket_ts")
 
 
-def collapse(placed: DataFrame, chain_len: dict[str, int] | None = None) -> DataFrame:
-    """One marker per (symbol, bar, direction): representative, count and ordered members."""
+def _ranked(placed: DataFrame, chain_len: dict[str, int] | None) -> DataFrame:
     length = lookup(F.col("rule_id"), chain_len, 1) if chain_len else None
     member = F.struct("rule_id", "dedup_key", "fired_at", "trigger_price",
                       coerce_priority(F.col("priority")).alias("priority"), "timeframe")
-    item = F.struct(F.struct(*rank_key(length)).alias("k"), member.alias("m"))
-    g = placed.groupBy("symbol", "bucket_ts", "direction").agg(
-        F.min(item).alias("lead"), F.count(F.lit(1)).alias("count"),
-        F.array_sort(F.collect_list(item)).alias("all"))  # rules firing on one bar: few
+    return placed.select("symbol", "bucket_ts", "direction",
+                         F.struct(F.struct(*rank_key(length)).alias("k"), member.alias("m")).alias("item"))
+
+
+def collapse(placed: DataFrame, chain_len: dict[str, int] | None = None, members: bool = True) -> DataFrame:
+    """One marker per (symbol, bar, direction): representative, count and ordered members.
+
+    ``members=False`` leaves the list out and is a partially aggregated arg-min; use it, with the
+    placed rows themselves as the detail table, when very many signals may share one bar."""
+    aggs = [F.min("item").alias("lead"), F.count(F.lit(1)).alias("count")]
+    if members:
+        aggs.append(F.array_sort(F.collect_list("item")).alias("all"))
+    g = _ranked(placed, chain_len).groupBy("symbol", "bucket_ts", "direction").agg(*aggs)
     return g.select("symbol", "bucket_ts", "direction", *[F.col(f"lead.m.{c}").alias(c) for c in (
         "rule_id", "dedup_key", "fired_at", "trigger_price", "priority")], "count",
-        F.col("all.m").alias("members"))
+        *([F.col("all.m").alias("members")] if members else []))
 
 
 # ------------------------------------------------------------------ watchlist
