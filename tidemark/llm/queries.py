@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import oracles
+from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +30,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_substring_dedup", oracles.SUBSTRING_DEDUP)
 def substring_dedup(spark, sf):
     return remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_minhash_dedup", oracles.MINHASH_DEDUP)
+def minhash_dedup(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"), shingle=4)
