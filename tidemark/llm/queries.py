@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import oracles
 from tidemark.llm.minhash_dedup import near_duplicates
+from tidemark.llm.quality_classifier import score_quality
 from tidemark.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,8 @@ def substring_dedup(spark, sf):
 @query("op6_minhash_dedup", oracles.MINHASH_DEDUP)
 def minhash_dedup(spark, sf):
     return near_duplicates(table(spark, sf, "documents"), shingle=4)
+
+
+@query("op2_quality_classifier")
+def quality_classifier(spark, sf):
+    return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))

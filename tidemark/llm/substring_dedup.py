@@ -7,9 +7,9 @@ off the fingerprints, so a name is global: all tasks agree without exchanging a
 symbol carries the stretch of words that decided it (itself and the neighbours looked at); equal
 stretches hold equal symbols wherever they occur.
 
-A window of ``WINDOW`` words is filed under one symbol decided wholly inside it: of the highest level
-that has one (levels up to ``LEVEL``; a word is a symbol of level 0, so there always is one), the one
-of least fingerprint.  Equal windows are thus filed under equal symbols, and consecutive windows share
+A window of ``WINDOW`` words is filed under one symbol decided wholly inside it: a long one of a high
+level if it has one (levels up to ``LEVEL``, lengths of ``LONG``), else of the highest level that has
+any (a word is a symbol of level 0), and among those the one of least fingerprint.  Equal windows are thus filed under equal symbols, and consecutive windows share
 theirs.  A record is one symbol with its block of consecutive windows, about 20 at a time.
 
 Spark then finds the symbols that two documents share.  A block equal to that of an earlier document
@@ -35,7 +35,9 @@ from tidemark.llm.textops import U64, Words, between, map_slices, mix, prefix, s
 from tidemark.plans.staging import stage
 
 WINDOW = 50
+BITMAP_WORDS = 1 << 17
 LEVEL = 5
+LONG = (6, 4, 4, 3, 2)
 
 
 class Symbols:
@@ -123,6 +125,12 @@ def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         width *= 2
 
 
+def _tiers(reached: int, level: int) -> list[tuple[int, int]]:
+    """(level, least words of a symbol) in order of preference: a long symbol is rarely shared by chance."""
+    order = [(level - k, words) for k, words in enumerate(LONG)] + [(k, 1) for k in range(level, -1, -1)]
+    return [(k, words) for k, words in order if 0 <= k <= reached]
+
+
 def file_windows(words: np.ndarray, row: np.ndarray, starts: np.ndarray, window: int = WINDOW, level: int = LEVEL):
     """For each window start: the name that it is filed under and the position of that symbol."""
     levels = [words_level(words, row)]
@@ -133,9 +141,9 @@ def file_windows(words: np.ndarray, row: np.ndarray, starts: np.ndarray, window:
             break
     name, at = np.zeros(len(starts), U64), np.full(len(starts), -1)
     todo = np.arange(len(starts))
-    for k in range(len(levels) - 1, -1, -1):
+    for k, least_words in _tiers(len(levels) - 1, level):
         x = levels[k]
-        ok = (x.cr - x.cl) <= window
+        ok = ((x.cr - x.cl) <= window) & (x.e - x.s >= least_words)
         cl, cr, nm, s = x.cl[ok], x.cr[ok], x.name[ok], x.s[ok]
         lo = np.searchsorted(cl, starts[todo])
         hi = np.searchsorted(cr, starts[todo] + window, "right")
@@ -228,19 +236,31 @@ def covered(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     ], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
+def likely(docs: DataFrame, keys: DataFrame, keep: bool = True) -> DataFrame:
+    """Rows whose doc_id may be (``keep``) or surely isn't among ``keys``, told by a bitmap of at most
+    ``BITMAP_WORDS`` rows that is broadcast, so that most texts needn't be shuffled.  A full bitmap
+    only costs time: an exact join follows."""
+    bit = F.xxhash64("doc_id")
+    word, mask = F.pmod(bit, F.lit(BITMAP_WORDS)), F.expr("shiftleft(1L, CAST(pmod(shiftright(xxhash64(doc_id), 32), 64) AS INT))")
+    bitmap = keys.select(word.alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    found = (word == F.col("w")) & (mask.bitwiseAND(F.col("m")) != 0)
+    return docs.join(F.broadcast(bitmap), found, "left_semi" if keep else "left_anti")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, level: int = LEVEL) -> DataFrame:
     """Blocks of windows that an earlier document holds too: doc_id, copy, at (first word), n (windows)."""
     blocks = stage(map_slices(docs.filter("doc_id IS NOT NULL"), "text", lambda b: blocks_of(b, window, level),
                               "symbol long, block long, doc_id long, copy int, at int, n int"), "blocks")
-    one = blocks.groupBy("symbol", "block").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = (one.groupBy("symbol").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.count("*").alias("kinds"))
-              .filter("lo < hi").select("symbol", "kinds"))
-    known = one.join(shared, "symbol").select("symbol", "block", "least", (F.col("kinds") > 1).alias("mixed"))
-    met = stage(blocks.join(known, ["symbol", "block"]).filter("least < doc_id OR mixed")
+    shared = blocks.groupBy("symbol").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    common = stage(blocks.join(shared.select("symbol"), "symbol"), "common")
+    one = common.groupBy("symbol", "block").agg(F.min("doc_id").alias("least"))
+    kinds = one.groupBy("symbol").agg(F.count("*").alias("kinds"))
+    known = one.join(kinds, "symbol").select("symbol", "block", "least", (F.col("kinds") > 1).alias("mixed"))
+    met = stage(common.join(known, ["symbol", "block"]).filter("least < doc_id OR mixed")
                 .select("doc_id", "copy", "at", "n", (F.col("least") < F.col("doc_id")).alias("whole")), "met")
     pack = F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")
     asked = met.filter("NOT whole").groupBy("doc_id", "copy").agg(F.collect_list(pack).alias("spans"))
-    singles = map_slices(docs.join(asked.hint("shuffle_hash"), ["doc_id", "copy"]), "text", lambda b: windows_of(b, window),
+    singles = map_slices(likely(docs, asked).join(asked.hint("shuffle_hash"), ["doc_id", "copy"]), "text", lambda b: windows_of(b, window),
                          "one long, two long, doc_id long, copy int, at int")
     singles = stage(singles, "windows")
     firsts = singles.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
@@ -256,6 +276,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, level: int = LEVEL) ->
     rows = rows.withColumn("copy", F.hash("text"))
     pack = F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")
     spans = repeated_spans(rows, window, level).groupBy("doc_id", "copy").agg(F.collect_list(pack).alias("spans"))
-    whole = rows.join(spans.hint("shuffle_hash"), ["doc_id", "copy"], "left")
-    return map_slices(whole, "text", lambda b: covered(b, window),
+    spans = stage(spans, "spans")
+    touched = likely(rows, spans).join(spans.hint("shuffle_hash"), ["doc_id", "copy"], "left")
+    clean = likely(rows, spans, keep=False).withColumn("spans", F.lit(None).cast("array<bigint>"))
+    return map_slices(touched.unionByName(clean), "text", lambda b: covered(b, window),
                       "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
