@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import oracles
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.quality_classifier import score_quality
+from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,8 @@ def minhash_dedup(spark, sf):
 @query("op2_quality_classifier")
 def quality_classifier(spark, sf):
     return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op9_quality_rules")
+def quality_rules_(spark, sf):
+    return quality_rules(table(spark, sf, "documents"))
