@@ -6,7 +6,8 @@ model.  Every task counts the grams of all its texts; Spark sums them, derives t
 of the lower orders and the counts of counts behind the three discounts of each order.  The tables go
 to the tasks as sorted gram arrays with log probabilities and back-off weights (bounded as above).
 
-A text's score is its mean negative log probability per byte.  Each language's band is its median plus
+A text's score is the median, over its blocks of ``BLOCK`` bytes, of the mean negative log probability
+per byte, so that a quotation in another language doesn't condemn it.  Each language's band is its median plus
 and minus ``SPREAD`` times the median absolute deviation (with a floor), both read off an exact
 histogram of all texts that pass the counting rules; a text outside is rejected.  Scores of short texts scatter
 more, so the band widens by ``SHORT / sqrt(bytes)``.
@@ -33,10 +34,11 @@ from tidemark.plans.staging import stage
 LANGS = ("en", "de", "fr", "es")
 CLASSES = 48
 ORDER = 4
-SPREAD = 8.0
-FLOOR = 0.05
-SHORT = 6.0
-STEP = 0.01
+BLOCK = 256
+SPREAD = 6.0
+FLOOR = 0.01
+SHORT = 2.0
+STEP = 0.002
 
 
 def _fold() -> np.ndarray:
@@ -167,6 +169,18 @@ def fit(texts: DataFrame) -> dict[int, list[Table]]:
     return out
 
 
+def block_medians(value: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Per text, the (lower) median of the means over its blocks; a short last block joins the one before."""
+    size = np.diff(bounds)
+    blocks = np.maximum(size // BLOCK, 1)
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    own = first[row] + np.minimum((np.arange(len(value)) - bounds[row]) // BLOCK, blocks[row] - 1)
+    n = np.bincount(own, minlength=first[-1])
+    mean = np.bincount(own, value, minlength=first[-1]) / np.maximum(n, 1)
+    order = np.lexsort((mean, np.repeat(np.arange(len(size)), blocks)))
+    return mean[order][first[:-1] + (blocks - 1) // 2]
+
+
 def _judge(model):
     def work(batches):
         dense: dict[int, np.ndarray] = {}
@@ -178,7 +192,7 @@ def _judge(model):
         s = TextStats(part.column("text"))
         code, row = grams(part)
         lang = language(part)
-        total = np.zeros(part.num_rows)
+        lp_all = np.zeros(len(code))
         for k in np.unique(lang):
             if int(k) not in model.value:
                 continue
@@ -191,13 +205,13 @@ def _judge(model):
             missing = np.isnan(lp)
             if missing.any():
                 lp[missing] = log_probability(model.value[int(k)], code[own][missing])
-            total += np.bincount(row[own], lp, minlength=part.num_rows)
+            lp_all[own] = lp
         size = np.diff(s.bounds)
         failed = (s.n_words < 50) | (100 * s.n_repeat_words > 50 * s.n_words)
         cols = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines.astype(np.int64), s.n_repeat_words]
         return pa.RecordBatch.from_arrays(
             [part.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in cols), pa.array(failed), pa.array(lang.astype(np.int32)),
-             pa.array(-total / np.maximum(size, 1)), pa.array(size.astype(np.int64))],
+             pa.array(-block_medians(lp_all, row, s.bounds)), pa.array(size.astype(np.int64))],
             names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "k", "surprise", "size"])
     return work
 
