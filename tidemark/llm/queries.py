@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import oracles
+from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.quality_classifier import score_quality
 from tidemark.llm.quality_rules import quality_rules
@@ -47,3 +48,8 @@ def quality_classifier(spark, sf):
 @query("op9_quality_rules")
 def quality_rules_(spark, sf):
     return quality_rules(table(spark, sf, "documents"))
+
+
+@query("op7_decontamination")
+def decontamination(spark, sf):
+    return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
