@@ -8,9 +8,10 @@ j, so long texts stop after one round.  Signatures of 128 places form 32 bands o
 0.8 a pair misses all of them with probability below 1e-7.
 
 Equal sets are one class, represented by the least doc_id, before banding.  In a band's bucket the
-members are compared with a leader, not with each other.  Members that fail stay: later rounds take
-other leaders for buckets that still hold several components, and whatever is left is compared across
-components, so that no link between classes is lost and none is needed inside a component.  Links are
+members are compared with a leader, not with each other; the first leader is the most central member.
+A second leader serves buckets that still hold several components.  Across the components that are
+left, pairs meet by their rarest shingles (prefix and position filter, exact) instead of by bucket.
+So no link between classes is lost, and none is needed inside a component.  Links are
 confirmed on the full sets (64-bit shingle fingerprints).
 
 Defined results: null or empty text has an empty set and is linked with nothing; a null doc_id is
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.llm.components import components
 from tidemark.llm.textops import U64, Words, between, map_slices, mix, prefix, signed, text_buffers
@@ -33,7 +35,7 @@ SHINGLE = 5
 PERCENT = 80
 PLACES = 128
 BAND = 4
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 
 
 def shingle_sets(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,42 +147,74 @@ def _sizes_allow(percent: int):
     return F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
 
 
+def _tokens(batch: pa.RecordBatch, shingle: int) -> pa.RecordBatch:
+    item, row = shingle_sets(batch.column("text"), shingle)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(signed(item))], names=["doc_id", "token"])
+
+
+def remaining_pairs(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (doc_id, n, c) of different components that may be similar enough.
+
+    Ordered by rarity, two such sets share a shingle among their first n - ceil(t n) + 1; and the first
+    one they share leaves room for enough others behind it on both sides.  Both are exact conditions.
+    """
+    tokens = stage(map_slices(docs.join(members.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), "text",
+                              lambda b: _tokens(b, shingle), "doc_id long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "token"))
+    lead = (tokens.join(often, "token").withColumn("i", place).join(members, "doc_id")
+            .filter(f"df > 1 AND i <= n - ceil({percent} * n / 100) + 1"))
+    lead = stage(lead.select("token", "doc_id", "c", "n", (F.col("n") - F.col("i") + 1).alias("left")), "prefixes")
+    x = lead.select("token", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("nu"), F.col("left").alias("la"))
+    y = lead.select("token", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nv"), F.col("left").alias("lb"))
+    room = f"a < b AND ca <> cb AND 100 * least(la, lb) >= {percent} * (nu + nv - least(la, lb))"
+    return x.join(y, "token").filter(room).select("a", "b")
+
+
+def _labelled(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return members.withColumn("c", F.col("doc_id"))
+    return (members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            .withColumn("c", F.coalesce("component", "doc_id")).drop("component"))
+
+
+def _mixed(members: DataFrame, leader) -> DataFrame:
+    """Buckets that hold several components, each with a leader."""
+    return members.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"),
+                                       F.max_by(F.struct("doc_id", "n", "c"), leader).alias("lead")).filter("c0 < c1").select("band", "lead")
+
+
 def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) between class representatives, enough to give every component."""
+    """(node, component) of the class representatives that have a link."""
     members = stage(classes.select(F.explode("bands").alias("band"), F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")), "members")
-    several = members.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("band")
+    several = members.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")
     open_ = stage(members.join(several, "band"), "open")
-    links, tested = None, None
-    label = None
-    for turn in range(LEADER_ROUNDS + 1):
-        now = open_.withColumn("c", F.col("doc_id")) if label is None else (
-            open_.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .withColumn("c", F.coalesce("component", "doc_id")).drop("component"))
-        mixed = now.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(
-            F.struct("doc_id", "n", "c"), F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("lead")).filter("c0 < c1")
-        if turn < LEADER_ROUNDS:
-            met = now.join(mixed, "band").filter("c <> lead.c").select(
-                F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("lead.n").alias("nu"), F.col("n").alias("nv"))
-        else:  # the rest: members of a bucket's other components against the whole bucket
-            most = now.join(mixed.select("band"), "band").groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("c", "k").alias("main"))
-            own = now.join(most, "band")
-            outside = own.filter("c <> main").select("band", F.col("doc_id").alias("a"), F.col("n").alias("nu"), F.col("c").alias("ca"))
-            met = outside.join(own.select("band", F.col("doc_id").alias("b"), F.col("n").alias("nv"), F.col("c").alias("cb")), "band").filter("ca <> cb").select("a", "b", "nu", "nv")
-        pairs = met.filter(_sizes_allow(percent)).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    # a document that shares large buckets in many bands is near the middle of its group: it leads first
+    weight = open_.groupBy("doc_id").agg(F.sum("k").alias("w"))
+    open_ = stage(open_.drop("k").join(weight, "doc_id"), "open")
+    links = tested = label = None
+
+    def confirmed(met: DataFrame):
+        nonlocal links, tested, label
+        pairs = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < LEADER_ROUNDS and turn > 0:
-                continue
-            if turn == 0:
-                return pairs
-            break
         fresh = verified(pairs, docs, shingle, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = fresh if links is None else links.unionByName(fresh)
         label = components(links)
-    return links
+
+    for turn in range(LEADER_ROUNDS):
+        now = _labelled(open_, label)
+        lead = _mixed(now, F.struct("w", -F.col("doc_id")) if turn == 0 else F.xxhash64("doc_id", F.lit(turn)))
+        confirmed(now.join(lead, "band").filter("c <> lead.c").select(
+            F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("lead.n").alias("nu"), F.col("n").alias("nv")).filter(_sizes_allow(percent)))
+    # the rest, exactly: what could still link across components
+    now = _labelled(open_, label)
+    now = now.join(_mixed(now, F.col("doc_id")).select("band"), "band", "left_semi").select("doc_id", "n", "c").distinct()
+    confirmed(remaining_pairs(stage(now, "rest"), docs, shingle, percent))
+    return label
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -189,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     rows = stage(map_slices(texts, "text", lambda b: profile(b, shingle),
                             "doc_id long, n_shingles long, one long, two long, bands array<long>"), "profiles")
     classes = stage(_classes(rows), "classes")
-    label = components(class_links(texts, classes, shingle, percent))
+    label = class_links(texts, classes, shingle, percent)
     group = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         "one", "two", F.coalesce("component", "rep").alias("group"))
     whole = rows.select("doc_id", "n_shingles", "one", "two").join(group, ["one", "two"], "left")

@@ -12,6 +12,7 @@ from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.quality_classifier import score_quality
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.substring_dedup import remove_repeats
+from tidemark.llm.url_filter import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +54,11 @@ def quality_rules_(spark, sf):
 @query("op7_decontamination")
 def decontamination(spark, sf):
     return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+URL_RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
+
+
+@query("op4_url_filter")
+def url_filter(spark, sf):
+    return judge_urls(table(spark, sf, "pages"), URL_RULES).drop("features")
