@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import oracles
 from tidemark.llm.decontamination import decontaminate
+from tidemark.llm.html_extract import extract_pages
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.quality_classifier import score_quality
 from tidemark.llm.quality_rules import quality_rules
@@ -62,3 +63,8 @@ URL_RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Ru
 @query("op4_url_filter")
 def url_filter(spark, sf):
     return judge_urls(table(spark, sf, "pages"), URL_RULES).drop("features")
+
+
+@query("op5_html_extraction")
+def html_extraction(spark, sf):
+    return extract_pages(table(spark, sf, "pages"))
