@@ -10,6 +10,7 @@ from tidemark.llm import oracles
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.html_extract import extract_pages
 from tidemark.llm.minhash_dedup import near_duplicates
+from tidemark.llm.pii_surrogates import replace_entities
 from tidemark.llm.quality_classifier import score_quality
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.substring_dedup import remove_repeats
@@ -68,3 +69,8 @@ def url_filter(spark, sf):
 @query("op5_html_extraction")
 def html_extraction(spark, sf):
     return extract_pages(table(spark, sf, "pages"))
+
+
+@query("op3_pii_surrogates")
+def pii_surrogates(spark, sf):
+    return replace_entities(table(spark, sf, "documents").select("doc_id", "text"))
