@@ -13,6 +13,7 @@ from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.pii_surrogates import replace_entities
 from tidemark.llm.quality_classifier import score_quality
 from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.sentencepiece import encode_texts
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.url_filter import Rule, judge_urls
 
@@ -74,3 +75,8 @@ def html_extraction(spark, sf):
 @query("op3_pii_surrogates")
 def pii_surrogates(spark, sf):
     return replace_entities(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op8_sentencepiece")
+def sentencepiece_encoding(spark, sf):
+    return encode_texts(table(spark, sf, "documents"), with_ids=False)
