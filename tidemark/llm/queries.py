@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import oracles
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.html_extract import extract_pages
+from tidemark.llm.license_scan import scan_licences
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.pii_surrogates import replace_entities
 from tidemark.llm.quality_classifier import score_quality
@@ -80,3 +82,10 @@ def pii_surrogates(spark, sf):
 @query("op8_sentencepiece")
 def sentencepiece_encoding(spark, sf):
     return encode_texts(table(spark, sf, "documents"), with_ids=False)
+
+
+@query("op10_license_scan")
+def license_scan(spark, sf):
+    docs = table(spark, sf, "documents")
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    return scan_licences(docs.select("doc_id", path.alias("path"), "text"))
