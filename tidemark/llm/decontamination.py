@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.bitmap import without
 from tidemark.llm.textops import _TABLES, LOWER, U64, Words, between, map_slices, mix, prefix, signed, text_buffers
 from tidemark.plans.staging import stage
 
@@ -213,3 +214,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = contaminated_pairs(rows, benchmark).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     return rows.select("doc_id", "copy").join(hit, ["doc_id", "copy"], "left").select(
         "doc_id", F.coalesce("item_ids", F.array().cast(T.ArrayType(T.LongType()))).alias("item_ids"), F.col("item_ids").isNotNull().alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows that hold a benchmark item."""
+    return without(docs, contaminated_pairs(with_copy(docs), benchmark).select("doc_id", "copy"))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.llm.bitmap import likely, without
 from tidemark.llm.components import components
 from tidemark.llm.textops import U64, Words, between, map_slices, mix, prefix, signed, text_buffers
 from tidemark.plans.staging import stage
@@ -103,8 +104,8 @@ def profile(batch: pa.RecordBatch, shingle: int) -> pa.RecordBatch:
     np.add.at(two, row, mix(item ^ U64(0x2545F4914F6CDD1D)))
     keys = band_keys(super_minhash(item, row, n))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(signed(keys.reshape(-1))))
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(signed(one)), pa.array(signed(two)), lists],
-                                      names=["doc_id", "n_shingles", "one", "two", "bands"])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(size), pa.array(signed(one)), pa.array(signed(two)), lists],
+                                      names=["doc_id", "copy", "n_shingles", "one", "two", "bands"])
 
 
 def packed_sets(batch: pa.RecordBatch, shingle: int) -> pa.RecordBatch:
@@ -218,15 +219,25 @@ def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable) and kept."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """One row per row of ``docs``: doc_id, copy (hash of the text), n_shingles, component_id (least doc_id
+    reachable) and kept."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.hash("text"))
     rows = stage(map_slices(texts, "text", lambda b: profile(b, shingle),
-                            "doc_id long, n_shingles long, one long, two long, bands array<long>"), "profiles")
+                            "doc_id long, copy int, n_shingles long, one long, two long, bands array<long>"), "profiles")
     classes = stage(_classes(rows), "classes")
     label = class_links(texts, classes, shingle, percent)
     group = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         "one", "two", F.coalesce("component", "rep").alias("group"))
-    whole = rows.select("doc_id", "n_shingles", "one", "two").join(group, ["one", "two"], "left")
+    whole = rows.select("doc_id", "copy", "n_shingles", "one", "two").join(group, ["one", "two"], "left")
     found = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("group"))
-    return whole.select("doc_id", "n_shingles", found.alias("component_id")).withColumn(
+    return whole.select("doc_id", "copy", "n_shingles", found.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs``, all columns, with one document of each group; of rows that repeat doc_id and text one stays."""
+    gone = stage(near_duplicates(docs, shingle, percent).filter("NOT kept").select("doc_id", "copy"), "gone")
+    rest = without(docs, gone)
+    again = stage(docs.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
+    single = likely(rest, again).withColumn("__copy", F.hash(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__copy"]).drop("__copy")
+    return single.unionByName(likely(rest, again, keep=False))

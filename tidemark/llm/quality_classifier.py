@@ -156,14 +156,25 @@ def fit(features: DataFrame, labels: DataFrame, seed: int = 7) -> Model:
     return Model(**{**model.__dict__, "knots": np.concatenate([[-0.6], knots, [1.6]]), "levels": np.concatenate([[levels[0] / 2], levels, [(1 + levels[-1]) / 2]])})
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score (0 to 1) and predicted (score >= 0.5)."""
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
+    """The statistics of ``docs`` (doc_id, x), and the model fitted on those with a label."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     features = stage(map_slices(texts, "text", _features, "doc_id long, x array<double>"), "features")
-    model = fit(features, labels)
+    return features, fit(features, labels)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score (0 to 1) and predicted (score >= 0.5)."""
+    features, model = fitted(docs, labels)
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch.column("x"))))], names=["doc_id", "score"])
     return features.mapInArrow(run, "doc_id long, score double").select(
         "doc_id", fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows that the classifier rejects; no text crosses an exchange."""
+    _, model = fitted(docs, labels)
+    return map_slices(docs, "text", lambda b: b.filter(pa.array(model.score(statistics(b.column("text"))) >= 0.5)), docs.schema)

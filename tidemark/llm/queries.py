@@ -43,7 +43,7 @@ def substring_dedup(spark, sf):
 
 @query("op6_minhash_dedup", oracles.MINHASH_DEDUP)
 def minhash_dedup(spark, sf):
-    return near_duplicates(table(spark, sf, "documents"), shingle=4)
+    return near_duplicates(table(spark, sf, "documents"), shingle=4).drop("copy")
 
 
 @query("op2_quality_classifier")

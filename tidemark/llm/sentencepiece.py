@@ -280,9 +280,9 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.n
     return data[~drop[:-1]], edge - np.concatenate([[0], np.cumsum(drop[:-1])])[edge]
 
 
-def encode_texts(docs: DataFrame, path: str = MODEL, with_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str = MODEL, with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids (if asked for), n_tokens, ids_sha256 (of the ids as 32-bit
-    little-endian numbers) and round_trip, whether decoding gives the text back."""
+    little-endian numbers) and round_trip, whether decoding gives the text back; and the columns ``keep``."""
     model = docs.sparkSession.sparkContext.broadcast(load(path))
     state: dict[str, Encoder] = {}
 
@@ -298,9 +298,11 @@ def encode_texts(docs: DataFrame, path: str = MODEL, with_ids: bool = True) -> D
         columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "ids_sha256": pa.array(sha), "round_trip": pa.array(same)}
         if with_ids:
             columns["ids"] = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+        columns |= {c: batch.column(c) for c in keep}
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_slices(rows, "text", work, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + (", ids array<int>" if with_ids else ""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + (", ids array<int>" if with_ids else "")
+    return map_slices(rows, "text", work, ", ".join([schema, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)]))
 
 
 def decode_texts(encoded: DataFrame, path: str = MODEL) -> DataFrame:

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.bitmap import likely
 from tidemark.llm.textops import U64, Words, between, map_slices, mix, prefix, signed, text_buffers
 from tidemark.plans.staging import stage
 
 WINDOW = 50
-BITMAP_WORDS = 1 << 17
 LEVEL = 5
 LONG = (6, 4, 4, 3, 2)
 
@@ -236,17 +236,6 @@ def covered(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     ], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def likely(docs: DataFrame, keys: DataFrame, keep: bool = True) -> DataFrame:
-    """Rows whose doc_id may be (``keep``) or surely isn't among ``keys``, told by a bitmap of at most
-    ``BITMAP_WORDS`` rows that is broadcast, so that most texts needn't be shuffled.  A full bitmap
-    only costs time: an exact join follows."""
-    bit = F.xxhash64("doc_id")
-    word, mask = F.pmod(bit, F.lit(BITMAP_WORDS)), F.expr("shiftleft(1L, CAST(pmod(shiftright(xxhash64(doc_id), 32), 64) AS INT))")
-    bitmap = keys.select(word.alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    found = (word == F.col("w")) & (mask.bitwiseAND(F.col("m")) != 0)
-    return docs.join(F.broadcast(bitmap), found, "left_semi" if keep else "left_anti")
-
-
 def repeated_spans(docs: DataFrame, window: int = WINDOW, level: int = LEVEL) -> DataFrame:
     """Blocks of windows that an earlier document holds too: doc_id, copy, at (first word), n (windows)."""
     blocks = stage(map_slices(docs.filter("doc_id IS NOT NULL"), "text", lambda b: blocks_of(b, window, level),

@@ -112,7 +112,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         begin = stop
 
 
-def map_slices(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+def map_slices(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema,
                max_bytes: int = SLICE_BYTES) -> DataFrame:
     """``work`` over slices of rows whose ``text`` is bounded in bytes, so memory doesn't follow the
     number of rows in a batch."""
