@@ -77,12 +77,17 @@ def _kind(m: str) -> str:
             f"WHEN {whole('iban')} THEN 'iban' ELSE 'secret' END")
 
 
+def _code(m: str) -> str:
+    """SQL: number of digits of a phone's country code."""
+    return f"greatest(length(regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0)) - 1, 0)"
+
+
 def _canon(m: str, kind: str) -> str:
     """SQL: canonical form; names lose their title's spelling but keep its gender and script."""
     male = _quoted(f"^(?:{HE}|{HE_C})\\.? ")
     gender = f"CASE WHEN {m} RLIKE {male} THEN 'm' ELSE 'f' END || CASE WHEN {m} RLIKE '[\\\\u0400-\\\\u04FF]' THEN 'c' ELSE '' END"
     return (f"CASE {kind} WHEN 'email' THEN lower({m}) WHEN 'ip' THEN {m} WHEN 'secret' THEN {m} "
-            f"WHEN 'name' THEN {gender} || ':' || lower(regexp_replace({m}, '^[^ ]+ ', '')) ELSE lower(regexp_replace({m}, '[^A-Za-z0-9]', '')) END")
+            f"WHEN 'phone' THEN concat({_code(m)}, ':', regexp_replace({m}, '[^0-9]', '')) WHEN 'name' THEN {gender} || ':' || lower(regexp_replace({m}, '^[^ ]+ ', '')) ELSE lower(regexp_replace({m}, '[^A-Za-z0-9]', '')) END")
 
 
 def _stream(text: str, attempt: str) -> str:
@@ -121,17 +126,18 @@ def _surrogate(kind: str, canon: str, attempt: str) -> str:
     tail = (f"array_join(transform(sequence(2, 4 + {attempt}), i -> CASE WHEN {canon} RLIKE '^.c:' THEN {_pick(SYLLABLE_C, _byte('h', 'i'))} ELSE {_pick(SYLLABLE, _byte('h', 'i'))} END), '')")
     name = f"array_join(transform(array({h}), h -> {first} || ' ' || initcap({tail})), '')"
     secret = f"CASE WHEN {canon} RLIKE '^[0-9A-Fa-f]+$' THEN " + _drawn(canon, h, "'abcdef'") + " ELSE " + latin + " END"
-    return (f"CASE {kind} WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'card' THEN {card} WHEN 'name' THEN {name} "
+    at = f"instr({canon}, ':') + CAST(substring_index({canon}, ':', 1) AS INT)"
+    phone = f"substr({canon}, 1, {at}) || {_drawn(f'substr({canon}, {at} + 1)', h)}"
+    iban = f"substr({canon}, 1, 2) || {_drawn(f'substr({canon}, 3)', h)}"
+    return (f"CASE {kind} WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {phone} WHEN 'iban' THEN {iban} WHEN 'card' THEN {card} WHEN 'name' THEN {name} "
             f"WHEN 'secret' THEN {secret} ELSE {latin} END")
 
 
 def _render(m: str, kind: str, s: str) -> str:
     """SQL: the canonical surrogate in the match's case and separators."""
     k = f"length(regexp_replace(substr({m}, 1, i), '[^A-Za-z0-9]', ''))"
-    c, d = f"substr({m}, i, 1)", f"substr({s}, {k}, 1)"
-    code = f"CASE WHEN substr({m}, 1, 1) = '+' THEN length(regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0)) ELSE 0 END"
-    spread = (f"array_join(transform(sequence(1, length({m})), i -> CASE WHEN {kind} = 'phone' AND i <= {code} THEN {c} WHEN {kind} = 'iban' AND i <= 2 THEN {c} "
-              f"WHEN {c} RLIKE '[A-Z]' THEN upper({d}) WHEN {c} RLIKE '[a-z0-9]' THEN {d} ELSE {c} END), '')")
+    c, d = f"substr({m}, i, 1)", f"substr(substring_index({s}, ':', -1), {k}, 1)"
+    spread = (f"array_join(transform(sequence(1, length({m})), i -> CASE WHEN {c} RLIKE '[A-Z]' THEN upper({d}) WHEN {c} RLIKE '[a-z0-9]' THEN {d} ELSE {c} END), '')")
     email = f"array_join(transform(sequence(1, length({m})), i -> CASE WHEN {c} RLIKE '\\\\p{{Lu}}' THEN upper(substr({s}, i, 1)) ELSE substr({s}, i, 1) END), '')"
     title = f"regexp_extract({m}, '^[^ ]+ ', 0)"
     one = f"CASE WHEN regexp_replace({m}, '^[^ ]+ ', '') LIKE '% %' THEN {s} ELSE substring_index({s}, ' ', -1) END"
@@ -139,13 +145,13 @@ def _render(m: str, kind: str, s: str) -> str:
 
 
 def found_entities(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with found: an array of (match, kind, canon), kind null for rejects."""
+    """``docs`` (doc_id, text, ...) with __found: an array of (match, kind, canon), kind null for rejects."""
     # every pattern needs a digit, an @, a quotation mark or a title: most texts are done after two quick looks
     some = f"text RLIKE {_quoted(SOME)} OR text RLIKE {_quoted(PATTERNS['name'])}"
     hits = F.expr(f"CASE WHEN {some} THEN regexp_extract_all(text, {_quoted(ANY)}, 0) ELSE CAST(array() AS array<string>) END")
-    kinds = f"transform(hits, m -> named_struct('m', m, 'kind', {_kind('m')}))"
-    canon = f"transform(kinds, x -> named_struct('m', x.m, 'kind', x.kind, 'canon', {_canon('x.m', 'x.kind')}))"
-    return docs.withColumn("hits", hits).withColumn("kinds", F.expr(kinds)).withColumn("found", F.expr(canon)).drop("hits", "kinds")
+    kinds = f"transform(__hits, m -> named_struct('m', m, 'kind', {_kind('m')}))"
+    canon = f"transform(__kinds, x -> named_struct('m', x.m, 'kind', x.kind, 'canon', {_canon('x.m', 'x.kind')}))"
+    return docs.withColumn("__hits", hits).withColumn("__kinds", F.expr(kinds)).withColumn("__found", F.expr(canon)).drop("__hits", "__kinds")
 
 
 def redrawn(entities: DataFrame) -> DataFrame:
@@ -168,19 +174,19 @@ def replace_entities(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, text with surrogates, n_entities and entities (type, count),
     with the other columns of ``docs`` named in ``keep`` left in place."""
     base = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    found = found_entities(base.select("text")).select(F.explode("found").alias("x")).select("x.kind", "x.canon")
+    found = found_entities(base.select("text")).select(F.explode("__found").alias("x")).select("x.kind", "x.canon")
     again = redrawn(found)
     rows = found_entities(base)
     if again.isEmpty():
-        rows = rows.withColumn("again", F.expr("CAST(map() AS map<string,int>)"))
+        rows = rows.withColumn("__again", F.expr("CAST(map() AS map<string,int>)"))
     else:
-        held = found_entities(base.select(F.xxhash64("text").alias("tid"), "text")).select("tid", F.explode("found").alias("x")).select("tid", "x.kind", "x.canon").distinct()
-        per = stage(held.join(again, ["kind", "canon"]).groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("again")), "held")
-        rows = rows.join(per, F.xxhash64("text") == F.col("tid"), "left").drop("tid").withColumn("again", F.coalesce("again", F.expr("CAST(map() AS map<string,int>)")))
-    drawn = f"transform(found, x -> CASE WHEN x.kind IS NULL THEN x.m ELSE array_join(transform(array({_surrogate('x.kind', 'x.canon', 'coalesce(try_element_at(again, concat_ws(chr(58), x.kind, x.canon)), 0)')}), s -> {_render('x.m', 'x.kind', 's')}), '') END)"
-    pieces = f"zip_with(split(text, {_quoted(ANY)}, -1), surrogates, (p, s) -> concat(p, coalesce(s, '')))"
-    out = rows.withColumn("surrogates", F.expr(drawn)).withColumn("new_text", F.expr(f"CASE WHEN size(found) = 0 THEN text ELSE array_join({pieces}, '') END"))
-    kinds = "filter(transform(found, x -> x.kind), k -> k IS NOT NULL)"
+        held = found_entities(base.select(F.xxhash64("text").alias("__tid"), "text")).select("__tid", F.explode("__found").alias("x")).select("__tid", "x.kind", "x.canon").distinct()
+        per = stage(held.join(again, ["kind", "canon"]).groupBy("__tid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("__again")), "held")
+        rows = rows.join(per, F.xxhash64("text") == F.col("__tid"), "left").drop("__tid").withColumn("__again", F.coalesce("__again", F.expr("CAST(map() AS map<string,int>)")))
+    drawn = f"transform(__found, x -> CASE WHEN x.kind IS NULL THEN x.m ELSE array_join(transform(array({_surrogate('x.kind', 'x.canon', 'coalesce(try_element_at(__again, concat_ws(chr(58), x.kind, x.canon)), 0)')}), s -> {_render('x.m', 'x.kind', 's')}), '') END)"
+    pieces = f"zip_with(split(text, {_quoted(ANY)}, -1), __surrogates, (p, s) -> concat(p, coalesce(s, '')))"
+    out = rows.withColumn("__surrogates", F.expr(drawn)).withColumn("__new", F.expr(f"CASE WHEN size(__found) = 0 THEN text ELSE array_join({pieces}, '') END"))
+    kinds = "filter(transform(__found, x -> x.kind), k -> k IS NOT NULL)"
     counts = f"transform(array_sort(array_distinct({kinds})), k -> concat(k, '=', CAST(size(filter({kinds}, y -> y = k)) AS STRING)))"
     return (out.withColumn("n_entities", F.expr(f"CAST(size({kinds}) AS BIGINT)")).withColumn("entities", F.expr(f"array_join({counts}, ',')"))
-            .withColumn("text", F.col("new_text")).drop("new_text", "found", "again", "surrogates"))
+            .withColumn("text", F.col("__new")).drop("__new", "__found", "__again", "__surrogates"))
