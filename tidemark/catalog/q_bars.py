@@ -26,6 +26,14 @@ def _(spark, sf):
     return rounded(B.aggregate(minutes(spark, sf), FIXED).select(*BAR_KEYS, "emit_ts", *OHLC))
 
 
+@query("agg01_bars_beside_open_minutes", sel("bars_all", [*BAR_KEYS, "emit_ts"], OHLC, all_bars_cte("5m", "1h", "1d"), "emit_ts IS NOT NULL"))
+def _(spark, sf):
+    """Minutes still in progress, inside and behind the closed ones, show in no bar."""
+    m = minutes(spark, sf)
+    open_ = m.filter("close_ts % 7 < 3").withColumns({"closed": F.lit(False), "high": F.lit(1e9), "close": F.lit(1e9), "close_ts": F.col("close_ts") + F.col("close_ts") % 2 * 60})
+    return rounded(B.bar_series(m.unionByName(open_), ["5m", "1h", "1d"]).select(*BAR_KEYS, "emit_ts", *OHLC))
+
+
 @query("agg01_complete_bars", sel("bars_all", [*BAR_KEYS, "coalesce(emit_ts, close_ts) AS emit_ts"], OHLC, all_bars_cte("1h", "4h")))
 def _(spark, sf):
     return rounded(B.flush(B.aggregate_all(minutes(spark, sf), ["1h", "4h"])).select(*BAR_KEYS, "emit_ts", *OHLC))

@@ -64,6 +64,31 @@ def _(spark, sf):
     return rounded(out.select(*BK, "emit_ts", *OHLC))
 
 
+def late_feed(spark, sf):
+    """The minutes of ``minute_feed``, where later batches also bring open, repeated and late minutes."""
+    def make():
+        m = minutes(spark, sf)
+        late = m.filter("close_ts % 3 = 0").withColumns({"close": F.lit(-5.0), "low": F.lit(-5.0), "volume": F.lit(1e6)})
+        return m, late
+    def build():
+        root = _fresh(spark, "feed-late")
+        m, late = make()
+        open_ = late.withColumn("closed", F.lit(False))
+        for k, (lo, hi) in enumerate(((0, CUT[0]), (CUT[0], CUT[1]), (CUT[1], 2**40))):
+            part = m.filter((F.col("close_ts") > lo) & (F.col("close_ts") <= hi)).unionByName(open_.filter((F.col("close_ts") > lo) & (F.col("close_ts") <= hi)))
+            part = part.unionByName(late.filter(F.col("close_ts") <= lo)) if k else part
+            part.coalesce(1).write.mode("append").parquet(root)
+        return root, m.schema
+    root, schema = once(spark, ("feed", "late", sf), build)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+@query("str01_keyed_bars_late_minutes", sel("bars_all", [*BK, "emit_ts"], OHLC, all_bars_cte("15m", "1h", "1d"), "emit_ts IS NOT NULL"))
+def _(spark, sf):
+    out = drain(spark, L.keyed_bars(late_feed(spark, sf), ["15m", "1h", "1d"]))
+    return rounded(out.select(*BK, "emit_ts", *OHLC))
+
+
 @query("str02_pending_bucket", sel("(SELECT *, max(close_ts) OVER (PARTITION BY symbol) AS newest FROM bars_all)", ["symbol", "open_ts", "close_ts"], OHLC, all_bars_cte("4h"), "close_ts = newest"))
 def _(spark, sf):
     """Update mode: the newest state of each symbol's newest bucket."""

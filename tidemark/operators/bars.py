@@ -63,9 +63,14 @@ def ticks_to_minutes(
     )
 
 
+def closed_only(bars: DataFrame) -> DataFrame:
+    """Without the bars still in progress: they must show in no bucket."""
+    return bars.filter("closed") if "closed" in bars.columns else bars
+
+
 def _bucketed(base: DataFrame, timeframes: list[str]) -> DataFrame:
-    """Group base bars into buckets of every asked timeframe in one shuffle."""
-    date = bar_date()
+    """Group closed base bars into buckets of every asked timeframe in one shuffle."""
+    base, date = closed_only(base), bar_date()
     bucket = None
     for tf in timeframes:
         key = ceil_to("close_ts", TIMEFRAMES[tf]) if TIMEFRAMES[tf] else period_start(tf, date)
@@ -139,7 +144,7 @@ def bar_series(
     grouped = _bucketed(base, timeframes)
     all_tfs = list(timeframes)
     if with_base:
-        own = base.select(
+        own = closed_only(base).select(
             "symbol", "timeframe", F.col("close_ts").alias("bucket"), F.col("close_ts").alias("_first"),
             F.col("close_ts").alias("_last"), "open_ts", "close_ts", "open", "high", "low", "close", "volume", "money",
             "open_interest", "trading_day", F.lit(True).alias("_on_time"))

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import LOOK_AHEAD
 from tidemark.functions.timekeys import bar_date, day_text, market_of, partition_key
 from tidemark.plans.chunks import CHUNK_ROWS, scan
 from tidemark.plans.staging import stage
 from tidemark.schema import BAR_SCHEMA, KEYS, TIMEFRAMES, lookup, seconds_of
 
 PARTS = ["market", "timeframe", "part"]
+MAX_LISTED_PARTS = 2_000
 STORED = [c.split()[0] for c in BAR_SCHEMA.split(", ")]
 
 
@@ -47,14 +49,14 @@ def newest_per_key(df: DataFrame, version: str = "version") -> DataFrame:
 
 
 def read_range(bars: DataFrame, symbol: str, timeframe: str, start: int, end: int) -> DataFrame:
-    """Bars with ``start < close_ts <= end``; a stored table also prunes its day or year parts,
-    one day wider on both sides because parts are trading days."""
+    """Bars with ``start < close_ts <= end``; a stored table also prunes its day or year parts, wider by
+    the calendar's look-ahead because a part is the trading day that a bar counts for."""
     df = bars.filter((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe))
     df = df.filter((F.col("close_ts") > start) & (F.col("close_ts") <= end))
     if "part" in bars.columns and abs(start) < 2**40 and end < 2**40:
         width = 4 if TIMEFRAMES[timeframe] == 0 else 10
         lo, hi = (F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), d), "yyyy-MM-dd")
-                  for d in (max(start, 0) // 86400 - 4, end // 86400 + 12))
+                  for d in (max(start, 0) // 86400 - 4, end // 86400 + LOOK_AHEAD + 2))
         df = df.filter(F.col("part").between(F.substring(lo, 1, width), F.substring(hi, 1, width)))
     return df
 
@@ -140,10 +142,24 @@ def _laid_out(bars: DataFrame) -> DataFrame:
     return keyed.hint("rebalance", *PARTS).sortWithinPartitions(*PARTS, "symbol", "close_ts")
 
 
-def write_bars(bars: DataFrame, root: str) -> None:
-    """Idempotent upsert of closed bars: only the parts that receive bars are read and rewritten."""
+def _parts_read(have: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored bars of the parts that ``new`` touches; a batch of few parts names them, which prunes the scan."""
+    touched = new.select(*PARTS).distinct()
+    listed = touched.limit(MAX_LISTED_PARTS + 1).collect()
+    if len(listed) <= MAX_LISTED_PARTS:
+        for c in PARTS:
+            have = have.filter(F.col(c).isin(sorted({r[c] for r in listed})))
+    return have.join(touched, PARTS, "left_semi")
+
+
+def write_bars(bars: DataFrame, root: str, arrival: str | None = None) -> None:
+    """Idempotent upsert of closed bars: only the parts that receive bars are read and rewritten.
+
+    Open bars are left out before anything else, so that none displaces a stored closed bar.  Of several
+    bars with one key the last by the column ``arrival`` wins; without it, the greatest by values."""
     spark = bars.sparkSession
-    new = stage(newest_per_key(bars.withColumn("version", F.lit(1))).drop("version")
+    order = F.struct(*([arrival] if arrival else []), "open_ts", "open", "high", "low", "close", "volume", "money")
+    new = stage(newest_per_key(bars.filter("closed").withColumn("version", order)).drop("version")
                 .withColumns({"market": market_of(), "part": partition_key()}), "upsert")
     try:
         have = open_table(spark, root)
@@ -154,16 +170,16 @@ def write_bars(bars: DataFrame, root: str) -> None:
     if have is None:
         merged = new
     else:
-        touched = new.select(*PARTS).distinct()
-        old = have.join(touched, PARTS, "left_semi")
+        old = _parts_read(have, new)
         merged = stage(merge(old.select(*STORED), new.select(*STORED)), "merged")
     (_laid_out(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("compression", "zstd").partitionBy(*PARTS).parquet(root))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Multiset equality."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    """Multiset equality: every distinct row as often on either side, in one exchange."""
+    both = a.withColumn("_n", F.lit(1)).union(b.select(*a.columns).withColumn("_n", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0").isEmpty()
 
 
 def compact(spark: SparkSession, root: str, target: str) -> DataFrame:

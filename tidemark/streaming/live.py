@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import chain
+from tidemark.operators.bars import closed_only
 from tidemark.schema import TIMEFRAMES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,7 +33,7 @@ def with_event_time(minutes: DataFrame, delay: str = "0 seconds", watermark: boo
     """Event time of a one-minute bar: one microsecond before its close, so that left-closed windows
     act as right-closed ones."""
     ts = F.timestamp_micros(F.col("close_ts") * 1_000_000 - 1)
-    out = minutes.withColumn("event_time", ts)
+    out = closed_only(minutes).withColumn("event_time", ts)
     return out.withWatermark("event_time", delay) if watermark else out
 
 
@@ -97,12 +98,18 @@ def _absorb(open_row: dict | None, new: pd.DataFrame) -> pd.DataFrame:
 
 def keyed_bars(minutes: DataFrame, timeframes: list[str]) -> DataFrame:
     """Bars of several timeframes, each emitted the moment it becomes known: on its boundary bar, or
-    with the symbol's next bar.  Same rows and ``emit_ts`` as the batch aggregation."""
+    with the symbol's next bar.  Same rows and ``emit_ts`` as the batch aggregation of the bars in order:
+    a bar at or before the newest one seen, late or repeated, is left out here; ``cursor`` reports it
+    for the upsert path."""
     seconds = {tf: TIMEFRAMES[tf] for tf in timeframes}
 
     def run(key, batches, state):
         open_rows = json.loads(state.get[0]) if state.exists else {}
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("close_ts")
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values("close_ts", kind="stable").drop_duplicates("close_ts")
+        pdf = pdf[pdf["close_ts"] > open_rows.get("newest", -(2**62))]
+        if pdf.empty:
+            return
+        open_rows["newest"] = int(pdf["close_ts"].iloc[-1])
         out = []
         for tf, secs in seconds.items():
             rows = _absorb(open_rows.get(tf), _buckets(pdf, tf, secs))
@@ -120,7 +127,7 @@ def keyed_bars(minutes: DataFrame, timeframes: list[str]) -> DataFrame:
         state.update((json.dumps(open_rows),))
         yield pd.concat(out, ignore_index=True)
 
-    slim = minutes.select("symbol", "open_ts", "close_ts", "open", "high", "low", "close", "volume", "money", "trading_day")
+    slim = closed_only(minutes).select("symbol", "open_ts", "close_ts", "open", "high", "low", "close", "volume", "money", "trading_day")
     return slim.groupBy("symbol").applyInPandasWithState(run, _KEYED_BAR, "open_buckets string", "append", "NoTimeout")
 
 
