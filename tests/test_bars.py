@@ -112,3 +112,39 @@ def test_quarantine(spark):
     bars = minute_bars(spark, [(600, 1, 2, 0, 1, 1), (660, 1, 0, 2, 1, 1)])
     ok, bad = T.split_valid(bars)
     assert ok.count() == 1 and [r.problem for r in bad.collect()] == ["low_above_high"]
+
+
+def test_open_bars_never_displace_closed_ones(spark, tmp_path):
+    row = ("A.B.c", "1m", 0, 60, 1.0, 2.0, 0.5, 1.5, 10.0, 15.0, 0.0, None, True, 60)
+    base = spark.createDataFrame([row], T.BAR_SCHEMA)
+    root = str(tmp_path / "bars")
+    T.write_bars(base, root)
+    T.write_bars(base.withColumn("closed", F.lit(False)).withColumn("close", F.lit(-1.0)), root)
+    two = base.withColumns({"close": F.lit(1.6), "n": F.lit(1)}).unionByName(base.withColumns({"close": F.lit(1.4), "n": F.lit(2)}))
+    assert [r.close for r in T.open_table(spark, root).collect()] == [1.5]
+    T.write_bars(two, root, arrival="n")
+    assert [r.close for r in T.open_table(spark, root).collect()] == [1.4]
+
+
+def test_calendar_fails_beyond_what_it_knows(spark):
+    import pytest
+
+    month = frozenset(f"2024-01-{d:02d}" for d in range(2, 32)) | frozenset(f"2024-02-{d:02d}" for d in range(1, 10))
+    shut = {"x": C.Calendar("x", ("09:00-15:00", "21:00-23:00"), month)}
+    df = spark.createDataFrame([("x", 1704114000)], "calendar string, t long")  # 2024-01-01 21:00 local, then 30 days shut
+    with pytest.raises(Exception, match="no trading date within"):
+        C.with_calendar_day(df, "t", shut).collect()
+    with pytest.raises(Exception, match="outside the calendar"):
+        C.with_calendar_day(df, "t", shut, first_day=0, last_day=10).select("in_session").collect()
+    far = spark.createDataFrame([("x", 4102444800 + 7200), (None, 0)], "calendar string, t long")  # 2100-01-01, a Friday
+    assert [r.trading_day for r in C.with_calendar_day(far, "t", shut).orderBy("t").collect()] == [None, "2100-01-01"]
+
+
+def test_candles_of_no_fixed_length_are_refused(spark):
+    import pytest
+
+    from tidemark.sources import payloads
+
+    df = spark.createDataFrame([("s", "1w", '{"code":"0","msg":"","data":[["0","1","1","1","1","1","1","1","1"]]}')], "symbol string, timeframe string, payload string")
+    with pytest.raises(Exception, match="no fixed length"):
+        payloads.candle_bars(df).collect()

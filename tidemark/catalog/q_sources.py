@@ -291,20 +291,20 @@ _SES_ROWS = ", ".join(f"('{c.id}', {a}, {b}, {str(a >= 1200).upper()})" for c in
 
 def _dates_sql(first: str, last: str) -> str:
     return f"""hol(h) AS (VALUES {_HOL}), cal(calendar, weekends, has_night, early_end, uses) AS (VALUES {_CAL_ROWS}), ses(calendar, s0, s1, night) AS (VALUES {_SES_ROWS}),
- d0 AS MATERIALIZED (SELECT calendar, has_night, CAST(unnest(generate_series(DATE '{first}', DATE '{last}' + 40, INTERVAL 1 DAY)) AS DATE) AS date, weekends, uses FROM cal),
+ d0 AS MATERIALIZED (SELECT calendar, has_night, CAST(unnest(generate_series({first}, {last} + 40, INTERVAL 1 DAY)) AS DATE) AS date, weekends, uses FROM cal),
  d1 AS MATERIALIZED (SELECT calendar, has_night, date, uses AND date IN (SELECT h FROM hol) AS holiday, weekends OR isodow(date) < 6 AS open_day FROM d0),
  d2 AS MATERIALIZED (SELECT *, open_day AND NOT holiday AS is_trading, min(CASE WHEN open_day AND NOT holiday THEN date END) OVER w AS next_trading,
   min(CASE WHEN holiday OR open_day THEN (CASE WHEN holiday THEN 0 ELSE 1 END + 10 * datediff('day', DATE '1970-01-01', date)) END) OVER w % 10 = 1 AS tonight FROM d1 WINDOW w AS (PARTITION BY calendar ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)),
  dates AS MATERIALIZED (SELECT calendar, date, is_trading, next_trading, has_night AND is_trading AND tonight AS opens_night FROM d2)"""
 
 
-ORD = _dates_sql("1992-01-01", "2002-12-31")
+ORD = _dates_sql("(SELECT min(CAST(o_orderdate AS DATE)) FROM orders)", "(SELECT max(CAST(o_orderdate AS DATE)) FROM orders)")
 
 
 def _order_dates(spark, sf):
     days = table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("n"))
-    dim = C.date_dim(spark, CALS, 8035, 12053)
-    return days.join(F.broadcast(dim), "date")  # 7 calendars x 4,019 days
+    span = days.agg(F.min(F.unix_date("date")).alias("lo"), F.max(F.unix_date("date")).alias("hi")).first()
+    return days.join(C.date_dim(spark, CALS, span.lo, span.hi), "date")
 
 
 _OD = f"WITH {ORD}, od AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1)"
@@ -312,7 +312,7 @@ _OD = f"WITH {ORD}, od AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS
 
 @query("prj06_next_trading_date", f"{_OD} SELECT calendar, strftime(date, '%Y-%m-%d') AS day, strftime(next_trading, '%Y-%m-%d') AS next_day, n FROM od JOIN dates USING (date)")
 def _(spark, sf):
-    return _order_dates(spark, sf).select("calendar", K.day_text(F.col("date")).alias("day"), K.day_text(F.col("next_trading")).alias("next_day"), "n")
+    return _order_dates(spark, sf).select("calendar", K.day_text(F.col("date")).alias("day"), K.day_text(C.checked_next("next_trading")).alias("next_day"), "n")
 
 
 @query("prj07_is_trading_date", f"{_OD} SELECT calendar, strftime(date, '%Y-%m-%d') AS day, is_trading FROM od JOIN dates USING (date)")
@@ -327,7 +327,7 @@ def _(spark, sf):
 
 _CAL_OF = {"CN.SIM.click": "cn_night_0230", "CN.SIM.view": "cn_night_23", "CRYPTO.SIM.purchase": "cffex_bond", "CRYPTO.SIM.error": "crypto_24x7"}
 _CASE = "CASE symbol " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CAL_OF.items()) + " END"
-TD = f"""WITH {M1}, {_dates_sql('2023-12-20', '2024-02-10')},
+TD = f"""WITH {M1}, {_dates_sql("DATE '2023-12-20'", "DATE '2024-02-10'")},
  x AS (SELECT symbol, close_ts, {_CASE} AS calendar, ((close_ts + 28800) % 86400) // 60 AS mi, CAST(to_timestamp(close_ts + 28800) AT TIME ZONE 'UTC' AS DATE) AS today FROM m1),
  y AS (SELECT x.*, mi <= early_end AS early, cal.calendar IS NOT NULL AS known FROM x LEFT JOIN cal USING (calendar)),
  z AS (SELECT y.*, d.next_trading, d.is_trading, d.opens_night FROM y LEFT JOIN dates d ON d.calendar = y.calendar AND d.date = CASE WHEN early THEN today - 1 ELSE today END),
@@ -338,7 +338,7 @@ TD = f"""WITH {M1}, {_dates_sql('2023-12-20', '2024-02-10')},
 def calendared(spark, sf):
     from tidemark.schema import lookup
     m = minutes(spark, sf).withColumn("calendar", lookup(F.col("symbol"), _CAL_OF))
-    return C.with_calendar_day(m, "close_ts", CALS, first_day=19711, last_day=19763)
+    return C.with_calendar_day(m, "close_ts", CALS)
 
 
 @query("prj05_trading_day", f"{TD} SELECT symbol, close_ts, trading_day FROM f")
@@ -389,12 +389,12 @@ _CHANGED = "CASE WHEN close_ts > 1706000000 THEN close + 1 ELSE close END"
 
 @query("snk01_upsert_bars", f"WITH {H1} SELECT symbol, close_ts, {q6(_CHANGED)} AS close FROM s")
 def _(spark, sf):
-    """Write all bars, then rewrite the late ones with corrected closes and an open bar."""
+    """Write all bars, then rewrite the late ones with corrected closes; open bars on the same keys change nothing."""
     root = f"{shared_dir(spark)}/tidemark/upsert-{uuid.uuid4().hex}"
     bars = series(spark, sf, "1h").select(*T.STORED)
     T.write_bars(bars, root)
     late = bars.filter("close_ts > 1706000000").withColumn("close", F.col("close") + 1)
-    T.write_bars(late.unionByName(late.withColumns({"closed": F.lit(False), "close": F.lit(-1.0), "close_ts": F.col("close_ts") + 1})), root)
+    T.write_bars(late.unionByName(late.withColumns({"closed": F.lit(False), "close": F.lit(-1.0)})), root)
     return rounded(T.open_table(spark, root).select("symbol", "close_ts", "close"))
 
 
@@ -424,7 +424,8 @@ def _(spark, sf):
 @query("snk04_append_fills", f"WITH RECURSIVE {S.FILLS} SELECT signal_key, kind, ts, {q6('price')} AS price FROM fills WHERE ts >= 1705000000")
 def _(spark, sf):
     f = S.fills(spark, sf)
-    return rounded(logs.append_fills(f.unionByName(f), f.filter("ts < 1705000000")).select("signal_key", "kind", "ts", "price"))
+    again = f.withColumn("price", F.col("price") + 1)  # the same key once more, with another price
+    return rounded(logs.append_fills(again.unionByName(f), f.filter("ts < 1705000000")).select("signal_key", "kind", "ts", "price"))
 
 
 @query("src13_fill_scan", f"WITH RECURSIVE {S.FILLS} SELECT signal_key, kind, ts, {q6('price')} AS price FROM fills WHERE symbol = 'CN.SIM.click' ORDER BY ts DESC, signal_key DESC, kind DESC LIMIT 30")

@@ -61,15 +61,15 @@ def _(spark, sf):
 # ------------------------------------------------------------------ watchlist and freshness
 
 @query("jon16_watchlist", f"""WITH RECURSIVE {S.SIG}, pin AS (SELECT 'CRYPTO.SIM.' || event_type AS symbol, min(event_id) AS pinned_at FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1 UNION ALL SELECT 'SUP.' || s_suppkey, 1000000 + s_suppkey FROM supplier WHERE s_acctbal > 9900),
- r AS (SELECT symbol, max(fired_at) AS fired_at FROM sig GROUP BY symbol), j AS (SELECT symbol, pinned_at, fired_at FROM pin FULL JOIN r USING (symbol)),
+ r AS (SELECT symbol, fired_at, rule_id, dedup_key FROM sig QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY fired_at DESC, rule_id, dedup_key) = 1), j AS (SELECT symbol, pinned_at, fired_at, rule_id, dedup_key FROM pin FULL JOIN r USING (symbol)),
  t AS (SELECT *, row_number() OVER (PARTITION BY pinned_at IS NULL ORDER BY pinned_at, fired_at DESC, symbol) AS k FROM j), keep AS (SELECT * FROM t WHERE pinned_at IS NOT NULL OR k <= 9 - (SELECT count(*) FROM pin))
- SELECT row_number() OVER (ORDER BY pinned_at IS NULL, pinned_at, fired_at DESC, symbol) AS slot, symbol, pinned_at IS NOT NULL AS pinned, fired_at FROM keep""")
+ SELECT row_number() OVER (ORDER BY pinned_at IS NULL, pinned_at, fired_at DESC, symbol) AS slot, symbol, pinned_at IS NOT NULL AS pinned, fired_at, rule_id, dedup_key FROM keep""")
 def _(spark, sf):
     from tidemark.catalog.data import table
     ev = table(spark, sf, "events").filter("event_type IN ('purchase', 'error')").groupBy(F.concat(F.lit("CRYPTO.SIM."), "event_type").alias("symbol")).agg(F.min("event_id").alias("pinned_at"))
     sup = table(spark, sf, "supplier").filter("s_acctbal > 9900").select(F.concat(F.lit("SUP."), F.col("s_suppkey").cast("string")).alias("symbol"), (F.col("s_suppkey") + 1000000).alias("pinned_at"))
     out = views.watchlist(ev.unionByName(sup), views.latest_by_symbol(S.signals(spark, sf)))
-    return out.select("slot", "symbol", "pinned", "fired_at")
+    return out.select("slot", "symbol", "pinned", "fired_at", "rule_id", "dedup_key")
 
 
 NOW2 = 1706547600  # 2024-01-29 17:00 UTC, a Tuesday small hour on the futures clock
@@ -80,7 +80,7 @@ NOW2 = 1706547600  # 2024-01-29 17:00 UTC, a Tuesday small hour on the futures c
 def _(spark, sf):
     m = minutes(spark, sf).filter(F.col("close_ts") <= NOW2)
     cal = spark.createDataFrame([(s, c, NOW2) for s, c in _CAL_OF.items()], "symbol string, calendar string, now bigint")
-    ses = C.with_calendar_day(cal, "now", CALS, first_day=19711, last_day=19763).select("symbol", "in_session")
+    ses = C.with_calendar_day(cal, "now", CALS).select("symbol", "in_session")
     return views.freshness(m, ses, NOW2, gap_rows=T.gaps(m))
 
 

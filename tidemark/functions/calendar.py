@@ -100,6 +100,11 @@ def date_dim(spark: SparkSession, calendars: dict[str, Calendar], first_day: int
                 (F.col("has_night") & F.col("is_trading") & F.col("_tonight")).alias("opens_night")))
 
 
+def checked_next(next_trading: str) -> Column:
+    """The next trading date; none within the look-ahead is an error."""
+    return F.coalesce(F.col(next_trading), F.raise_error(F.lit(f"no trading date within {LOOK_AHEAD} days")).cast("date"))
+
+
 def _hinted(dim: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(dim) if rows <= BROADCAST_DATES else dim
 
@@ -131,10 +136,17 @@ def session_part(calendar: Column, minute: Column, calendars: dict[str, Calendar
 
 def with_calendar_day(
     df: DataFrame, ts: str, calendars: dict[str, Calendar], calendar: str = "calendar",
-    first_day: int = 0, last_day: int = 36525,
+    first_day: int | None = None, last_day: int | None = None,
 ) -> DataFrame:
     """Add ``trading_day`` and ``in_session`` of a timestamp; rows without a known calendar are
-    always in session and have no trading day."""
+    always in session and have no trading day.
+
+    The dates run from the first to the last timestamp of ``df`` unless given.  A known calendar whose
+    date isn't covered, or without a trading date within ``LOOK_AHEAD`` days, is an error."""
+    if first_day is None or last_day is None:
+        span = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+        first_day = (span.lo or 0) // 86400 - 2 if first_day is None else first_day
+        last_day = (span.hi or 0) // 86400 + 2 if last_day is None else last_day
     cal, minute = F.col(calendar), local_minute(ts)
     today = as_date(day_number(ts, CN_OFFSET))
     early_end = _per_calendar(cal, calendars, lambda c: F.lit(c.early_end))
@@ -146,9 +158,10 @@ def with_calendar_day(
     size = len(calendars) * (last_day - first_day + 1)
     joined = df.withColumns({"_look": looked, "_today": today, "_part": part, "_early": early, "_min": minute}).join(
         _hinted(dim, size), [calendar, "_look"], "left")
-    day = F.when(F.col("_early") | (F.col("_min") >= NIGHT_FROM), F.col("next_trading")).otherwise(F.col("_today"))
-    known = F.col("is_trading").isNotNull()
-    session = (F.when(~known, True).when(F.col("_part").isin("early", "night"), F.col("opens_night"))
+    day = F.when(F.col("_early") | (F.col("_min") >= NIGHT_FROM), checked_next("next_trading")).otherwise(F.col("_today"))
+    known = F.col(calendar).isin(*calendars)
+    uncovered = F.raise_error(F.concat(F.lit("date outside the calendar's range: "), F.col("_look").cast("string")))
+    session = (F.when(~F.coalesce(known, F.lit(False)), True).when(F.col("is_trading").isNull(), uncovered.cast("boolean")).when(F.col("_part").isin("early", "night"), F.col("opens_night"))
                .when(F.col("_part") == "day", F.col("is_trading")).otherwise(False))
     return joined.withColumns({
         "trading_day": F.when(known, day_text(day)), "in_session": session}).select(

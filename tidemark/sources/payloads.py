@@ -60,10 +60,11 @@ def _candle(row: Column, timeframe: Column) -> list[Column]:
 
 def candle_bars(landing: DataFrame, payload: str = "payload", closed_only: bool = True) -> DataFrame:
     """Candle responses (``code`` "0" and an array of string arrays) to bars; a week or month has
-    no fixed length and is refused by the caller's timeframe filter."""
+    no fixed length and is refused with an error."""
     doc = F.from_json(payload, "code string, msg string, data array<array<string>>")
     rows = landing.withColumn("_d", doc).filter("_d.code = '0'").withColumn("_row", F.explode("_d.data"))
-    fixed = rows.filter(~F.col("timeframe").isin("1w", "1mon"))
+    refused = F.raise_error(F.concat(F.lit("candles of no fixed length: "), F.col("timeframe"))).cast("string")
+    fixed = rows.withColumn("timeframe", F.when(F.col("timeframe").isin("1w", "1mon"), refused).otherwise(F.col("timeframe")))
     out = fixed.select("symbol", "timeframe", *_candle(F.col("_row"), F.col("timeframe")))
     return out.filter("closed") if closed_only else out
 
