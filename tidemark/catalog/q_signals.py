@@ -17,6 +17,7 @@ from tidemark.operators.frame import Frame
 from tidemark.operators.outcomes import OutcomeParams, atr_from_context, exit_basis, risk_distances
 from tidemark.operators.shipped import stock_rules, zone_short
 from tidemark.plans.staging import stage
+from tidemark.schema import RANK, lookup
 from tidemark.sources import logs
 
 H14 = series_cte("1h", "4h")
@@ -255,14 +256,17 @@ def _(spark, sf):
     return asked.join(series(spark, sf).select("symbol").distinct(), "symbol", "left_anti")
 
 
-@query("srt05_required_timeframes", """WITH u(timeframe, seconds, rank) AS (VALUES ('5m', 300, 1), ('15m', 900, 2), ('1h', 3600, 4)), t AS (SELECT event_id FROM events)
- SELECT timeframe, CAST(rank AS BIGINT) AS rank, (SELECT count(*) FROM t) AS ticks FROM u""")
+_ROLE_TF = {"1-URGENT": "1m", "2-HIGH": "15m", "3-MEDIUM": "1h", "4-NOT SPECIFIED": "4h", "5-LOW": "1d"}
+_ROLE_SQL = ", ".join(f"('{p}', '{t}', {RANK[t]})" for p, t in _ROLE_TF.items())
+
+
+@query("srt05_required_timeframes", f"""WITH tf(o_orderpriority, timeframe, rank) AS (VALUES {_ROLE_SQL})
+ SELECT timeframe, CAST(rank AS BIGINT) AS rank, count(DISTINCT o_custkey) AS rules, count(*) AS conditions FROM orders JOIN tf USING (o_orderpriority) WHERE o_custkey % 3 = 0 GROUP BY ALL""")
 def _(spark, sf):
+    """A table of conditions, one per order: its customer's rule and a timeframe by its priority."""
     from tidemark.catalog.data import table
-    from tidemark.schema import RANK
-    need = spark.createDataFrame([(tf, RANK[tf]) for tf in R.required_timeframes(stock_rules())], "timeframe string, rank bigint")
-    n = table(spark, sf, "events").agg(F.count(F.lit(1)).alias("ticks"))
-    return need.crossJoin(F.broadcast(n))  # 3 rows x 1 row
+    rows = table(spark, sf, "orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("rule_id"), lookup(F.col("o_orderpriority"), _ROLE_TF).alias("timeframe"))
+    return R.timeframes_needed(rows)
 
 
 @query("set01_symbols_to_follow", f"WITH RECURSIVE {S.SIG} SELECT symbol FROM sig UNION SELECT 'SUP.' || s_suppkey FROM supplier WHERE s_acctbal < 0")
@@ -294,16 +298,19 @@ def _(spark, sf):
     return logs.page_info(S.signals(spark, sf), 200, 100)
 
 
-@query("snk03_append_signals", f"WITH RECURSIVE {S.SIG} SELECT rule_id, symbol, dedup_key, fired_at FROM sig WHERE fired_at >= {SINCE}")
+@query("snk03_append_signals", f"WITH RECURSIVE {S.SIG} SELECT rule_id, symbol, dedup_key, fired_at, {q6('trigger_price')} AS trigger_price FROM sig WHERE fired_at >= {SINCE}")
 def _(spark, sf):
-    """Twice the same incoming rows on top of a log that already holds the early part."""
+    """Incoming rows twice, the second time fired later at another price, on top of a log that already
+    holds the early part: the first of each key stays."""
     sig = S.signals(spark, sf)
-    return logs.append_signals(sig.unionByName(sig), sig.filter(F.col("fired_at") < SINCE)).select("rule_id", "symbol", "dedup_key", "fired_at")
+    again = sig.withColumns({"fired_at": F.col("fired_at") + 5, "trigger_price": F.col("trigger_price") - 1})
+    out = logs.append_signals(again.unionByName(sig), sig.filter(F.col("fired_at") < SINCE))
+    return rounded(out.select("rule_id", "symbol", "dedup_key", "fired_at", "trigger_price"))
 
 
-@query("win06_latest_by_symbol", f"WITH RECURSIVE {S.SIG} SELECT symbol, max(fired_at) AS fired_at FROM sig GROUP BY symbol")
+@query("win06_latest_by_symbol", f"WITH RECURSIVE {S.SIG} SELECT {_COLS} FROM sig QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY fired_at DESC, rule_id, dedup_key) = 1")
 def _(spark, sf):
-    return views.latest_by_symbol(S.signals(spark, sf)).select("symbol", "fired_at")
+    return rounded(views.latest_by_symbol(S.signals(spark, sf)).select(*_PICK))
 
 
 _P = OutcomeParams()
@@ -353,6 +360,19 @@ def _(spark, sf):
     return S.demo_trial(spark, sf).signals.select("symbol", "fired_at", "dedup_key")
 
 
+_V4 = "CASE WHEN v = 0 THEN '0' ELSE printf('%.4g', v) END"
+_TINY = "o_totalprice * 0.7310585786::DOUBLE / 1e{0}"
+
+
+@query("prj22_small_values", " UNION ".join(f"SELECT o_orderkey, {k} AS digits, {_V4} AS text FROM (SELECT o_orderkey, {_TINY.format(k)}::DOUBLE AS v FROM orders)" for k in (4, 8, 9, 11, 14)))
+def _(spark, sf):
+    """Numbers on both sides of 1e-4, where the notation changes after rounding."""
+    from tidemark.catalog.data import table
+    o = table(spark, sf, "orders").withColumn("digits", F.explode(F.array(*map(F.lit, (4, 8, 9, 11, 14)))))
+    v = F.col("o_totalprice") * 0.7310585786 / lookup(F.col("digits"), {k: float(f"1e{k}") for k in (4, 8, 9, 11, 14)})
+    return o.select("o_orderkey", "digits", views.format_value(v).alias("text")).distinct()
+
+
 _V = """CASE WHEN {0} IS NULL THEN '—' WHEN abs({0}) >= 1000 THEN format('{{:,.2f}}', {0}) ELSE printf('%.4g', {0}) END"""
 
 

@@ -14,7 +14,7 @@ from tidemark.operators.chain import ChainSpec, fold
 from tidemark.operators.frame import Frame
 from tidemark.plans.chunks import rn_chunk, scan
 from tidemark.plans.staging import stage
-from tidemark.schema import KEYS, RANK, TIMEFRAMES
+from tidemark.schema import KEYS, RANK, TIMEFRAMES, lookup
 
 Expr = Callable[[Frame], Column]
 
@@ -90,6 +90,13 @@ class Rule:
             timeframe=self.timeframe, direction=self.emit.direction)
 
 
+def timeframes_needed(conditions: DataFrame) -> DataFrame:
+    """The timeframes that a table of conditions (rule_id, timeframe) needs, lowest rank first."""
+    rank = lookup(F.col("timeframe"), RANK).cast("bigint")
+    return conditions.groupBy("timeframe").agg(F.countDistinct("rule_id").alias("rules"), F.count("*").alias("conditions")).select(
+        "timeframe", rank.alias("rank"), "rules", "conditions").orderBy("rank")
+
+
 def required_timeframes(rules: list[Rule]) -> list[str]:
     return sorted({tf for r in rules for tf in r.required_timeframes}, key=RANK.get)
 

@@ -78,10 +78,11 @@ def collapse(placed: DataFrame, chain_len: dict[str, int] | None = None, members
 # ------------------------------------------------------------------ watchlist
 
 def latest_by_symbol(signals: DataFrame) -> DataFrame:
-    """The newest signal of each symbol (a partially aggregated arg-max)."""
+    """The newest signal of each symbol (a partially aggregated arg-min); of several at one instant the
+    first by rule, then by key."""
     rest = [c for c in signals.columns if c != "symbol"]
-    first_seen = F.struct(F.col("fired_at"), -F.xxhash64("dedup_key"))
-    return signals.groupBy("symbol").agg(F.max_by(F.struct(*rest), first_seen).alias("r")).select("symbol", "r.*")
+    newest = F.struct(-F.col("fired_at"), F.col("rule_id"), F.col("dedup_key"))
+    return signals.groupBy("symbol").agg(F.min_by(F.struct(*rest), newest).alias("r")).select("symbol", "r.*")
 
 
 def watchlist(pinned: DataFrame, recent: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -214,11 +215,12 @@ def format_value(v: Column) -> Column:
 
 
 def _four_digits(v: Column) -> Column:
-    size = F.floor(F.log10(F.abs(v)))
+    # the exponent after rounding to four digits: 9.9999e-5 prints as 0.0001
+    size = F.regexp_extract(F.format_string("%.3e", v), r"e([+-]\d+)$", 1).cast("int")
     text = F.lit(None).cast("string")
     for e in range(2, -5, -1):
         text = F.when(size == e, F.regexp_replace(F.format_number(v, 3 - e), ",", "")).otherwise(text)
-    text = F.when(size < -4, F.format_string("%.3e", v)).otherwise(text)
+    text = F.when(size < -4, F.regexp_replace(F.format_string("%.3e", v), r"\.?0*e", "e")).otherwise(text)
     return F.when(text.contains(".") & ~text.contains("e"), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 SIGNAL_KEY = ["rule_id", "symbol", "dedup_key"]
 FILL_KEY = ["signal_key", "kind", "ts"]
@@ -30,8 +31,6 @@ def in_order(signals: DataFrame) -> DataFrame:
     return signals.orderBy("fired_at", "rule_id", "symbol")
 
 
-
-
 def page(signals: DataFrame, limit: int = 200, offset: int = 0) -> DataFrame:
     """One page counted from the newest, returned ascending (a top-n, not a full sort)."""
     order = ["fired_at", "rule_id", "symbol", "dedup_key"]
@@ -52,24 +51,34 @@ def scan_fills(fills: DataFrame, symbol: str | None = None, limit: int = 500) ->
     return df.orderBy(*[F.desc(c) for c in order]).limit(limit).orderBy(*order)
 
 
-def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Insert-or-ignore: incoming rows whose key is not stored yet, one per key."""
-    return incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order``, then by its other values: a partially aggregated arg-min."""
+    rest = [c for c in rows.columns if c not in keys]
+    sortable = [c for c in rest if c not in order and not isinstance(rows.schema[c].dataType, MapType)]
+    if not rest:
+        return rows.distinct()
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order, *sortable)).alias("_r"))
+    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*rows.columns)
+
+
+def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Insert-or-ignore: of the incoming rows whose key is not stored yet, the first per key."""
+    return first_per_key(incoming, keys, order).join(existing.select(*keys), keys, "left_anti")
 
 
 def append_signals(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    return new_rows(incoming, existing, SIGNAL_KEY)
+    return new_rows(incoming, existing, SIGNAL_KEY, ["fired_at"])
 
 
 def append_fills(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    return new_rows(incoming, existing, FILL_KEY)
+    return new_rows(incoming, existing, FILL_KEY, ["ts"])
 
 
-def table_sink(root: str, keys: list[str]):
+def table_sink(root: str, keys: list[str], order: tuple[str, ...] = ()):
     """``foreachBatch`` writer: appends only unseen keys, so a replayed batch changes nothing."""
     def write(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
+        fresh = first_per_key(batch, keys, [c for c in order or ("fired_at", "ts") if c in batch.columns])
         try:
             stored = spark.read.parquet(root)
         except Exception as e:  # first batch
