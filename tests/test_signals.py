@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def spec(persistent, ttl=0, cool=0, key="{symbol}:{bar_close_ts}"):
 
 def run(sp, oks, step=60, key_ts=None):
     rows = [("r", "s", i, (i + 1) * step, np.array(ok, dtype=object), [key_ts(i) if key_ts else 0] * sp.length, None) for i, ok in enumerate(oks)]
-    return [(r[2], r[4], r[5], r[6]) for r in H.run_rows(H.ChainState(), sp, iter(rows))]
+    return [(r[2], r[4], r[5], r[6]) for r in H.run_block(H.ChainState(), sp, pd.DataFrame(rows, columns=H.COLUMNS))]
 
 
 def test_several_stages_in_one_bar_and_rest_stage():
@@ -109,14 +110,14 @@ def test_duplicate_key_aborts_without_cooldown():
 
 def test_numpy_booleans_count():
     rows = [("r", "s", 0, 60, np.array([True, True]), [0, 0], None)]
-    assert list(H.run_rows(H.ChainState(), spec([1, 0]), iter(rows)))[0][4] == "fired"
+    assert H.run_block(H.ChainState(), spec([1, 0]), pd.DataFrame(rows, columns=H.COLUMNS))[0][4] == "fired"
 
 
 def test_memory_forgets_the_oldest_key():
-    st, sp = H.ChainState(), spec([1])
+    st = H.ChainState()
     for i in range(H.MEMORY + 1):
-        assert H.settle(st, sp, f"k{i}", i)
-    assert H.settle(st, sp, "k0", 1) and not H.settle(st, sp, f"k{H.MEMORY}", 1)
+        assert H.remember(st, f"k{i}")
+    assert H.remember(st, "k0") and not H.remember(st, f"k{H.MEMORY}")
 
 
 def test_fold_over_many_batches_equals_one_pass(spark):
@@ -132,7 +133,8 @@ def test_fold_over_many_batches_equals_one_pass(spark):
     want = []
     for s in "abc":
         mine = [r for r in rows if r[1] == s]
-        want += [(s, o[2], o[4], o[6]) for o in H.run_rows(H.ChainState(), sp, ((r[0], r[1], r[2], r[3], r[5], r[6], r[7]) for r in mine))]
+        pdf = pd.DataFrame([(r[0], r[1], r[2], r[3], r[5], r[6], r[7]) for r in mine], columns=H.COLUMNS)
+        want += [(s, o[2], o[4], o[6]) for o in H.run_block(H.ChainState(), sp, pdf)]
     assert got == sorted(want)
 
 

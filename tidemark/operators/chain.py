@@ -1,8 +1,10 @@
 """The ordered condition chain of a rule, as a keyed fold over its trigger bars.
 
-This is the one step that is sequential by nature.  Its input is a slim frame (satisfied flags
-and a few timestamps); each task streams the sorted rows of its (rule, symbol) keys in Arrow
-batches and keeps only the small chain state, so memory does not grow with a series.
+Its input is a slim frame (satisfied flags and a few timestamps); each task streams the sorted rows of
+its (rule, symbol) keys in Arrow batches and keeps only the small chain state, so memory does not grow
+with a series.  What each stage could do on each bar is computed for the whole batch at once; the
+sequential part then jumps from transition to transition (next bar that moves this stage, end of the
+cooldown, deadline), so its cost follows the transitions, not the bars.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -30,7 +33,7 @@ TRANSITION_SCHEMA = (
 @dataclass
 class ChainState:
     stage: int = 0
-    ttl_left: int = 0
+    deadline: int = 0  # the last trigger bar, by number, on which an armed chain may still fire
     cooldown_until: int = 0
     armed_at: int = 0
     last_fired: int = 0
@@ -59,44 +62,86 @@ class ChainSpec:
         return 1 if self.length > 1 else 0
 
 
-def step(state: ChainState, spec: ChainSpec, ok, ts: int) -> str:
-    """Advance by one trigger bar; the outcome is '' when nothing changed.
-
-    ``ok`` holds one bool per condition; an unknown result counts as not satisfied."""
-    last = spec.length - 1
-    outcome = ""
-    if state.cooldown_until:
-        if ts < state.cooldown_until:
-            return ""
-        state.cooldown_until, state.stage, outcome = 0, spec.rest, "cooled"
-    for i in range(min(state.stage, spec.length)):
-        if spec.persistent[i] and not ok[i]:
-            state.stage, state.ttl_left, state.armed_at = i, 0, 0
-            return "retreated"
-    if last and state.stage == last and spec.ttl_bars:
-        state.ttl_left -= 1
-        if state.ttl_left < 0:
-            state.stage, state.ttl_left, state.armed_at = last - 1, 0, 0
-            return "expired"
-    while state.stage <= last and ok[state.stage]:
-        state.stage += 1
-        outcome = "advanced"
-        if last and state.stage == last:
-            state.ttl_left, state.armed_at = spec.ttl_bars, ts
-    return "fired" if state.stage > last else outcome
-
-
-def settle(state: ChainState, spec: ChainSpec, key: str, ts: int) -> bool:
-    """Close a completed chain: TRUE when the key is new and a signal goes out."""
+class Block:
+    """A stretch of one key's trigger bars, with what any stage could do on each of them.
+
+    ``fails[j]`` is the first persistent condition that does not hold (the chain's length if all do);
+    ``goes[j, s]`` the first condition from ``s`` on that doesn't hold, which is where stage ``s`` would
+    get to.  An unknown result counts as not holding.
+    """
+
+    def __init__(self, spec: ChainSpec, rn, ts, satisfied):
+        n, size = len(rn), spec.length
+        self.rn, self.ts = np.asarray(rn, np.int64), np.asarray(ts, np.int64)
+        holds = (np.array(satisfied, dtype=object).reshape(n, size) == True).astype(bool)  # noqa: E712
+        broken = ~holds & np.array(spec.persistent, bool)
+        self.fails = np.where(broken.any(axis=1), broken.argmax(axis=1), size)
+        self.goes = np.full((n, size + 1), size)
+        for s in range(size - 1, -1, -1):
+            self.goes[:, s] = np.where(holds[:, s], self.goes[:, s + 1], s)
+        # bars on which a chain at stage s moves by itself, forwards or back
+        self.moves = [np.flatnonzero((self.fails < s) | (self.goes[:, s] > s)) for s in range(size)]
+
+    def next_move(self, stage: int, at: int) -> int:
+        own = self.moves[stage]
+        k = np.searchsorted(own, at)
+        return int(own[k]) if k < len(own) else len(self.rn)
+
+
+def remember(state: ChainState, key: str) -> bool:
+    """TRUE when the key is new; the oldest is forgotten beyond ``MEMORY``."""
     if key in state.seen:
-        state.stage = spec.length - 1
         return False
     state.seen[key] = None
-    while len(state.seen) > MEMORY:
+    if len(state.seen) > MEMORY:
         state.seen.popitem(last=False)
-    state.last_fired, state.ttl_left, state.armed_at = ts, 0, 0
+    return True
+
+
+def walk(state: ChainState, spec: ChainSpec, block: Block) -> Iterator[tuple[int, str, bool]]:
+    """Jump from transition to transition: (bar, outcome, chain complete).  The caller settles a
+    complete chain before it asks for the next one."""
+    last, at, n = spec.length - 1, 0, len(block.rn)
+    while True:
+        released = bool(state.cooldown_until)
+        if released:
+            j = max(at, int(np.searchsorted(block.ts, state.cooldown_until)))
+        else:
+            j = block.next_move(state.stage, at)
+            if last and spec.ttl_bars and state.stage == last:
+                j = min(j, max(at, int(np.searchsorted(block.rn, state.deadline, "right"))))
+        if j >= n:
+            return
+        at, outcome = j + 1, ""
+        if released:
+            state.cooldown_until, state.stage, outcome = 0, spec.rest, "cooled"
+        late = last and spec.ttl_bars and state.stage == last and block.rn[j] > state.deadline
+        if block.fails[j] < state.stage:  # a lost condition comes before everything else
+            state.stage, state.armed_at, outcome = int(block.fails[j]), 0, "retreated"
+        elif late:
+            state.stage, state.armed_at, outcome = last - 1, 0, "expired"
+        else:
+            reached = int(block.goes[j, state.stage])
+            if reached > state.stage:
+                outcome = "advanced"
+                if state.stage < last <= reached:
+                    state.deadline, state.armed_at = int(block.rn[j]) + spec.ttl_bars, int(block.ts[j])
+                state.stage = reached
+        if state.stage > last:
+            yield j, "fired", True
+        elif outcome:
+            yield j, outcome, False
+
+
+def settle(state: ChainState, spec: ChainSpec, key: str, rn: int, ts: int) -> bool:
+    """After a completed chain: TRUE and back to rest (or into the cooldown) when its key is new; else
+    the chain waits one stage below."""
+    state.stage = spec.length - 1
+    if not remember(state, key):
+        return False
+    state.last_fired, state.deadline, state.armed_at = ts, rn, 0
     if spec.cooldown_s:
-        state.cooldown_until, state.stage = ts + spec.cooldown_s, spec.length - 1
+        state.cooldown_until = ts + spec.cooldown_s
     else:
         state.stage = spec.rest
     return True
@@ -112,21 +157,31 @@ def dedup_key(spec: ChainSpec, rule_id: str, symbol: str, ts: int, day, role_ts,
     return spec.key_template.format(**fields)
 
 
-def run_rows(state: ChainState, spec: ChainSpec, rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Fold ``(rule_id, symbol, rn, close_ts, satisfied, role_ts, trading_day)`` rows of one key."""
-    for rule_id, symbol, rn, ts, ok, role_ts, day in rows:
-        # Arrow hands over numpy booleans, or objects with None where a result is unknown
-        outcome = step(state, spec, [v is not None and bool(v) for v in ok], int(ts))
-        if not outcome:
-            continue
-        key, emitted = None, False
-        if outcome == "fired":
-            key = dedup_key(spec, rule_id, symbol, int(ts), day, role_ts, state.armed_at)
-            emitted = settle(state, spec, key, int(ts))
-        yield rule_id, symbol, rn, ts, outcome, state.stage, emitted, key
+COLUMNS = ["rule_id", "symbol", "rn", "close_ts", "satisfied", "role_ts", "trading_day"]
+OUT = ["rule_id", "symbol", "rn", "close_ts", "outcome", "stage", "emitted", "dedup_key"]
+
 
+def run_block(state: ChainState, spec: ChainSpec, pdf: pd.DataFrame) -> list[tuple]:
+    """The transitions of one key's rows (``COLUMNS``), in order."""
+    rule_id, symbol = pdf["rule_id"].iloc[0], pdf["symbol"].iloc[0]
+    block = Block(spec, pdf["rn"].to_numpy(), pdf["close_ts"].to_numpy(), [list(v) for v in pdf["satisfied"]])
+    role_ts, day, out = pdf["role_ts"], pdf["trading_day"], []
+    for j, outcome, complete in walk(state, spec, block):
+        rn, ts, key, emitted = int(block.rn[j]), int(block.ts[j]), None, False
+        if complete:
+            key = dedup_key(spec, rule_id, symbol, ts, day.iloc[j], role_ts.iloc[j], state.armed_at)
+            emitted = settle(state, spec, key, rn, ts)
+        out.append((rule_id, symbol, rn, ts, outcome, state.stage, emitted, key))
+    return out
 
-COLUMNS = ["rule_id", "symbol", "rn", "close_ts", "satisfied", "role_ts", "trading_day"]
+
+def by_key(pdf: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Stretches of rows with one (rule, symbol)."""
+    new = (pdf["rule_id"] != pdf["rule_id"].shift()) | (pdf["symbol"] != pdf["symbol"].shift())
+    edges = [*np.flatnonzero(new.to_numpy()), len(pdf)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        part = pdf.iloc[lo:hi]
+        yield (part["rule_id"].iloc[0], part["symbol"].iloc[0]), part
 
 
 def fold(frame: DataFrame, specs: dict[str, ChainSpec]) -> DataFrame:
@@ -136,13 +191,12 @@ def fold(frame: DataFrame, specs: dict[str, ChainSpec]) -> DataFrame:
         key, state = None, ChainState()
         for pdf in batches:
             out = []
-            for row in zip(*[pdf[c] for c in COLUMNS], strict=True):
-                if row[:2] != key:
-                    key, state = row[:2], ChainState()
-                out.extend(run_rows(state, specs[row[0]], iter([row])))
+            for own, part in by_key(pdf):
+                if own != key:
+                    key, state = own, ChainState()
+                out.extend(run_block(state, specs[own[0]], part))
             if out:
-                yield pd.DataFrame(out, columns=[
-                    "rule_id", "symbol", "rn", "close_ts", "outcome", "stage", "emitted", "dedup_key"])
+                yield pd.DataFrame(out, columns=OUT)
 
     slim = frame.select(*COLUMNS, "emit_ts")
     ordered = slim.repartition("rule_id", "symbol").sortWithinPartitions(

@@ -219,12 +219,12 @@ def averages(bars: DataFrame, lines: list[tuple[str, int]]) -> DataFrame:
 # ------------------------------------------------------------------ the chain
 
 def _pack(s: chain.ChainState) -> str:
-    return json.dumps([s.stage, s.ttl_left, s.cooldown_until, s.armed_at, s.last_fired, list(s.seen)])
+    return json.dumps([s.stage, s.deadline, s.cooldown_until, s.armed_at, s.last_fired, list(s.seen)])
 
 
 def _unpack(text: str) -> chain.ChainState:
-    stage, ttl, cool, armed, fired, seen = json.loads(text)
-    return chain.ChainState(stage, ttl, cool, armed, fired, OrderedDict((k, None) for k in seen))
+    stage, deadline, cool, armed, fired, seen = json.loads(text)
+    return chain.ChainState(stage, deadline, cool, armed, fired, OrderedDict((k, None) for k in seen))
 
 
 def chain_states(frame: DataFrame, specs: dict[str, chain.ChainSpec]) -> DataFrame:
@@ -233,13 +233,12 @@ def chain_states(frame: DataFrame, specs: dict[str, chain.ChainSpec]) -> DataFra
     def run(batches):
         key, state, done = None, chain.ChainState(), []
         for pdf in batches:
-            for row in zip(*[pdf[c] for c in chain.COLUMNS], strict=True):
-                if row[:2] != key:
+            for own, part in chain.by_key(pdf):
+                if own != key:
                     if key:
                         done.append((*key, _pack(state)))
-                    key, state = row[:2], chain.ChainState()
-                for _ in chain.run_rows(state, specs[row[0]], iter([row])):
-                    pass
+                    key, state = own, chain.ChainState()
+                chain.run_block(state, specs[own[0]], part)
             if done:
                 yield pd.DataFrame(done, columns=["rule_id", "symbol", "state"])
                 done = []
@@ -266,7 +265,7 @@ def stream_chain(frame: DataFrame, specs: dict[str, chain.ChainSpec], primed: Da
         else:
             start = pdf["state"].dropna()
             current = _unpack(start.iloc[0]) if len(start) else chain.ChainState()
-        out = list(chain.run_rows(current, specs[key[0]], zip(*[pdf[c] for c in chain.COLUMNS], strict=True)))
+        out = chain.run_block(current, specs[key[0]], pdf)
         state.update((_pack(current),))
         yield pd.DataFrame(out, columns=["rule_id", "symbol", "rn", "close_ts", "outcome", "stage", "emitted", "dedup_key"])
 
