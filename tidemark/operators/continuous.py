@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timekeys import bar_date, day_text
-from tidemark.plans.chunks import CHUNK_ROWS, scan
+from tidemark.plans.chunks import scan
 from tidemark.plans.small import broadcast_if_small
 from tidemark.plans.staging import stage
 
@@ -65,8 +65,11 @@ def stitch(segments: DataFrame, bars: DataFrame, adjust: bool = True, rolls: Dat
         *moved, "volume", "money", "open_interest", F.col("day").alias("trading_day"), offset.alias("offset"))
 
 
+CHUNK_DAYS = 32  # of the order check: a day of one-minute bars has some hundreds of rows
+
+
 def stitch_problems(segments: DataFrame, bars: DataFrame, rolls: DataFrame, stitched: DataFrame,
-                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                    chunk_days: int = CHUNK_DAYS) -> DataFrame:
     """Everything that makes a stitched series unusable: (symbol, problem, detail)."""
     no_bars = segments.join(bars.select(F.col("symbol").alias("contract")).distinct(), "contract", "left_anti").select(
         F.col("product").alias("symbol"), F.lit("contract without data").alias("problem"), F.col("contract").alias("detail"))
@@ -77,8 +80,10 @@ def stitch_problems(segments: DataFrame, bars: DataFrame, rolls: DataFrame, stit
         F.col("product").alias("symbol"), F.lit("no common bar").alias("problem"), F.col("at_day").alias("detail"))
     negative = stitched.filter((F.col("offset") != 0) & (F.col("low") <= 0)).groupBy("symbol").agg(
         F.min("trading_day").alias("detail")).select("symbol", F.lit("non-positive price").alias("problem"), "detail")
-    ordered = scan(stitched.select("symbol", "close_ts", "trading_day"), ["symbol"], ["trading_day", "close_ts"],
-                   F.floor(F.col("close_ts") / (86400 * chunk_rows)).cast("bigint"), {"_before": ("lag", "close_ts")})
+    # chunks follow the order, by trading day, so that a break between two of them shows as well
+    chunk = F.floor(F.unix_date(F.col("trading_day").cast("date")) / chunk_days).cast("bigint")
+    ordered = scan(stitched.select("symbol", "timeframe", "close_ts", "trading_day"), ["symbol", "timeframe"], ["trading_day", "close_ts"],
+                   chunk, {"_before": ("lag", "close_ts")})
     back = ordered.filter(F.col("close_ts") <= F.col("_before")).groupBy("symbol").agg(
         F.min("trading_day").alias("detail")).select("symbol", F.lit("time not increasing").alias("problem"), "detail")
     return no_bars.unionByName(empty).unionByName(unanchored).unionByName(negative).unionByName(back)
@@ -95,5 +100,6 @@ def rollover_index(rolls: DataFrame) -> DataFrame:
 
 def write_stitched(bars: DataFrame, rolls: DataFrame, root: str) -> None:
     """The stitched series and, next to it, the rolls that explain its prices."""
-    bars.repartition("symbol").sortWithinPartitions("symbol", "close_ts").write.mode("overwrite").partitionBy("symbol").parquet(f"{root}/bars")
+    # adaptive execution splits a product that is too large for one file
+    bars.hint("rebalance", "symbol").sortWithinPartitions("symbol", "close_ts").write.mode("overwrite").partitionBy("symbol").parquet(f"{root}/bars")
     rollover_index(rolls).write.mode("overwrite").parquet(f"{root}/rollovers")
