@@ -199,7 +199,7 @@ def test_overlap_lowers_the_effective_size(spark):
 def test_both_directions_stay_two_markers(spark):
     sig = spark.createDataFrame([("a", "s", "long", "1h", 10, 1.0, "k1", "high", False, 20), ("b", "s", "short", "1h", 10, 1.0, "k2", "odd", False, 20), ("c", "s", "long", "4h", 10, 1.0, "k3", "high", False, 20)],
                                 "rule_id string, symbol string, direction string, timeframe string, fired_at bigint, trigger_price double, dedup_key string, priority string, tentative boolean, bucket_ts bigint")
-    got = {r.direction: r for r in views.collapse(sig).collect()}
+    got = {r.direction: r for r in views.collapse(sig, members=True).collect()}
     assert got["long"]["count"] == 2 and got["long"].rule_id == "c" and [m.rule_id for m in got["long"].members] == ["c", "a"]
     assert got["short"]["count"] == 1 and got["short"].priority == "normal"
 

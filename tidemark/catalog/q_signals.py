@@ -376,11 +376,11 @@ def _(spark, sf):
 _V = """CASE WHEN {0} IS NULL THEN '—' WHEN abs({0}) >= 1000 THEN format('{{:,.2f}}', {0}) ELSE printf('%.4g', {0}) END"""
 
 
-@query("prj22_message_text", f"""WITH RECURSIVE {S.SIG} SELECT dedup_key, CASE direction WHEN 'long' THEN '▲ 多' WHEN 'short' THEN '▼ 空' ELSE '● 提示' END || ' ' || symbol || ' [1h]' || chr(10) || '规则: ' || rule_id || chr(10) || '时间: ' ||
+@query("prj22_message_text", f"""WITH RECURSIVE {S.SIG} SELECT dedup_key, CASE direction WHEN 'long' THEN '▲ 多' WHEN 'short' THEN '▼ 空' ELSE '● 提示' END || ' ' || symbol || ' [1h]' || chr(10) || '规则: ' || rule_id || CASE WHEN rule_id = 'bo20_long' THEN ' — breakout of 20 bars' ELSE '' END || chr(10) || '时间: ' ||
  CASE WHEN symbol LIKE 'CRYPTO%' THEN strftime(to_timestamp(fired_at) AT TIME ZONE 'UTC', '%m-%d %H:%M') || ' UTC' ELSE strftime(to_timestamp(fired_at + 28800) AT TIME ZONE 'UTC', '%m-%d %H:%M') || ' CST' END || chr(10) ||
  '触发价: ' || {_V.format('trigger_price')} || chr(10) || '关键值:' || chr(10) || '  close = ' || {_V.format('trigger_price')} || chr(10) || '  volume = ' || {_V.format('volume')} || chr(10) || '  atr14 = ' || {_V.format('atr14')} AS text FROM sig""")
 def _(spark, sf):
-    return S.signals(spark, sf).select("dedup_key", views.format_signal().alias("text"))
+    return S.signals(spark, sf).select("dedup_key", views.format_signal(description=lookup(F.col("rule_id"), {"bo20_long": "breakout of 20 bars"}, "")).alias("text"))
 
 
 @query("prj24_priority_rank", """SELECT p, n, CASE WHEN lower(trim(p)) IN ('low', 'normal', 'high') THEN lower(trim(p)) ELSE 'normal' END AS priority,

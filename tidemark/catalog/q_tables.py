@@ -47,7 +47,7 @@ def _(spark, sf):
  SELECT symbol, bucket_ts, direction, first(dedup_key ORDER BY -pr, rule_id, dedup_key) AS dedup_key, first(rule_id ORDER BY -pr, rule_id, dedup_key) AS rule_id, count(*) AS count, string_agg(dedup_key, ',' ORDER BY -pr, rule_id, dedup_key) AS members FROM p GROUP BY ALL""")
 def _(spark, sf):
     placed, _dropped = views.place_signals(S.signals(spark, sf), series(spark, sf), "1d")
-    m = views.collapse(placed)
+    m = views.collapse(placed, members=True)
     return m.select("symbol", "bucket_ts", "direction", "dedup_key", "rule_id", "count", F.array_join("members.dedup_key", ",").alias("members"))
 
 
@@ -55,7 +55,7 @@ def _(spark, sf):
  WHERE EXISTS (SELECT 1 FROM b4 WHERE b4.symbol = x.symbol AND b4.close_ts = x.bucket_ts) GROUP BY ALL""")
 def _(spark, sf):
     placed, _dropped = views.place_signals(S.signals(spark, sf), series(spark, sf), "4h")
-    return views.collapse(placed, members=False).select("symbol", "bucket_ts", "direction", "count", "rule_id")
+    return views.collapse(placed).select("symbol", "bucket_ts", "direction", "count", "rule_id")
 
 
 # ------------------------------------------------------------------ watchlist and freshness
@@ -75,15 +75,27 @@ def _(spark, sf):
 NOW2 = 1706547600  # 2024-01-29 17:00 UTC, a Tuesday small hour on the futures clock
 
 
-@query("agg17_freshness", f"""WITH {M1}, c(symbol, in_session) AS (VALUES ('CN.SIM.click', TRUE), ('CN.SIM.view', FALSE), ('CRYPTO.SIM.purchase', FALSE)), g AS (SELECT symbol, count(*) AS gaps FROM (SELECT symbol, close_ts - lag(close_ts) OVER (PARTITION BY symbol ORDER BY close_ts) AS d FROM m1 WHERE close_ts <= {NOW2}) WHERE d > 60 GROUP BY symbol)
- SELECT symbol, max(close_ts) AS last_close_ts, count(*) AS bars_seen, coalesce(any_value(in_session), TRUE) AS in_session, any_value(gaps) AS gaps, greatest(0, {NOW2} - max(close_ts)) AS lag_s, coalesce(any_value(in_session), TRUE) AND {NOW2} - max(close_ts) > 150 AS stale FROM m1 LEFT JOIN c USING (symbol) LEFT JOIN g USING (symbol) WHERE close_ts <= {NOW2} GROUP BY symbol""")
-def _(spark, sf):
+_FRESH = f"""WITH {M1}, c(symbol, in_session) AS (VALUES ('CN.SIM.click', TRUE), ('CN.SIM.view', FALSE), ('CRYPTO.SIM.purchase', FALSE)), g AS (SELECT symbol, count(*) AS gaps FROM (SELECT symbol, close_ts - lag(close_ts) OVER (PARTITION BY symbol ORDER BY close_ts) AS d FROM m1 WHERE close_ts <= {NOW2}) WHERE d > 60 GROUP BY symbol)
+ SELECT symbol, max(close_ts) AS last_close_ts, count(*) AS bars_seen, coalesce(any_value(in_session), TRUE) AS in_session, any_value(gaps) AS gaps, greatest(0, {NOW2} - max(close_ts)) AS lag_s, coalesce(any_value(in_session), TRUE) AND {NOW2} - max(close_ts) > 150 AS stale FROM m1 LEFT JOIN c USING (symbol) LEFT JOIN g USING (symbol) WHERE close_ts <= {NOW2} GROUP BY symbol"""
+
+
+def _freshness(spark, sf):
     m = minutes(spark, sf).filter(F.col("close_ts") <= NOW2)
     cal = spark.createDataFrame([(s, c, NOW2) for s, c in _CAL_OF.items()], "symbol string, calendar string, now bigint")
     ses = C.with_calendar_day(cal, "now", CALS).select("symbol", "in_session")
     return views.freshness(m, ses, NOW2, gap_rows=T.gaps(m))
 
 
+@query("agg17_freshness", _FRESH)
+def _(spark, sf):
+    return _freshness(spark, sf)
+
+
+@query("agg17_health_totals", f"SELECT count(*) FILTER (stale) AS n_problems, count(*) FILTER (stale) = 0 AS healthy, CAST(coalesce(sum(gaps), 0) AS BIGINT) AS total_gaps FROM ({_FRESH})")
+def _(spark, sf):
+    return views.health_totals(_freshness(spark, sf))
+
+
 # ------------------------------------------------------------------ charts
 
 @query("win01_intraday_average", f"""WITH {M1}, d AS (SELECT *, {"strftime(to_timestamp(close_ts) AT TIME ZONE 'UTC', '%Y-%m-%d')"} AS day FROM m1), l AS (SELECT symbol, max(day) AS day FROM d GROUP BY symbol),

@@ -10,6 +10,7 @@ from tidemark.operators.asof import align_by_close, asof
 from tidemark.operators.frame import Frame
 from tidemark.operators.rules import PRIORITY_RANK
 from tidemark.plans.chunks import scan, time_chunk
+from tidemark.plans.staging import stage
 from tidemark.schema import KEYS, TIMEFRAMES, lookup, rank_of
 
 STALE_PERIODS = 2.5  # fixed value: missed periods before a live series counts as stale
@@ -48,6 +49,7 @@ def place_signals(signals: DataFrame, bars: DataFrame, timeframe: str) -> tuple[
         on = closes.withColumnRenamed("close_ts", "bucket_ts")
         return (marked.join(on, ["symbol", "bucket_ts"], "left_semi").select(*signals.columns, "bucket_ts"),
                 marked.join(on, ["symbol", "bucket_ts"], "left_anti").select(*signals.columns))
+    closes = stage(closes, "closes")
     found = asof(signals, closes, ["symbol"], "fired_at", "close_ts", ["close_ts"], "_b", direction="forward")
     found = found.withColumn("bucket_ts", F.col("_b.close_ts")).drop("_b")
     return found.filter("bucket_ts IS NOT NULL"), found.filter("bucket_ts IS NULL").drop("bucket_ts")
@@ -61,11 +63,11 @@ def _ranked(placed: DataFrame, chain_len: dict[str, int] | None) -> DataFrame:
                          F.struct(F.struct(*rank_key(length)).alias("k"), member.alias("m")).alias("item"))
 
 
-def collapse(placed: DataFrame, chain_len: dict[str, int] | None = None, members: bool = True) -> DataFrame:
-    """One marker per (symbol, bar, direction): representative, count and ordered members.
+def collapse(placed: DataFrame, chain_len: dict[str, int] | None = None, members: bool = False) -> DataFrame:
+    """One marker per (symbol, bar, direction): representative and count, a partially aggregated arg-min;
+    the placed rows themselves are the detail table.
 
-    ``members=False`` leaves the list out and is a partially aggregated arg-min; use it, with the
-    placed rows themselves as the detail table, when very many signals may share one bar."""
+    ``members=True`` adds the ordered list of all signals of a marker, for charts of few signals."""
     aggs = [F.min("item").alias("lead"), F.count(F.lit(1)).alias("count")]
     if members:
         aggs.append(F.array_sort(F.collect_list("item")).alias("all"))
@@ -119,6 +121,19 @@ def freshness(bars: DataFrame, sessions: DataFrame, now_ts: int, timeframe: str
                             "stale": F.col("in_session") & (lag > period * STALE_PERIODS)})
 
 
+def problems(fresh: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """Names of stale symbols and of feeds (name, connected) that aren't connected."""
+    stale = fresh.filter("stale").select(F.col("symbol").alias("name"))
+    return stale if feeds is None else stale.unionByName(feeds.filter("NOT connected").select("name"))
+
+
+def health_totals(fresh: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """One row: number of problems, healthy without any, gaps of all symbols."""
+    gaps = fresh.agg(F.coalesce(F.sum("gaps"), F.lit(0)).alias("total_gaps"))
+    return problems(fresh, feeds).agg(F.count("*").alias("n_problems")).crossJoin(gaps).select(  # one row each
+        "n_problems", (F.col("n_problems") == 0).alias("healthy"), "total_gaps")
+
+
 # ------------------------------------------------------------------ charts
 
 def intraday(bars: DataFrame, multipliers: DataFrame | None = None, span: int = 6 * 3600) -> DataFrame:
@@ -162,7 +177,7 @@ def chart_tail(bars: DataFrame, limit: int, lines: list[tuple[str, int]], source
 
 def reference_averages(bars: DataFrame, ref_bars: DataFrame, lines: list[tuple[str, int]]) -> DataFrame:
     """Averages of another timeframe aligned to these bars by close time."""
-    ref = moving_averages(ref_bars, lines)
+    ref = stage(moving_averages(ref_bars, lines), "ref")
     names = [f"{k}{n}_close" for k, n in lines]
     out = align_by_close(bars, ref, names, "_ref")
     return out.select(*bars.columns, *[F.col(f"_ref.{n}").alias(n) for n in names])
@@ -237,11 +252,13 @@ def format_time(ts: str = "fired_at", symbol: str = "symbol") -> Column:
     return F.when(crypto, F.concat(text(0), F.lit(" UTC"))).otherwise(F.concat(text(CN_OFFSET), F.lit(" CST"), day))
 
 
-def format_signal(context: str = "context") -> Column:
-    """Message text of a signal row: head, rule, time, trigger price and the key values."""
+def format_signal(context: str = "context", description: Column | None = None) -> Column:
+    """Message text of a signal row: head, rule (with its description), time, trigger price and the key
+    values."""
+    about = F.lit("") if description is None else F.when(F.length(description) > 0, F.concat(F.lit(" — "), description)).otherwise("")
     lines = [
         F.concat(lookup(F.col("direction"), ARROWS), F.lit(" "), F.col("symbol"), F.lit(" ["), F.col("timeframe"), F.lit("]")),
-        F.concat(F.lit("规则: "), F.col("rule_id")), F.concat(F.lit("时间: "), format_time()),
+        F.concat(F.lit("规则: "), F.col("rule_id"), about), F.concat(F.lit("时间: "), format_time()),
         F.concat(F.lit("触发价: "), format_value(F.col("trigger_price"))),
     ]
     pairs = F.transform(F.map_entries(context), lambda e: F.concat(F.lit("  "), e["key"], F.lit(" = "), format_value(e["value"])))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.staging import stage
+
 CHUNK_ROWS = 16384
 _CHUNK = "_chunk"
 
@@ -100,10 +102,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, width: float, out:
     Equal values are merged first, the distinct values are ranked by a chunked running count
     (a chunk is a ``width``-wide value range), and the one or two middle values are averaged.
     """
-    hist = (
+    hist = stage(  # read for the ranks, their chunk totals and the group sizes
         df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+        .agg(F.count(F.lit(1)).alias("_n")), "hist")
     ranked = scan(hist, keys, [value], F.floor(F.col(value) / F.lit(width)).cast("bigint"),
                   {"_upto": ("sum", "_n")})
     sizes = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
