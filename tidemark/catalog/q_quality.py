@@ -217,9 +217,16 @@ def _(spark, sf):
     return _weighted(spark, sf).select("rule_id", B.verdict(F.col("excess"), F.col("se")).alias("verdict"))
 
 
-@query("agg14_rule_evaluation", f"WITH RECURSIVE {BASE} SELECT rule_id, (SELECT count(*) FROM o WHERE o.rule_id = wb.rule_id) AS signals, n, {q6('n_eff')} AS n_eff, {_WB}, {_VD} AS verdict FROM wb")
+@query("agg14_rule_parts", f"""WITH RECURSIVE {BASE} SELECT rule_id, symbol, direction, CAST(n AS BIGINT) AS n, samples, {q6("CASE WHEN direction = 'neutral' THEN 0 ELSE expectation END")} AS expectation
+ FROM ws JOIN (SELECT * FROM re UNION ALL SELECT symbol, 'neutral', expectation, samples, se FROM re WHERE direction = 'long') re USING (symbol, direction)""")
+def _(spark, sf):
+    out = B.baseline_parts(S.outcomes(spark, sf), series(spark, sf, "1h"), S.PARAMS, 10, bars_atr=_base_bars(spark, sf))
+    return rounded(out.select("rule_id", "symbol", "direction", "n", "samples", "expectation"))
+
+
+@query("agg14_rule_evaluation", f"WITH RECURSIVE {BASE} SELECT rule_id, (SELECT count(*) FROM o WHERE o.rule_id = wb.rule_id) AS signals, (SELECT {q6("coalesce(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 0)")} FROM u WHERE u.rule_id = wb.rule_id AND direction <> 'neutral') AS win_rate, n, {q6('n_eff')} AS n_eff, {_WB}, {_VD} AS verdict FROM wb")
 def _(spark, sf):
     out = B.evaluate_rules(S.signals(spark, sf), series(spark, sf, "1h"), S.PARAMS, 10)
-    return rounded(out.select("rule_id", "signals", "n", "n_eff", "avg_return", "baseline", "excess", "se_rule", "se_base", "se", "verdict"))
+    return rounded(out.select("rule_id", "signals", "win_rate", "n", "n_eff", "avg_return", "baseline", "excess", "se_rule", "se_base", "se", "verdict"))
 
 

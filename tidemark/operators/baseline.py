@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +105,19 @@ def weights(outcomes: DataFrame, by: list[str]) -> DataFrame:
     return joined.withColumn("w", F.col("n") / F.col("total"))
 
 
+def baseline_parts(
+    outcomes: DataFrame, bars: DataFrame, params: OutcomeParams, stride: int = STRIDE,
+    by: list[str] | None = None, bars_atr: DataFrame | None = None,
+) -> DataFrame:
+    """Per symbol of each group: signals ``n`` and their weight, majority direction, and the random
+    entries' expectation, samples and error there."""
+    by = by if by is not None else ["rule_id"]
+    bars_atr = with_baseline_atr(bars) if bars_atr is None else bars_atr
+    ws = stage(weights(outcomes, by), "weights")
+    exp = random_entry_expectation(bars_atr, ws.select(*KEYS, "direction").distinct(), params, stride)
+    return ws.join(exp, [*KEYS, "direction"])
+
+
 def weighted_baseline(
     outcomes: DataFrame, bars: DataFrame, params: OutcomeParams, stride: int = STRIDE,
     by: list[str] | None = None, bars_atr: DataFrame | None = None,
@@ -114,12 +126,7 @@ def weighted_baseline(
 
     Weights are not rescaled when a symbol has no bars."""
     by = by if by is not None else ["rule_id"]
-    bars_atr = with_baseline_atr(bars) if bars_atr is None else bars_atr
-    ws = stage(weights(outcomes, by), "weights")
-    wanted = ws.select(*KEYS, "direction").distinct()
-    exp = random_entry_expectation(bars_atr, wanted, params, stride)
-    cell = ws.join(exp, [*KEYS, "direction"])
-    base = cell.groupBy(*by).agg(
+    base = baseline_parts(outcomes, bars, params, stride, by, bars_atr).groupBy(*by).agg(
         F.sum(F.col("w") * F.col("expectation")).alias("baseline"),
         F.sum("samples").alias("samples"),
         F.sqrt(F.coalesce(F.sum((F.col("w") * F.col("se")) * (F.col("w") * F.col("se"))), F.lit(0.0))).alias("se_base"))
@@ -175,16 +182,19 @@ def horizon_curve(
 def evaluate_rules(
     signals: DataFrame, bars: DataFrame, params: OutcomeParams | None = None, stride: int = STRIDE,
 ) -> DataFrame:
-    """Per rule: signals, mean return, baseline, excess, errors, effective size, verdict."""
+    """Per rule: signals, win rate, mean return, baseline, excess, errors, effective size, verdict;
+    ``baseline_parts`` has the parts per symbol."""
     params = params or OutcomeParams()
     outs = stage(evaluate(signals, bars, params), "outcomes")
     base = weighted_baseline(outs, bars, params, stride)
-    n = outs.groupBy("rule_id").agg(F.count(F.lit(1)).alias("signals"))
+    decided = (F.col("reason") != "no_data") & (F.col("direction") != "neutral")
+    wins = F.try_divide(F.count_if(decided & (F.col("ret") > 0)), F.count_if(decided))
+    n = outs.groupBy("rule_id").agg(F.count(F.lit(1)).alias("signals"), F.coalesce(wins, F.lit(0.0)).alias("win_rate"))
     return (n.join(base, "rule_id", "left").withColumn("verdict", verdict(F.col("excess"), F.col("se"))))
 
 
 __all__ = [
-    "CURVE_STRIDE", "HORIZON_LADDER", "STRIDE", "effective_n", "evaluate_rules", "excess_se",
-    "horizon_curve", "overlap_totals", "random_entry_expectation", "replace", "standard_error",
+    "CURVE_STRIDE", "HORIZON_LADDER", "STRIDE", "baseline_parts", "effective_n", "evaluate_rules", "excess_se",
+    "horizon_curve", "overlap_totals", "random_entry_expectation", "standard_error",
     "verdict", "weighted_baseline", "with_baseline_atr",
 ]
