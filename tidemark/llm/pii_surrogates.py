@@ -114,23 +114,23 @@ def _pick(words: str, value: str) -> str:
 
 
 def _surrogate(kind: str, canon: str, attempt: str) -> str:
-    """SQL: the canonical surrogate of a canonical entity."""
+    """SQL: the canonical surrogate of a canonical entity.  One draw serves all types: what of the entity is
+    drawn depends on its type, and so does what is put around it."""
     h = _stream(f"concat({kind}, {canon})", attempt)
-    local, host = f"substring_index({canon}, '@', 1)", f"regexp_replace(substring_index({canon}, '@', -1), '[.][^.]*$', '')"
-    email = f"{_drawn(local, h)} || '@' || {_drawn(host, _stream(host, '0'))} || '.' || substring_index({canon}, '.', -1)"
+    host = f"regexp_replace(substring_index({canon}, '@', -1), '[.][^.]*$', '')"
+    at = f"(instr({canon}, ':') + CAST(substring_index({canon}, ':', 1) AS INT))"
+    part = (f"CASE {kind} WHEN 'email' THEN substring_index({canon}, '@', 1) WHEN 'card' THEN substr({canon}, 1, length({canon}) - 1) "
+            f"WHEN 'phone' THEN substr({canon}, {at} + 1) WHEN 'iban' THEN substr({canon}, 3) WHEN 'name' THEN '' WHEN 'ip' THEN '' ELSE {canon} END")
+    letters = f"CASE WHEN {kind} = 'secret' AND {canon} RLIKE '^[0-9A-Fa-f]+$' THEN 'abcdef' ELSE 'abcdefghijklmnopqrstuvwxyz' END"
+    drawn = f"array_join(transform(array(named_struct('t', {part}, 'l', {letters})), p -> {_drawn('p.t', h, 'p.l')}), '')"
     ip = "array_join(transform(array(" + h + "), h -> array_join(transform(sequence(1, 4), i -> CAST(CASE WHEN i = 1 THEN 1 + " + _byte("h", "i") + " % 223 ELSE " + _byte("h", "i") + " END AS STRING)), '.')), '')"
-    body = f"substr({canon}, 1, length({canon}) - 1)"
-    card = f"array_join(transform(array({_drawn(body, h)}), b -> b || CAST((10 - {_luhn('(b || 0)')}) % 10 AS STRING)), '')"
-    latin = _drawn(canon, h)
     first = "CASE " + " ".join(f"WHEN {canon} LIKE '{g}:%' THEN {_pick(FIRST[g], _byte('h', '1'))}" for g in ("mc", "fc", "m", "f")) + " END"
-    tail = (f"array_join(transform(sequence(2, 4 + {attempt}), i -> CASE WHEN {canon} RLIKE '^.c:' THEN {_pick(SYLLABLE_C, _byte('h', 'i'))} ELSE {_pick(SYLLABLE, _byte('h', 'i'))} END), '')")
+    tail = f"array_join(transform(sequence(2, 4 + {attempt}), i -> CASE WHEN {canon} RLIKE '^.c:' THEN {_pick(SYLLABLE_C, _byte('h', 'i'))} ELSE {_pick(SYLLABLE, _byte('h', 'i'))} END), '')"
     name = f"array_join(transform(array({h}), h -> {first} || ' ' || initcap({tail})), '')"
-    secret = f"CASE WHEN {canon} RLIKE '^[0-9A-Fa-f]+$' THEN " + _drawn(canon, h, "'abcdef'") + " ELSE " + latin + " END"
-    at = f"instr({canon}, ':') + CAST(substring_index({canon}, ':', 1) AS INT)"
-    phone = f"substr({canon}, 1, {at}) || {_drawn(f'substr({canon}, {at} + 1)', h)}"
-    iban = f"substr({canon}, 1, 2) || {_drawn(f'substr({canon}, 3)', h)}"
-    return (f"CASE {kind} WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {phone} WHEN 'iban' THEN {iban} WHEN 'card' THEN {card} WHEN 'name' THEN {name} "
-            f"WHEN 'secret' THEN {secret} ELSE {latin} END")
+    around = (f"CASE {kind} WHEN 'email' THEN d || '@' || {_drawn(host, _stream(host, '0'))} || '.' || substring_index({canon}, '.', -1) "
+              f"WHEN 'card' THEN d || CAST((10 - {_luhn('(d || 0)')}) % 10 AS STRING) WHEN 'phone' THEN substr({canon}, 1, {at}) || d "
+              f"WHEN 'iban' THEN substr({canon}, 1, 2) || d WHEN 'ip' THEN {ip} WHEN 'name' THEN {name} ELSE d END")
+    return f"array_join(transform(array({drawn}), d -> {around}), '')"
 
 
 def _render(m: str, kind: str, s: str) -> str:
