@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from tidemark.plans.staging import stage
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges (u, v) lead straight to roots: no node has two edges or is both ends of edges."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("n").agg(F.sum("out").alias("o"), F.sum("into").alias("i")).filter("o > 1 OR (o > 0 AND i > 0)").isEmpty()
 
 
 def _to_least(pairs: DataFrame, keep: str) -> DataFrame:
@@ -30,14 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its least node."""
     step = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     step = stage(step, "edges")
-    before = _state(step)
-    while before[0]:
+    while not _settled(step):
         both = step.select(F.col("u").alias("n"), "v").unionByName(step.select(F.col("v").alias("n"), F.col("u").alias("v")))
         large = _to_least(both, "v > n")
         small = _to_least(large.select(F.greatest("u", "v").alias("n"), F.least("u", "v").alias("v")), "v < n")
         step = stage(small, "edges")
-        now = _state(step)
-        if now == before:
-            break
-        before = now
     return step.select(F.col("u").alias("node"), F.col("v").alias("component"))

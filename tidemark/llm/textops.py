@@ -38,14 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(seed)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = 1 << max(n, 1024).bit_length()
         out = []
         for base in (_BASES[seed], pow(_BASES[seed], -1, 2**64)):
             p = np.full(size, base, U64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = (out[0], out[1])
-        if size <= 4 * SLICE_BYTES:
+        if size <= 4 * SLICE_BYTES:  # a longer text is rare: its table isn't kept
             _POWERS[seed] = have
     return have
 
