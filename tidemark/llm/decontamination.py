@@ -1,9 +1,9 @@
 """Benchmark decontamination: a BM25 index of the test items with block-max WAND.
 
 Spark builds the index: postings (term, item, weight) of the test items, with document frequencies and
-mean length over all items.  Items are dealt into shards of at most ``SHARD_ITEMS``; a shard goes to
-the tasks as one broadcast, so its size is bounded by that parameter and a larger benchmark only adds
-shards, each a pass of its own.
+mean length over all items.  Items are dealt by hash into shards of about ``SHARD_ITEMS`` items and
+``SHARD_TERMS`` terms at most; a shard goes to the tasks as one broadcast, so its size is bounded by these
+parameters and a larger benchmark only adds shards, each a pass of its own.
 
 Every document is cut into overlapping passages, each a query.  A term of an item can give at most its
 postings' largest weight; postings are stored in blocks of items with the block's maximum.  Per passage
@@ -43,6 +43,7 @@ GRAM = 3
 PASSAGE = 128
 BLOCK_ITEMS = 16
 SHARD_ITEMS = 20_000
+SHARD_TERMS = 2_000_000
 
 #: Bytes that count as part of a term: letters, digits and everything beyond ASCII.
 TERM = np.zeros(256, bool)
@@ -184,7 +185,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
                   .withColumn("item", F.xxhash64("item_id", "text")), "items")
     raw = stage(map_slices(items, "text", _item_terms, "item long, term long, tf long, length long"), "terms")
-    whole = raw.select("item", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    whole = raw.select("item", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.sum("length").alias("terms")).first()
     schema = "doc_id long, copy int, item_id long, question_share double, answer_share double"
     if not whole.n:
         return spark.createDataFrame([], schema)
@@ -192,7 +193,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = F.log(1 + (whole.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / float(whole.mean)))
     postings = stage(raw.join(df, "term").select("item", "term", (idf * gain).alias("weight")), "postings")
-    shards = -(-whole.n // SHARD_ITEMS)
+    shards = max(-(-whole.n // SHARD_ITEMS), -(-whole.terms // SHARD_TERMS))
     out = []
     for k in range(shards):
         mine = F.pmod(F.col("item"), F.lit(shards)) == k
