@@ -12,6 +12,8 @@ from tests.oracle_tools import compare, connect
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("agg01_fixed_bars agg02_supplier_weeks_months ind02_ema ind06_macd pat05_swings pat12_double_bottom_top jon01_at_timeframe "
           "rul10_transition_log jon05_outcomes agg05_quality_report agg11_weighted_baseline agg12_horizon_curve agg18_continuous_series "
+          "exp05_kleene_logic win08_condition_bands srt05_required_timeframes set03_multiset_equality udf01_registered_functions agg01_bars_beside_open_minutes "
+          "win06_latest_by_symbol snk03_append_signals str01_keyed_bars_late_minutes prj22_small_values agg17_health_totals "
           "prj09_in_session src07_quote_payload_bars snk01_upsert_bars str01_keyed_bars str07_stop_and_resume jon12_paired_trades").split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 NAMES = list(QUERIES) if os.environ.get("TIDEMARK_ALL") else SAMPLE
