@@ -86,7 +86,7 @@ def _(spark, sf):
     """Global replay positions from a chunked running count, not from one sorted task."""
     from tidemark.plans.chunks import scan, time_chunk
     m = minutes(spark, sf).select("symbol", "close_ts")
-    return scan(m, [], ["close_ts", "symbol"], time_chunk("close_ts", 86400), {"pos": ("count", "close_ts")})
+    return scan(m, [], ["close_ts", "symbol"], time_chunk("close_ts", 3600), {"pos": ("count", "close_ts")})
 
 
 # ------------------------------------------------------------------ payloads

@@ -11,6 +11,7 @@ from tidemark.plans.staging import stage
 
 MEDIAN_WIDTH = 0.001
 DAY = 86400
+HOUR = 3600
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -103,11 +104,13 @@ def histogram(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def equity_curve(outcomes: DataFrame, by: list[str] | None = None, span: int = DAY) -> DataFrame:
+def equity_curve(outcomes: DataFrame, by: list[str] | None = None, span: int | None = None) -> DataFrame:
     """Running sum of returns in percent by entry time, its running peak and the drawdown.
 
-    Ties on entry time are ordered by symbol, rule and fire time."""
+    Ties on entry time are ordered by symbol, rule and fire time.  A task sorts one chunk of ``span``
+    seconds: a day of one group, but only an hour where all symbols and rules run together."""
     by = by or []
+    span = span or (DAY if by else HOUR)
     rows = stage(outcomes.filter("reason <> 'no_data'").select(
         *by, "entry_ts", *[c for c in ("symbol", "rule_id", "fired_at") if c not in by],
         (F.col("ret") * 100).alias("pct")), "equity")
