@@ -240,11 +240,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, level: int = LEVEL) ->
     """Blocks of windows that an earlier document holds too: doc_id, copy, at (first word), n (windows)."""
     blocks = stage(map_slices(docs.filter("doc_id IS NOT NULL"), "text", lambda b: blocks_of(b, window, level),
                               "symbol long, block long, doc_id long, copy int, at int, n int"), "blocks")
+    # the tables that blocks and windows are joined with are written first: a join of two plain exchanges
+    # is one that adaptive execution can split when a symbol is hot
     shared = blocks.groupBy("symbol").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    common = stage(blocks.join(shared.select("symbol"), "symbol"), "common")
+    common = stage(blocks.join(stage(shared.select("symbol"), "shared"), "symbol"), "common")
     one = common.groupBy("symbol", "block").agg(F.min("doc_id").alias("least"))
     kinds = one.groupBy("symbol").agg(F.count("*").alias("kinds"))
-    known = one.join(kinds, "symbol").select("symbol", "block", "least", (F.col("kinds") > 1).alias("mixed"))
+    known = stage(one.join(kinds, "symbol").select("symbol", "block", "least", (F.col("kinds") > 1).alias("mixed")), "known")
     met = stage(common.join(known, ["symbol", "block"]).filter("least < doc_id OR mixed")
                 .select("doc_id", "copy", "at", "n", (F.col("least") < F.col("doc_id")).alias("whole")), "met")
     pack = F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")
@@ -253,6 +255,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, level: int = LEVEL) ->
                          "one long, two long, doc_id long, copy int, at int")
     singles = stage(singles, "windows")
     firsts = singles.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    firsts = stage(firsts.select("one", "two", "least"), "firsts")
     late = (singles.join(firsts, ["one", "two"]).filter("least < doc_id")
             .select("doc_id", "copy", "at", F.lit(1).alias("n")))
     return met.filter("whole").select("doc_id", "copy", "at", "n").unionByName(late)
