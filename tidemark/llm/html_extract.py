@@ -298,9 +298,12 @@ def extract(html: str, model: trees.Boosted) -> str:
 
 
 def fit_model(pages: DataFrame) -> trees.Boosted:
-    """Fit on the ``TRAIN_PAGES`` pages of least hash, whatever the number of pages."""
-    some = pages.filter("html IS NOT NULL").select("html").orderBy(F.xxhash64("html"), "html").limit(TRAIN_PAGES).collect()
-    return trees.fit(*training_rows([r.html for r in some]))
+    """Fit on the ``TRAIN_PAGES`` different pages of least hash, whatever the number of pages.  Tasks send
+    hashes, not pages, until the sample is known."""
+    hashed = pages.filter("html IS NOT NULL").select("html", F.xxhash64("html").alias("h"))
+    cut = hashed.select("h").distinct().orderBy("h").limit(TRAIN_PAGES).agg(F.max("h").alias("h")).first().h
+    some = hashed.filter(F.col("h") <= F.lit(cut)).dropDuplicates(["h"]).collect() if cut is not None else []
+    return trees.fit(*training_rows([r.html for r in sorted(some, key=lambda r: r.h)]))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
