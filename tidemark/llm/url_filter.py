@@ -7,7 +7,7 @@ letter.  Segments and path tokens are the features of a multinomial naive Bayes
 
 The model is trained here, on every url: one whose segmented host holds a word of ``SEEDS`` counts as
 blocked, the others as allowed.  It then judges by all words that go with such hosts, not by the seeds
-alone.  The word table and the model keep their ``VOCABULARY`` most frequent entries, counted over all
+alone.  The word table and the model keep at most their ``VOCABULARY`` most frequent entries, counted over all
 rows; that bounds what goes to the tasks, and rarer words count as unknown.  Urls with a rule get the
 rule's verdict, the others the model's.
 
@@ -110,13 +110,26 @@ def url_features(hosts: list[str], paths: list[str], words: dict[str, float]) ->
     return [[s for x in own for s in known[x]] + path_tokens(p) for own, p in zip(labels, paths, strict=True)]
 
 
+def most_frequent(counts: DataFrame, limit: int) -> list:
+    """The rows of ``counts`` (..., n) of the highest counts, at most ``limit``: those from the least eighth of an
+    octave on that still fits.  Tasks send a histogram of some hundred rows, then only the rows asked for."""
+    counts = stage(counts, "counts")
+    octave = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    total, cut = 0, None
+    for r in sorted(counts.groupBy(octave.alias("o")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        total += r.k
+        if total > limit:
+            break
+        cut = r.o
+    return counts.filter(octave >= cut).collect() if cut is not None else []
+
+
 def word_model(html: DataFrame) -> dict[str, float]:
     """Log shares of the visible words of all pages; the seeds count as often as the commonest word in a
     thousand, so that they are words wherever they stand."""
     visible = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), r"(?s)<(script|style)\b.*?</\1|<[^>]*>|&#?\w+;?", " ")
     words = html.select(F.explode(F.split(visible, r"[^\p{L}]+")).alias("w")).filter(f"length(w) BETWEEN 2 AND {LONGEST}")
-    rows = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()
-    count = {r.w: r.n for r in rows}
+    count = {r.w: r.n for r in most_frequent(words.groupBy("w").agg(F.count("*").alias("n")), VOCABULARY)}
     usual = max(1, sum(count.values()) // 1000)
     count |= {w: max(usual, count.get(w, 0)) for w in SEEDS}
     total = sum(count.values())
@@ -136,8 +149,8 @@ def naive_bayes(rows: DataFrame) -> tuple[dict[str, float], float]:
     by = rows.groupBy().agg(F.sum(F.col("seeded").cast("long")).alias("bad"), F.count("*").alias("n")).first()
     bad, good = by.bad or 0, by.n - (by.bad or 0)
     one = F.col("seeded").cast("long")
-    counts = (rows.select(F.explode("features").alias("f"), "seeded").groupBy("f").agg(F.sum(one).alias("b"), F.sum(1 - one).alias("g"))
-              .orderBy(F.desc(F.col("b") + F.col("g")), "f").limit(VOCABULARY).collect())
+    counts = most_frequent(rows.select(F.explode("features").alias("f"), "seeded").groupBy("f").agg(
+        F.sum(one).alias("b"), F.sum(1 - one).alias("g"), F.count("*").alias("n")), VOCABULARY)
     sums = [sum(r.b for r in counts) + SMOOTH * len(counts), sum(r.g for r in counts) + SMOOTH * len(counts)]
     odds = {r.f: float(np.log((r.b + SMOOTH) / sums[0]) - np.log((r.g + SMOOTH) / sums[1])) for r in counts}
     return odds, float(np.log(bad + SMOOTH) - np.log(good + SMOOTH))
