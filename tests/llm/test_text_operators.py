@@ -47,6 +47,46 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs(p.sum() - 1) < 1e-6 and (p > 0).all()
 
 
+def test_word_salad_is_rejected(spark):
+    import random
+
+    rng = random.Random(11)
+    parts = "ba der lin mo ta sel vor ki nen gra pu sto".split()
+    words = ["".join(rng.choices(parts, k=rng.choice((2, 2, 3)))) for _ in range(300)]
+    follow = {w: rng.sample(words, 4) for w in words}
+
+    def sentence(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+    rows = [(i, "en", " ".join(sentence(300))) for i in range(400)]
+    for i in range(400, 410):  # the words of such a text in random order
+        salad = sentence(300)
+        rng.shuffle(salad)
+        rows.append((i, "en", " ".join(salad)))
+    got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[i].kept for i in range(400, 410))
+    assert all(got[i].kept for i in range(400))
+
+
+def test_pair_scores_against_brute_force(spark):
+    import math
+
+    rows = [(1, "en", "the cat sat on the cat"), (2, "en", "The cat ran"), (3, "de", "the cat sat"), (4, "en", " "), (5, None, None)]
+    got = {r.doc_id: r.word_perplexity for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    tables = Q.fit(spark.createDataFrame([r for r in rows if r[1] == "en"], "doc_id long, lang string, text string"))[0]
+    text = "The cat ran"
+    code, _ = Q.grams(Q.pa.RecordBatch.from_arrays([Q.pa.array([text])], names=["text"]))
+    lp = Q.log_probability(tables, code)
+    spelled = [lp[:3].sum(), lp[3:7].sum(), lp[7:].sum()]
+    base = [spelled[0], spelled[0] + spelled[1], spelled[1] + spelled[2], spelled[2]]
+    seen = [1, 2, 0, 0]  # "^ the", "the cat", "cat ran" and "ran $" in the other English text
+    score = -sum(math.log((c / 11 + math.exp(x)) / 2) for c, x in zip(seen, base, strict=True)) / 2 / len(text)
+    assert abs(math.log(got[2]) - score) < 1e-4
+
+
 def test_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

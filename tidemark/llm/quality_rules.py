@@ -1,15 +1,24 @@
-"""Quality rules: counting rules, then language-specific perplexity bands of an n-gram model.
+"""Quality rules: counting rules, then language-specific perplexity bands of two n-gram models.
 
-The model is a modified Kneser-Ney model of order 4 over letters.  Bytes fold into ``CLASSES`` classes,
+The first is a modified Kneser-Ney model of order 4 over letters.  Bytes fold into ``CLASSES`` classes,
 so a language has at most CLASSES**4 grams whatever the corpus; languages outside ``LANGS`` share one
 model.  Every task counts the grams of all its texts; Spark sums them, derives the continuation counts
 of the lower orders and the counts of counts behind the three discounts of each order.  The tables go
 to the tasks as sorted gram arrays with log probabilities and back-off weights (bounded as above).
 
+The second counts the pairs of neighbouring words of all texts, lower-cased, by 64-bit hash; its table grows
+with the corpus and is never in one place.  A text's pairs go to the hash partitions of the table, packed
+per chunk of texts; each partition counts what it gets and sends back a sum per text.  A pair has the
+probability ``c / 2N`` from its count ``c`` in the *other* texts of the language (``N`` pairs in all) plus
+half of what the letter model gives its spelling, so the model needs no floor for new pairs.  A text's word
+score is half the summed negative log probability of its pairs (each word stands in two) per byte.  Real
+words in random order have ordinary letters, but no familiar pairs.
+
 A text's score is the median, over its blocks of ``BLOCK`` bytes, of the mean negative log probability
 per byte, so that a quotation in another language doesn't condemn it.  Each language's band is its median plus
 and minus ``SPREAD`` times the median absolute deviation (with a floor), both read off an exact
-histogram of all texts that pass the counting rules; a text outside is rejected.  Scores of short texts scatter
+histogram of all texts that pass the counting rules; a text outside is rejected, and so is one whose word score
+is above the word band, built alike (below it stand copies, which isn't a fault of their language).  Scores of short texts scatter
 more, so the band widens by ``SHORT / sqrt(bytes)``.
 
 Defined results: null text has no words and fails the base rule; a null or unknown language is scored
@@ -24,10 +33,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textops import map_slices, slices, text_buffers
+from tidemark.llm.textops import U64, Words, mix, slices, text_buffers
 from tidemark.llm.textstats import TextStats
 from tidemark.plans.staging import stage
 
@@ -39,6 +49,11 @@ SPREAD = 6.0
 FLOOR = 0.01
 SHORT = 2.0
 STEP = 0.002
+#: Hash partitions of the pair table: at least PARTS, more where one would get over PART_PAIRS pairs.
+PARTS = 1024
+PART_PAIRS = 1 << 20
+CHUNK_PAIRS = 512
+PACKED = "p long, chunk long, a binary, b binary, c binary, d binary"
 
 
 def _fold() -> np.ndarray:
@@ -181,12 +196,93 @@ def block_medians(value: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> np.
     return mean[order][first[:-1] + (blocks - 1) // 2]
 
 
-def _judge(model):
+def _totals(batches):
+    total: dict[int, int] = {}
+    for batch in batches:
+        for part in slices(batch, "text"):
+            lang, n = language(part), Words(*text_buffers(part.column("text"))).count
+            for k in np.unique(lang):
+                mine = n[lang == k]
+                total[int(k)] = total.get(int(k), 0) + int(mine.sum() + (mine > 0).sum())
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
+
+
+def pair_totals(texts: DataFrame) -> dict[int, int]:
+    """Word pairs of each language class."""
+    return {r.k: r.n for r in texts.select("lang", "text").mapInArrow(_totals, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+
+
+def word_pairs(s: TextStats, lang: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, pair) of a slice: row, pair hash, occurrences, and the letter model's mean log probability.
+    A text of n words has n + 1 pairs, with its start and its end; a word's letters include the gap before it."""
+    w, filled = s.words, np.flatnonzero(s.words.count)
+    upto = np.concatenate([[0], np.cumsum(lp)])
+    # per text: its start, its words, its end
+    n = w.count[filled] + 2
+    first = np.cumsum(n) - n
+    at = np.arange(len(w.start)) + 2 * np.searchsorted(filled, w.row) + 1
+    key, spelled = np.zeros(n.sum(), U64), np.zeros(n.sum())
+    key[at] = w.hashes(3, lower=True)
+    edge = np.zeros(n.sum(), np.int64)
+    edge[at], edge[first], edge[first + n - 1] = w.end, s.bounds[filled], s.bounds[filled + 1]
+    spelled[1:] = upto[edge[1:]] - upto[edge[:-1]]
+    spelled[first] = 0
+    inner = np.ones(n.sum(), bool)
+    inner[first] = False
+    second = np.flatnonzero(inner)
+    row = np.repeat(filled, n - 1)
+    pair = mix(mix(key[second - 1] + mix(lang[row].astype(U64) + U64(1))) * U64(3) + key[second])
+    order = np.lexsort((pair, row))
+    pair, row, base = pair[order], row[order], (spelled[second - 1] + spelled[second])[order]
+    new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])])[: len(pair)])
+    times = np.diff(np.append(new, len(pair)))
+    return row[new], pair[new], times, np.add.reduceat(base, new) / times if len(new) else np.zeros(0)
+
+
+def _packed(rows) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:2]] + [pa.array(c, pa.binary()) for c in cols[2:]], names=list("p chunk a b c d".split()))
+
+
+def _bytes(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _judge(model, total, parts):
+    """Per chunk of texts: a packed row with the texts' counts and letter scores (p < 0), and for each hash partition p one with
+    the chunk's pairs there: rows, pairs, occurrences, letter log probabilities less the log of the language's pairs."""
     def work(batches):
         dense: dict[int, np.ndarray] = {}
+        chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        docs, pairs, held, rows = [], [], 0, 0
         for batch in batches:
             for part in slices(batch, "text"):
-                yield one(part, dense)
+                scores, (row, *rest) = one(part, dense)
+                docs.append(scores)
+                pairs.append((row + rows, *rest))
+                rows += part.num_rows
+                held += len(row)
+                if held >= CHUNK_PAIRS * parts or rows >= 1 << 20:
+                    yield from flush(chunk, docs, pairs)
+                    chunk, docs, pairs, held, rows = chunk + 1, [], [], 0, 0
+        if docs:
+            yield from flush(chunk, docs, pairs)
+
+    def flush(chunk, docs, pairs):
+        yield _packed([(-1 - chunk, chunk, _bytes(docs), None, None, None)])
+        row, pair, times, base, shift = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        p = (pair % U64(parts)).astype(np.int64)
+        order = np.argsort(p, kind="stable")
+        p, row, pair, times, base, shift = (x[order] for x in (p, row, pair, times, base, shift))
+        cut = np.append(np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])[: len(p)]), len(p))
+        for i in range(0, len(cut) - 1, 256):
+            yield _packed([(int(p[x]), chunk, np.diff(row[x:y], prepend=0).astype(np.uint32).tobytes(), pair[x:y].tobytes(), times[x:y].astype(np.uint32).tobytes(),
+                            np.stack([base[x:y], shift[x:y]]).astype(np.float32).tobytes()) for x, y in zip(cut[i : i + 256], cut[i + 1 : i + 257], strict=False)])
 
     def one(part, dense):
         s = TextStats(part.column("text"))
@@ -209,16 +305,55 @@ def _judge(model):
         size = np.diff(s.bounds)
         failed = (s.n_words < 50) | (100 * s.n_repeat_words > 50 * s.n_words)
         cols = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines.astype(np.int64), s.n_repeat_words]
-        return pa.RecordBatch.from_arrays(
+        scores = pa.RecordBatch.from_arrays(
             [part.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in cols), pa.array(failed), pa.array(lang.astype(np.int32)),
              pa.array(-block_medians(lp_all, row, s.bounds)), pa.array(size.astype(np.int64))],
             names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "k", "surprise", "size"])
+        own, pair, times, base = word_pairs(s, lang, lp_all)
+        shift = np.array([np.log(max(total.get(int(k), 1), 1)) for k in range(int(lang.max(initial=0)) + 1)])
+        return scores, (own, pair, times, base, shift[lang[own]])
     return work
 
 
-def bands(scored: DataFrame) -> dict[int, tuple[float, float]]:
+def _score_pairs(group: pa.Table) -> pa.Table:
+    """One hash partition of the pair table: counts its pairs, then sums each text's log probabilities per chunk."""
+    if group["p"][0].as_py() < 0:
+        return group
+    chunks, a, b, c, d = (group[x].to_pylist() for x in ("chunk", "a", "b", "c", "d"))
+    size = [len(x) // 8 for x in b]
+    edge = np.cumsum([0, *size])
+    pair, times = np.frombuffer(b"".join(b), U64), np.frombuffer(b"".join(c), np.uint32).astype(np.int64)
+    _, inverse = np.unique(pair, return_inverse=True)
+    others = np.bincount(inverse, times)[inverse] - times
+    out = []
+    for i, chunk in enumerate(chunks):
+        base, shift = np.frombuffer(d[i], np.float32).reshape(2, -1).astype(float)
+        seen, n = others[edge[i] : edge[i + 1]], times[edge[i] : edge[i + 1]]
+        with np.errstate(divide="ignore"):
+            lp = np.logaddexp(np.log(seen) - shift, base) - np.log(2)
+        row = np.cumsum(np.frombuffer(a[i], np.uint32).astype(np.int64))
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        out.append((0, chunk, row[first].astype(np.uint32).tobytes(), np.add.reduceat(lp * n, first).astype(np.float32).tobytes(), None, None))
+    return pa.Table.from_batches([_packed(out)])
+
+
+def _assemble(group: pa.Table) -> pa.Table:
+    """The texts of a chunk with their word scores: the partitions' sums put together."""
+    docs, total = None, None
+    p, a, b = (group[x].to_pylist() for x in ("p", "a", "b"))
+    for i in np.argsort(p):  # the texts' own row has p < 0
+        if p[i] < 0:
+            docs = pa.ipc.open_stream(a[i]).read_all()
+            total = np.zeros(docs.num_rows)
+        else:
+            total[np.frombuffer(a[i], np.uint32)] += np.frombuffer(b[i], np.float32)
+    score = -total / 2 / np.maximum(docs["size"].to_numpy(), 1)
+    return docs.append_column("word_surprise", pa.array(score))
+
+
+def bands(scored: DataFrame, score: str = "surprise") -> dict[int, tuple[float, float]]:
     """Per language: median and median absolute deviation of the scores of texts that pass the base rules."""
-    hist = scored.filter("NOT base_failed").groupBy("k", F.floor(F.col("surprise") / STEP).alias("b")).agg(F.count("*").alias("n")).collect()
+    hist = scored.filter("NOT base_failed").groupBy("k", F.floor(F.col(score) / STEP).alias("b")).agg(F.count("*").alias("n")).collect()
     out = {}
     for k in {r.k for r in hist}:
         b, n = (np.array(c, float) for c in zip(*sorted((r.b, r.n) for r in hist if r.k == k), strict=True))
@@ -233,16 +368,23 @@ def bands(scored: DataFrame) -> dict[int, tuple[float, float]]:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the counts, base_failed, perplexity and kept."""
+    """One row per row of ``docs``: doc_id, the counts, base_failed, perplexity and word_perplexity (both per byte) and kept."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     model = spark.sparkContext.broadcast(fit(texts.select("lang", "text")))
-    scored = stage(texts.mapInArrow(_judge(model), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                                    "n_repeat_words long, base_failed boolean, k int, surprise double, size long"), "scored")
-    band = bands(scored)
-    mid, width = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for k, (m, d) in band.items():
-        mid, width = F.when(F.col("k") == k, m).otherwise(mid), F.when(F.col("k") == k, d).otherwise(width)
-    off = F.abs(F.col("surprise") - mid) > SPREAD * width + SHORT / F.sqrt(F.col("size"))
+    total = pair_totals(texts)
+    parts = max(PARTS, sum(total.values()) // PART_PAIRS)
+    packed = texts.mapInArrow(_judge(model, total, parts), PACKED).groupBy("p").applyInArrow(_score_pairs, PACKED)
+    scored = stage(packed.groupBy("chunk").applyInArrow(_assemble, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+                   "n_repeat_words long, base_failed boolean, k int, surprise double, size long, word_surprise double"), "scored")
+
+    def limits(score):
+        mid, width = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for k, (m, d) in bands(scored, score).items():
+            mid, width = F.when(F.col("k") == k, m).otherwise(mid), F.when(F.col("k") == k, d).otherwise(width)
+        return F.col(score) - mid, SPREAD * width + SHORT / F.sqrt(F.greatest("size", F.lit(1)))
+    (above, most), (above_word, most_word) = limits("surprise"), limits("word_surprise")
+    off = (F.abs(above) > most) | (above_word > most_word)
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                         F.exp("surprise").alias("perplexity"), (~F.col("base_failed") & ~F.coalesce(off, F.lit(False))).alias("kept"))
+                         F.exp("surprise").alias("perplexity"), F.exp("word_surprise").alias("word_perplexity"),
+                         (~F.col("base_failed") & ~F.coalesce(off, F.lit(False))).alias("kept"))
