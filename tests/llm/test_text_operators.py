@@ -161,6 +161,17 @@ def test_url_rules_and_model(spark):
     assert U.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_rare_url_words_count_in_a_large_table(spark):
+    def word(i):
+        return "q" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    pages = [" ".join(map(word, range(k, k + 1000))) for k in range(0, 210_000, 1000)]  # each once
+    rows = [(i, f"x://w.example.com/{page.replace(' ', '-')}", page) for i, page in enumerate(pages)]
+    rows += [(500, f"x://{word(7)}{word(90_000)}.example.com/", ""), (501, "x://spam.example.com/lynx", ""), (502, "x://spam.example.com/", "")]
+    got = {r.page_id: r for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), []).collect()}
+    assert len(got) == len(rows) and got[500].features[:2] == [word(7), word(90_000)]
+    assert got[501].block_score > got[502].block_score
+
+
 def test_segmentation_is_the_best_split():
     words = {"ab": -1.0, "abc": -2.5, "c": -1.0, "cd": -1.2, "d": -3.0}
     assert U.segments(["abcd", "abc", "", "zz"], words) == [["ab", "cd"], ["ab", "c"], [], ["zz"]] or U.segments(["abcd"], words) == [["ab", "cd"]]

@@ -7,9 +7,10 @@ letter.  Segments and path tokens are the features of a multinomial naive Bayes
 
 The model is trained here, on every url: one whose segmented host holds a word of ``SEEDS`` counts as
 blocked, the others as allowed.  It then judges by all words that go with such hosts, not by the seeds
-alone.  The word table and the model keep at most their ``VOCABULARY`` most frequent entries, counted over all
-rows; that bounds what goes to the tasks, and rarer words count as unknown.  Urls with a rule get the
-rule's verdict, the others the model's.
+alone.  Word table and model hold every word and feature, however rare, and stay distributed: the substrings
+of the distinct host labels are joined with the word counts, so a task gets just the entries that its labels
+need, and the urls' features are joined with the model.  Urls with a rule get the rule's verdict, the others
+the model's.
 
 Defined results: null urls and urls without ``://`` have empty host and path and match no rule, so the
 model's prior decides; rows that repeat are judged each; extra columns are ignored; an empty table gives
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.staging import stage
 
-VOCABULARY = 200_000
 LONGEST = 24
 #: Words of hosts that trade in adverts, wagers, drugs, loans and spam.
 SEEDS = ("ads adserver banner bet bets betting casino cheap clickbait doubleclick escort free gambling jackpot "
@@ -68,10 +68,10 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def segments(labels: list[str], words: dict[str, float]) -> list[list[str]]:
-    """Most probable words of each label; ``words`` maps a word to its log share."""
+def segments(labels: list[str], words: dict[str, float], floor: float | None = None) -> list[list[str]]:
+    """Most probable words of each label; ``words`` maps a word to its log share, ``floor`` is the least share of all."""
     out: list[list[str]] = [[] for _ in labels]
-    floor = min(words.values(), default=0.0)
+    floor = min(words.values(), default=0.0) if floor is None else floor
     by_length: dict[int, list[int]] = {}
     for i, x in enumerate(labels):
         by_length.setdefault(len(x), []).append(i)
@@ -102,77 +102,88 @@ def host_labels(host: str) -> list[str]:
     return [x for x in re.split(r"[^\w]+|_", host) if x]
 
 
-def url_features(hosts: list[str], paths: list[str], words: dict[str, float]) -> list[list[str]]:
-    """Features of urls: words of the segmented host labels, and path tokens marked by a slash."""
-    labels = [host_labels(h) for h in hosts]
-    names = sorted({x for own in labels for x in own})
-    known = dict(zip(names, segments(names, words), strict=True))
-    return [[s for x in own for s in known[x]] + path_tokens(p) for own, p in zip(labels, paths, strict=True)]
+def word_counts(html: DataFrame) -> tuple[DataFrame, int, int]:
+    """Counts of the visible words of all pages (w, n), their sum and their least; the seeds count as often as the
+    commonest word in a thousand, so that they are words wherever they stand."""
+    visible = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), r"(?s)<(script|style)\b.*?</\1|<[^>]*>|&#?\w+;?", " ")
+    words = html.select(F.explode(F.split(visible, r"[^\p{L}]+")).alias("w")).filter(f"length(w) BETWEEN 2 AND {LONGEST}")
+    seen = stage(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    usual = max(1, (seen.agg(F.sum("n").alias("n")).first().n or 0) // 1000)
+    seeds = html.sparkSession.createDataFrame([(w, usual) for w in SEEDS], "w string, n long")
+    count = seen.union(seeds.join(seen.select("w"), "w", "left_anti")).withColumn("n", F.when(F.col("w").isin(*SEEDS), F.greatest("n", F.lit(usual))).otherwise(F.col("n")))
+    whole = count.agg(F.sum("n").alias("n"), F.min("n").alias("least")).first()
+    return count, whole.n, whole.least
 
 
-def most_frequent(counts: DataFrame, limit: int) -> list:
-    """The rows of ``counts`` (..., n) of the highest counts, at most ``limit``: those from the least eighth of an
-    octave on that still fits.  Tasks send a histogram of some hundred rows, then only the rows asked for."""
-    counts = stage(counts, "counts")
-    octave = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    total, cut = 0, None
-    for r in sorted(counts.groupBy(octave.alias("o")).agg(F.count("*").alias("k")).collect(), reverse=True):
-        total += r.k
-        if total > limit:
-            break
-        cut = r.o
-    return counts.filter(octave >= cut).collect() if cut is not None else []
+def _labelled(batches):
+    for batch in batches:
+        rows = [(h, i, x) for h in batch.column("host").to_pylist() for i, x in enumerate(host_labels(h))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["host", "at", "label"])
 
 
-def word_model(html: DataFrame) -> dict[str, float]:
-    """Log shares of the visible words of all pages; the seeds count as often as the commonest word in a
-    thousand, so that they are words wherever they stand."""
-    visible = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), r"(?s)<(script|style)\b.*?</\1|<[^>]*>|&#?\w+;?", " ")
-    words = html.select(F.explode(F.split(visible, r"[^\p{L}]+")).alias("w")).filter(f"length(w) BETWEEN 2 AND {LONGEST}")
-    count = {r.w: r.n for r in most_frequent(words.groupBy("w").agg(F.count("*").alias("n")), VOCABULARY)}
-    usual = max(1, sum(count.values()) // 1000)
-    count |= {w: max(usual, count.get(w, 0)) for w in SEEDS}
-    total = sum(count.values())
-    return {w: float(np.log(n / total)) for w, n in count.items()}
+def _substrings(batches):
+    for batch in batches:
+        for x in batch.column("label").to_pylist():
+            own = sorted({x[i:j] for i in range(len(x)) for j in range(i + 2, min(len(x), i + LONGEST) + 1)})
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(own), pa.string()), pa.array(own, pa.string())], names=["label", "w"])
+
 
+def _segmented(total, least):
+    floor = float(np.log(least / total))
 
-def _featured(words):
     def run(batches):
         for batch in batches:
-            found = url_features(batch.column("host").to_pylist(), batch.column("path").to_pylist(), words.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, "features"])
+            labels = batch.column("label").to_pylist()
+            # a label's entries are all its substrings that are words, so the entries of a batch serve each of its labels
+            words = {e["w"]: float(np.log(e["n"] / total)) for own in batch.column("known").to_pylist() for e in own or ()}
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(segments(labels, words, floor), pa.list_(pa.string()))], names=["label", "words"])
     return run
 
 
-def naive_bayes(rows: DataFrame) -> tuple[dict[str, float], float]:
-    """Log odds for blocking of each feature, and the prior's, from rows (features, seeded)."""
+def host_words(hosts: DataFrame, html: DataFrame) -> DataFrame:
+    """(host, words) of the distinct ``hosts`` (host) that have a label: the words of their labels in order."""
+    count, total, least = word_counts(html)
+    labelled = stage(hosts.distinct().mapInArrow(_labelled, "host string, at int, label string"), "labels")
+    labels = labelled.select("label").distinct()
+    known = (labels.mapInArrow(_substrings, "label string, w string").join(count, "w").groupBy("label")
+             .agg(F.collect_list(F.struct("w", "n")).alias("known")))
+    split = labels.join(known, "label", "left").mapInArrow(_segmented(total, least), "label string, words array<string>")
+    return (labelled.join(split, "label").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("own"))
+            .select("host", F.flatten("own.words").alias("words")))
+
+
+def _pathed(batches):
+    """Features of urls: the words of their host, and path tokens marked by a slash."""
+    for batch in batches:
+        found = [(w or []) + path_tokens(p) for w, p in zip(batch.column("words").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "page_id", "host", "path")), pa.array(found, pa.list_(pa.string()))],
+                                         names=["id", "page_id", "host", "path", "features"])
+
+
+def naive_bayes(rows: DataFrame) -> tuple[DataFrame, float]:
+    """Log odds for blocking of each feature (f, odds), and the prior's, from rows (features, seeded)."""
     by = rows.groupBy().agg(F.sum(F.col("seeded").cast("long")).alias("bad"), F.count("*").alias("n")).first()
     bad, good = by.bad or 0, by.n - (by.bad or 0)
     one = F.col("seeded").cast("long")
-    counts = most_frequent(rows.select(F.explode("features").alias("f"), "seeded").groupBy("f").agg(
-        F.sum(one).alias("b"), F.sum(1 - one).alias("g"), F.count("*").alias("n")), VOCABULARY)
-    sums = [sum(r.b for r in counts) + SMOOTH * len(counts), sum(r.g for r in counts) + SMOOTH * len(counts)]
-    odds = {r.f: float(np.log((r.b + SMOOTH) / sums[0]) - np.log((r.g + SMOOTH) / sums[1])) for r in counts}
-    return odds, float(np.log(bad + SMOOTH) - np.log(good + SMOOTH))
+    counts = stage(rows.select(F.explode("features").alias("f"), "seeded").groupBy("f").agg(F.sum(one).alias("b"), F.sum(1 - one).alias("g")), "counts")
+    whole = counts.agg(F.sum("b").alias("b"), F.sum("g").alias("g"), F.count("*").alias("n")).first()
+    sums = [float((x or 0) + SMOOTH * max(whole.n, 1)) for x in (whole.b, whole.g)]
+    odds = F.log((F.col("b") + SMOOTH) / sums[0]) - F.log((F.col("g") + SMOOTH) / sums[1])
+    return counts.select("f", odds.alias("odds")), float(np.log(bad + SMOOTH) - np.log(good + SMOOTH))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, block_score and host words."""
-    sc = pages.sparkSession.sparkContext
     host, path = split_url(F.col("url"))
-    split = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    words = sc.broadcast(word_model(pages))
-    rows = stage(split.mapInArrow(_featured(words), "page_id long, host string, path string, features array<string>")
+    split = stage(pages.select(F.monotonically_increasing_id().alias("id"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")), "split")
+    named = split.join(host_words(split.select("host"), pages.select("html")), "host", "left").select("id", "page_id", "host", "path", "words")
+    rows = stage(named.mapInArrow(_pathed, "id long, page_id long, host string, path string, features array<string>")
                  .withColumn("seeded", F.arrays_overlap("features", F.array(*map(F.lit, SEEDS)))), "urls")
     odds, prior = naive_bayes(rows)
-    table = sc.broadcast(odds)
-
-    def score(batches):
-        for batch in batches:
-            s = [prior + sum(table.value.get(f, 0.0) for f in own) for own in batch.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "features")), pa.array(s, pa.float64())],
-                                             names=["page_id", "host", "path", "features", "block_score"])
-    scored = rows.mapInArrow(score, "page_id long, host string, path string, features array<string>, block_score double")
+    # sorted, so that equal urls get equal scores to the last bit
+    own = F.aggregate(F.array_sort(F.collect_list("odds")), F.lit(0.0), lambda a, x: a + x)
+    sums = rows.select("id", F.explode("features").alias("f")).join(odds, "f").groupBy("id").agg(own.alias("sum"))
+    scored = rows.join(sums, "id", "left").withColumn("block_score", F.lit(prior) + F.coalesce("sum", F.lit(0.0)))
     fit = best_rule(F.col("host"), F.col("path"), rules)
     return scored.withColumn("fit", fit).select(
         "page_id", "host", "path", F.col("fit.text").alias("rule"),
