@@ -146,6 +146,19 @@ def test_surrogates_stay_distinct(spark):
         assert not {n for _, n in pairs} & set(old)
 
 
+def test_written_names_stay_distinct_and_agree(spark):
+    rows = [(i, f"Mr Q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x") for i in range(1500)]
+    rows += [(2000, "Mr John Smith came. Mr Smith left. Mrs Smith stayed. Mr Paul Smith, too.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    new = {r.doc_id: r.text for r in P.replace_entities(df).collect()}
+    assert len({new[i] for i in range(1500)}) == 1500
+    full, short, her, other = re.fullmatch(r"Mr (\w+ \w+) came. Mr (\w+) left. Mrs (\w+) stayed. Mr (\w+ \w+), too.", new[2000]).groups()
+    assert full.split()[1] == short == her == other.split()[1] != "Smith" and full != other
+    # a surrogate that is a last word of the corpus is drawn again
+    again = {r.text for r in P.replace_entities(df.union(spark.createDataFrame([(3000, f"Mr Max {short}")], df.schema))).filter("doc_id = 2000").collect()}
+    assert short not in " ".join(again)
+
+
 def test_url_rules_and_model(spark):
     rules = [U.Rule("net", "/", "block"), U.Rule("example.net", "/en/", "allow"), U.Rule("example.com", "/de/", "block"), U.Rule("org", "/fr/", "allow")]
     rows = [(1, "https://M.Example.NET/en/5?x#y"), (2, "http://a.net"), (3, "http://a.net/"), (4, "x://sub.example.com/de/1"), (5, "x://badexample.com/de/"), (6, None), (7, "nothing"),

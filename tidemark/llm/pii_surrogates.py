@@ -7,9 +7,11 @@ drawn from a keyed SHA-512 stream of the entity's canonical form, so it is the s
 and has the same type: letters stay letters and digits digits, with their case and separators; addresses
 keep valid octets, cards their check digit, e-mails their top-level domain and one surrogate per domain,
 phones their country code; names match the title's gender and the script (Latin or Cyrillic).
+A name's last word is an entity of its own (kind ``surname``, per script), so full and short forms agree.
 
 Collision check: over the distinct entities of all documents, a surrogate that another entity has, or
-that is itself an entity of the corpus, is drawn again, until all are distinct.  Entities are made
+that is itself an entity of the corpus, is drawn again, until all are distinct as they are written: last
+words among all last words, first names among those of one gender and last word.  Entities are made
 distinct by partial aggregation, so a hot one is one row per task.  Only entities drawn again are joined
 back, to the documents that hold them; all other surrogates are computed in place, between two splits of
 the text, so texts cross no exchange while that list is small enough for the planner to broadcast.
@@ -113,8 +115,25 @@ def _pick(words: str, value: str) -> str:
     return f"element_at(split({_quoted(words)}, ' '), 1 + CAST({value} % {len(words.split())} AS INT))"
 
 
-def _surrogate(kind: str, canon: str, attempt: str) -> str:
-    """SQL: the canonical surrogate of a canonical entity.  One draw serves all types: what of the entity is
+def _last(canon: str) -> str:
+    """SQL: canonical form of a name's last word: script and word."""
+    return f"(CASE WHEN {canon} LIKE '_c:%' THEN 'c:' ELSE 'l:' END || substring_index(substring_index({canon}, ':', -1), ' ', -1))"
+
+
+def _surname(last: str, attempt: str) -> str:
+    """SQL: surrogate of a canonical last word, a syllable longer with every attempt."""
+    pick = f"CASE WHEN {last} LIKE 'c:%' THEN {_pick(SYLLABLE_C, _byte('h', 'i'))} ELSE {_pick(SYLLABLE, _byte('h', 'i'))} END"
+    return f"array_join(transform(array({_stream(f"concat('surname', {last})", attempt)}), h -> initcap(array_join(transform(sequence(1, 3 + {attempt}), i -> {pick}), ''))), '')"
+
+
+def _first(canon: str, attempt: str) -> str:
+    """SQL: surrogate first name of a canonical name; every attempt joins one name more."""
+    pick = "CASE " + " ".join(f"WHEN {canon} LIKE '{g}:%' THEN {_pick(FIRST[g], _byte('h', 'i'))}" for g in ("mc", "fc", "m", "f")) + " END"
+    return f"array_join(transform(array({_stream(f"concat('name', {canon})", attempt)}), h -> initcap(array_join(transform(sequence(1, 1 + {attempt}), i -> {pick}), ''))), '')"
+
+
+def _surrogate(kind: str, canon: str, attempt: str, last_attempt: str) -> str:
+    """SQL: the canonical surrogate of a canonical entity; of a name's last word the attempt is ``last_attempt``.  One draw serves all types: what of the entity is
     drawn depends on its type, and so does what is put around it."""
     h = _stream(f"concat({kind}, {canon})", attempt)
     host = f"regexp_replace(substring_index({canon}, '@', -1), '[.][^.]*$', '')"
@@ -124,9 +143,7 @@ def _surrogate(kind: str, canon: str, attempt: str) -> str:
     letters = f"CASE WHEN {kind} = 'secret' AND {canon} RLIKE '^[0-9A-Fa-f]+$' THEN 'abcdef' ELSE 'abcdefghijklmnopqrstuvwxyz' END"
     drawn = f"array_join(transform(array(named_struct('t', {part}, 'l', {letters})), p -> {_drawn('p.t', h, 'p.l')}), '')"
     ip = "array_join(transform(array(" + h + "), h -> array_join(transform(sequence(1, 4), i -> CAST(CASE WHEN i = 1 THEN 1 + " + _byte("h", "i") + " % 223 ELSE " + _byte("h", "i") + " END AS STRING)), '.')), '')"
-    first = "CASE " + " ".join(f"WHEN {canon} LIKE '{g}:%' THEN {_pick(FIRST[g], _byte('h', '1'))}" for g in ("mc", "fc", "m", "f")) + " END"
-    tail = f"array_join(transform(sequence(2, 4 + {attempt}), i -> CASE WHEN {canon} RLIKE '^.c:' THEN {_pick(SYLLABLE_C, _byte('h', 'i'))} ELSE {_pick(SYLLABLE, _byte('h', 'i'))} END), '')"
-    name = f"array_join(transform(array({h}), h -> {first} || ' ' || initcap({tail})), '')"
+    name = f"{_first(canon, attempt)} || ' ' || {_surname(_last(canon), last_attempt)}"
     around = (f"CASE {kind} WHEN 'email' THEN d || '@' || {_drawn(host, _stream(host, '0'))} || '.' || substring_index({canon}, '.', -1) "
               f"WHEN 'card' THEN d || CAST((10 - {_luhn('(d || 0)')}) % 10 AS STRING) WHEN 'phone' THEN substr({canon}, 1, {at}) || d "
               f"WHEN 'iban' THEN substr({canon}, 1, 2) || d WHEN 'ip' THEN {ip} WHEN 'name' THEN {name} ELSE d END")
@@ -154,12 +171,26 @@ def found_entities(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__hits", hits).withColumn("__kinds", F.expr(kinds)).withColumn("__found", F.expr(canon)).drop("__hits", "__kinds")
 
 
+def with_surnames(entities: DataFrame) -> DataFrame:
+    """``entities`` (kind, canon, ...) and, for every name, its last word as an entity of kind ``surname``."""
+    own = f"CASE WHEN kind = 'name' THEN array(named_struct('kind', kind, 'canon', canon), named_struct('kind', 'surname', 'canon', {_last('canon')})) ELSE array(named_struct('kind', kind, 'canon', canon)) END"
+    rest = [c for c in entities.columns if c not in ("kind", "canon")]
+    return entities.withColumn("__own", F.explode(F.expr(own))).select(*rest, "__own.kind", "__own.canon")
+
+
+def written(kind: str, canon: str, attempt: str) -> str:
+    """SQL: what must be distinct, in the form of ``canon`` where it may equal an entity.  Last words are one to one and
+    none is an entity, so a first name need only differ from the others before its last word."""
+    return (f"CASE {kind} WHEN 'surname' THEN substr({canon}, 1, 2) || lower({_surname(canon, attempt)}) "
+            f"WHEN 'name' THEN concat(substring_index({canon}, ':', 1), ':', {_first(canon, attempt)}, '|', {_last(canon)}) ELSE {_surrogate(kind, canon, attempt, '0')} END")
+
+
 def redrawn(entities: DataFrame) -> DataFrame:
-    """(kind, canon, attempt) of the distinct ``entities`` whose surrogate collides at attempt 0."""
-    known = stage(entities.filter("kind IS NOT NULL").distinct(), "entities")
+    """(kind, canon, attempt) of the distinct ``entities``, and last words of names, whose surrogate collides at attempt 0."""
+    known = stage(with_surnames(entities.filter("kind IS NOT NULL")).filter("kind <> 'name' OR canon LIKE '% %'").distinct(), "entities")
     now = known.withColumn("attempt", F.lit(0))
     while True:
-        drawn = stage(now.withColumn("s", F.expr(_surrogate("kind", "canon", "attempt"))), "drawn")
+        drawn = stage(now.withColumn("s", F.expr(written("kind", "canon", "attempt"))), "drawn")
         shared = drawn.groupBy("kind", "s").agg(F.min_by("canon", F.struct(F.col("attempt"), "canon")).alias("owner"), F.count("*").alias("n"))
         taken = known.select("kind", F.col("canon").alias("s"), F.lit(True).alias("real"))
         bad = shared.join(taken, ["kind", "s"], "left").filter("n > 1 OR real").select("kind", "s", "owner", F.coalesce("real", F.lit(False)).alias("real"))
@@ -180,10 +211,12 @@ def replace_entities(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         rows = rows.withColumn("__again", F.expr("CAST(map() AS map<string,int>)"))
     else:
-        held = found_entities(base.select(F.xxhash64("text").alias("__tid"), "text")).select("__tid", F.explode("__found").alias("x")).select("__tid", "x.kind", "x.canon").distinct()
+        held = found_entities(base.select(F.xxhash64("text").alias("__tid"), "text")).select("__tid", F.explode("__found").alias("x")).select("__tid", "x.kind", "x.canon").filter("kind IS NOT NULL")
+        held = with_surnames(held).distinct()
         per = stage(held.join(again, ["kind", "canon"]).groupBy("__tid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("__again")), "held")
         rows = rows.join(per, F.xxhash64("text") == F.col("__tid"), "left").drop("__tid").withColumn("__again", F.coalesce("__again", F.expr("CAST(map() AS map<string,int>)")))
-    drawn = f"transform(__found, x -> CASE WHEN x.kind IS NULL THEN x.m ELSE array_join(transform(array({_surrogate('x.kind', 'x.canon', 'coalesce(try_element_at(__again, concat_ws(chr(58), x.kind, x.canon)), 0)')}), s -> {_render('x.m', 'x.kind', 's')}), '') END)"
+    attempt = lambda kind, canon: f"coalesce(try_element_at(__again, concat_ws(chr(58), {kind}, {canon})), 0)"
+    drawn = f"transform(__found, x -> CASE WHEN x.kind IS NULL THEN x.m ELSE array_join(transform(array({_surrogate('x.kind', 'x.canon', attempt('x.kind', 'x.canon'), attempt("'surname'", _last('x.canon')))}), s -> {_render('x.m', 'x.kind', 's')}), '') END)"
     pieces = f"zip_with(split(text, {_quoted(ANY)}, -1), __surrogates, (p, s) -> concat(p, coalesce(s, '')))"
     out = rows.withColumn("__surrogates", F.expr(drawn)).withColumn("__new", F.expr(f"CASE WHEN size(__found) = 0 THEN text ELSE array_join({pieces}, '') END"))
     kinds = "filter(transform(__found, x -> x.kind), k -> k IS NOT NULL)"
