@@ -17,7 +17,10 @@ from tidemark.llm.quality_classifier import score_quality
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.sentencepiece import encode_texts
 from tidemark.llm.substring_dedup import remove_repeats
+from tidemark.llm.token_alignment import align_tokens
+from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.url_filter import Rule, judge_urls
+from tidemark.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +92,18 @@ def license_scan(spark, sf):
     docs = table(spark, sf, "documents")
     path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
     return scan_licences(docs.select("doc_id", path.alias("path"), "text"))
+
+
+@query("op11_token_alignment")
+def token_alignment(spark, sf):
+    return align_tokens(table(spark, sf, "documents"))
+
+
+@query("op12_whitening")
+def whitening(spark, sf):
+    return whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query("op13_token_counts")
+def token_counts(spark, sf):
+    return count_tokens(table(spark, sf, "documents"))
