@@ -23,12 +23,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def once(spark: SparkSession, key: tuple, make) -> DataFrame:
-    """Build a staged table once per application; its files live in the shared folder."""
+def once(spark: SparkSession, key: tuple, make, by=None) -> DataFrame:
+    """Build a staged table once per application; its files live in the shared folder.  A key that another
+    builder (``make``, or ``by`` where that only wraps it) has used is refused."""
     full = (spark.sparkContext.applicationId, *key)
+    code = (by or make).__code__
+    builder = code.co_filename, code.co_firstlineno
     if full not in _TABLES:
-        _TABLES[full] = make()
-    return _TABLES[full]
+        _TABLES[full] = make(), builder
+    out, first = _TABLES[full]
+    if first != builder:
+        raise ValueError(f"two builders for {key}")
+    return out
 
 
 def symbol_of(event_type: Column) -> Column:

@@ -15,24 +15,40 @@ from tidemark.catalog.util import OHLC, recur, rounded, sel
 from tidemark.operators import rules as R
 from tidemark.plans.staging import shared_dir, stage
 from tidemark.streaming import live as L
+from tidemark.streaming import live_rules as LR
+from tidemark.streaming.late import run_late_loop
 
 CUT = (1704700000, 1705500000)
+CUT5 = (1704500000, 1704800000, 1705200000, 1705700000)
+FILES = 2
 
 
 def _fresh(spark, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
-def feed(spark, sf, name: str, make, ts: str):
-    """A folder with three time-ordered files sets, read as three micro-batches."""
+def feed(spark, sf, name: str, make, ts: str, cuts=CUT):
+    """A folder with time-ordered sets of files; the stream reads it in micro-batches of a set's size."""
     def build():
-        root = _fresh(spark, f"feed-{name}")
         df = make()
-        for lo, hi in ((0, CUT[0]), (CUT[0], CUT[1]), (CUT[1], 2**40)):
-            df.filter((F.col(ts) > lo) & (F.col(ts) <= hi)).coalesce(1).write.mode("append").parquet(root)
-        return root, df.schema
-    root, schema = once(spark, ("feed", name, sf), build)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+        edges = (0, *cuts, 2**40)
+        return written_feed(spark, name, [df.filter((F.col(ts) > lo) & (F.col(ts) <= hi)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]), df.schema
+    root, schema = once(spark, ("feed", name, sf), build, by=make)
+    return open_feed(spark, root, schema)
+
+
+def written_feed(spark, name: str, batches, root: str | None = None) -> str:
+    """Each batch as ``FILES`` files, dealt by row and written in parallel; later batches have later files."""
+    root = root or _fresh(spark, f"feed-{name}")
+    for b in batches:
+        if b.isEmpty():  # it would leave one file, and shift the sets of all later micro-batches
+            continue
+        b.repartition(FILES).write.mode("append").parquet(root)
+    return root
+
+
+def open_feed(spark, root: str, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(root)
 
 
 def minute_feed(spark, sf):
@@ -64,28 +80,28 @@ def _(spark, sf):
     return rounded(out.select(*BK, "emit_ts", *OHLC))
 
 
-def late_feed(spark, sf):
-    """The minutes of ``minute_feed``, where later batches also bring open, repeated and late minutes."""
-    def make():
-        m = minutes(spark, sf)
-        late = m.filter("close_ts % 3 = 0").withColumns({"close": F.lit(-5.0), "low": F.lit(-5.0), "volume": F.lit(1e6)})
-        return m, late
+def noisy(spark, sf, cuts=CUT):
+    """The minutes in batches, of which each also brings open minutes, and every later one repeated and late ones."""
+    m = minutes(spark, sf)
+    late = m.filter("close_ts % 3 = 0").withColumns({"close": F.lit(-5.0), "low": F.lit(-5.0), "volume": F.lit(1e6)})
+    open_, edges = late.withColumn("closed", F.lit(False)), (0, *cuts, 2**40)
+    out = []
+    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        own = (F.col("close_ts") > lo) & (F.col("close_ts") <= hi)
+        part = m.filter(own).unionByName(open_.filter(own))
+        out.append(part.unionByName(late.filter(F.col("close_ts") <= lo)) if k else part)
+    return out
+
+
+def noisy_feed(spark, sf):
     def build():
-        root = _fresh(spark, "feed-late")
-        m, late = make()
-        open_ = late.withColumn("closed", F.lit(False))
-        for k, (lo, hi) in enumerate(((0, CUT[0]), (CUT[0], CUT[1]), (CUT[1], 2**40))):
-            part = m.filter((F.col("close_ts") > lo) & (F.col("close_ts") <= hi)).unionByName(open_.filter((F.col("close_ts") > lo) & (F.col("close_ts") <= hi)))
-            part = part.unionByName(late.filter(F.col("close_ts") <= lo)) if k else part
-            part.coalesce(1).write.mode("append").parquet(root)
-        return root, m.schema
-    root, schema = once(spark, ("feed", "late", sf), build)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+        return written_feed(spark, "noisy", noisy(spark, sf)), minutes(spark, sf).schema
+    return open_feed(spark, *once(spark, ("feed", "noisy", sf), build))
 
 
 @query("str01_keyed_bars_late_minutes", sel("bars_all", [*BK, "emit_ts"], OHLC, all_bars_cte("15m", "1h", "1d"), "emit_ts IS NOT NULL"))
 def _(spark, sf):
-    out = drain(spark, L.keyed_bars(late_feed(spark, sf), ["15m", "1h", "1d"]))
+    out = drain(spark, L.keyed_bars(noisy_feed(spark, sf), ["15m", "1h", "1d"]))
     return rounded(out.select(*BK, "emit_ts", *OHLC))
 
 
@@ -113,7 +129,7 @@ def _cursor(spark, sf):
     """Bars of which every seventh minute reports a day late."""
     def make():
         late = F.when(F.col("close_ts") % 420 == 0, F.col("close_ts") - 86400).otherwise(F.col("close_ts"))
-        fd = feed(spark, sf, "late", lambda: minutes(spark, sf).select("symbol", F.col("close_ts").alias("seen_ts"), late.alias("close_ts")), "seen_ts")
+        fd = feed(spark, sf, "day-late", lambda: minutes(spark, sf).select("symbol", F.col("close_ts").alias("seen_ts"), late.alias("close_ts")), "seen_ts")
         return drain(spark, L.cursor(fd))
     return once(spark, ("cursor", sf), make)
 
@@ -128,6 +144,17 @@ def _(spark, sf):
     return _cursor(spark, sf).filter("gap_from IS NOT NULL").select("symbol", "gap_from", "gap_to")
 
 
+_AGAIN = "(close_ts % 3 = 0 AND close_ts <= 1705500000)"
+
+
+@query("str04_late_loop", sel("bars_all", BK, OHLC, all_bars_cte("15m", "1h", "1d", "1mon").replace("m1 AS MATERIALIZED (", "m0 AS MATERIALIZED (", 1).replace("bars_all AS", f"m1 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {_AGAIN} THEN -5.0 ELSE low END AS low, CASE WHEN {_AGAIN} THEN -5.0 ELSE close END AS close, CASE WHEN {_AGAIN} THEN 1e6::DOUBLE ELSE volume END AS volume) FROM m0),\nbars_all AS", 1), "emit_ts IS NOT NULL"))
+def _(spark, sf):
+    """Stored bars after a stream in which a third of all minutes came again later, with other values."""
+    m, b = _fresh(spark, "minutes"), _fresh(spark, "bars")
+    run_late_loop(noisy_feed(spark, sf), m, b, ["15m", "1h", "1d", "1mon"], _fresh(spark, "ckpt"))
+    return rounded(spark.read.parquet(b).select(*BK, *OHLC))
+
+
 def _frame(spark, sf):
     return once(spark, ("stream_frame", sf), lambda: stage(R.trigger_frame(_booked(spark, sf), S.demo_rule()).select(
         "rule_id", "symbol", "rn", "close_ts", "emit_ts", "satisfied", "role_ts", "trading_day"), "frame"))
@@ -153,13 +180,13 @@ def _(spark, sf):
     keys = ["rule_id", "symbol", "dedup_key"]
 
     def go(checkpoint):
-        fd = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        fd = open_feed(spark, root, df.schema)
         moves = L.stream_chain(fd, _SPECS).filter("emitted")
         drain(spark, moves, keys=keys, checkpoint=checkpoint, out=out)
 
-    df.filter(F.col("emit_ts") <= CUT[1]).coalesce(1).write.mode("append").parquet(root)
+    written_feed(spark, "resume", [df.filter(F.col("emit_ts") <= CUT[1])], root)
     go(ckpt)
-    df.filter(F.col("emit_ts") > CUT[1]).coalesce(1).write.mode("append").parquet(root)
+    written_feed(spark, "resume", [df.filter(F.col("emit_ts") > CUT[1])], root)
     go(ckpt)
     go(_fresh(spark, "ckpt"))
     return spark.read.parquet(out).select("symbol", F.col("close_ts").alias("fired_at"), "dedup_key")
@@ -174,17 +201,72 @@ def _(spark, sf):
     return drain(spark, L.stream_chain(fd, _SPECS, primed)).select(*_PICK)
 
 
+@query("str08_primed_rules", _MOVES + f" AND rn IN (SELECT rn FROM ax WHERE ax.symbol = ch.symbol AND emit_ts > {CUT[0]})")
+def _(spark, sf):
+    """Minutes up to a day warm buckets, indicators, booked results and chains in batch; the stream starts from that initial state."""
+    m = minutes(spark, sf)
+    primed = stage(LR.prime(m.filter(F.col("close_ts") <= CUT[0]), [S.demo_rule()]), "primed")
+    fd = feed(spark, sf, "minutes-after", lambda: m.filter(F.col("close_ts") > CUT[0]), "close_ts")
+    return drain(spark, LR.live_rules(fd, [S.demo_rule()], primed)).select(*_PICK)
+
+
+def _live(spark, sf):
+    """The demo rule over raw minutes in five batches with open, repeated and late minutes, stopped after two of them and started again."""
+    def make():
+        m, out, ckpt = minutes(spark, sf), _fresh(spark, "live"), _fresh(spark, "ckpt")
+        batches, root = noisy(spark, sf, CUT5), None
+        for some in (batches[:2], batches[2:]):
+            root = written_feed(spark, "live", some, root)
+            drain(spark, LR.live_rules(open_feed(spark, root, m.schema), [S.demo_rule()]), checkpoint=ckpt, out=out)
+        return spark.read.parquet(out)
+    return once(spark, ("live-rules", sf), make)
+
+
 @query("str09_replay_equals_live", f"WITH RECURSIVE {CHAIN} SELECT count(*) AS transitions, CAST(0 AS BIGINT) AS differences FROM ch WHERE outcome <> ''")
 def _(spark, sf):
     from tidemark.operators.views import multiset_diff
-    fd = feed(spark, sf, "frame", lambda: _frame(spark, sf), "emit_ts")
-    live, replay = drain(spark, L.stream_chain(fd, _SPECS)), S.demo_trial(spark, sf).moves
+    live, replay = _live(spark, sf), S.demo_trial(spark, sf).moves
     diff = multiset_diff(live, replay, ["rule_id", *_PICK, "dedup_key"]).agg(F.count(F.lit(1)).alias("differences"))
     return live.agg(F.count(F.lit(1)).alias("transitions")).crossJoin(diff)  # one row each
 
 
+_CTX = ["close", "volume", "atr14", "trend_ema20"]
+
+
+@query("str09_live_signals", f"""WITH RECURSIVE {CHAIN}, {recur('at1', 'a', 'CASE WHEN prev_close IS NULL THEN high - low ELSE greatest(high - low, abs(high - prev_close), abs(low - prev_close)) END', 14, 1 / 14)}
+ SELECT ch.symbol, ch.t AS fired_at, ch.key AS dedup_key, {q6('fr.close')} AS close, {q6('fr.volume')} AS volume, {q6('at1.y')} AS atr14, {q6('fr.ema20')} AS trend_ema20, fr.trend_ts AS trend_bar
+ FROM ch JOIN fr USING (symbol, rn) LEFT JOIN at1 USING (symbol, rn) WHERE emitted""")
+def _(spark, sf):
+    s = LR.signals(_live(spark, sf))
+    ctx = [F.try_element_at("context", F.lit(c.replace("trend_", "trend."))).alias(c) for c in _CTX]
+    return rounded(s.select("symbol", "fired_at", "dedup_key", *ctx, F.try_element_at("role_bars", F.lit("trend")).alias("trend_bar")))
+
+
 @query("str10_incremental_averages", f"WITH RECURSIVE {H1}, {recur('e', 's', 'close', 20, 2 / 21)}, {recur('r', 's', 'close', 14, 1 / 14)} SELECT s.symbol, s.close_ts, {q6('e.y')} AS ema20, {q6('r.y')} AS wilder14, {q6('CASE WHEN count(s.close) OVER w = 10 THEN avg(s.close) OVER w END')} AS sma10 FROM s LEFT JOIN e USING (symbol, rn) LEFT JOIN r USING (symbol, rn) WINDOW w AS (PARTITION BY s.symbol ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
 def _(spark, sf):
     fd = feed(spark, sf, "bars", lambda: series(spark, sf, "1h"), "close_ts")
-    out = drain(spark, L.averages(fd, [("ema", 20), ("wilder", 14), ("sma", 10)]))
+    out = drain(spark, LR.averages(fd, [("ema", 20), ("wilder", 14), ("sma", 10)]))
     return rounded(out.select("symbol", "close_ts", "ema20", "wilder14", "sma10"))
+
+
+_SIX = {"rsi14": lambda f: f.rsi(14), "atr14": lambda f: f.atr(14), "dif": lambda f: f.macd_dif(), "dea": lambda f: f.macd_dea(), "k": lambda f: f.kdj_k(), "j": lambda f: f.kdj_j()}
+_K = "100.0 * (close - lo) / (hi - lo)"
+
+
+@query("str10_incremental_lines", f"""WITH RECURSIVE {H1}, x AS MATERIALIZED (SELECT *, greatest(close - prev_close, 0.0) AS g, greatest(prev_close - close, 0.0) AS l, CASE WHEN prev_close IS NULL THEN high - low ELSE greatest(high - low, abs(high - prev_close), abs(low - prev_close)) END AS tr,
+  max(high) OVER w AS hi, min(low) OVER w AS lo FROM s WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)),
+ {recur('ge', 'x', 'g', 14, 1 / 14, 2)}, {recur('le', 'x', 'l', 14, 1 / 14, 2)}, {recur('ar', 'x', 'tr', 14, 1 / 14)}, {recur('f', 'x', 'close', 12, 2 / 13)}, {recur('sl', 'x', 'close', 26, 2 / 27)},
+ dif AS MATERIALIZED (SELECT symbol, rn, f.y - sl.y AS d FROM f JOIN sl USING (symbol, rn)), {recur('de', 'dif', 'd', 9, 2 / 10, 26)},
+ rs AS MATERIALIZED (SELECT symbol, rn, CASE WHEN hi = lo THEN 50.0 ELSE {_K} END AS r FROM x WHERE rn >= 9), {recur('kk', 'rs', 'r', 1, 1 / 3, 9, 50.0)}, {recur('dd', 'kk', 'y', 1, 1 / 3, 9, 50.0)}
+ SELECT s.symbol, s.close_ts, {q6('CASE WHEN le.y = 0 THEN CASE WHEN ge.y > 0 THEN 100.0 ELSE 50.0 END ELSE 100.0 - 100.0 / (1.0 + ge.y / le.y) END')} AS rsi14, {q6('ar.y')} AS atr14, {q6('CASE WHEN de.y IS NOT NULL THEN dif.d END')} AS dif, {q6('de.y')} AS dea, {q6('kk.y')} AS k, {q6('3 * kk.y - 2 * dd.y')} AS j
+ FROM s LEFT JOIN ge USING (symbol, rn) LEFT JOIN le USING (symbol, rn) LEFT JOIN ar USING (symbol, rn) LEFT JOIN dif USING (symbol, rn) LEFT JOIN de USING (symbol, rn) LEFT JOIN kk USING (symbol, rn) LEFT JOIN dd USING (symbol, rn)""")
+def _(spark, sf):
+    """RSI, ATR, MACD and KDJ carried over batches in which every later one repeats older bars."""
+    h = series(spark, sf, "1h")
+    def build():
+        again = h.filter("close_ts % 7 = 0").withColumn("close", F.lit(1.0))
+        edges = (0, *CUT5, 2**40)
+        parts = [h.filter((F.col("close_ts") > lo) & (F.col("close_ts") <= hi)).unionByName(again.filter(F.col("close_ts") <= lo)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        return written_feed(spark, "bars-again", parts), h.schema
+    fd = open_feed(spark, *once(spark, ("feed", "bars-again", sf), build))
+    return rounded(drain(spark, LR.live_lines(fd, _SIX)).select("symbol", "close_ts", *_SIX))

@@ -68,7 +68,7 @@ def closed_only(bars: DataFrame) -> DataFrame:
     return bars.filter("closed") if "closed" in bars.columns else bars
 
 
-def _bucketed(base: DataFrame, timeframes: list[str]) -> DataFrame:
+def bucketed(base: DataFrame, timeframes: list[str]) -> DataFrame:
     """Group closed base bars into buckets of every asked timeframe in one shuffle."""
     base, date = closed_only(base), bar_date()
     bucket = None
@@ -110,7 +110,7 @@ def aggregate_all(
     A bucket is known at its label when a base bar closes exactly there, else when the symbol's
     next base bar arrives, which is the first base bar of the next bucket.
     """
-    grouped = stage(_bucketed(base, timeframes), "buckets")
+    grouped = stage(bucketed(base, timeframes), "buckets")
     known = scan(grouped, KEYS, ["bucket"], _chunk(timeframes, chunk_rows),
                  {"_next": ("lead", "_first")})
     emit = F.when(F.col("_on_time"), F.col("close_ts")).otherwise(F.col("_next"))
@@ -141,7 +141,7 @@ def bar_series(
     Same result as ``index_bars(aggregate(...))``: the emission clock, the row number and the
     neighbours come out of one pass over the buckets.
     """
-    grouped = _bucketed(base, timeframes)
+    grouped = bucketed(base, timeframes)
     all_tfs = list(timeframes)
     if with_base:
         own = closed_only(base).select(

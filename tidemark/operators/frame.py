@@ -90,6 +90,15 @@ class Frame:
             raise ValueError(f"a recurrence runs over a bar field, not {src!r}")
         return F.col(src)
 
+    @staticmethod
+    def abs(x: Column) -> Column:
+        return F.abs(x)
+
+    @staticmethod
+    def ratio(a: Column, b: Column) -> Column:
+        """a / b, NULL where b is zero."""
+        return F.try_divide(a, b)
+
     # ---- rolling windows
 
     def sma(self, src, n: int) -> Column:

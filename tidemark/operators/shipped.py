@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidemark.operators.frame import Frame
 from tidemark.operators.rules import Condition, Emit, Rule
 
@@ -21,7 +19,7 @@ def _below_falling(lag: int):
 
 
 def _near_average(multiple: float):
-    return lambda f: F.abs(f["close"] - f.ema("close", 20)) < f.atr(14) * multiple
+    return lambda f: f.abs(f["close"] - f.ema("close", 20)) < f.atr(14) * multiple
 
 
 def _volume_break(direction: str):
@@ -31,7 +29,7 @@ def _volume_break(direction: str):
 
 
 def _distance(f: Frame):
-    return F.try_divide(F.abs(f["close"] - f.ema("close", 20)), f.atr(14))
+    return f.ratio(f.abs(f["close"] - f.ema("close", 20)), f.atr(14))
 
 
 def _breakout(side: str, universe: tuple[str, ...]) -> Rule:
@@ -45,7 +43,7 @@ def _breakout(side: str, universe: tuple[str, ...]) -> Rule:
             Condition("brk", "5m", _volume_break("up" if up else "down"), mode="event"),
         ),
         context={"atr14": lambda f: f.atr(14),
-                 "vol_ratio": lambda f: F.try_divide(f["volume"], f.sma("volume", 20))},
+                 "vol_ratio": lambda f: f.ratio(f["volume"], f.sma("volume", 20))},
         context_by_role={
             "mid": {"ema20": lambda f: f.ema("close", 20), "dist_atr": _distance},
             "box": {"box_high": lambda f: f.highest("high", 20), "box_low": lambda f: f.lowest("low", 20)},

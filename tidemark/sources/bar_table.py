@@ -8,6 +8,8 @@ with the number of symbols.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,11 +154,12 @@ def _parts_read(have: DataFrame, new: DataFrame) -> DataFrame:
     return have.join(touched, PARTS, "left_semi")
 
 
-def write_bars(bars: DataFrame, root: str, arrival: str | None = None) -> None:
+def write_bars(bars: DataFrame, root: str, arrival: str | None = None, replaces: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Idempotent upsert of closed bars: only the parts that receive bars are read and rewritten.
 
     Open bars are left out before anything else, so that none displaces a stored closed bar.  Of several
-    bars with one key the last by the column ``arrival`` wins; without it, the greatest by values."""
+    bars with one key the last by the column ``arrival`` wins; without it, the greatest by values.
+    ``replaces`` gets the stored bars of those parts and returns the ones that stay."""
     spark = bars.sparkSession
     order = F.struct(*([arrival] if arrival else []), "open_ts", "open", "high", "low", "close", "volume", "money")
     new = stage(newest_per_key(bars.filter("closed").withColumn("version", order)).drop("version")
@@ -171,6 +174,7 @@ def write_bars(bars: DataFrame, root: str, arrival: str | None = None) -> None:
         merged = new
     else:
         old = _parts_read(have, new)
+        old = replaces(old) if replaces else old
         merged = stage(merge(old.select(*STORED), new.select(*STORED)), "merged")
     (_laid_out(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("compression", "zstd").partitionBy(*PARTS).parquet(root))

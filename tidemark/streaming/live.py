@@ -60,27 +60,28 @@ def window_bars(minutes: DataFrame, timeframe: str, delay: str = "0 seconds") ->
 # ------------------------------------------------------------------ bars by keyed state
 
 _KEYED_BAR = ("symbol string, timeframe string, open_ts bigint, close_ts bigint, open double, high double, low double, "
-              "close double, volume double, money double, emit_ts bigint")
-_PART = ["bucket", "first_open", "first", "last", "open", "high", "low", "close", "volume", "money"]
+              "close double, volume double, money double, open_interest double, trading_day string, emit_ts bigint")
+_KEYED_NAMES = [c.split()[0] for c in _KEYED_BAR.split(", ")]
+_PART = ["bucket", "first_open", "first", "last", "open", "high", "low", "close", "volume", "money", "open_interest", "trading_day"]
+_WHOLE = ("bucket", "first_open", "first", "last")
 
 
-def _buckets(pdf: pd.DataFrame, tf: str, seconds: int) -> pd.DataFrame:
+def period_of(pdf: pd.DataFrame, tf: str, seconds: int) -> pd.Series:
+    """The bucket of each minute: the boundary that it closes into, or the first day of its day, week or month."""
     c = pdf["close_ts"]
     if seconds:
-        key = -(-c // seconds) * seconds
-    else:
-        day = pd.to_datetime(pdf["trading_day"].where(pdf["trading_day"].notna(), pd.to_datetime(c, unit="s").dt.strftime("%Y-%m-%d")))
-        days = (day - pd.Timestamp("1970-01-01")).dt.days
-        if tf == "1w":
-            key = days - day.dt.weekday
-        elif tf == "1mon":
-            key = days - (day.dt.day - 1)
-        else:
-            key = days
-    g = pdf.assign(bucket=key).groupby("bucket", sort=True)
-    return g.agg(first_open=("open_ts", "first"), first=("close_ts", "min"), last=("close_ts", "max"), open=("open", "first"),
-                 high=("high", "max"), low=("low", "min"), close=("close", "last"), volume=("volume", "sum"),
-                 money=("money", "sum")).reset_index()[_PART]
+        return -(-c // seconds) * seconds
+    day = pd.to_datetime(pdf["trading_day"].where(pdf["trading_day"].notna(), pd.to_datetime(c, unit="s").dt.strftime("%Y-%m-%d")))
+    days = (day - pd.Timestamp("1970-01-01")).dt.days
+    return days - day.dt.weekday if tf == "1w" else days - (day.dt.day - 1) if tf == "1mon" else days
+
+
+def _buckets(pdf: pd.DataFrame, tf: str, seconds: int) -> pd.DataFrame:
+    g = pdf.assign(bucket=period_of(pdf, tf, seconds)).groupby("bucket", sort=True)
+    rows = g.agg(first_open=("open_ts", "first"), first=("close_ts", "min"), last=("close_ts", "max"), open=("open", "first"),
+                 high=("high", "max"), low=("low", "min"), close=("close", "last"), volume=("volume", "sum"), money=("money", "sum")).reset_index()
+    newest = g.tail(1).set_index("bucket")[["open_interest", "trading_day"]].sort_index()
+    return rows.assign(open_interest=newest["open_interest"].to_numpy(float), trading_day=newest["trading_day"].to_numpy(object))[_PART]
 
 
 def _absorb(open_row: dict | None, new: pd.DataFrame) -> pd.DataFrame:
@@ -89,11 +90,27 @@ def _absorb(open_row: dict | None, new: pd.DataFrame) -> pd.DataFrame:
         return new
     old = pd.DataFrame([open_row])[_PART]
     if new.empty or new["bucket"].iloc[0] != open_row["bucket"]:
-        return pd.concat([old, new], ignore_index=True)
+        return pd.concat([old, new], ignore_index=True) if len(new) else old
     head = new.iloc[0]
-    merged = {**open_row, "last": head["last"], "high": max(open_row["high"], head["high"]), "low": min(open_row["low"], head["low"]),
-              "close": head["close"], "volume": open_row["volume"] + head["volume"], "money": open_row["money"] + head["money"]}
-    return pd.concat([pd.DataFrame([merged])[_PART], new.iloc[1:]], ignore_index=True)
+    merged = {**open_row, "last": head["last"], "high": max(open_row["high"], head["high"]), "low": min(open_row["low"], head["low"]), "close": head["close"],
+              "volume": open_row["volume"] + head["volume"], "money": open_row["money"] + head["money"], "open_interest": head["open_interest"], "trading_day": head["trading_day"]}
+    return pd.concat([pd.DataFrame([merged])[_PART], new.iloc[1:]], ignore_index=True) if len(new) > 1 else pd.DataFrame([merged])[_PART]
+
+
+def close_buckets(open_row: dict | None, pdf: pd.DataFrame, tf: str, seconds: int) -> tuple[pd.DataFrame, dict | None]:
+    """Bars that become known with these minutes (in order, newer than all before), and the bucket that stays open."""
+    rows = _absorb(open_row, _buckets(pdf, tf, seconds))
+    on_time = (rows["last"] == rows["bucket"]) if seconds else pd.Series(False, index=rows.index)
+    known = rows["bucket"].astype("float64").where(on_time, rows["first"].astype("float64").shift(-1))
+    done, rest = rows[known.notna()], rows[known.isna()]
+    out = pd.DataFrame({
+        "open_ts": (done["bucket"] - seconds) if seconds else done["first_open"], "close_ts": done["bucket"] if seconds else done["last"],
+        **{c: done[c].astype("float64") for c in _PART[4:11]}, "trading_day": done["trading_day"], "emit_ts": known[known.notna()].astype("int64")})
+    left = None
+    if len(rest):
+        last = rest.iloc[-1]
+        left = {c: int(last[c]) if c in _WHOLE else float(last[c]) for c in _PART[:-1]} | {"trading_day": last["trading_day"]}
+    return out, left
 
 
 def keyed_bars(minutes: DataFrame, timeframes: list[str]) -> DataFrame:
@@ -110,24 +127,13 @@ def keyed_bars(minutes: DataFrame, timeframes: list[str]) -> DataFrame:
         if pdf.empty:
             return
         open_rows["newest"] = int(pdf["close_ts"].iloc[-1])
-        out = []
         for tf, secs in seconds.items():
-            rows = _absorb(open_rows.get(tf), _buckets(pdf, tf, secs))
-            on_time = (rows["last"] == rows["bucket"]) if secs else pd.Series(False, index=rows.index)
-            known = rows["bucket"].astype("float64").where(on_time, rows["first"].astype("float64").shift(-1))
-            done = rows[known.notna()]
-            close = done["bucket"] if secs else done["last"]
-            out.append(pd.DataFrame({
-                "symbol": key[0], "timeframe": tf, "open_ts": (done["bucket"] - secs) if secs else done["first_open"], "close_ts": close,
-                **{c: done[c].astype("float64") for c in ("open", "high", "low", "close", "volume", "money")},
-                "emit_ts": known[known.notna()].astype("int64")}))
-            rest = rows[known.isna()]
-            open_rows[tf] = None if rest.empty else {
-                c: (float(v) if c in _PART[4:] else int(v)) for c, v in rest.iloc[-1].items()}
+            done, open_rows[tf] = close_buckets(open_rows.get(tf), pdf, tf, secs)
+            if len(done):
+                yield done.assign(symbol=key[0], timeframe=tf, trading_day=done["trading_day"].astype(object))[_KEYED_NAMES]
         state.update((json.dumps(open_rows),))
-        yield pd.concat(out, ignore_index=True)
 
-    slim = closed_only(minutes).select("symbol", "open_ts", "close_ts", "open", "high", "low", "close", "volume", "money", "trading_day")
+    slim = closed_only(minutes).select("symbol", "open_ts", "close_ts", *_PART[4:])
     return slim.groupBy("symbol").applyInPandasWithState(run, _KEYED_BAR, "open_buckets string", "append", "NoTimeout")
 
 
@@ -172,57 +178,13 @@ def cursor(minutes: DataFrame, period: int = 60, seed: DataFrame | None = None)
     return df.groupBy("symbol").applyInPandasWithState(run, _CURSOR, "last_ts bigint", "append", "NoTimeout")
 
 
-# ------------------------------------------------------------------ incremental averages
-
-def averages(bars: DataFrame, lines: list[tuple[str, int]]) -> DataFrame:
-    """SMA / EMA / Wilder lines of closes, continued batch by batch.
-
-    State per line: samples seen and the value, or the last n closes while a window is needed."""
-    names = [f"{k}{n}" for k, n in lines]
-    schema = "symbol string, timeframe string, close_ts bigint, " + ", ".join(f"{n} double" for n in names)
-    lines = list(lines)
-
-    def run(key, batches, state):
-        memo = json.loads(state.get[0]) if state.exists else {n: {"n": 0, "y": None, "tail": []} for n in names}
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("close_ts")
-        x = pdf["close"].reset_index(drop=True)
-        out = {"symbol": key[0], "timeframe": key[1], "close_ts": pdf["close_ts"].to_numpy()}
-        for (kind, n), name in zip(lines, names, strict=True):
-            m = memo[name]
-            if kind == "sma":
-                joined = pd.concat([pd.Series(m["tail"], dtype="float64"), x], ignore_index=True)
-                out[name] = joined.rolling(n).mean().iloc[len(m["tail"]):].to_numpy()
-                m["tail"] = joined.iloc[-(n - 1):].tolist() if n > 1 else []
-            else:
-                alpha = 2 / (n + 1) if kind == "ema" else 1 / n
-                ys, seen, y, tail = [], m["n"], m["y"], m["tail"]
-                for v in x:  # a bar at a time: a batch holds few bars of one series
-                    seen += 1
-                    if seen < n:
-                        tail.append(float(v))
-                        ys.append(None)
-                        continue
-                    if seen == n:
-                        y, tail = (sum(tail) + float(v)) / n, []
-                    else:
-                        y += alpha * (float(v) - y)
-                    ys.append(y)
-                m.update(n=seen, y=y, tail=tail)
-                out[name] = ys
-        state.update((json.dumps(memo),))
-        yield pd.DataFrame(out).astype({n: "float64" for n in names})
-
-    return bars.select("symbol", "timeframe", "close_ts", "close").groupBy("symbol", "timeframe").applyInPandasWithState(
-        run, schema, "lines string", "append", "NoTimeout")
-
-
 # ------------------------------------------------------------------ the chain
 
-def _pack(s: chain.ChainState) -> str:
+def pack_chain(s: chain.ChainState) -> str:
     return json.dumps([s.stage, s.deadline, s.cooldown_until, s.armed_at, s.last_fired, list(s.seen)])
 
 
-def _unpack(text: str) -> chain.ChainState:
+def unpack_chain(text: str) -> chain.ChainState:
     stage, deadline, cool, armed, fired, seen = json.loads(text)
     return chain.ChainState(stage, deadline, cool, armed, fired, OrderedDict((k, None) for k in seen))
 
@@ -236,14 +198,14 @@ def chain_states(frame: DataFrame, specs: dict[str, chain.ChainSpec]) -> DataFra
             for own, part in chain.by_key(pdf):
                 if own != key:
                     if key:
-                        done.append((*key, _pack(state)))
+                        done.append((*key, pack_chain(state)))
                     key, state = own, chain.ChainState()
                 chain.run_block(state, specs[own[0]], part)
             if done:
                 yield pd.DataFrame(done, columns=["rule_id", "symbol", "state"])
                 done = []
         if key:
-            yield pd.DataFrame([(*key, _pack(state))], columns=["rule_id", "symbol", "state"])
+            yield pd.DataFrame([(*key, pack_chain(state))], columns=["rule_id", "symbol", "state"])
 
     ordered = frame.select(*chain.COLUMNS, "emit_ts").repartition("rule_id", "symbol").sortWithinPartitions(
         "rule_id", "symbol", "emit_ts", "close_ts")
@@ -261,12 +223,12 @@ def stream_chain(frame: DataFrame, specs: dict[str, chain.ChainSpec], primed: Da
     def run(key, batches, state):
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["emit_ts", "close_ts"])
         if state.exists:
-            current = _unpack(state.get[0])
+            current = unpack_chain(state.get[0])
         else:
             start = pdf["state"].dropna()
-            current = _unpack(start.iloc[0]) if len(start) else chain.ChainState()
+            current = unpack_chain(start.iloc[0]) if len(start) else chain.ChainState()
         out = chain.run_block(current, specs[key[0]], pdf)
-        state.update((_pack(current),))
+        state.update((pack_chain(current),))
         yield pd.DataFrame(out, columns=["rule_id", "symbol", "rn", "close_ts", "outcome", "stage", "emitted", "dedup_key"])
 
     return rows.groupBy("rule_id", "symbol").applyInPandasWithState(
