@@ -120,24 +120,39 @@ def test_memory_forgets_the_oldest_key():
     assert H.remember(st, "k0") and not H.remember(st, f"k{H.MEMORY}")
 
 
-def test_fold_over_many_batches_equals_one_pass(spark):
-    rng = random.Random(3)
-    rows = [("demo", s, i, (i + 1) * 60, (i + 1) * 60, [rng.random() < 0.8, rng.random() < 0.5, rng.random() < 0.4], [i // 5] * 3, None) for s in "abc" for i in range(200)]
+FOLDED = [spec([1, 0, 0], 3, 120, "{symbol}:{r0_bar_close_ts}"), spec([1, 0], 2, 300, "{symbol}:{armed_at}"), spec([0, 1, 1, 0], 0, 0, "{r1_bar_close_ts}"), spec([1], 0, 180, "{symbol}:{r0_bar_close_ts}")]
+
+
+@pytest.mark.parametrize("piece_rows", [1, 7, 64, 1000])
+def test_fold_in_pieces_equals_one_pass(spark, piece_rows):
+    """Whatever the pieces, also where keys repeat across them and where a state lasts over several."""
+    rng, specs = random.Random(3), {f"rule{i}": sp for i, sp in enumerate(FOLDED)}
+    rows = [(r, s, i, i * 60, i * 60, [rng.choice([True, rng.random() < 0.5, None]) if s != "c" else False for _ in range(sp.length)], [i // 40] * sp.length, None)
+            for r, sp in specs.items() for s in "abc" for i in range(1, 12 if piece_rows == 1 else 260)]
     df = spark.createDataFrame(rows, "rule_id string, symbol string, rn bigint, close_ts bigint, emit_ts bigint, satisfied array<boolean>, role_ts array<bigint>, trading_day string")
-    sp = spec([1, 0, 0], 3, 120, "{symbol}:{r0_bar_close_ts}")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        got = sorted((r.symbol, r.rn, r.outcome, r.emitted) for r in H.fold(df, {"demo": sp}).collect())
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted(tuple(r) for r in H.fold(df.repartition(3), specs, piece_rows).select(*H.OUT[:-1], F.coalesce("dedup_key", F.lit(""))).collect())
     want = []
-    for s in "abc":
-        mine = [r for r in rows if r[1] == s]
-        pdf = pd.DataFrame([(r[0], r[1], r[2], r[3], r[5], r[6], r[7]) for r in mine], columns=H.COLUMNS)
-        want += [(s, o[2], o[4], o[6]) for o in H.run_block(H.ChainState(), sp, pdf)]
+    for r, sp in specs.items():
+        for s in "abc":
+            pdf = pd.DataFrame([(x[0], x[1], x[2], x[3], x[5], x[6], x[7]) for x in rows if x[:2] == (r, s)], columns=H.COLUMNS)
+            want += [(*o[:7], o[7] or "") for o in H.run_block(H.ChainState(), sp, pdf)]
     assert got == sorted(want)
 
 
+def test_a_hot_series_runs_on_several_tasks(spark):
+    """One (rule, symbol) holds all rows: its pieces are dealt to tasks, and memory beyond 512 keys matters across them."""
+    sp = spec([1], 0, 0, "{r0_bar_close_ts}")
+    rows = [("r", "hot", i, i * 60, i * 60, [True], [i % 700], None) for i in range(1, 2101)]
+    df = spark.createDataFrame(rows, "rule_id string, symbol string, rn bigint, close_ts bigint, emit_ts bigint, satisfied array<boolean>, role_ts array<bigint>, trading_day string")
+    got = H.fold(df, {"r": sp}, 100)
+    pdf = pd.DataFrame([(x[0], x[1], x[2], x[3], x[5], x[6], x[7]) for x in rows], columns=H.COLUMNS)
+    want = H.run_block(H.ChainState(), sp, pdf)
+    assert sorted((r.rn, r.emitted) for r in got.collect()) == sorted((o[2], o[6]) for o in want)
+    assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().toString()  # the rounds are written, not recomputed
+    few = H.fold(spark.createDataFrame([(*x[:6], [x[2] % 300], None) for x in rows], df.schema), {"r": sp}, 100)
+    assert few.filter("emitted").count() == 300
+
+
 # ------------------------------------------------------------------ outcomes
 
 def label(spark, bars, at=1, direction="long", params=None, atr=None, price=10.0):

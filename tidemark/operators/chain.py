@@ -1,14 +1,23 @@
-"""The ordered condition chain of a rule, as a keyed fold over its trigger bars.
+"""The ordered condition chain of a rule, as a fold over its trigger bars that runs on many tasks.
 
-Its input is a slim frame (satisfied flags and a few timestamps); each task streams the sorted rows of
-its (rule, symbol) keys in Arrow batches and keeps only the small chain state, so memory does not grow
-with a series.  What each stage could do on each bar is computed for the whole batch at once; the
-sequential part then jumps from transition to transition (next bar that moves this stage, end of the
-cooldown, deadline), so its cost follows the transitions, not the bars.
+Its input is a slim frame (satisfied flags and a few timestamps), cut into pieces of ``PIECE_ROWS`` bars of a
+(rule, symbol).  All pieces run at once, each from an assumed state at its start (a fresh chain at first).  A small
+table of the pieces' ends then tells the state that each piece really starts from; pieces for which that makes a
+difference run again, until none is left.  A chain forgets its past at every retreat to the start, every signal and
+every expiry, so that is one more round as a rule, and the result is exact in any case: the first piece's start is
+known, and each further one's start is the end of the one before.
+
+What a piece depends on is its entry stage with deadline, end of cooldown and arming time, and the remembered
+dedup keys only as far as it tries one of them.
+
+Inside a piece, what each stage could do on each bar is computed for all bars at once; the sequential part
+jumps from transition to transition (next bar that moves this stage, end of the cooldown, deadline), so its cost follows
+the transitions, not the bars.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -16,12 +25,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.plans.small import broadcast_if_small
+from tidemark.plans.staging import stage
 
 # executors need not have this package installed: its task code travels with the job
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PIECE_ROWS = 65_536
 MEMORY = 512  # fixed value: dedup keys remembered per (rule, symbol)
 
 TRANSITION_SCHEMA = (
@@ -70,10 +85,9 @@ class Block:
     get to.  An unknown result counts as not holding.
     """
 
-    def __init__(self, spec: ChainSpec, rn, ts, satisfied):
+    def __init__(self, spec: ChainSpec, rn, ts, holds: np.ndarray):
         n, size = len(rn), spec.length
         self.rn, self.ts = np.asarray(rn, np.int64), np.asarray(ts, np.int64)
-        holds = (np.array(satisfied, dtype=object).reshape(n, size) == True).astype(bool)  # noqa: E712
         broken = ~holds & np.array(spec.persistent, bool)
         self.fails = np.where(broken.any(axis=1), broken.argmax(axis=1), size)
         self.goes = np.full((n, size + 1), size)
@@ -161,20 +175,26 @@ COLUMNS = ["rule_id", "symbol", "rn", "close_ts", "satisfied", "role_ts", "tradi
 OUT = ["rule_id", "symbol", "rn", "close_ts", "outcome", "stage", "emitted", "dedup_key"]
 
 
-def run_block(state: ChainState, spec: ChainSpec, pdf: pd.DataFrame) -> list[tuple]:
-    """The transitions of one key's rows (``COLUMNS``), in order."""
-    rule_id, symbol = pdf["rule_id"].iloc[0], pdf["symbol"].iloc[0]
-    block = Block(spec, pdf["rn"].to_numpy(), pdf["close_ts"].to_numpy(), [list(v) for v in pdf["satisfied"]])
-    role_ts, day, out = pdf["role_ts"], pdf["trading_day"], []
+def run_bars(state: ChainState, spec: ChainSpec, block: Block, rule_id: str, symbol: str, stamps, days) -> list[tuple]:
+    """The transitions of a block; ``stamps(j)`` and ``days(j)`` are a bar's role times and trading day."""
+    out = []
     for j, outcome, complete in walk(state, spec, block):
         rn, ts, key, emitted = int(block.rn[j]), int(block.ts[j]), None, False
         if complete:
-            key = dedup_key(spec, rule_id, symbol, ts, day.iloc[j], role_ts.iloc[j], state.armed_at)
+            key = dedup_key(spec, rule_id, symbol, ts, days(j), stamps(j), state.armed_at)
             emitted = settle(state, spec, key, rn, ts)
         out.append((rule_id, symbol, rn, ts, outcome, state.stage, emitted, key))
     return out
 
 
+def run_block(state: ChainState, spec: ChainSpec, pdf: pd.DataFrame) -> list[tuple]:
+    """The transitions of one key's rows (``COLUMNS``), in order."""
+    holds = (np.array([list(v) for v in pdf["satisfied"]], dtype=object).reshape(len(pdf), spec.length) == True).astype(bool)  # noqa: E712
+    block = Block(spec, pdf["rn"].to_numpy(), pdf["close_ts"].to_numpy(), holds)
+    role_ts, day = pdf["role_ts"], pdf["trading_day"]
+    return run_bars(state, spec, block, pdf["rule_id"].iloc[0], pdf["symbol"].iloc[0], lambda j: role_ts.iloc[j], lambda j: day.iloc[j])
+
+
 def by_key(pdf: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Stretches of rows with one (rule, symbol)."""
     new = (pdf["rule_id"] != pdf["rule_id"].shift()) | (pdf["symbol"] != pdf["symbol"].shift())
@@ -184,21 +204,73 @@ def by_key(pdf: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
         yield (part["rule_id"].iloc[0], part["symbol"].iloc[0]), part
 
 
-def fold(frame: DataFrame, specs: dict[str, ChainSpec]) -> DataFrame:
-    """All transitions of all rules; rows with ``emitted`` are the signals."""
-
-    def run(batches):
-        key, state = None, ChainState()
-        for pdf in batches:
-            out = []
-            for own, part in by_key(pdf):
-                if own != key:
-                    key, state = own, ChainState()
-                out.extend(run_block(state, specs[own[0]], part))
-            if out:
-                yield pd.DataFrame(out, columns=OUT)
-
-    slim = frame.select(*COLUMNS, "emit_ts")
-    ordered = slim.repartition("rule_id", "symbol").sortWithinPartitions(
-        "rule_id", "symbol", "emit_ts", "close_ts")
-    return ordered.select(*COLUMNS).mapInPandas(run, TRANSITION_SCHEMA)
+# ------------------------------------------------------------------ pieces
+
+PIECE = ["rule_id", "symbol", "piece"]
+PIECE_SCHEMA = f"piece bigint, {TRANSITION_SCHEMA}, result string"
+PIECE_OUT = ["piece", *OUT, "result"]
+
+
+def _core(state: ChainState, last: int) -> list:
+    """What later bars may depend on, the keys aside: deadline and arming time count at the last stage or in a cooldown only."""
+    if state.cooldown_until:
+        return [0, state.deadline, state.armed_at, state.cooldown_until]
+    return [state.stage, state.deadline, state.armed_at, 0] if state.stage == last else [state.stage, 0, 0, 0]
+
+
+def _entry(core: list, keys: list[str]) -> ChainState:
+    return ChainState(core[0], core[1], core[3], core[2], 0, OrderedDict((k, None) for k in keys))
+
+
+def _run_piece(specs: dict[str, ChainSpec]):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([("emit_ts", "ascending"), ("close_ts", "ascending")])
+        rule_id, symbol, piece = (group[c][0].as_py() for c in PIECE)
+        spec, entry = specs[rule_id], group["entry"][0].as_py()
+        core, keys = json.loads(entry) if entry else ([0, 0, 0, 0], [])
+        state = _entry(core, keys)
+        mask = group["holds"].to_numpy()
+        block = Block(spec, group["rn"].to_numpy(), group["close_ts"].to_numpy(), (mask[:, None] >> np.arange(spec.length)) & 1 == 1)
+        rows = run_bars(state, spec, block, rule_id, symbol, lambda j: group["role_ts"][j].as_py(), lambda j: group["trading_day"][j].as_py())
+        tried = sorted({r[7] for r in rows if r[7] is not None})
+        emitted = [r[7] for r in rows if r[6]][-MEMORY:]
+        end = json.dumps([core, keys, _core(state, spec.length - 1), tried, emitted])
+        rows.append((rule_id, symbol, None, None, "", None, False, None))
+        columns = list(zip(*[(piece, *r, None if r[4] else end) for r in rows], strict=True))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES, strict=True)], names=PIECE_OUT)
+    return run
+
+
+_PIECE_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
+
+
+def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of a key, in order, that have to run again, with the state that they start from."""
+    pdf, core, keys, again = pdf.sort_values("piece"), [0, 0, 0, 0], [], []
+    for piece, result in zip(pdf["piece"], pdf["result"], strict=True):
+        had_core, had_keys, end, tried, emitted = json.loads(result)
+        if had_core != core or not set(tried).isdisjoint(set(keys) ^ set(had_keys)):
+            again.append((piece, json.dumps([core, keys])))
+        # beyond a piece that runs again the ends are the best guess there is
+        core, keys = end, [*keys, *emitted][-MEMORY:]
+    return pd.DataFrame({"rule_id": pdf["rule_id"].iloc[0], "symbol": pdf["symbol"].iloc[0], "piece": [p for p, _ in again], "entry": [e for _, e in again]},
+                        columns=[*PIECE, "entry"]).astype({"rule_id": object, "symbol": object, "piece": "int64", "entry": object})
+
+
+def fold(frame: DataFrame, specs: dict[str, ChainSpec], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """All transitions of all rules; rows with ``emitted`` are the signals.  The frame is read once per round."""
+    widest = max(s.length for s in specs.values())
+    bits = [F.when(F.get("satisfied", F.lit(i)), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(widest)]
+    slim = frame.select(*COLUMNS, "emit_ts").withColumns({"holds": sum(bits[1:], bits[0]).cast("bigint"), "piece": F.floor((F.col("rn") - 1) / piece_rows).cast("bigint")}).drop("satisfied")
+    run = _run_piece(specs)
+    done = stage(slim.withColumn("entry", F.lit(None).cast("string")).groupBy(*PIECE).applyInArrow(run, PIECE_SCHEMA), "pieces")
+    while True:
+        ends = done.filter("outcome = ''").select(*PIECE, "result")
+        if ends.filter("piece > 0").isEmpty():
+            break
+        again = stage(ends.groupBy("rule_id", "symbol").applyInPandas(_entries, "rule_id string, symbol string, piece bigint, entry string"), "entries")
+        if again.isEmpty():
+            break
+        fresh = slim.join(broadcast_if_small(again), PIECE).groupBy(*PIECE).applyInArrow(run, PIECE_SCHEMA)
+        done = stage(done.join(broadcast_if_small(again.select(*PIECE)), PIECE, "left_anti").select(*PIECE_OUT).unionByName(fresh), "pieces")
+    return done.filter("outcome <> ''").select(*OUT)
