@@ -244,3 +244,59 @@ def test_three_contracts_accumulate_backwards(spark):
     assert CC.stitch_problems(seg, bars, rolls, CC.stitch(seg, bars)).isEmpty()
     gone = bars.filter("symbol <> 'c' OR trading_day >= '2024-01-07'")
     assert [r.problem for r in CC.stitch_problems(seg, gone, CC.rollovers(seg, gone), CC.stitch(seg, gone)).collect()] == ["no common bar"]
+
+
+@pytest.mark.parametrize("block_rows", [64, 4096])
+def test_labels_equal_a_walk_over_the_bars(spark, block_rows):
+    """The descent over extremes against bar-by-bar loops: gaps over both barriers, ties, ends of series, both directions, a ladder."""
+    rng = random.Random(block_rows)
+    price, bars = 100.0, []
+    for _ in range(300):
+        o = price + rng.choice([0, 0, 0, 6.0, -6.0])
+        c = o + rng.choice([-2.0, -1.0, 0.0, 1.0, 2.0])
+        bars.append((o, max(o, c) + rng.choice([0, 1.0]), min(o, c) - rng.choice([0, 1.0]), c))
+        price = max(c, 20.0)
+    table = ohlc_series(spark, bars)
+    rows = [("r", "T.X", "1h", d, i * 3600, 100.0, rng.choice([None, 0.0, 1.5])) for i in range(1, 301) for d in ("long", "short", "neutral")]
+    sig = spark.createDataFrame(rows, "rule_id string, symbol string, timeframe string, direction string, fired_at bigint, trigger_price double, atr double")
+    at = table.select("symbol", "timeframe", F.col("close_ts").alias("fired_at"), F.col("rn").alias("base_rn"), "next_open", "next_close_ts")
+    entries = sig.join(at, ["symbol", "timeframe", "fired_at"])
+    p = OutcomeParams(horizon_bars=9, stop_pct=0.03, target_pct=0.05, cost_bps=1.0)
+
+    def walk(i, d, atr, h):
+        if i >= 300:
+            return None
+        entry, s = bars[i][0], -1.0 if d == "short" else 1.0
+        sd, td = (atr * 1.5, atr * 3.0) if atr else (entry * 0.03, entry * 0.05)
+        stop, target = entry - s * sd, entry + s * td
+        mx, mn = -1e9, 1e9
+        for k in range(i, min(i + h, 300)):
+            _, hi, lo, c = bars[k]
+            mx, mn = max(mx, hi), min(mn, lo)
+            why, px = ("stop", stop) if (lo <= stop if s > 0 else hi >= stop) else ("target", target) if (hi >= target if s > 0 else lo <= target) else (None, c)
+            if why:
+                break
+        ends = sorted(((m - entry) / entry * s) for m in (mx, mn))
+        return why or "horizon", (px - entry) / entry * s - 2e-4, k - i + 1, (k + 1) * 3600, max(0.0, ends[1]), min(0.0, ends[0])
+    got = {(r.fired_at, r.direction, r.bars_held if r.reason == "no_data" else -1): r for r in label_all(entries, table, p, block_rows)}
+    assert len(got) == 900
+    atr_of = {(r[4], r[3]): r[6] for r in rows}
+    for (t, d, _), r in got.items():
+        want = walk(t // 3600, d, atr_of[t, d], 9)
+        if want is None:
+            assert (r.reason, r.ret, r.exit_ts, r.mfe) == ("no_data", 0.0, 0, 0.0)
+        else:
+            assert r.reason == want[0] and r.bars_held == want[2] and r.exit_ts == want[3]
+            assert max(abs(r.ret - want[1]), abs(r.mfe - want[4]), abs(r.mae - want[5])) < 1e-12
+    from tidemark.operators.outcomes import ladder_returns
+    steps = {(r.fired_at, r.direction, r.bars): r.ret for r in ladder_returns(entries, table, p, [1, 3, 9], ["rule_id", "symbol", "direction", "fired_at"], block_rows).collect()}
+    assert len(steps) == 299 * 9
+    assert all(abs(ret - walk(t // 3600, d, atr_of[t, d], h)[1]) < 1e-12 for (t, d, h), ret in steps.items())
+
+
+def label_all(entries, table, params, block_rows):
+    from tidemark.operators.outcomes import label
+
+    out = label(entries, table, params, ["rule_id", "symbol", "direction", "fired_at"], block_rows)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
+    return out.collect()
