@@ -4,7 +4,8 @@ Tokenizer A is a byte-level BPE, B a sentencepiece model; both are given ``blank
 Offsets where tokens of both end bound *groups*; an A and a B token whose bytes overlap are *linked*.
 Between two neighbouring token ends of either kind lies exactly one link, so links need no pairing.
 
-First pass: every task aligns its texts and sends its distinct pairs with their counts.  The distinct pairs of
+Every task cuts its texts into units, mostly words, at which tokens of both kinds surely end (``Units``), and aligns a unit
+once.  First pass: every task aligns its texts and sends its distinct pairs with their counts.  The distinct pairs of
 all tasks get numbers by a minimal perfect hash (``perfect_hash``); tasks over the first pass's rows add up dense
 count vectors indexed by it, which are summed block by block in a tree of fan-in ``FAN``.  Stored keys verify each
 look-up.  Second pass: every task aligns its texts anew and looks the counts up in the broadcast table.
@@ -20,8 +21,10 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -32,32 +35,43 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bytebpe import Encoder, read_bytes, vocabulary_path
 from tidemark.llm.perfect_hash import PerfectHash, build
-from tidemark.llm.textops import map_slices, slices
+from tidemark.llm.textops import U64, slices
 from tidemark.plans.staging import stage
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MAX_PAIRS = 4_000_000
-HELD_PAIRS = 1 << 21
 BLOCK = 1 << 15
 FAN = 16
+UNITS = 300_000
+UNIT = re.compile(" +[^ ]*").findall
+MIXED = re.compile(r"[^\S ] ").search
 COUNTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 ORDER = [c.split()[0] for c in COUNTS.split(", ")]
+SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 class Pieces:
-    """Tokenizer B in a worker: ids of texts, bytes of pieces."""
+    """Tokenizer B in a worker: ids of units, bytes of pieces, and whether texts may be cut in front of blanks."""
 
     def __init__(self, raw: bytes):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.size = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(self.size)]
         blobs = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.blob, self.blob_at = np.frombuffer(b"".join(blobs), np.uint8), np.cumsum([0, *map(len, blobs)])
+        spec = sentencepiece_model_pb2.ModelProto.FromString(raw)
+        how, plain = spec.normalizer_spec, spec.trainer_spec.model_type == 2 and not any(p.type == p.USER_DEFINED for p in spec.pieces)
+        self.blank = sp.piece_to_id("▁")
+        self.cuts = (plain and how.name == "identity" and how.add_dummy_prefix and not how.remove_extra_whitespaces and self.blank != sp.unk_id()
+                     and not any(re.search("[^▁]▁", p) for p in names))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1) if texts else []
+    def encode(self, units: list[str]) -> list[list[int]]:
+        """``units`` start with the blank that the library adds; a blank alone it would drop."""
+        lists = self.library.encode([u[1:] for u in units], num_threads=1) if units else []
+        return [[self.blank] if u == " " and self.cuts else x for u, x in zip(units, lists, strict=True)]
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,20 +114,13 @@ class Aligned:
     ends_a: np.ndarray
     ends_b: np.ndarray
     pair: np.ndarray
+    size: int  # ids are below this
 
 
-def align(a: Encoder, b: Pieces, texts: list[str]) -> Aligned:
-    full = [" " + t if t else "" for t in texts]
-    some = [i for i, t in enumerate(texts) if t]
-    rows = len(texts)
-
-    def spread(lists):
-        out: list[list[int]] = [[]] * rows
-        for i, x in zip(some, lists, strict=True):
-            out[i] = x
-        return _flat(out)
-    ids_a, n_a = spread(a.encode([full[i] for i in some]))
-    ids_b, n_b = spread(b.encode([texts[i] for i in some]))
+def align(a: Encoder, b: Pieces, full: list[str]) -> Aligned:
+    """Of texts or units that start with the blank in front."""
+    rows = len(full)
+    (ids_a, n_a), (ids_b, n_b) = _flat(a.encode(full)), _flat(b.encode(full))
     raw = [t.encode() for t in full]
     whole, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
     good_a, size_a = _intact(a, ids_a, n_a, whole, bounds)
@@ -131,11 +138,11 @@ def align(a: Encoder, b: Pieces, texts: list[str]) -> Aligned:
     ends_a, ends_b = mark_a[cut], mark_b[cut]
     link_a, link_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
     row = np.repeat(np.arange(rows), n_a)[link_a] if len(cut) else np.zeros(0, np.int64)
-    return Aligned(n_a, n_b, ids_a, ids_b, row, link_a, link_b, ends_a, ends_b, ids_a[link_a] * b.size + ids_b[link_b])
+    return Aligned(n_a, n_b, ids_a, ids_b, row, link_a, link_b, ends_a, ends_b, ids_a[link_a] * b.size + ids_b[link_b], max(a.size, b.size))
 
 
-def group_digests(x: Aligned) -> list[str]:
-    """Per row the SHA-256 of its groups as text, '' for a row without tokens."""
+def group_texts(x: Aligned, size: int) -> list[bytes]:
+    """Per row its groups as text, without a semicolon behind the last."""
     both = x.ends_a & x.ends_b
     group = np.cumsum(both) - both
     group_a, group_b = group[x.ends_a], group[x.ends_b]
@@ -146,18 +153,84 @@ def group_digests(x: Aligned) -> list[str]:
     at_a, at_b = np.arange(len(x.a)) + before_b[group_a], np.arange(len(x.b)) + upto_a[group_b]
     ids[at_a], ids[at_b] = x.a, x.b
     after[at_a[both[x.ends_a]]], after[at_b[both[x.ends_b]]] = ord("|"), ord(";")
-    width = len(str(int(ids.max(initial=0))))
-    digits = np.zeros((len(ids), width + 1), np.uint8)
-    count = np.ones(len(ids), np.int64)
-    for k in range(1, width):
-        count += ids >= 10**k
-    for k in range(width):  # the k-th digit from the left
-        power = 10 ** np.maximum(count - 1 - k, 0)
-        digits[:, k] = ord("0") + ids // power % 10
-    digits[np.arange(len(ids)), count] = after
-    text = digits[np.arange(width + 1) <= count[:, None]].tobytes()
-    edge = np.concatenate([[0], np.cumsum(count + 1)])[np.concatenate([[0], np.cumsum(x.n_a + x.n_b)])]
-    return [hashlib.sha256(text[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    count, packed = (t[ids] for t in _decimal(size))
+    packed |= after.astype(U64) << (count.astype(U64) << U64(3))
+    text = packed.view(np.uint8).reshape(-1, 8)[np.arange(8) <= count[:, None]].tobytes()
+    edge = np.concatenate([[0], np.cumsum(count + 1, dtype=np.int64)])[np.concatenate([[0], np.cumsum(x.n_a + x.n_b)])]
+    return [text[i : max(j - 1, i)] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+class Units:
+    """Texts in a worker, cut into units that are aligned once.
+
+    A cut stands in front of a run of blanks behind a character that is no white space.  There a pre-token of A ends, and
+    so does a piece of B where no piece of a plain merge model holds a blank behind another character: both kinds of tokens end at
+    the cut, so groups, links and their sums are those of the units.  Texts for which that isn't sure are one unit: those with a character that A's two
+    encoders treat differently, with U+2581, or with a blank behind other white space; and all texts of other kinds of tokenizers."""
+
+    def __init__(self, raw: tuple[bytes, bytes], table: tuple[PerfectHash, np.ndarray, np.ndarray] | None = None, texts: bool = False):
+        self.a, self.b = Encoder(raw[0]), Pieces(raw[1])
+        self.table, self.texts, self.cuts = table, texts, self.b.cuts and self.a.fast is not None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sums, self.good = np.zeros((len(SUMS), 0), np.int64), np.zeros(0, bool)
+        self.groups: list[bytes] = []
+        self.pair: list[np.ndarray] = []
+        self.links: list[np.ndarray] = []
+        self.held = 0
+
+    @property
+    def full(self) -> bool:
+        return len(self.known) > UNITS or self.held > 16 * UNITS
+
+    def _learn(self, new: list[str]) -> None:
+        x = align(self.a, self.b, new)
+        n, both = len(new), x.ends_a & x.ends_b
+        links = np.bincount(x.row, minlength=n)
+        own = [x.n_a, x.n_b, np.bincount(x.row[both], minlength=n), links, np.zeros(n, np.int64), np.zeros(n, np.int64)]
+        if self.table:
+            hashed, total, best = self.table
+            at = hashed.find(x.pair)
+            if len(at) and at.min() < 0:
+                raise ValueError("the second pass met a pair that the first one didn't")
+            edge = np.concatenate([[0], np.cumsum(links)])
+            for k, v in ((4, total[at] == best[x.pair % len(best)]), (5, total[at])):
+                own[k] = np.diff(np.concatenate([[0], np.cumsum(v, dtype=np.int64)])[edge])
+        self.known.update(zip(new, range(len(self.good), len(self.good) + n), strict=True))
+        self.sums, self.good = np.concatenate([self.sums, np.stack(own)], axis=1), np.concatenate([self.good, x.n_a > 0])
+        if self.texts:
+            self.groups += group_texts(x, x.size)
+        self.pair.append(x.pair)
+        self.links.append(links)
+        self.held += len(x.pair)
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All texts' units by number, how many each text has, and which texts have tokens."""
+        odd = self.a.probed.odd(texts)[0].tolist() if self.cuts else [True] * len(texts)
+        units = [([" " + t] if t else []) if o or "▁" in t or MIXED(t) else UNIT(" " + t) if t else [] for t, o in zip(texts, odd, strict=True)]
+        new = set().union(*units).difference(self.known)
+        if new:
+            self._learn(sorted(new))
+        n = np.array([len(u) for u in units], np.int64)
+        slot = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, n.sum())
+        bad = np.concatenate([[0], np.cumsum(~self.good[slot])])[np.concatenate([[0], np.cumsum(n)])]
+        return slot, n, (n > 0) & (np.diff(bad) == 0)
+
+    def pairs(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs with the links of units that occurred ``times``."""
+        links = np.concatenate(self.links)
+        return _merged([np.concatenate(self.pair)], [np.repeat(times, links)])
+
+
+@cache
+def _decimal(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and digits of the numbers below n (at most 10**7), the digits as bytes of a word, lowest first; one byte more is free."""
+    if n > 10**7:
+        raise ValueError("ids of more than seven digits")
+    words = [str(i).encode().ljust(8, b"\0") for i in range(n)]
+    return np.array([len(w.rstrip(b"\0")) for w in words], np.int8), np.frombuffer(b"".join(words), "<u8")
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,36 +238,24 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key, np.bincount(at, np.concatenate(counts).astype(float), len(key)).astype(np.int64)
 
 
-def _aligner(shipped):
-    state: dict[str, tuple[Encoder, Pieces]] = {}
-
-    def run(batch: pa.RecordBatch) -> Aligned:
-        if "t" not in state:
-            state["t"] = Encoder(shipped.value[0]), Pieces(shipped.value[1])
-        return align(*state["t"], [t or "" for t in batch.column("text").to_pylist()])
-    return run
-
-
 def pair_counts(texts: DataFrame, shipped) -> DataFrame:
-    """(pair, n): the distinct pairs of each task's texts, with that task's links; a task may send a pair again after ``HELD_PAIRS`` others."""
-    run = _aligner(shipped)
-
+    """(pair, n): the distinct pairs of each task's texts, with that task's links; a task sends its pairs whenever its units are full."""
     def work(batches) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        units = Units(shipped.value)
+        times = np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                k, c = np.unique(run(part).pair, return_counts=True)
-                keys, counts, held = [*keys, k], [*counts, c], held + len(k)
-                if held > HELD_PAIRS:
-                    k, c = _merged(keys, counts)
-                    keys, counts, held = [k], [c], len(k)
-                    if held > HELD_PAIRS // 2:
-                        yield from send(k, c)
-                        keys, counts, held = [], [], 0
-        if held:
-            yield from send(*_merged(keys, counts))
+                slot, n, good = units.read([t or "" for t in part.column("text").to_pylist()])
+                times = np.bincount(slot[np.repeat(good, n)], minlength=len(units.good)) + np.pad(times, (0, len(units.good) - len(times)))
+                if units.full:
+                    yield from send(*units.pairs(times))
+                    units._clear()
+                    times = np.zeros(0, np.int64)
+        if len(times):
+            yield from send(*units.pairs(times))
 
     def send(k, c):
+        k, c = k[c > 0], c[c > 0]
         for i in range(0, len(k), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)]), pa.array(c[i : i + (1 << 16)])], names=["pair", "n"])
     return texts.select("text").mapInArrow(work, "pair long, n long")
@@ -236,11 +297,12 @@ def summed_counts(counts: DataFrame, hashed: PerfectHash) -> np.ndarray:
     return total[:n]
 
 
-def _row_columns(x: Aligned, doc_id: pa.Array) -> dict[str, pa.Array]:
-    rows = len(x.n_a)
-    both = x.ends_a & x.ends_b
-    return {"doc_id": doc_id, "n_a": pa.array(x.n_a), "n_b": pa.array(x.n_b), "n_groups": pa.array(np.bincount(x.row[both], minlength=rows)),
-            "n_links": pa.array(np.bincount(x.row, minlength=rows)), "groups_sha256": pa.array(group_digests(x), pa.string())}
+def _row_columns(units: Units, slot: np.ndarray, n: np.ndarray, good: np.ndarray) -> dict[str, pa.Array]:
+    edge = np.concatenate([[0], np.cumsum(n)])
+    columns = {name: pa.array(np.diff(np.concatenate([[0], np.cumsum(v[slot])])[edge]) * good) for name, v in zip(SUMS, units.sums, strict=True)}
+    get, flat = units.groups.__getitem__, slot.tolist()
+    sha = [hashlib.sha256(b";".join(map(get, flat[i:j]))).hexdigest() if g else "" for i, j, g in zip(edge[:-1].tolist(), edge[1:].tolist(), good.tolist(), strict=True)]
+    return columns | {"groups_sha256": pa.array(sha, pa.string())}
 
 
 def align_tokens(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, max_pairs: int = MAX_PAIRS) -> DataFrame:
@@ -259,40 +321,42 @@ def align_tokens(docs: DataFrame, path_a: str | None = None, path_b: str | None
     total = summed_counts(counts, hashed)
     best = np.zeros(size_b, np.int64)
     np.maximum.at(best, hashed.keys % size_b, total)
-    table, run = spark.sparkContext.broadcast((hashed, total, best)), _aligner(shipped)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = run(batch)
-        hashed, total, best = table.value
-        pair, back = np.unique(x.pair, return_inverse=True)
-        at = hashed.find(pair)
-        if len(at) and at.min() < 0:
-            raise ValueError("the second pass met a pair that the first one didn't")
-        count, top = total[at], total[at] == best[pair % len(best)]
-        out = _row_columns(x, batch.column("doc_id"))
-        edge = np.searchsorted(x.row, np.arange(batch.num_rows + 1))
-        sums, tops = (np.concatenate([[0], np.cumsum(v[back], dtype=np.int64)]) for v in (count, top))
-        out |= {"n_best": pa.array(np.diff(tops[edge])), "count_sum": pa.array(np.diff(sums[edge]))}
-        return pa.RecordBatch.from_arrays([out[c] for c in ORDER], names=ORDER)
-    return map_slices(texts, "text", work, COUNTS)
+    table = spark.sparkContext.broadcast((hashed, total, best))
 
+    def work(batches) -> Iterator[pa.RecordBatch]:
+        units = Units(shipped.value, table.value, texts=True)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                if units.full:
+                    units._clear()
+                out = {"doc_id": part.column("doc_id")} | _row_columns(units, *units.read([t or "" for t in part.column("text").to_pylist()]))
+                yield pa.RecordBatch.from_arrays([out[c] for c in ORDER], names=ORDER)
+    return texts.mapInArrow(work, COUNTS)
 
 
 def _joined(texts: DataFrame, counts: DataFrame, shipped, size_b: int) -> DataFrame:
     """The same for more pairs than a broadcast may hold: texts' distinct pairs meet their counts in a join."""
-    run, schema = _aligner(shipped), "row string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
+    schema = "row string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def work(batches):
-        done = 0
+        units, done = Units(shipped.value, texts=True), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                x = run(part)
-                out = _row_columns(x, part.column("doc_id"))
+                if units.full:
+                    units._clear()
+                slot, n, good = units.read([t or "" for t in part.column("text").to_pylist()])
+                out = {"doc_id": part.column("doc_id")} | _row_columns(units, slot, n, good)
                 out["row"] = pa.array([f"{TaskContext.get().partitionId()}/{done + i}" for i in range(part.num_rows)], pa.string())
                 done += part.num_rows
-                order = np.lexsort((x.pair, x.row))
-                row, pair = x.row[order], x.pair[order]
+                links, pool = np.concatenate([*units.links, np.zeros(0, np.int64)]), np.concatenate([*units.pair, np.zeros(0, np.int64)])
+                used = slot[np.repeat(good, n)]
+                size, first = links[used], (np.cumsum(links) - links)[used]
+                upto = np.cumsum(size)
+                pair = pool[np.repeat(first - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+                row = np.repeat(np.repeat(np.arange(part.num_rows), n * good), size)
+                order = np.lexsort((pair, row))
+                row, pair = row[order], pair[order]
                 new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])])[: len(row)])
                 edge = pa.array(np.searchsorted(row[new], np.arange(part.num_rows + 1)).astype(np.int32))
                 out |= {"pairs": pa.ListArray.from_arrays(edge, pa.array(pair[new])), "times": pa.ListArray.from_arrays(edge, pa.array(np.diff(np.append(new, len(row)))))}
