@@ -15,6 +15,10 @@ boilerplate landmarks.
 Decoding picks, for every node, keep all, drop all, or leave it to the children, so that the summed log
 odds are best; a dropped node has no kept descendant and a kept one no dropped descendant.
 
+Scripts, styles, text areas and titles are skipped to their end tag (or the end of the page, as browsers do); form controls,
+pictures and frames only lose their own inline text, so that nothing behind one that isn't closed is lost; formulas and
+fallback content are text.
+
 Defined results: null or empty html gives empty text; markup that is never closed ends with the page;
 rows that repeat are extracted each; extra columns are ignored; an empty table gives an empty result.
 """
@@ -42,7 +46,11 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
                   "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table "
                   "tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe object select button option canvas math".split())
+#: Text up to the end tag, or else the end of the page, is no text of the page; for the second group only where an end tag follows.
+RAW, RAW_IF_CLOSED = frozenset("script style textarea title".split()), frozenset("head noscript template".split())
+#: Controls and pictures: their own inline text is left out, up to their end tag or the next block tag.
+MUTE = frozenset("svg iframe select button option".split())
+UNMUTE = {t: {t, "select", "datalist", "optgroup"} if t == "option" else {t} for t in MUTE}
 CLOSES_P = BLOCK - {"html", "body"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
@@ -80,7 +88,7 @@ class Page:
         at, pos, links = 0, 0, 0
         buffer: list[str] = []
         linked = 0
-        inline: list[str] = []
+        mute = ""
 
         def flush():
             nonlocal linked
@@ -105,7 +113,7 @@ class Page:
         while True:
             m = TAG.search(html, pos)
             stop = m.start() if m else len(html)
-            if stop > pos:
+            if stop > pos and not mute:
                 buffer.append(html[pos:stop])
                 if links:
                     linked += stop - pos
@@ -115,13 +123,18 @@ class Page:
             start, end = m[1], m[3]
             if start:
                 tag = start.lower()
-                if tag in RAW or tag == "head":
+                if tag in RAW or tag in RAW_IF_CLOSED:
                     over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, pos)
-                    if tag == "head" and not over:
-                        continue
-                    pos = over.end() if over else len(html)
+                    if over or tag in RAW:
+                        pos = over.end() if over else len(html)
+                elif tag in MUTE:
+                    self.tags[at] += 1
+                    if not mute and not m[2].rstrip().endswith("/"):
+                        mute = tag
+                        buffer.append(" ")
                 elif tag in BLOCK:
                     flush()
+                    mute = ""
                     links = 0
                     if tag in CLOSES_P and (up := close({"p"}, BLOCK - {"p"})) >= 0:
                         at = up
@@ -130,7 +143,6 @@ class Page:
                     self.tags[at] += 1
                     if tag not in VOID and tag not in ("html", "body"):
                         at = self._open(tag, m[2], at)
-                    inline.clear()
                 else:
                     self.tags[at] += 1
                     if tag == "br":
@@ -139,6 +151,8 @@ class Page:
                         links += 1
             elif end:
                 tag = end.lower()
+                if mute and (tag in UNMUTE[mute] or tag in BLOCK):
+                    mute = ""
                 if tag == "a":
                     links = max(0, links - 1)
                 elif tag in BLOCK and tag not in ("html", "body") and (up := close({tag}, ())) >= 0:
