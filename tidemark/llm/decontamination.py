@@ -1,15 +1,17 @@
 """Benchmark decontamination: a BM25 index of the test items with block-max WAND.
 
 Spark builds the index: postings (term, item, weight) of the test items, with document frequencies and
-mean length over all items.  Items are dealt by hash into shards of about ``SHARD_ITEMS`` items and
+mean length over all items.  Items are dealt by hash into shards of about ``SHARD_ITEMS`` entries and
 ``SHARD_TERMS`` terms at most; a shard goes to the tasks as one broadcast, so its size is bounded by these
 parameters and a larger benchmark only adds shards, each a pass of its own.
 
 Every document is cut into overlapping passages, each a query.  A term of an item can give at most its
 postings' largest weight; postings are stored in blocks of items with the block's maximum.  Per passage
 the block maxima of its terms are summed first, and only blocks whose bound reaches the threshold are
-scored: no item above the threshold is missed.  The threshold is relative: an item is retrieved when a
-passage scores ``RETRIEVE`` of what the item's own text scores against it.
+scored: no entry above the threshold is missed.  Entries of the index are the question and the answer of an item, each cut
+into overlapping pieces of ``PIECE`` terms, which a passage holds whole; answers of fewer than ``ANSWER`` terms can't decide a
+verdict without their question and have no entry.  The threshold is relative: an item is retrieved when a passage scores ``RETRIEVE`` of what one
+of its entries scores against itself.
 
 Retrieved (document, item) pairs are verified on words: the share of the question's and of the answer's
 word ``GRAM``-grams that the document holds.  The last sentence of an item is its answer, what stands
@@ -41,6 +43,8 @@ QUESTION = 0.6
 BOTH = 0.6
 GRAM = 3
 PASSAGE = 128
+PIECE = PASSAGE // 2
+ANSWER = 8
 BLOCK_ITEMS = 16
 SHARD_ITEMS = 20_000
 SHARD_TERMS = 2_000_000
@@ -78,28 +82,54 @@ def gram_keys(h: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return np.unique(between(sums, start, start + n, 1))
 
 
+def entries(text: str) -> list[str]:
+    """What is indexed of an item: pieces of its question and of its answer."""
+    out = []
+    for k, part in enumerate(split_item(text)):
+        w, _ = terms(pa.array([part]))
+        n = len(w.start)
+        if not n or (k and n < ANSWER):
+            continue
+        raw = part.encode()
+        for i in range(0, max(n - PIECE // 2, 1), PIECE // 2):
+            j = min(i + PIECE, n) - 1
+            out.append(raw[w.start[i] : w.end[j]].decode("utf-8", "ignore"))
+    return out
+
+
+def _pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+    cut = [entries(t) for t in batch.column("text").to_pylist()]
+    rows = [i for i, c in enumerate(cut) for _ in c]
+    item, text = batch.column("item").take(pa.array(rows, pa.int64())), [t for c in cut for t in c]
+    return pa.RecordBatch.from_arrays([item, pa.array([k for c in cut for k in range(len(c))], pa.int32()), pa.array(text, pa.string())], names=["item", "piece", "text"])
+
+
 def _item_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
     w, h = terms(batch.column("text"))
     row = w.row
     _, at, count = np.unique(mix(h + mix(row.astype(U64))), return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(row[at])), pa.array(signed(h[at])), pa.array(count.astype(np.int64)),
-                                       pa.array(w.count[row[at]].astype(np.int64))], names=["item", "term", "tf", "length"])
+    take = pa.array(row[at])
+    return pa.RecordBatch.from_arrays([batch.column("item").take(take), batch.column("piece").take(take), pa.array(signed(h[at])), pa.array(count.astype(np.int64)),
+                                       pa.array(w.count[row[at]].astype(np.int64))], names=["item", "piece", "term", "tf", "length"])
 
 
 class Index:
-    """One shard: postings by term in item order, block maxima, and each item's own score and grams."""
+    """One shard: postings by term in entry order, block maxima, each entry's own score and item, and each item's grams."""
 
     def __init__(self, postings: pa.Table, items: pa.Table):
         self.item_id = items["item_id"].to_pylist()
-        slot = {k: i for i, k in enumerate(items["item"].to_pylist())}
+        place = {k: i for i, k in enumerate(items["item"].to_pylist())}
         term = postings["term"].to_numpy().view(U64)
-        item = np.array([slot[k] for k in postings["item"].to_pylist()], np.int64)
+        owner = np.array([place[k] for k in postings["item"].to_pylist()], np.int64)
+        # entries in the order of their items
+        key, item = np.unique(owner << 32 | postings["piece"].to_numpy().astype(np.int64), return_inverse=True)
+        self.owner = key >> 32
         order = np.lexsort((item, term))
         self.item, self.weight = item[order], postings["weight"].to_numpy()[order]
         self.term, self.first = np.unique(term[order], return_index=True)
         self.first = np.append(self.first, len(order))
-        self.own = np.bincount(self.item, self.weight, minlength=len(self.item_id))
-        blocks = -(-max(len(self.item_id), 1) // BLOCK_ITEMS)
+        self.own = np.bincount(self.item, self.weight, minlength=len(key))
+        blocks = -(-max(len(key), 1) // BLOCK_ITEMS)
         owner = np.repeat(np.arange(len(self.term)), np.diff(self.first))
         cell, where = np.unique(owner * blocks + self.item // BLOCK_ITEMS, return_inverse=True)
         peak = np.zeros(len(cell))
@@ -115,7 +145,7 @@ class Index:
             self.grams.append([gram_keys(terms(pa.array([part]))[1]) for part in split_item(text or "")])
 
     def search(self, key: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, item) pairs that reach the item's threshold.  ``key``: term slots, ``query``: the query
+        """(query, entry) pairs that reach the entry's threshold.  ``key``: term slots, ``query``: the query
         of each, both without repeats and in query order."""
         n = np.diff(self.cell_first)[key]
         at = np.repeat(self.cell_first[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -157,7 +187,7 @@ def _find(index):
         if not len(found):
             return None
         row = np.searchsorted(first, found, "right") - 1
-        both = np.unique(row * len(x.item_id) + item)
+        both = np.unique(row * len(x.item_id) + x.owner[item])
         row, item = both // len(x.item_id), both % len(x.item_id)
         out = []
         for r in np.unique(row):
@@ -184,15 +214,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = stage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
                   .withColumn("item", F.xxhash64("item_id", "text")), "items")
-    raw = stage(map_slices(items, "text", _item_terms, "item long, term long, tf long, length long"), "terms")
-    whole = raw.select("item", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.sum("length").alias("terms")).first()
+    pieces = map_slices(items.select("item", "text"), "text", _pieces, "item long, piece int, text string")
+    raw = stage(map_slices(pieces, "text", _item_terms, "item long, piece int, term long, tf long, length long"), "terms")
+    whole = raw.select("item", "piece", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.sum("length").alias("terms")).first()
     schema = "doc_id long, copy int, item_id long, question_share double, answer_share double"
     if not whole.n:
         return spark.createDataFrame([], schema)
     df = raw.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (whole.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / float(whole.mean)))
-    postings = stage(raw.join(df, "term").select("item", "term", (idf * gain).alias("weight")), "postings")
+    postings = stage(raw.join(df, "term").select("item", "piece", "term", (idf * gain).alias("weight")), "postings")
     shards = max(-(-whole.n // SHARD_ITEMS), -(-whole.terms // SHARD_TERMS))
     out = []
     for k in range(shards):
