@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.plans.staging import stage
 
 KEY = "surrogate-key"
+#: From which attempt on a surrogate gets longer, and from which on it may equal an entity of the corpus.
+GROW, RELAX = 8, 16
 #: Titles with a gender, Latin then Cyrillic.
 HE, SHE = "Mr|Mister|Herr|Monsieur|Señor|Sr|Signor|Don", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Signora|Doña"
 HE_C, SHE_C = "Г-н|Господин", "Г-жа|Госпожа"
@@ -40,9 +42,10 @@ SYLLABLE_C = "ба бо ва ви го да де зо ка ко ла ле ли 
 
 OUTSIDE = r"\s\"<>()\[\],;:|'"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: An address has up to 64 characters before its @ and labels of up to 63, at most 127 of them.
 #: Each alternative first asks for what is cheap and rare, so that ordinary text is passed over quickly.
 PATTERNS = {
-    "email": rf"(?<![^{OUTSIDE}])[^@{OUTSIDE}]++@(?:[\p{{L}}\p{{N}}-]++\.)+\p{{L}}{{2,}}",
+    "email": rf"(?<![^{OUTSIDE}])[^@{OUTSIDE}]{{1,64}}+@(?:[\p{{L}}\p{{N}}-]{{1,63}}+\.){{1,127}}\p{{L}}{{2,}}",
     "name": rf"(?=[MHFSDГ])(?<!\p{{L}})(?:{HE}|{SHE}|{HE_C}|{SHE_C})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
     "ip": rf"(?=\d)(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -94,7 +97,7 @@ def _canon(m: str, kind: str) -> str:
 
 def _stream(text: str, attempt: str) -> str:
     """SQL: 128 keyed hexadecimal digits."""
-    return f"sha2(concat_ws('|', {_quoted(KEY)}, {text}, CAST({attempt} AS STRING)), 512)"
+    return f"sha2(concat_ws('|', __key, {text}, CAST({attempt} AS STRING)), 512)"
 
 
 def _byte(h: str, i: str) -> str:
@@ -103,9 +106,8 @@ def _byte(h: str, i: str) -> str:
 
 def _drawn(text: str, h: str, letters: str = "'abcdefghijklmnopqrstuvwxyz'") -> str:
     """SQL: letters for letters and digits for digits, the rest as it is."""
-    c = f"substr({text}, i, 1)"
-    v = _byte("h", "i")
-    return (f"array_join(transform(array({h}), h -> array_join(transform(sequence(1, greatest(length({text}), 1)), i -> CASE WHEN {c} RLIKE '[0-9]' THEN CAST({v} % 10 AS STRING) "
+    c, v = "c", _byte("h", "(j + 1)")  # by code point, in time that grows with the length
+    return (f"array_join(transform(array({h}), h -> array_join(transform(regexp_extract_all({text}, '(?s).', 0), (c, j) -> CASE WHEN {c} RLIKE '[0-9]' THEN CAST({v} % 10 AS STRING) "
             f"WHEN {c} RLIKE '[\\\\u0400-\\\\u04FF]' THEN substr('абвгдежзиклмнопрстуфхцчшэюя', 1 + {v} % 27, 1) "
             f"WHEN {c} RLIKE '\\\\p{{Lu}}' THEN upper(substr({letters}, 1 + {v} % length({letters}), 1)) "
             f"WHEN {c} RLIKE '\\\\p{{L}}' THEN substr({letters}, 1 + {v} % length({letters}), 1) ELSE {c} END), '')), '')")
@@ -141,7 +143,7 @@ def _surrogate(kind: str, canon: str, attempt: str, last_attempt: str) -> str:
     part = (f"CASE {kind} WHEN 'email' THEN substring_index({canon}, '@', 1) WHEN 'card' THEN substr({canon}, 1, length({canon}) - 1) "
             f"WHEN 'phone' THEN substr({canon}, {at} + 1) WHEN 'iban' THEN substr({canon}, 3) WHEN 'name' THEN '' WHEN 'ip' THEN '' ELSE {canon} END")
     letters = f"CASE WHEN {kind} = 'secret' AND {canon} RLIKE '^[0-9A-Fa-f]+$' THEN 'abcdef' ELSE 'abcdefghijklmnopqrstuvwxyz' END"
-    drawn = f"array_join(transform(array(named_struct('t', {part}, 'l', {letters})), p -> {_drawn('p.t', h, 'p.l')}), '')"
+    drawn = f"array_join(transform(array(named_struct('t', concat({part}, CASE WHEN {kind} IN ('name', 'ip') THEN '' ELSE repeat('0', greatest({attempt} - {GROW}, 0)) END), 'l', {letters})), p -> {_drawn('p.t', h, 'p.l')}), '')"
     ip = "array_join(transform(array(" + h + "), h -> array_join(transform(sequence(1, 4), i -> CAST(CASE WHEN i = 1 THEN 1 + " + _byte("h", "i") + " % 223 ELSE " + _byte("h", "i") + " END AS STRING)), '.')), '')"
     name = f"{_first(canon, attempt)} || ' ' || {_surname(_last(canon), last_attempt)}"
     around = (f"CASE {kind} WHEN 'email' THEN d || '@' || {_drawn(host, _stream(host, '0'))} || '.' || substring_index({canon}, '.', -1) "
@@ -154,8 +156,8 @@ def _render(m: str, kind: str, s: str) -> str:
     """SQL: the canonical surrogate in the match's case and separators."""
     k = f"length(regexp_replace(substr({m}, 1, i), '[^A-Za-z0-9]', ''))"
     c, d = f"substr({m}, i, 1)", f"substr(substring_index({s}, ':', -1), {k}, 1)"
-    spread = (f"array_join(transform(sequence(1, length({m})), i -> CASE WHEN {c} RLIKE '[A-Z]' THEN upper({d}) WHEN {c} RLIKE '[a-z0-9]' THEN {d} ELSE {c} END), '')")
-    email = f"array_join(transform(sequence(1, length({m})), i -> CASE WHEN {c} RLIKE '\\\\p{{Lu}}' THEN upper(substr({s}, i, 1)) ELSE substr({s}, i, 1) END), '')"
+    spread = (f"array_join(transform(sequence(1, length({m})), i -> CASE WHEN {c} RLIKE '[A-Z]' THEN upper({d}) WHEN {c} RLIKE '[a-z0-9]' THEN {d} ELSE {c} END), '') || substr(substring_index({s}, ':', -1), 1 + length(regexp_replace({m}, '[^A-Za-z0-9]', '')))")
+    email = f"array_join(transform(sequence(1, length({s})), i -> CASE WHEN {c} RLIKE '\\\\p{{Lu}}' THEN upper(substr({s}, i, 1)) ELSE substr({s}, i, 1) END), '')"
     title = f"regexp_extract({m}, '^[^ ]+ ', 0)"
     one = f"CASE WHEN regexp_replace({m}, '^[^ ]+ ', '') LIKE '% %' THEN {s} ELSE substring_index({s}, ' ', -1) END"
     return (f"CASE {kind} WHEN 'email' THEN {email} WHEN 'ip' THEN {s} WHEN 'secret' THEN {s} WHEN 'name' THEN {title} || {one} ELSE {spread} END")
@@ -185,28 +187,31 @@ def written(kind: str, canon: str, attempt: str) -> str:
             f"WHEN 'name' THEN concat(substring_index({canon}, ':', 1), ':', {_first(canon, attempt)}, '|', {_last(canon)}) ELSE {_surrogate(kind, canon, attempt, '0')} END")
 
 
-def redrawn(entities: DataFrame) -> DataFrame:
-    """(kind, canon, attempt) of the distinct ``entities``, and last words of names, whose surrogate collides at attempt 0."""
+def redrawn(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """(kind, canon, attempt) of the distinct ``entities``, and last words of names, whose surrogate collides at attempt 0.
+
+    It ends: from attempt ``GROW`` on a surrogate is a character longer each time, so its space outgrows any number of entities; an IPv4
+    address can't grow, and may be one of the corpus from attempt ``RELAX`` on, where most addresses are taken."""
     known = stage(with_surnames(entities.filter("kind IS NOT NULL")).filter("kind <> 'name' OR canon LIKE '% %'").distinct(), "entities")
     now = known.withColumn("attempt", F.lit(0))
     while True:
-        drawn = stage(now.withColumn("s", F.expr(written("kind", "canon", "attempt"))), "drawn")
+        drawn = stage(now.withColumn("__key", F.lit(key)).withColumn("s", F.expr(written("kind", "canon", "attempt"))).drop("__key"), "drawn")
         shared = drawn.groupBy("kind", "s").agg(F.min_by("canon", F.struct(F.col("attempt"), "canon")).alias("owner"), F.count("*").alias("n"))
         taken = known.select("kind", F.col("canon").alias("s"), F.lit(True).alias("real"))
         bad = shared.join(taken, ["kind", "s"], "left").filter("n > 1 OR real").select("kind", "s", "owner", F.coalesce("real", F.lit(False)).alias("real"))
-        again = drawn.join(bad, ["kind", "s"], "left").withColumn("again", F.coalesce(F.expr("real OR canon <> owner"), F.lit(False)))
+        again = drawn.join(bad, ["kind", "s"], "left").withColumn("again", F.coalesce(F.expr(f"(real AND attempt < {RELAX}) OR canon <> owner"), F.lit(False)))
         again = stage(again.select("kind", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), "again"), "attempts")
         if again.filter("again").isEmpty():
             return stage(again.filter("attempt > 0").select("kind", "canon", "attempt"), "redrawn")
         now = again.drop("again")
 
 
-def replace_entities(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text with surrogates, n_entities and entities (type, count),
-    with the other columns of ``docs`` named in ``keep`` left in place."""
+def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """The rows of ``docs`` with surrogates in ``text``, and n_entities and entities (type=count); other columns stay.  Give a
+    ``key`` of your own and keep it secret: who has it can test guesses."""
     base = docs.withColumn("text", F.coalesce("text", F.lit("")))
     found = found_entities(base.select("text")).select(F.explode("__found").alias("x")).select("x.kind", "x.canon")
-    again = redrawn(found)
+    again = redrawn(found, key)
     rows = found_entities(base)
     if again.isEmpty():
         rows = rows.withColumn("__again", F.expr("CAST(map() AS map<string,int>)"))
@@ -218,8 +223,8 @@ def replace_entities(docs: DataFrame) -> DataFrame:
     attempt = lambda kind, canon: f"coalesce(try_element_at(__again, concat_ws(chr(58), {kind}, {canon})), 0)"
     drawn = f"transform(__found, x -> CASE WHEN x.kind IS NULL THEN x.m ELSE array_join(transform(array({_surrogate('x.kind', 'x.canon', attempt('x.kind', 'x.canon'), attempt("'surname'", _last('x.canon')))}), s -> {_render('x.m', 'x.kind', 's')}), '') END)"
     pieces = f"zip_with(split(text, {_quoted(ANY)}, -1), __surrogates, (p, s) -> concat(p, coalesce(s, '')))"
-    out = rows.withColumn("__surrogates", F.expr(drawn)).withColumn("__new", F.expr(f"CASE WHEN size(__found) = 0 THEN text ELSE array_join({pieces}, '') END"))
+    out = rows.withColumn("__key", F.lit(key)).withColumn("__surrogates", F.expr(drawn)).withColumn("__new", F.expr(f"CASE WHEN size(__found) = 0 THEN text ELSE array_join({pieces}, '') END"))
     kinds = "filter(transform(__found, x -> x.kind), k -> k IS NOT NULL)"
     counts = f"transform(array_sort(array_distinct({kinds})), k -> concat(k, '=', CAST(size(filter({kinds}, y -> y = k)) AS STRING)))"
     return (out.withColumn("n_entities", F.expr(f"CAST(size({kinds}) AS BIGINT)")).withColumn("entities", F.expr(f"array_join({counts}, ',')"))
-            .withColumn("text", F.col("__new")).drop("__new", "__found", "__again", "__surrogates"))
+            .withColumn("text", F.col("__new")).drop("__new", "__found", "__again", "__surrogates", "__key"))
