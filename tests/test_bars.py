@@ -148,3 +148,47 @@ def test_candles_of_no_fixed_length_are_refused(spark):
     df = spark.createDataFrame([("s", "1w", '{"code":"0","msg":"","data":[["0","1","1","1","1","1","1","1","1"]]}')], "symbol string, timeframe string, payload string")
     with pytest.raises(Exception, match="no fixed length"):
         payloads.candle_bars(df).collect()
+
+
+def test_coverage_names_the_parts_of_a_tail(spark, tmp_path):
+    """Last bars of a series that stands in few parts; a later upsert changes only its own months; the plan opens one part."""
+    root = str(tmp_path / "t")
+    day = 86400
+
+    def at(days, symbol):
+        return minute_bars(spark, [(1704067200 + d * day + k * 60, 1.0, 2.0, 0.5, 1.0 + d, 1.0) for d in days for k in range(1, 6)], symbol)
+    T.write_bars(at(range(0, 60), "T.A").unionByName(at([3, 4], "T.B")), root)
+    T.write_bars(at([45, 61], "T.A"), root)
+    few = T.tail_of(spark, root, "T.A", "1m", 3)
+    assert [r.close_ts for r in few.orderBy("close_ts").collect()] == [1704067200 + 61 * day + k * 60 for k in (3, 4, 5)]
+    few.collect()
+    scan = few._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().get("numFiles").get().value() == 1 and len(few.inputFiles()) > 60
+    assert T.tail_of(spark, root, "T.B", "1m", 7).agg(F.min("close_ts")).first()[0] == 1704067200 + 3 * day + 4 * 60
+    assert T.tail_of(spark, root, "T.C", "1m", 3).collect() == []
+    spans = {r.symbol: tuple(r)[2:] for r in T.covered_spans(T.open_coverage(spark, root)).collect()}
+    assert spans["T.A"] == ("2024-01-01", "2024-03-02", 1704067260, 1704067200 + 61 * day + 300, 305) and spans["T.B"][-1] == 10
+    kept = sorted(map(str, T.open_coverage(spark, root).select("symbol", "part", "rows").collect()))
+    T.rebuild_coverage(spark, root)
+    assert kept == sorted(map(str, T.open_coverage(spark, root).select("symbol", "part", "rows").collect()))
+
+
+def test_sink_reads_only_the_buckets_of_its_keys(spark, tmp_path):
+    """A key that returns days later is refused; the scan of stored keys names the buckets of the batch."""
+    from tidemark.sources import logs
+
+    root, keys = str(tmp_path / "log"), ["rule_id", "symbol", "dedup_key"]
+    write = logs.table_sink(root, keys)
+
+    def batch(rows):
+        return spark.createDataFrame(rows, "rule_id string, symbol string, dedup_key string, fired_at bigint")
+    write(batch([("r", "s", f"k{i}", 1704067200 + i) for i in range(200)]), 0)
+    write(batch([("r", "s", "k7", 1704067200 + 40 * 86400), ("r", "s", "new", 1704067200 + 40 * 86400), ("r", "s", "new", 1704067201)]), 1)
+    stored = spark.read.parquet(root)
+    assert stored.count() == 201 and stored.filter("dedup_key = 'k7'").first().fired_at == 1704067207
+    assert stored.filter("dedup_key = 'new'").first().fired_at == 1704067201
+    write(batch([("r", "s", f"k{i}", 1704067200 + i) for i in range(200)]), 0)
+    assert spark.read.parquet(root).count() == 201
+    plan = logs.seen_keys(stored, keys, [3, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "fired_at" not in plan.split("ReadSchema")[1]

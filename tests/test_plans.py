@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from tests.helpers import close_series, close_to, column
 from tidemark.operators.asof import asof
 from tidemark.operators.frame import Frame
-from tidemark.plans.chunks import exact_median, rn_chunk, scan, time_chunk
+from tidemark.plans.chunks import rn_chunk, scan, time_chunk
+from tidemark.plans.ranges import bracketed_median, in_ranges, range_scan
 from tidemark.plans.recurrence import ema, linear_scan, smooth, wilder
 from tidemark.plans.small import broadcast_if_small
 from tidemark.plans.staging import shared_dir, stage
@@ -55,13 +56,34 @@ def test_exclusive_scan(points):
     assert [r.s for r in got.orderBy("t").collect()] == list(range(400))
 
 
-def test_exact_median(spark):
-    rows = [(k, rng.choice([0.5, round(rng.uniform(-9, 9), 3)])) for k in "aab" for _ in range(101)]
-    got = {r.k: r.m for r in exact_median(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", 0.4, "m").collect()}
-    for k in "ab":
+@pytest.mark.parametrize("n", [1, 2, 101, 20_000])
+def test_bracketed_median(spark, n):
+    """Also where returns pile up: most equal, or all within 0.001 of each other."""
+    rows = [(k, rng.choice([0.5, round(rng.uniform(-9, 9), 3)]) if k == "a" else 0.2 + rng.random() / 1000 if k == "b" else rng.choice([-1.0, 1.0])) for k in "aabc" for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("d", None)], "k string, x double")
+    got = {r.k: r.m for r in bracketed_median(df, ["k"], "x", "m").collect()}
+    assert set(got) == {"a", "b", "c"}
+    for k in got:
         assert abs(got[k] - statistics.median(x for kk, x in rows if kk == k)) < 1e-12
 
 
+def test_a_bracket_that_misses_is_widened(spark):
+    """A coarse sketch may be wrong about the middle; the result isn't."""
+    rows = [("a", float(i * i % 997)) for i in range(4000)]
+    got = bracketed_median(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", "m", accuracy=5).collect()
+    assert got[0].m == statistics.median(x for _, x in rows)
+
+
+def test_ranges_spread_one_moment_over_tasks(spark):
+    """All rows share one time stamp; sampled ranges of the whole order still cut them, and the scan is exact."""
+    rows = [(60, f"s{i:05d}", 1.0) for i in range(8000)]
+    df = spark.createDataFrame(rows, "t bigint, s string, x double").repartition(4)
+    sizes = [r["count"] for r in in_ranges(df, ["t", "s"], 8).groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 3000
+    got = range_scan(df, [], ["t", "s"], {"n": ("count", "x"), "before": ("lag", "s")}, ranges=8).orderBy("s").collect()
+    assert [r.n for r in got] == list(range(1, 8001)) and [r.before for r in got] == [None, *[r[1] for r in rows[:-1]]]
+
+
 def _loop(xs, n, a, start=1, seed=None):
     out, y = [], seed
     for i, x in enumerate(xs, 1):

@@ -13,6 +13,7 @@ from tidemark.catalog.registry import query
 from tidemark.catalog.util import OHLC, rounded, sel
 from tidemark.functions import calendar as C
 from tidemark.functions import timekeys as K
+from tidemark.plans.ranges import range_scan
 from tidemark.plans.staging import shared_dir, stage
 from tidemark.sources import bar_table as T
 from tidemark.sources import dimensions as D
@@ -45,7 +46,7 @@ def _(spark, sf):
 
 @query("src02_tail_scan", sel("(SELECT * FROM s WHERE symbol = 'CRYPTO.SIM.error' AND timeframe = '1h' ORDER BY close_ts DESC LIMIT 100)", BAR_KEYS, OHLC, STORED))
 def _(spark, sf):
-    return rounded(T.read_tail(T.open_table(spark, store(spark, sf)), "CRYPTO.SIM.error", "1h", 100).select(*BAR_KEYS, *OHLC))
+    return rounded(T.tail_of(spark, store(spark, sf), "CRYPTO.SIM.error", "1h", 100).select(*BAR_KEYS, *OHLC))
 
 
 @query("src02_tail_of_every_series", sel("(SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY close_ts DESC) AS back FROM s)", BAR_KEYS, OHLC, STORED, "back <= 50"))
@@ -68,7 +69,7 @@ _DAY = "strftime(to_timestamp(close_ts) AT TIME ZONE 'UTC', '%Y-%m-%d')"
 
 @query("src05_partition_span", f"WITH {STORED} SELECT symbol, timeframe, min({_DAY}) AS first_day, max({_DAY}) AS last_day FROM s GROUP BY ALL")
 def _(spark, sf):
-    return T.partition_span(T.open_table(spark, store(spark, sf)))
+    return T.covered_spans(T.open_coverage(spark, store(spark, sf))).select("symbol", "timeframe", "first_day", "last_day")
 
 
 @query("src06_replay_feed", f"WITH {M1} SELECT symbol, close_ts, {q6('close')} AS close FROM m1 WHERE symbol IN ('CN.SIM.click', 'CRYPTO.SIM.error') AND close_ts > 1704600000 AND close_ts <= 1706000000")
@@ -83,10 +84,8 @@ def _(spark, sf):
 
 @query("srt03_replay_order", f"WITH {M1} SELECT symbol, close_ts, row_number() OVER (ORDER BY close_ts, symbol) AS pos FROM m1")
 def _(spark, sf):
-    """Global replay positions from a chunked running count, not from one sorted task."""
-    from tidemark.plans.chunks import scan, time_chunk
-    m = minutes(spark, sf).select("symbol", "close_ts")
-    return scan(m, [], ["close_ts", "symbol"], time_chunk("close_ts", 3600), {"pos": ("count", "close_ts")})
+    """Global replay positions: sampled ranges of the order, each numbered by itself, with counts carried between them."""
+    return range_scan(minutes(spark, sf).select("symbol", "close_ts"), [], ["close_ts", "symbol"], {"pos": ("count", "close_ts")})
 
 
 # ------------------------------------------------------------------ payloads
@@ -245,6 +244,17 @@ def _(spark, sf):
     return T.backfill_plan(rq, supply_series(spark, sf))
 
 
+_BF2 = "SELECT symbol, timeframe, CASE WHEN hash_ % 2 = 0 THEN first_day ELSE '2023-12-01' END AS start_day, last_day AS end_day FROM (SELECT *, length(symbol) AS hash_ FROM sp)"
+
+
+@query("src14_backfill_from_coverage", f"WITH {STORED}, sp AS (SELECT symbol, timeframe, min({_DAY}) AS first_day, max({_DAY}) AS last_day FROM s GROUP BY ALL), rq AS ({_BF2}) SELECT rq.symbol, rq.timeframe, start_day, end_day FROM rq JOIN sp USING (symbol, timeframe) WHERE NOT (first_day <= start_day AND last_day >= end_day)")
+def _(spark, sf):
+    """Which requests aren't covered, from the coverage rows of the stored table alone."""
+    spans = T.covered_spans(T.open_coverage(spark, store(spark, sf)))
+    rq = spans.select("symbol", "timeframe", F.when(F.length("symbol") % 2 == 0, F.col("first_day")).otherwise("2023-12-01").alias("start_day"), F.col("last_day").alias("end_day"))
+    return T.backfill_plan(rq, spans=spans)
+
+
 _MAINS = "SELECT n_name AS product, 'c' || c_custkey AS contract, min(o_orderdate) AS start_date FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL"
 _SYNC = f"""WITH p AS (SELECT n_name AS product, r_name AS exchange, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE 0.5 END::DOUBLE AS price_tick, 10.0::DOUBLE AS multiplier FROM nation JOIN region ON r_regionkey = n_regionkey),
  c AS (SELECT n_name AS product, 'cal_' || n_regionkey AS calendar FROM nation WHERE n_regionkey < 4), m AS ({_MAINS}), l AS (SELECT product, arg_max(contract, (start_date, contract)) AS code FROM m GROUP BY product)"""

@@ -114,6 +114,36 @@ def _(spark, sf):
     return rounded(newest.select("symbol", "r.*"))
 
 
+_NIGHT = 68400  # evenings from 19:00 count for the next day
+_DAYS = f"""{M1}, d AS (SELECT *, CAST(to_timestamp(close_ts + CASE WHEN close_ts % 86400 > {_NIGHT} THEN 86400 ELSE 0 END) AT TIME ZONE 'UTC' AS DATE) AS day FROM m1),
+ g AS (SELECT symbol, timeframe, bucket, min(close_ts) AS first_c, max(close_ts) AS close_ts, first(open_ts ORDER BY close_ts) AS open_ts, first(open ORDER BY close_ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY close_ts) AS close, sum(volume) AS volume, sum(money) AS money, strftime(last(day ORDER BY close_ts), '%Y-%m-%d') AS trading_day
+  FROM (SELECT *, unnest(['1d', '1w', '1mon']) AS timeframe, unnest([day, CAST(date_trunc('week', day) AS DATE), CAST(date_trunc('month', day) AS DATE)]) AS bucket FROM d) GROUP BY ALL),
+ e AS (SELECT *, lead(first_c) OVER (PARTITION BY symbol, timeframe ORDER BY bucket) AS emit_ts FROM g)"""
+
+
+def _day_feed(spark, sf):
+    def make():
+        m = minutes(spark, sf)
+        night = F.when(F.col("close_ts") % 86400 > _NIGHT, 1).otherwise(0)
+        day = F.date_add(F.to_date(F.timestamp_seconds("close_ts")), night)
+        return m.withColumn("trading_day", F.date_format(day, "yyyy-MM-dd"))
+    return feed(spark, sf, "trading-days", make, "close_ts")
+
+
+@query("str01_trading_day_bars", sel("e", [*BK, "trading_day", "emit_ts"], OHLC, _DAYS, "emit_ts IS NOT NULL"))
+def _(spark, sf):
+    """Days with night sessions, weeks and months of trading days, closed when the period changes."""
+    return rounded(drain(spark, L.keyed_bars(_day_feed(spark, sf), ["1d", "1w", "1mon"])).select(*BK, "trading_day", "emit_ts", *OHLC))
+
+
+@query("str02_pending_periods", sel("e", [*BK, "trading_day"], OHLC, _DAYS, "emit_ts IS NULL"))
+def _(spark, sf):
+    """The day, week and month that each symbol has open at the end."""
+    out = drain(spark, L.pending_bars(_day_feed(spark, sf), ["1d", "1w", "1mon"]))
+    newest = out.groupBy("symbol", "timeframe").agg(F.max_by(F.struct("open_ts", "close_ts", "trading_day", *OHLC), F.struct("close_ts", "volume")).alias("r"))
+    return rounded(newest.select("symbol", "timeframe", "r.*"))
+
+
 @query("str03_unique_bars", f"WITH {M1} SELECT symbol, close_ts, {q6('close')} AS close FROM m1")
 def _(spark, sf):
     twice = feed(spark, sf, "twice", lambda: minutes(spark, sf).unionByName(minutes(spark, sf)), "close_ts")

@@ -207,6 +207,23 @@ def _(spark, sf):
     return rounded(out.select("symbol", "contract", "trading_day", "close_ts", "open", "high", "low", "close", "volume"), 4)
 
 
+_TWO = "bx AS MATERIALIZED (SELECT * FROM bd UNION ALL SELECT * REPLACE ('1w' AS timeframe, \"open\" + 7 AS \"open\", close + 7 + close_ts % 5 AS close) FROM bd WHERE (close_ts // 86400) % 3 = 0)"
+_ROLL2 = ROLL.replace("bx AS MATERIALIZED (", "bd AS MATERIALIZED (", 1).replace(" pr AS MATERIALIZED", f" {_TWO},\n pr AS MATERIALIZED", 1)
+_ROLL2 = _ROLL2[: _ROLL2.index(" an AS")] + """ pk AS (SELECT DISTINCT pr.*, k.timeframe FROM pr JOIN (SELECT DISTINCT symbol, timeframe FROM bx) k ON k.symbol IN (from_contract, to_contract) WHERE to_contract IS NOT NULL),
+ an AS (SELECT product, from_contract, to_contract, pk.timeframe, any_value(at_day) AS at_day, any_value(start_day) AS start_day, max(o.close_ts) AS anchor_ts, arg_max(n.close - o.close, o.close_ts) AS diff
+  FROM pk LEFT JOIN (bx o JOIN bx n ON o.close_ts = n.close_ts AND o.timeframe = n.timeframe) ON o.symbol = from_contract AND n.symbol = to_contract AND o.timeframe = pk.timeframe AND o.day < at_day GROUP BY ALL)"""
+
+
+@query("agg18_anchors_of_two_timeframes", f"{_ROLL2} SELECT product, from_contract, to_contract, timeframe, at_day, anchor_ts, {q6('diff', 4)} AS diff, {q6('sum(diff) OVER (PARTITION BY product, timeframe ORDER BY start_day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)', 4)} AS cum_offset FROM an")
+def _(spark, sf):
+    """Daily bars and a second timeframe with other prices in one table: every roll has an anchor in each."""
+    bars = supply_series(spark, sf)
+    other = bars.filter(F.floor(F.col("close_ts") / 86400) % 3 == 0).withColumns({
+        "timeframe": F.lit("1w"), "open": F.col("open") + 7, "close": F.col("close") + 7 + F.col("close_ts") % 5})
+    out = CC.rollovers(_segments(spark, sf), bars.unionByName(other))
+    return rounded(out.select("product", "from_contract", "to_contract", "timeframe", "at_day", "anchor_ts", "diff", "cum_offset"), 4)
+
+
 @query("agg18_stitch_problems", f"""{ROLL} SELECT symbol, 'non-positive price' AS problem, min(day) AS detail FROM st WHERE "offset" <> 0 AND low <= 0 GROUP BY symbol
  UNION ALL SELECT product, 'no common bar', at_day FROM ro WHERE diff IS NULL UNION ALL SELECT product, 'contract without data', contract FROM seg WHERE contract NOT IN (SELECT symbol FROM bx)
  UNION ALL SELECT product, 'segment without bars', contract FROM seg WHERE contract NOT IN (SELECT contract FROM st)""")

@@ -24,7 +24,7 @@ def slice_by_segment(segments: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def anchors(segments: DataFrame, bars: DataFrame) -> DataFrame:
-    """Per roll: the last bar both contracts share before the new one takes over, and the spread
+    """Per roll and timeframe: the last bar both contracts share before the new one takes over, and the spread
     there.  A roll without a common bar has a NULL anchor."""
     w = _by_start()
     pairs = stage(segments.withColumns({
@@ -32,30 +32,35 @@ def anchors(segments: DataFrame, bars: DataFrame) -> DataFrame:
         .filter("to_contract IS NOT NULL")
         .select("product", F.col("contract").alias("from_contract"), "to_contract", "at_day", "start_day"), "rolls")
     day = F.coalesce("trading_day", day_text(bar_date()))
-    px = bars.select("symbol", "close_ts", "close", day.alias("day"))
+    px = bars.select("symbol", "timeframe", "close_ts", "close", day.alias("day"))
     small = broadcast_if_small(pairs)
     old = px.join(small.withColumnRenamed("from_contract", "symbol"), "symbol").filter(F.col("day") < F.col("at_day")).select(
-        "product", F.col("symbol").alias("from_contract"), "to_contract", "close_ts", F.col("close").alias("old_close"))
-    new = px.select(F.col("symbol").alias("to_contract"), "close_ts", F.col("close").alias("new_close"))
-    found = old.join(new, ["to_contract", "close_ts"]).groupBy("product", "from_contract", "to_contract").agg(
+        "product", F.col("symbol").alias("from_contract"), "to_contract", "timeframe", "close_ts", F.col("close").alias("old_close"))
+    new = px.select(F.col("symbol").alias("to_contract"), "timeframe", "close_ts", F.col("close").alias("new_close"))
+    found = old.join(new, ["to_contract", "timeframe", "close_ts"]).groupBy("product", "from_contract", "to_contract", "timeframe").agg(
         F.max("close_ts").alias("anchor_ts"),
         F.max_by(F.col("new_close") - F.col("old_close"), "close_ts").alias("diff"))
-    return pairs.join(found, ["product", "from_contract", "to_contract"], "left")
+    # every roll has a row for each timeframe of its contracts, with or without a common bar
+    kinds = bars.select(F.col("symbol").alias("_c"), "timeframe").distinct()
+    asked = pairs.withColumn("_c", F.explode(F.array("from_contract", "to_contract"))).join(kinds, "_c", "left").drop("_c").distinct()
+    has = F.max(F.col("timeframe").isNotNull()).over(Window.partitionBy("product", "from_contract", "to_contract", "at_day"))
+    asked = asked.withColumn("_has", has).filter("timeframe IS NOT NULL OR NOT _has").drop("_has")
+    return asked.join(found, ["product", "from_contract", "to_contract", "timeframe"], "left")
 
 
 def rollovers(segments: DataFrame, bars: DataFrame) -> DataFrame:
-    """Rolls with the cumulative shift that applies to the old contract and all before it."""
-    after = Window.partitionBy("product").orderBy("start_day").rowsBetween(0, Window.unboundedFollowing)
+    """Rolls by timeframe, with the cumulative shift that applies to the old contract and all before it."""
+    after = Window.partitionBy("product", "timeframe").orderBy("start_day").rowsBetween(0, Window.unboundedFollowing)
     return anchors(segments, bars).withColumn("cum_offset", F.sum("diff").over(after)).drop("start_day")
 
 
 def stitch(segments: DataFrame, bars: DataFrame, adjust: bool = True, rolls: DataFrame | None = None) -> DataFrame:
-    """One back-adjusted series per product: prices shifted, volume not, newest contract as is."""
+    """One back-adjusted series per product and timeframe: prices shifted, volume not, newest contract as is."""
     pieces = slice_by_segment(segments, bars)
     if adjust:
         rolls = rollovers(segments, bars) if rolls is None else rolls
-        shift = rolls.select("product", F.col("from_contract").alias("symbol"), F.col("cum_offset").alias("offset"))
-        pieces = pieces.join(broadcast_if_small(shift), ["product", "symbol"], "left")
+        shift = rolls.select("product", F.col("from_contract").alias("symbol"), "timeframe", F.col("cum_offset").alias("offset"))
+        pieces = pieces.join(broadcast_if_small(shift), ["product", "symbol", "timeframe"], "left")
         offset = F.coalesce("offset", F.lit(0.0))
     else:
         offset = F.lit(0.0)
@@ -95,7 +100,7 @@ def contracts_needed(segments: DataFrame) -> DataFrame:
 
 
 def rollover_index(rolls: DataFrame) -> DataFrame:
-    return rolls.select("product", "at_day", "from_contract", "to_contract", "anchor_ts", "diff", "cum_offset")
+    return rolls.select("product", "timeframe", "at_day", "from_contract", "to_contract", "anchor_ts", "diff", "cum_offset")
 
 
 def write_stitched(bars: DataFrame, rolls: DataFrame, root: str) -> None:

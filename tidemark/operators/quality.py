@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timekeys import local_hour
-from tidemark.plans.chunks import exact_median, scan, time_chunk
+from tidemark.plans.chunks import scan
+from tidemark.plans.ranges import bracketed_median, in_ranges
 from tidemark.plans.staging import stage
 
-MEDIAN_WIDTH = 0.001
-DAY = 86400
-HOUR = 3600
-
 
 def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
@@ -49,7 +46,7 @@ def summarize(outcomes: DataFrame, by: list[str]) -> DataFrame:
         share("stop").alias("false_rate"), share("target").alias("target_rate"),
         share("horizon").alias("horizon_rate"), _mean_if("mfe", ev).alias("avg_mfe"),
         _mean_if("mae", ev).alias("avg_mae"), _mean_if("bars_held", ev).alias("avg_bars_held"))
-    med = exact_median(rows.select(*by, "_ret"), by, "_ret", MEDIAN_WIDTH, "median_return")
+    med = bracketed_median(rows.select(*by, "_ret"), by, "_ret", "median_return")
     return agg.join(med, by, "left").withColumn(
         "median_return", F.coalesce("median_return", F.lit(0.0)))
 
@@ -104,21 +101,17 @@ def histogram(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def equity_curve(outcomes: DataFrame, by: list[str] | None = None, span: int | None = None) -> DataFrame:
+def equity_curve(outcomes: DataFrame, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Running sum of returns in percent by entry time, its running peak and the drawdown.
 
-    Ties on entry time are ordered by symbol, rule and fire time.  A task sorts one chunk of ``span``
-    seconds: a day of one group, but only an hour where all symbols and rules run together."""
+    Ties on entry time are ordered by symbol, rule and fire time.  Tasks take sampled ranges of that order, so outcomes of all
+    symbols in one minute are spread as well."""
     by = by or []
-    span = span or (DAY if by else HOUR)
-    rows = stage(outcomes.filter("reason <> 'no_data'").select(
-        *by, "entry_ts", *[c for c in ("symbol", "rule_id", "fired_at") if c not in by],
-        (F.col("ret") * 100).alias("pct")), "equity")
     order = ["entry_ts", *[c for c in ("symbol", "rule_id", "fired_at") if c not in by]]
-    chunk = time_chunk("entry_ts", span)
-    cum = stage(scan(rows, by, order, chunk, {"equity": ("sum", "pct")}), "equity")
-    peak = scan(cum, by, order, chunk, {"_peak": ("max", "equity")})
-    peak = peak.withColumn("peak", F.greatest(F.lit(0.0), "_peak")).drop("_peak", "pct")
+    rows = in_ranges(outcomes.filter("reason <> 'no_data'").select(*by, *order, (F.col("ret") * 100).alias("pct")), [*by, *order], ranges)
+    cum = stage(scan(rows, by, order, F.col("_range"), {"equity": ("sum", "pct")}), "equity")
+    peak = scan(cum, by, order, F.col("_range"), {"_peak": ("max", "equity")})
+    peak = peak.withColumn("peak", F.greatest(F.lit(0.0), "_peak")).drop("_peak", "pct", "_range")
     return peak.withColumn("drawdown", F.col("peak") - F.col("equity"))
 
 

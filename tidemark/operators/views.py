@@ -10,6 +10,7 @@ from tidemark.operators.asof import align_by_close, asof
 from tidemark.operators.frame import Frame
 from tidemark.operators.rules import PRIORITY_RANK
 from tidemark.plans.chunks import scan, time_chunk
+from tidemark.plans.ranges import range_scan
 from tidemark.plans.staging import stage
 from tidemark.schema import KEYS, TIMEFRAMES, lookup, rank_of
 
@@ -88,18 +89,19 @@ def latest_by_symbol(signals: DataFrame) -> DataFrame:
 
 
 def watchlist(pinned: DataFrame, recent: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Pinned symbols first (by pin time, never cut), then recent ones up to ``slots``."""
+    """Pinned symbols first (by pin time, never cut), then recent ones up to ``slots``.
+
+    Lazy: the rows are range-partitioned in list order and numbered with counts carried between the ranges; of the others no more than
+    ``slots`` are ever kept."""
     pins = pinned.groupBy("symbol").agg(F.min("pinned_at").alias("pinned_at"))
     joined = pins.join(recent, "symbol", "full")
     pin = F.col("pinned_at").isNotNull()
-    # only the pins and the ``slots`` newest others can appear, so the numbering sees few rows
-    n_pins = pins.count()
-    top = joined.filter(~pin).orderBy(F.desc("fired_at"), "symbol").limit(max(0, slots - n_pins))
-    kept = joined.filter(pin).unionByName(top)
-    w = Window.orderBy(F.desc(F.col("pinned_at").isNotNull()), F.col("pinned_at").asc_nulls_last(), F.desc("fired_at"), "symbol")
-    return kept.select(
-        F.row_number().over(w).cast("bigint").alias("slot"), "symbol", pin.alias("pinned"), "rule_id", "direction",
-        "fired_at", "dedup_key", "trigger_price")
+    top = joined.filter(~pin).orderBy(F.desc("fired_at"), "symbol").limit(slots)
+    kept = joined.filter(pin).unionByName(top).withColumns({
+        "_late": F.when(pin, 0).otherwise(1), "_at": F.coalesce("pinned_at", F.lit(0)), "_back": -F.coalesce("fired_at", F.lit(-(2**62)))})
+    placed = range_scan(kept, [], ["_late", "_at", "_back", "symbol"], {"slot": ("count", "symbol")})
+    return placed.filter((F.col("_late") == 0) | (F.col("slot") <= slots)).select(
+        F.col("slot").cast("bigint").alias("slot"), "symbol", pin.alias("pinned"), "rule_id", "direction", "fired_at", "dedup_key", "trigger_price")
 
 
 # ------------------------------------------------------------------ freshness

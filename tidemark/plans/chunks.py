@@ -14,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import stage
-
 CHUNK_ROWS = 16384
 _CHUNK = "_chunk"
 
@@ -94,24 +92,3 @@ def scan(
     joined = base.withColumns(local).join(carry, part)
     kept = [c for c in df.columns if c not in out]
     return joined.select(*kept, *[col.alias(name) for name, col in out.items()])
-
-
-def exact_median(df: DataFrame, keys: list[str], value: str, width: float, out: str) -> DataFrame:
-    """Exact median per key without holding a group in one task.
-
-    Equal values are merged first, the distinct values are ranked by a chunked running count
-    (a chunk is a ``width``-wide value range), and the one or two middle values are averaged.
-    """
-    hist = stage(  # read for the ranks, their chunk totals and the group sizes
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n")), "hist")
-    ranked = scan(hist, keys, [value], F.floor(F.col(value) / F.lit(width)).cast("bigint"),
-                  {"_upto": ("sum", "_n")})
-    sizes = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    lo = F.floor((F.col("_total") + 1) / 2)
-    hi = F.floor((F.col("_total") + 2) / 2)
-    first = F.col("_upto") - F.col("_n") + 1
-    return (
-        ranked.join(sizes, keys).filter((first <= hi) & (F.col("_upto") >= lo))
-        .groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(out))
-    )

@@ -105,9 +105,9 @@ def covered_span(bars: DataFrame) -> DataFrame:
     return bars.agg(F.min("close_ts").alias("first_ts"), F.max("close_ts").alias("last_ts"))
 
 
-def backfill_plan(requests: DataFrame, bars: DataFrame) -> DataFrame:
-    """Requests (symbol, timeframe, start_day, end_day) not yet covered at both ends."""
-    span = partition_span(bars)
+def backfill_plan(requests: DataFrame, bars: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
+    """Requests (symbol, timeframe, start_day, end_day) not yet covered at both ends, by the bars or by their ``covered_spans``."""
+    span = partition_span(bars) if spans is None else spans.select(*KEYS, "first_day", "last_day")
     done = requests.join(span, KEYS).filter(
         (F.col("first_day") <= F.col("start_day")) & (F.col("last_day") >= F.col("end_day")))
     return requests.join(done.select(*KEYS, "start_day", "end_day"), [*KEYS, "start_day", "end_day"], "left_anti")
@@ -130,6 +130,74 @@ def missing_spans(cursor: DataFrame, incoming: DataFrame, period: int) -> DataFr
                     (F.col("first_new") - period).alias("backfill_end")))
 
 
+# ------------------------------------------------------------------ coverage
+
+COVERAGE = "_coverage"  # Spark's readers skip folders with this start
+SPAN_CHARS = 7  # coverage rows of one month (year, for calendar bars) share a folder
+
+
+def _covered(rows: DataFrame) -> DataFrame:
+    """(symbol, first, last, first_day, last_day, rows) of every part in ``rows``."""
+    day = day_text(bar_date())
+    return rows.groupBy(*PARTS, "symbol").agg(
+        F.min("close_ts").alias("first_ts"), F.max("close_ts").alias("last_ts"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
+        F.count(F.lit(1)).alias("rows")).withColumn("span", F.substring("part", 1, SPAN_CHARS))
+
+
+def open_coverage(spark: SparkSession, root: str) -> DataFrame | None:
+    schema = "symbol string, first_ts bigint, last_ts bigint, first_day string, last_day string, rows bigint, part string, market string, timeframe string, span string"
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/{COVERAGE}")
+    except Exception as e:  # a table without bars, or from before there was a coverage
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def _keep_coverage(written: DataFrame, root: str) -> None:
+    """Replace the coverage of the parts in ``written`` (all their rows); other parts of their months are carried over."""
+    new = stage(_covered(written), "coverage")
+    have = open_coverage(new.sparkSession, root)
+    if have is not None:
+        touched = new.select(*PARTS, "span").distinct()
+        spans = [r.span for r in touched.select("span").distinct().limit(MAX_LISTED_PARTS + 1).collect()]
+        near = have.filter(F.col("span").isin(spans)) if len(spans) <= MAX_LISTED_PARTS else have
+        same = near.join(touched.select("market", "timeframe", "span").distinct(), ["market", "timeframe", "span"], "left_semi")
+        new = stage(same.join(touched.select(*PARTS), PARTS, "left_anti").select(*new.columns).unionByName(new), "coverage")
+    folders = ["market", "timeframe", "span"]
+    (new.hint("rebalance", *folders).sortWithinPartitions(*folders, "symbol", "part").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(f"{root}/{COVERAGE}"))
+
+
+def rebuild_coverage(spark: SparkSession, root: str) -> None:
+    """From the bars, for a table written before there was a coverage or left between its two writes."""
+    _covered(open_table(spark, root)).write.mode("overwrite").partitionBy("market", "timeframe", "span").parquet(f"{root}/{COVERAGE}")
+
+
+def covered_spans(coverage: DataFrame) -> DataFrame:
+    """Per series: first and last day and close, and the number of bars, without opening the bars."""
+    return coverage.groupBy(*KEYS).agg(
+        F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"), F.sum("rows").alias("n"))
+
+
+def tail_of(spark: SparkSession, root: str, symbol: str, timeframe: str, n: int) -> DataFrame:
+    """Last ``n`` bars of one stored series: the coverage names the newest parts that hold them, and only those are opened."""
+    market = symbol.split(".")[0]
+    coverage = open_coverage(spark, root)
+    if coverage is None:
+        return read_tail(open_table(spark, root), symbol, timeframe, n)
+    mine = coverage.filter((F.col("market") == market) & (F.col("timeframe") == timeframe) & (F.col("symbol") == symbol))
+    parts, found = [], 0
+    for r in mine.select("part", "rows").orderBy(F.desc("part")).limit(n).collect():  # a part holds a bar at least
+        if found >= n:
+            break
+        parts.append(r.part)
+        found += r["rows"]
+    bars = open_table(spark, root).filter((F.col("market") == market) & F.col("part").isin(parts))
+    return read_tail(bars, symbol, timeframe, n)
+
+
 # ------------------------------------------------------------------ writing
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -178,6 +246,7 @@ def write_bars(bars: DataFrame, root: str, arrival: str | None = None, replaces:
         merged = stage(merge(old.select(*STORED), new.select(*STORED)), "merged")
     (_laid_out(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("compression", "zstd").partitionBy(*PARTS).parquet(root))
+    _keep_coverage(merged.filter("closed").withColumns({"market": market_of(), "part": partition_key()}), root)
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
@@ -193,6 +262,7 @@ def compact(spark: SparkSession, root: str, target: str) -> DataFrame:
     src = open_table(spark, root).select(*STORED)
     wanted = stage(newest_per_key(src.withColumn("version", F.lit(1))).drop("version").select(*STORED), "compact")
     _laid_out(wanted).write.mode("errorifexists").option("compression", "zstd").partitionBy(*PARTS).parquet(target)
+    rebuild_coverage(spark, target)
     written = open_table(spark, target).select(*STORED)
     if not same_rows(written, wanted):
         raise RuntimeError(f"compaction of {root} does not match its input; {target} must not be used")
@@ -200,6 +270,6 @@ def compact(spark: SparkSession, root: str, target: str) -> DataFrame:
 
 
 __all__ = [
-    "backfill_plan", "bar_problem", "compact", "count_bars", "covered_span", "gaps", "merge",
+    "backfill_plan", "bar_problem", "compact", "count_bars", "covered_span", "covered_spans", "gaps", "merge", "open_coverage",
     "missing_spans", "newest_per_key", "open_table", "partition_span", "read_close_ts", "read_range",
-    "read_tail", "replay", "replay_stream", "same_rows", "split_valid", "tails", "write_bars"]
+    "read_tail", "rebuild_coverage", "replay", "replay_stream", "same_rows", "split_valid", "tail_of", "tails", "write_bars"]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from tidemark.plans.staging import stage
+
 SIGNAL_KEY = ["rule_id", "symbol", "dedup_key"]
 FILL_KEY = ["signal_key", "kind", "ts"]
 
@@ -74,18 +76,33 @@ def append_fills(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return new_rows(incoming, existing, FILL_KEY, ["ts"])
 
 
-def table_sink(root: str, keys: list[str], order: tuple[str, ...] = ()):
-    """``foreachBatch`` writer: appends only unseen keys, so a replayed batch changes nothing."""
+BUCKETS = 64
+
+
+def table_sink(root: str, keys: list[str], order: tuple[str, ...] = (), ts: str | None = None):
+    """``foreachBatch`` writer: appends only unseen keys, so a replayed batch changes nothing.
+
+    The log lies in folders of key bucket and day (of ``ts``).  A batch reads the key columns of the buckets
+    that its own keys fall into and no others; a key that returns on another day is in the same bucket, so it is refused."""
     def write(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
+        at = ts or next((c for c in ("fired_at", "ts", "close_ts") if c in batch.columns), None)
         fresh = first_per_key(batch, keys, [c for c in order or ("fired_at", "ts") if c in batch.columns])
+        fresh = stage(fresh.withColumns({
+            "bucket": F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"),
+            "day": F.date_format(F.timestamp_seconds(F.col(at)), "yyyy-MM-dd") if at else F.lit("all")}), "log")
         try:
-            stored = spark.read.parquet(root)
+            stored = spark.read.schema(fresh.schema).parquet(root)
         except Exception as e:  # first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             stored = None
         if stored is not None:
-            fresh = fresh.join(stored.select(*keys), keys, "left_anti")
-        fresh.write.mode("append").parquet(root)
+            met = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+            fresh = fresh.join(seen_keys(stored, keys, met), ["bucket", *keys], "left_anti").select(*fresh.columns)
+        fresh.write.mode("append").partitionBy("bucket", "day").parquet(root)
     return write
+
+
+def seen_keys(stored: DataFrame, keys: list[str], buckets: list[int]) -> DataFrame:
+    return stored.filter(F.col("bucket").isin(buckets)).select("bucket", *keys)

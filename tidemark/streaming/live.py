@@ -38,8 +38,9 @@ def with_event_time(minutes: DataFrame, delay: str = "0 seconds", watermark: boo
 
 
 def window_bars(minutes: DataFrame, timeframe: str, delay: str = "0 seconds") -> DataFrame:
-    """OHLCV buckets by tumbling event-time windows: append mode emits a bucket when the watermark
-    passes its end, update mode shows the open bucket as it grows."""
+    """OHLCV buckets of a fixed length or of UTC days and weeks by tumbling event-time windows: append mode emits a bucket when
+    the watermark passes its end, update mode shows the open bucket as it grows.  Months and trading days are no windows of the
+    clock: ``keyed_bars`` and ``pending_bars`` close them when the period changes."""
     timed = with_event_time(minutes, delay)
     if timeframe in _WINDOW:
         win = F.window("event_time", _WINDOW[timeframe])
@@ -114,10 +115,18 @@ def close_buckets(open_row: dict | None, pdf: pd.DataFrame, tf: str, seconds: in
 
 
 def keyed_bars(minutes: DataFrame, timeframes: list[str]) -> DataFrame:
-    """Bars of several timeframes, each emitted the moment it becomes known: on its boundary bar, or
-    with the symbol's next bar.  Same rows and ``emit_ts`` as the batch aggregation of the bars in order:
-    a bar at or before the newest one seen, late or repeated, is left out here; ``cursor`` reports it
-    for the upsert path."""
+    """Bars of several timeframes, days, weeks and months by trading day included, each emitted the moment it becomes known: on its
+    boundary bar, or with the symbol's next bar.  Same rows and ``emit_ts`` as the batch aggregation of the bars in order:
+    a bar at or before the newest one seen, late or repeated, is left out here; ``streaming.late`` brings it into the stored bars."""
+    return _keyed(minutes, timeframes, False)
+
+
+def pending_bars(minutes: DataFrame, timeframes: list[str]) -> DataFrame:
+    """After every micro-batch, the bucket that each of its symbols has open in each timeframe (``emit_ts`` NULL)."""
+    return _keyed(minutes, timeframes, True)
+
+
+def _keyed(minutes: DataFrame, timeframes: list[str], pending: bool) -> DataFrame:
     seconds = {tf: TIMEFRAMES[tf] for tf in timeframes}
 
     def run(key, batches, state):
@@ -128,9 +137,13 @@ def keyed_bars(minutes: DataFrame, timeframes: list[str]) -> DataFrame:
             return
         open_rows["newest"] = int(pdf["close_ts"].iloc[-1])
         for tf, secs in seconds.items():
-            done, open_rows[tf] = close_buckets(open_rows.get(tf), pdf, tf, secs)
+            done, left = close_buckets(open_rows.get(tf), pdf, tf, secs)
+            open_rows[tf] = left
+            if pending:
+                done = pd.DataFrame([left]).assign(open_ts=left["bucket"] - secs if secs else left["first_open"], close_ts=left["bucket"] if secs else left["last"], emit_ts=pd.NA) if left else done[:0]
             if len(done):
-                yield done.assign(symbol=key[0], timeframe=tf, trading_day=done["trading_day"].astype(object))[_KEYED_NAMES]
+                done = done.assign(symbol=key[0], timeframe=tf).reindex(columns=_KEYED_NAMES)
+                yield done.astype({"trading_day": object, "emit_ts": "Int64"})
         state.update((json.dumps(open_rows),))
 
     slim = closed_only(minutes).select("symbol", "open_ts", "close_ts", *_PART[4:])
