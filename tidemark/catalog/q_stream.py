@@ -117,7 +117,7 @@ def _(spark, sf):
 _NIGHT = 68400  # evenings from 19:00 count for the next day
 _DAYS = f"""{M1}, d AS (SELECT *, CAST(to_timestamp(close_ts + CASE WHEN close_ts % 86400 > {_NIGHT} THEN 86400 ELSE 0 END) AT TIME ZONE 'UTC' AS DATE) AS day FROM m1),
  g AS (SELECT symbol, timeframe, bucket, min(close_ts) AS first_c, max(close_ts) AS close_ts, first(open_ts ORDER BY close_ts) AS open_ts, first(open ORDER BY close_ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY close_ts) AS close, sum(volume) AS volume, sum(money) AS money, strftime(last(day ORDER BY close_ts), '%Y-%m-%d') AS trading_day
-  FROM (SELECT *, unnest(['1d', '1w', '1mon']) AS timeframe, unnest([day, CAST(date_trunc('week', day) AS DATE), CAST(date_trunc('month', day) AS DATE)]) AS bucket FROM d) GROUP BY ALL),
+  FROM (SELECT * EXCLUDE (timeframe), unnest(['1d', '1w', '1mon']) AS timeframe, unnest([day, CAST(date_trunc('week', day) AS DATE), CAST(date_trunc('month', day) AS DATE)]) AS bucket FROM d) GROUP BY ALL),
  e AS (SELECT *, lead(first_c) OVER (PARTITION BY symbol, timeframe ORDER BY bucket) AS emit_ts FROM g)"""
 
 

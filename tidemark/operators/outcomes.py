@@ -115,8 +115,10 @@ def _sides(entries: DataFrame, bars: DataFrame, params: OutcomeParams, keep: lis
                              "_blk": F.floor(F.coalesce("base_rn", F.lit(0)) / F.lit(width)).cast("bigint")})
     stop_d, target_d = risk_distances(F.col("atr"), F.col("_entry"), params)
     e = e.withColumns({"_stop": F.col("_entry") - F.col("_sign") * stop_d, "_target": F.col("_entry") + F.col("_sign") * target_d})
-    e = e.select(*KEYS, "_blk", *dict.fromkeys([c for c in keep if c not in KEYS] + ["base_rn", *FIELDS, "next_close_ts", "atr"]))
-    b = to_blocks(bars.select(*KEYS, "rn", "high", "low", "close", "close_ts"), 0, h, width).select(*KEYS, "_blk", "rn", "high", "low", "close", "close_ts")
+    # as new columns: entries are often bars themselves, and the two sides of a cogroup must not share a column
+    e = e.select(*[F.col(c).alias(c) for c in dict.fromkeys([*KEYS, "_blk", *keep, "base_rn", *FIELDS, "next_close_ts", "atr"])])
+    b = to_blocks(bars.select(*KEYS, "rn", "high", "low", "close", "close_ts"), 0, h, width).select(
+        *[F.col(c).alias(c) for c in (*KEYS, "_blk", "rn", "high", "low", "close", "close_ts")])
     return e, b
 
 
