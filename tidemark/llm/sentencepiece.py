@@ -35,6 +35,7 @@ MARK = 0x2581
 BASE = U64(0x9E3779B97F4A7C15)
 LOOSE = -1
 TABLE_UNITS = 400_000
+SLICE_BYTES = 4 << 20  # of text at once: more units of one length advance together
 
 
 @dataclass
@@ -302,7 +303,7 @@ def encode_texts(docs: DataFrame, path: str = MODEL, with_ids: bool = True, keep
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + (", ids array<int>" if with_ids else "")
-    return map_slices(rows, "text", work, ", ".join([schema, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)]))
+    return map_slices(rows, "text", work, ", ".join([schema, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)]), SLICE_BYTES)
 
 
 def decode_texts(encoded: DataFrame, path: str = MODEL) -> DataFrame:
