@@ -48,6 +48,7 @@ ANSWER = 8
 BLOCK_ITEMS = 16
 SHARD_ITEMS = 20_000
 SHARD_TERMS = 2_000_000
+DENSE_CELLS = 1 << 23
 
 #: Bytes that count as part of a term: letters, digits and everything beyond ASCII.
 TERM = np.zeros(256, bool)
@@ -97,6 +98,22 @@ def entries(text: str) -> list[str]:
     return out
 
 
+def among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted ``keys``."""
+    at = np.searchsorted(keys, x)
+    return (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == x) if len(keys) else np.zeros(len(x), bool)
+
+
+def summed(cell: np.ndarray, weight: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that occur and the sums of their weights (all above 0), by a table of all cells where that is small."""
+    if cells <= DENSE_CELLS:
+        total = np.bincount(cell, weight, minlength=cells)
+        spot = np.flatnonzero(total)
+        return spot, total[spot]
+    spot, where = np.unique(cell, return_inverse=True)
+    return spot, np.bincount(where, weight, minlength=len(spot))
+
+
 def _pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
     cut = [entries(t) for t in batch.column("text").to_pylist()]
     rows = [i for i, c in enumerate(cut) for _ in c]
@@ -149,19 +166,18 @@ class Index:
         of each, both without repeats and in query order."""
         n = np.diff(self.cell_first)[key]
         at = np.repeat(self.cell_first[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        spot, where = np.unique(np.repeat(query, n) * self.blocks + self.cell_block[at], return_inverse=True)
-        bound = np.bincount(where, self.cell_peak[at], minlength=len(spot))
+        queries = int(query.max(initial=-1)) + 1
+        spot, bound = summed(np.repeat(query, n) * self.blocks + self.cell_block[at], self.cell_peak[at], queries * self.blocks)
         live = spot[bound >= self.block_need[spot % self.blocks]]
         if not len(live):
             return live, live
-        some = np.isin(query, np.unique(live // self.blocks))
+        some = among(query, np.unique(live // self.blocks))
         key, query = key[some], query[some]
         n = np.diff(self.first)[key]
         at = np.repeat(self.first[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
         q = np.repeat(query, n)
-        inside = np.isin(q * self.blocks + self.item[at] // BLOCK_ITEMS, live)
-        pair, where = np.unique(q[inside] * len(self.own) + self.item[at][inside], return_inverse=True)
-        score = np.bincount(where, self.weight[at][inside], minlength=len(pair))
+        inside = among(q * self.blocks + self.item[at] // BLOCK_ITEMS, live)
+        pair, score = summed(q[inside] * len(self.own) + self.item[at][inside], self.weight[at][inside], queries * len(self.own))
         good = pair[score >= self.need[pair % len(self.own)]]
         return good // len(self.own), good % len(self.own)
 
@@ -194,8 +210,8 @@ def _find(index):
             held = gram_keys(h[w.first[r] : w.first[r + 1]])
             for i in item[row == r]:
                 asked, told = x.grams[i]
-                q = np.isin(asked, held).mean() if len(asked) else 0.0
-                a = np.isin(told, held).mean() if len(told) else None
+                q = among(asked, held).mean() if len(asked) else 0.0
+                a = among(told, held).mean() if len(told) else None
                 mean = q if a is None else (q * len(asked) + a * len(told)) / (len(asked) + len(told))
                 if q >= QUESTION or (a is not None and mean >= BOTH):
                     out.append((r, x.item_id[i], float(q), None if a is None else float(a)))
