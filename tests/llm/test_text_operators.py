@@ -37,16 +37,6 @@ def test_quality_counts_against_brute_force(spark):
     assert Q.quality_rules(empty(spark)).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    df = spark.createDataFrame([("en", "the cat sat on the mat and the dog sat too")], "lang string, text string")
-    tables = Q.fit(df)[0]
-    import numpy as np
-
-    for context in (5 * Q.CLASSES**2 + 3 * Q.CLASSES + 27, tables[-1].context[0]):
-        p = np.exp(Q.log_probability(tables, context * Q.CLASSES + np.arange(Q.CLASSES)))
-        assert abs(p.sum() - 1) < 1e-6 and (p > 0).all()
-
-
 def test_word_salad_is_rejected(spark):
     import random
 
@@ -71,20 +61,84 @@ def test_word_salad_is_rejected(spark):
     assert all(got[i].kept for i in range(400))
 
 
-def test_pair_scores_against_brute_force(spark):
+def kneser_ney(texts, own):
+    """The model of ``texts`` (lang, words) without text ``own``, spelled out: p(word | context) and p(word) as functions."""
+    import collections
+
+    lang = texts[own][0]
+
+    def pairs(w):
+        return list(zip(["^", *w], w, strict=False))
+    every = collections.Counter(p for la, w in texts if la == lang for p in pairs(w))
+    left = every - collections.Counter(pairs(texts[own][1]))
+    n = [sum(c == k for c in every.values()) for k in range(5)]
+    y = n[1] / max(n[1] + 2 * n[2], 1)
+    cut = [0.0] + [min(max(k - (k + 1) * y * n[k + 1] / max(n[k], 1), 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    def single(v):
+        return (0.95 * sum(x == v for _, x in left) + 0.05) / max(len(left), 1)
+
+    def after(u, v):
+        whole = sum(c for (a, _), c in left.items() if a == u)
+        if not whole:
+            return single(v)
+        c = left[u, v]
+        held = sum(cut[min(k, 3)] for (a, _), k in left.items() if a == u)
+        return (max(c - cut[min(c, 3)], 0) + max(held, 0.05) * single(v)) / whole
+    return after, single, left
+
+
+def test_word_model_against_brute_force(spark):
     import math
+    import random
 
-    rows = [(1, "en", "the cat sat on the cat"), (2, "en", "The cat ran"), (3, "de", "the cat sat"), (4, "en", " "), (5, None, None)]
-    got = {r.doc_id: r.word_perplexity for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
-    tables = Q.fit(spark.createDataFrame([r for r in rows if r[1] == "en"], "doc_id long, lang string, text string"))[0]
-    text = "The cat ran"
-    code, _ = Q.grams(Q.pa.RecordBatch.from_arrays([Q.pa.array([text])], names=["text"]))
-    lp = Q.log_probability(tables, code)
-    spelled = [lp[:3].sum(), lp[3:7].sum(), lp[7:].sum()]
-    base = [spelled[0], spelled[0] + spelled[1], spelled[1] + spelled[2], spelled[2]]
-    seen = [1, 2, 0, 0]  # "^ the", "the cat", "cat ran" and "ran $" in the other English text
-    score = -sum(math.log((c / 11 + math.exp(x)) / 2) for c, x in zip(seen, base, strict=True)) / 2 / len(text)
-    assert abs(math.log(got[2]) - score) < 1e-4
+    rng = random.Random(5)
+    vocabulary = [f"W{i}" for i in range(12)]
+    rows = [(i, rng.choice(["en", "xx"]), " ".join(rng.choices(vocabulary, k=rng.randrange(1, 40)))) for i in range(40)]
+    rows += [(40, "en", None), (41, None, "alone in no language"), (42, "zz", "alone"), (43, "en", " ")]
+    got = {r.doc_id: r for r in Q.scores(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)).collect()}
+    texts = [(la or "", (t or "").lower().split()) for _, la, t in rows]
+    for i, (_, words) in enumerate(texts):
+        after, single, left = kneser_ney(texts, i)
+        n = max(len(words), 1)
+        assert abs(got[i].surprise + sum(math.log(after(u, v)) for u, v in zip(["^", *words], words, strict=False)) / n) < 1e-9
+        assert abs(got[i].word_surprise + sum(math.log(single(v)) for v in words) / n) < 1e-9
+    after, single, left = kneser_ney(texts, 0)
+    seen = {v for _, v in left}
+    unseen = len(left) - len(seen)  # the slots that no known word takes
+    for u in ("^", "w3", "never"):
+        assert abs(sum(after(u, v) for v in seen) + unseen * after(u, "another") - 1) < 1e-9
+
+
+def test_bundles_and_parts_change_nothing(spark, monkeypatch):
+    df = clashing(awkward(spark))
+    one = sorted(map(tuple, Q.scores(df).collect()), key=repr)
+    monkeypatch.setattr(Q, "BUNDLE_BYTES", 5000)
+    monkeypatch.setattr(Q, "PART_BYTES", 1000)
+    many = sorted(map(tuple, Q.scores(df.repartition(5)).collect()), key=repr)
+    assert [r[:8] for r in one] == [r[:8] for r in many]
+    assert all(abs(a - b) < 1e-9 for x, y in zip(one, many, strict=True) for a, b in zip(x[8:], y[8:], strict=True))
+
+
+def test_bands_of_each_language(spark):
+    import random
+
+    rng = random.Random(7)
+
+    def language(letters, n):
+        words = ["".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(400)]
+        weights = [1 / (k + 1) for k in range(400)]
+        return [rng.choices(words, weights, k=200) for _ in range(n)], words
+    large, words = language("abcdefgh", 200)
+    small, _ = language("qrstuvwx", 5)
+    half = large[0][:100] + ["".join(rng.choices("mnopzyjk", k=8)) for _ in range(100)]  # the second half is noise
+    few = [a for _ in range(70) for a in rng.sample(words[:3], 3)]  # nothing but the commonest words
+    rows = [(i, "one", " ".join(w)) for i, w in enumerate(large)] + [(500 + i, "two", " ".join(w)) for i, w in enumerate(small)]
+    rows += [(900, "one", " ".join(half)), (901, "two", " ".join(large[1])), (902, "one", " ".join(few))]
+    rows += [(1000 + i, "one", " ".join(large[2])) for i in range(60)]  # copies are no fault of their language
+    got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert not got[900].kept and not got[902].kept
+    assert all(got[i].kept for i in [*range(200), *range(500, 505), *range(1000, 1060)])
 
 
 def test_classifier_on_held_out_rows(spark):

@@ -1,390 +1,297 @@
-"""Quality rules: counting rules, then language-specific perplexity bands of two n-gram models.
-
-The first is a modified Kneser-Ney model of order 4 over letters.  Bytes fold into ``CLASSES`` classes,
-so a language has at most CLASSES**4 grams whatever the corpus; languages outside ``LANGS`` share one
-model.  Every task counts the grams of all its texts; Spark sums them, derives the continuation counts
-of the lower orders and the counts of counts behind the three discounts of each order.  The tables go
-to the tasks as sorted gram arrays with log probabilities and back-off weights (bounded as above).
-
-The second counts the pairs of neighbouring words of all texts, lower-cased, by 64-bit hash; its table grows
-with the corpus and is never in one place.  A text's pairs go to the hash partitions of the table, packed
-per chunk of texts; each partition counts what it gets and sends back a sum per text.  A pair has the
-probability ``c / 2N`` from its count ``c`` in the *other* texts of the language (``N`` pairs in all) plus
-half of what the letter model gives its spelling, so the model needs no floor for new pairs.  A text's word
-score is half the summed negative log probability of its pairs (each word stands in two) per byte.  Real
-words in random order have ordinary letters, but no familiar pairs.
-
-A text's score is the median, over its blocks of ``BLOCK`` bytes, of the mean negative log probability
-per byte, so that a quotation in another language doesn't condemn it.  Each language's band is its median plus
-and minus ``SPREAD`` times the median absolute deviation (with a floor), both read off an exact
-histogram of all texts that pass the counting rules; a text outside is rejected, and so is one whose word score
-is above the word band, built alike (below it stand copies, which isn't a fault of their language).  Scores of short texts scatter
-more, so the band widens by ``SHORT / sqrt(bytes)``.
-
-Defined results: null text has no words and fails the base rule; a null or unknown language is scored
-with the shared model; a null doc_id is judged like any other; extra columns are ignored; an empty
-table gives an empty result.
+"""Quality rules: counting rules, then language-specific perplexity bands of a word model.
+
+The model is modified Kneser-Ney over pairs of neighbouring words (lower-cased; a text's first word follows a
+start mark), with a continuation model of single words below it and, for ``UNSEEN`` of the mass, as many equal
+slots as there are distinct pairs.  Words are hashed together with their language, so every language found in
+the column has its own counts and discounts, however many there are.  Every pair of every text is counted, in
+tables that grow with the corpus and are never in one place.
+
+Work goes by *bundles* of whole texts (about ``BUNDLE_BYTES``, chosen by row hash, packed) and *parts* of the
+hash space, each a sorted hash array:
+
+1. Each bundle sends its distinct pairs to the parts, once however often they occur, as differences of sorted
+   hashes with counts.  A part sums them and answers in the same order, so no hash travels back; the first
+   bundle that sent a pair is told that it owns it.
+2. Each bundle adds up, for its words, how often they are followed, by how many owned pairs of total count 1, 2
+   and 3 or more, and how many owned pairs end in them; for its languages, the counts of counts.  These sums
+   take the same way, so each bundle ends with corpus-wide numbers for exactly its own words.
+3. Each bundle scores its texts.  A text's own pairs are taken out of all counts first (leave-one-out: a pair
+   that occurs nowhere else is new), so a text can't vouch for itself.
+
+Hashes have ``SPARE`` bits more than the corpus has bytes in powers of two, so that the chance that a new pair
+meets another's hash (below 1 / 2^(SPARE + 1)) is the same at every size.
+
+A text has two scores over all its words: ``perplexity`` of the whole model and ``word_perplexity`` of the
+continuation model, which counts kinds of contexts and so isn't moved by copies.  Each language's band is its
+median plus and minus ``SPREAD`` times the median absolute deviation (at least ``FLOOR``) of the texts that pass
+the counting rules; it is wider for languages of few texts (``FEW``) and short texts (``SHORT``).  Texts above
+either band are rejected, and those below the band of word_perplexity (below that of perplexity stand copies,
+which isn't a fault of their language).
+
+Defined results: null text has no words, perplexity 1 and fails the base rule; a null language counts as the
+language ''; a null doc_id is judged like any other, repeated rows each get a row (each is the other's evidence);
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.textops import U64, Words, mix, slices, text_buffers
-from tidemark.llm.textstats import TextStats
+from tidemark.llm.textstats import TextStats, repeats
 from tidemark.plans.staging import stage
 
-LANGS = ("en", "de", "fr", "es")
-CLASSES = 48
-ORDER = 4
-BLOCK = 256
+BUNDLE_BYTES = 24 << 20
+PART_BYTES = 32 << 20
+PARTS = 32
+SPARE = 10
+UNSEEN = 0.05
 SPREAD = 6.0
-FLOOR = 0.01
-SHORT = 2.0
-STEP = 0.002
-#: Hash partitions of the pair table: at least PARTS, more where one would get over PART_PAIRS pairs.
-PARTS = 1024
-PART_PAIRS = 1 << 20
-CHUNK_PAIRS = 512
-PACKED = "p long, chunk long, a binary, b binary, c binary, d binary"
-
-
-def _fold() -> np.ndarray:
-    """Byte classes: letters, capitals, blank, line feed, digits, symbols, four marks, lead and trail bytes."""
-    out = np.full(256, 34)
-    out[97:123] = np.arange(26)
-    out[65:91] = 26
-    out[:33] = 27
-    out[10] = 28
-    out[48:58] = 29
-    out[list(b"#*$%&|<>")] = 30
-    out[ord(".")], out[ord(",")], out[ord("!")] = 31, 32, 33
-    out[192:256] = 35
-    out[128:192] = 36 + np.arange(64) % 12
-    return out
-
-
-FOLD = _fold()
-
-
-def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Order-4 codes at every byte of each text (three blanks stand before it), and the row of each."""
-    data, bounds = text_buffers(batch.column("text"))
-    n = np.diff(bounds)
-    row = np.repeat(np.arange(len(n)), n)
-    padded = np.full(len(data) + 3 * len(n), 27)
-    padded[np.arange(len(data)) + 3 * (row + 1)] = FOLD[data]
-    code = padded[:-3]
-    for k in range(1, ORDER):
-        code = code * CLASSES + padded[k : len(padded) - 3 + k] if len(padded) else code
-    return code[np.arange(len(data)) + 3 * row] if len(data) else np.zeros(0, np.int64), row
-
-
-def language(batch: pa.RecordBatch) -> np.ndarray:
-    known = pa.array(LANGS)
-    found = pa.compute.index_in(batch.column("lang").cast(pa.string()), value_set=known)
-    return found.fill_null(len(LANGS)).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _count(batches):
-    tables: dict[int, np.ndarray] = {}
+FLOOR = 0.1
+FEW = 4.0
+SHORT = 6.0
+STEP = 0.005
+HELD_BYTES = 64 << 20
+BLOCK = "p long, target long, keys binary, numbers binary"
+SCORED = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+          "base_failed boolean, surprise double, word_surprise double")
+
+
+def shrink(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def grow(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(b[8:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(n).astype(U64)
+
+
+def _blocks(rows) -> pa.Table:
+    p, target, keys, numbers = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.table([pa.array(p, pa.int64()), pa.array(target, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.binary())],
+                    names=["p", "target", "keys", "numbers"])
+
+
+def _pack(batches):
+    """Texts of a task by bundle, compressed."""
+    def flush(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        which = t["bundle"].to_numpy()
+        order = np.argsort(which, kind="stable")
+        cut = np.append(np.flatnonzero(np.diff(which[order], prepend=-1)), len(order))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = t.take(pa.array(order[a:b])).select(["doc_id", "lang", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
+                out.write_table(own)
+            yield pa.RecordBatch.from_arrays([pa.array([which[order[a]]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bundle", "docs"])
+    held, size = [], 0
     for batch in batches:
-        for part in slices(batch, "text"):
-            code, row = grams(part)
-            lang = language(part)
-            for k in np.unique(lang):
-                t = tables.setdefault(int(k), np.zeros(CLASSES**ORDER, np.int32))
-                np.add.at(t, code[lang[row] == k], 1)
-    for k, t in tables.items():
-        at = np.flatnonzero(t)
-        for i in range(0, len(at), 1 << 18):
-            x = at[i : i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(x), pa.array(t[x].astype(np.int64))], names=["lang", "gram", "n"])
-
-
-def gram_counts(texts: DataFrame) -> list[DataFrame]:
-    """Counts of order 4, and continuation counts of orders 3, 2 and 1: (lang, gram, n) each."""
-    out = [stage(texts.mapInArrow(_count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")]
-    for k in range(ORDER - 1, 0, -1):
-        out.append(out[-1].groupBy("lang", (F.col("gram") % CLASSES**k).alias("gram")).agg(F.count("*").alias("n")))
-    return out
-
-
-@dataclass(frozen=True)
-class Table:
-    """One order: sorted grams with log probabilities, sorted contexts with log back-off weights."""
-
-    gram: np.ndarray
-    logp: np.ndarray
-    context: np.ndarray
-    backoff: np.ndarray
-
-
-def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
-    return at, (keys[at] == x) if len(keys) else np.zeros(len(x), bool)
-
-
-def kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]]) -> list[Table]:
-    """Tables of orders 1 to ORDER from sorted (gram, count) arrays, order 1 first."""
-    lower = np.full(CLASSES, 1 / CLASSES)
-    tables: list[Table] = []
-    for k, (gram, n) in enumerate(counts, 1):
-        have = np.bincount(np.minimum(n, 5), minlength=6).astype(float)
-        y = have[1] / max(have[1] + 2 * have[2], 1)
-        cut = np.array([0.0] + [np.clip(j - (j + 1) * y * have[j + 1] / max(have[j], 1), 0.05, j - 0.05) for j in (1, 2, 3)])
-        context, owner = np.unique(gram // CLASSES, return_inverse=True)
-        total = np.bincount(owner, n)
-        held = np.bincount(owner, cut[np.minimum(n, 3)])
-        if k == 1:
-            below = lower[gram]
-        else:
-            at, _ = _find(tables[-1].gram, gram % CLASSES ** (k - 1))
-            below = np.exp(tables[-1].logp[at])
-        p = (n - cut[np.minimum(n, 3)]) / total[owner] + held[owner] / total[owner] * below
-        tables.append(Table(gram, np.log(p), context, np.log(held / total)))
-    return tables
-
-
-def log_probability(tables: list[Table], code: np.ndarray) -> np.ndarray:
-    """Log probabilities of order-4 codes, backing off where a gram wasn't seen."""
-    out, todo = np.zeros(len(code)), np.arange(len(code))
-    for k in range(len(tables), 0, -1):
-        t = tables[k - 1]
-        x = code[todo] % CLASSES**k
-        at, found = _find(t.gram, x)
-        out[todo[found]] += t.logp[at[found]] if found.any() else 0
-        todo, x = todo[~found], x[~found]
-        if not len(todo):
-            break
-        at, known = _find(t.context, x // CLASSES)
-        out[todo[known]] += t.backoff[at[known]] if known.any() else 0
-    out[todo] -= np.log(CLASSES)
-    return out
-
-
-def fit(texts: DataFrame) -> dict[int, list[Table]]:
-    """A model per language class of ``texts`` (lang, text)."""
-    per = [c.orderBy("lang", "gram").toArrow() for c in reversed(gram_counts(texts))]
-    out = {}
-    for k in range(len(LANGS) + 1):
-        own = []
-        for c in per:
-            mine = c.filter(pa.compute.equal(c["lang"], k))
-            own.append((mine["gram"].to_numpy(), mine["n"].to_numpy()))
-        if len(own[0][0]):
-            out[k] = kneser_ney(own)
-    return out
-
-
-def block_medians(value: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Per text, the (lower) median of the means over its blocks; a short last block joins the one before."""
-    size = np.diff(bounds)
-    blocks = np.maximum(size // BLOCK, 1)
-    first = np.concatenate([[0], np.cumsum(blocks)])
-    own = first[row] + np.minimum((np.arange(len(value)) - bounds[row]) // BLOCK, blocks[row] - 1)
-    n = np.bincount(own, minlength=first[-1])
-    mean = np.bincount(own, value, minlength=first[-1]) / np.maximum(n, 1)
-    order = np.lexsort((mean, np.repeat(np.arange(len(size)), blocks)))
-    return mean[order][first[:-1] + (blocks - 1) // 2]
-
-
-def _totals(batches):
-    total: dict[int, int] = {}
-    for batch in batches:
-        for part in slices(batch, "text"):
-            lang, n = language(part), Words(*text_buffers(part.column("text"))).count
-            for k in np.unique(lang):
-                mine = n[lang == k]
-                total[int(k)] = total.get(int(k), 0) + int(mine.sum() + (mine > 0).sum())
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
-
-
-def pair_totals(texts: DataFrame) -> dict[int, int]:
-    """Word pairs of each language class."""
-    return {r.k: r.n for r in texts.select("lang", "text").mapInArrow(_totals, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-
-
-def word_pairs(s: TextStats, lang: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, pair) of a slice: row, pair hash, occurrences, and the letter model's mean log probability.
-    A text of n words has n + 1 pairs, with its start and its end; a word's letters include the gap before it."""
-    w, filled = s.words, np.flatnonzero(s.words.count)
-    upto = np.concatenate([[0], np.cumsum(lp)])
-    # per text: its start, its words, its end
-    n = w.count[filled] + 2
-    first = np.cumsum(n) - n
-    at = np.arange(len(w.start)) + 2 * np.searchsorted(filled, w.row) + 1
-    key, spelled = np.zeros(n.sum(), U64), np.zeros(n.sum())
-    key[at] = w.hashes(3, lower=True)
-    edge = np.zeros(n.sum(), np.int64)
-    edge[at], edge[first], edge[first + n - 1] = w.end, s.bounds[filled], s.bounds[filled + 1]
-    spelled[1:] = upto[edge[1:]] - upto[edge[:-1]]
-    spelled[first] = 0
-    inner = np.ones(n.sum(), bool)
-    inner[first] = False
-    second = np.flatnonzero(inner)
-    row = np.repeat(filled, n - 1)
-    pair = mix(mix(key[second - 1] + mix(lang[row].astype(U64) + U64(1))) * U64(3) + key[second])
-    order = np.lexsort((pair, row))
-    pair, row, base = pair[order], row[order], (spelled[second - 1] + spelled[second])[order]
-    new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])])[: len(pair)])
-    times = np.diff(np.append(new, len(pair)))
-    return row[new], pair[new], times, np.add.reduceat(base, new) / times if len(new) else np.zeros(0)
-
-
-def _packed(rows) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:2]] + [pa.array(c, pa.binary()) for c in cols[2:]], names=list("p chunk a b c d".split()))
-
-
-def _bytes(batches: list[pa.RecordBatch]) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema) as out:
-        for batch in batches:
-            out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _judge(model, total, parts):
-    """Per chunk of texts: a packed row with the texts' counts and letter scores (p < 0), and for each hash partition p one with
-    the chunk's pairs there: rows, pairs, occurrences, letter log probabilities less the log of the language's pairs."""
-    def work(batches):
-        dense: dict[int, np.ndarray] = {}
-        chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        docs, pairs, held, rows = [], [], 0, 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                scores, (row, *rest) = one(part, dense)
-                docs.append(scores)
-                pairs.append((row + rows, *rest))
-                rows += part.num_rows
-                held += len(row)
-                if held >= CHUNK_PAIRS * parts or rows >= 1 << 20:
-                    yield from flush(chunk, docs, pairs)
-                    chunk, docs, pairs, held, rows = chunk + 1, [], [], 0, 0
-        if docs:
-            yield from flush(chunk, docs, pairs)
-
-    def flush(chunk, docs, pairs):
-        yield _packed([(-1 - chunk, chunk, _bytes(docs), None, None, None)])
-        row, pair, times, base, shift = (np.concatenate(c) for c in zip(*pairs, strict=True))
-        p = (pair % U64(parts)).astype(np.int64)
-        order = np.argsort(p, kind="stable")
-        p, row, pair, times, base, shift = (x[order] for x in (p, row, pair, times, base, shift))
-        cut = np.append(np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])[: len(p)]), len(p))
-        for i in range(0, len(cut) - 1, 256):
-            yield _packed([(int(p[x]), chunk, np.diff(row[x:y], prepend=0).astype(np.uint32).tobytes(), pair[x:y].tobytes(), times[x:y].astype(np.uint32).tobytes(),
-                            np.stack([base[x:y], shift[x:y]]).astype(np.float32).tobytes()) for x, y in zip(cut[i : i + 256], cut[i + 1 : i + 257], strict=False)])
-
-    def one(part, dense):
-        s = TextStats(part.column("text"))
-        code, row = grams(part)
-        lang = language(part)
-        lp_all = np.zeros(len(code))
-        for k in np.unique(lang):
-            if int(k) not in model.value:
-                continue
-            if int(k) not in dense:  # the sorted arrays, laid out for direct look-up; the rest backs off
-                t = np.full(CLASSES**ORDER, np.nan, np.float32)
-                t[model.value[int(k)][-1].gram] = model.value[int(k)][-1].logp
-                dense[int(k)] = t
-            own = lang[row] == k
-            lp = dense[int(k)][code[own]].astype(float)
-            missing = np.isnan(lp)
-            if missing.any():
-                lp[missing] = log_probability(model.value[int(k)], code[own][missing])
-            lp_all[own] = lp
-        size = np.diff(s.bounds)
-        failed = (s.n_words < 50) | (100 * s.n_repeat_words > 50 * s.n_words)
-        cols = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines.astype(np.int64), s.n_repeat_words]
-        scores = pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in cols), pa.array(failed), pa.array(lang.astype(np.int32)),
-             pa.array(-block_medians(lp_all, row, s.bounds)), pa.array(size.astype(np.int64))],
-            names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "k", "surprise", "size"])
-        own, pair, times, base = word_pairs(s, lang, lp_all)
-        shift = np.array([np.log(max(total.get(int(k), 1), 1)) for k in range(int(lang.max(initial=0)) + 1)])
-        return scores, (own, pair, times, base, shift[lang[own]])
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD_BYTES:
+            yield from flush(held)
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield from flush(held)
+
+
+class Bundle:
+    """The words and pairs of a bundle's texts as sorted hash arrays."""
+
+    def __init__(self, pieces: pa.ChunkedArray, shift: int):
+        self.parts = [s for piece in pieces for b in pa.ipc.open_stream(piece.as_py()).read_all().to_batches() for s in slices(b, "text")]
+        word, row, langs, done = [], [], [], 0
+        for part in self.parts:
+            w = Words(*text_buffers(part.column("text")))
+            lang = self._languages(part.column("lang"))
+            word.append(mix(w.hashes(3, lower=True) + lang[w.row]))
+            row.append(w.row + done)
+            langs.append(lang)
+            done += part.num_rows
+        word, self.row, self.lang = np.concatenate(word), np.concatenate(row), np.concatenate(langs)
+        self.rows = done
+        new = np.concatenate([[True], self.row[1:] != self.row[:-1]])[: len(word)]
+        context = np.where(new, mix(self.lang + U64(1))[self.row], np.concatenate([word[:1], word[:-1]]))
+        pair = mix(mix(context) * U64(3) + word) >> U64(shift)
+        self.pair, self.sample, self.which, self.times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        n = len(word)
+        self.name, at = np.unique(np.concatenate([context, word, mix(self.lang + U64(2))]) >> U64(shift), return_inverse=True)
+        self.context, self.word, self.whole = at[:n], at[n : 2 * n], at[2 * n :]
+
+    @staticmethod
+    def _languages(column: pa.Array) -> np.ndarray:
+        coded = column.fill_null("").dictionary_encode()
+        known = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in coded.dictionary.to_pylist()]
+        return np.array(known, U64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def sums(self, total: np.ndarray, owned: np.ndarray) -> np.ndarray:
+        """Per name: times followed, owned pairs from it of count 1, 2, 3 or more, owned pairs into it;
+        for a language: owned pairs of count exactly 4, 1, 2, 3 and all."""
+        size = len(self.name)
+        at, n = self.sample[owned], total[owned]
+        left, right, own = self.context[at], self.word[at], self.whole[self.row[at]]
+        out = np.zeros((5, size), np.int64)
+        out[0] = np.bincount(self.context, minlength=size) + np.bincount(own[n == 4], minlength=size)
+        for k in (1, 2, 3):
+            out[k] = np.bincount(left[np.minimum(n, 3) == k], minlength=size) + np.bincount(own[n == k], minlength=size)
+        out[4] = np.bincount(right, minlength=size) + np.bincount(own, minlength=size)
+        return out
+
+    def surprise(self, total: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per text: mean negative log probability of a word by both models, the text's own pairs left out."""
+        row, pair = self.row, self.which.astype(U64)
+        own, again = repeats(pair, row)
+        seen = total[self.which]
+        other = seen - own
+        first = ~again
+
+        def leaves(name, weight):
+            """Sums of ``weight`` over the text's distinct pairs, for each position over those that share its name."""
+            _, group = np.unique(name.astype(np.int64) * self.rows + row, return_inverse=True)
+            return np.bincount(group[first], weight[first], minlength=len(group))[group]
+        before, after = np.minimum(seen, 3), np.minimum(other, 3)
+        kinds = [sums[k][self.context] - leaves(self.context, (before == k).astype(float) - (after == k)) for k in (1, 2, 3)]
+        followed = sums[0][self.context] - leaves(self.context, own)
+        gone = (other == 0).astype(float)
+        into = sums[4][self.word] - leaves(self.word, gone)
+        every = sums[4][self.whole] - np.bincount(row[first], gone[first], minlength=self.rows)
+        slots = np.maximum(every, 1)[row]
+        low = ((1 - UNSEEN) * np.maximum(into, 0) + UNSEEN) / slots
+        n4, n1, n2, n3, _ = sums[:, self.whole].astype(float)
+        y = n1 / np.maximum(n1 + 2 * n2, 1)
+        cut = [np.clip(j - (j + 1) * y * b / np.maximum(a, 1), 0.05, j - 0.05)[row] for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        high = np.maximum(other - np.choose(after.astype(int), [np.zeros(len(row)), *cut]), 0)
+        # a word that is followed elsewhere has held mass there; hashes that meet can't take it away
+        kept = np.maximum(sum(c * np.maximum(k, 0) for c, k in zip(cut, kinds, strict=True)), 0.05)
+        full = np.where(followed > 0, (high + kept * low) / np.maximum(followed, 1), low)
+        n = np.maximum(np.bincount(row, minlength=self.rows), 1)
+        return tuple(np.bincount(row, -np.log(p), minlength=self.rows) / n for p in (full, low))
+
+
+def _sent(keys: np.ndarray, numbers: np.ndarray, bundle: int, parts: int, shift: int) -> list:
+    """Blocks of sorted ``keys`` (with columns of ``numbers``) for the parts of the hash space."""
+    p = ((keys << U64(shift)) >> U64(32)) * U64(parts) >> U64(32)
+    cut = np.append(np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])[: len(p)]), len(p))
+    return [(int(p[a]), bundle, shrink(np.diff(keys[a:b], prepend=U64(0))), shrink(numbers[:, a:b].ravel())) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _received(group: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of a part by bundle: bundles, where each begins, all keys, all numbers."""
+    group = group.sort_by("target")
+    keys = [np.cumsum(grow(k), dtype=U64) for k in group["keys"].to_pylist()]
+    numbers = [grow(x).reshape(-1, len(k)) for x, k in zip(group["numbers"].to_pylist(), keys, strict=True)]
+    return group["target"].to_pylist(), np.cumsum([0, *map(len, keys)]), np.concatenate(keys), np.concatenate(numbers, axis=1).astype(np.int64)
+
+
+def _answered(group: pa.Table, columns: int) -> np.ndarray:
+    """What the parts sent back to a bundle, in the order of its keys."""
+    if not group.num_rows:
+        return np.zeros((columns, 0), np.int64)
+    return np.concatenate([grow(x).reshape(columns, -1) for x in group.sort_by("p")["numbers"].to_pylist()], axis=1).astype(np.int64)
+
+
+def _send_pairs(parts, shift):
+    def work(docs: pa.Table) -> pa.Table:
+        b = Bundle(docs["docs"], shift)
+        return _blocks(_sent(b.pair, b.times[None], docs["bundle"][0].as_py(), parts, shift))
+    return work
+
+
+def _count_pairs(group: pa.Table) -> pa.Table:
+    """A part of the pair table: total counts, twice, plus one for the bundle that owns the pair."""
+    bundles, edge, keys, numbers = _received(group)
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    owned = np.zeros(len(keys), np.int64)
+    owned[first] = 1
+    answer = 2 * np.bincount(inverse, numbers[0])[inverse].astype(np.int64) + owned
+    p = group["p"][0].as_py()
+    return _blocks([(p, b, None, shrink(answer[i:j])) for b, i, j in zip(bundles, edge[:-1], edge[1:], strict=True)])
+
+
+def _send_words(parts, shift):
+    def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        b, bundle = Bundle(docs["docs"], shift), docs["bundle"][0].as_py()
+        answer = _answered(answers, 1)[0]
+        # the totals go along under a part of their own, for the scores
+        return _blocks([(-1 - bundle, bundle, None, shrink(answer))] + _sent(b.name, b.sums(answer >> 1, (answer & 1) > 0), bundle, parts, shift))
     return work
 
 
-def _score_pairs(group: pa.Table) -> pa.Table:
-    """One hash partition of the pair table: counts its pairs, then sums each text's log probabilities per chunk."""
+def _count_words(group: pa.Table) -> pa.Table:
+    """A part of the word table: sums of the bundles' numbers."""
     if group["p"][0].as_py() < 0:
         return group
-    chunks, a, b, c, d = (group[x].to_pylist() for x in ("chunk", "a", "b", "c", "d"))
-    size = [len(x) // 8 for x in b]
-    edge = np.cumsum([0, *size])
-    pair, times = np.frombuffer(b"".join(b), U64), np.frombuffer(b"".join(c), np.uint32).astype(np.int64)
-    _, inverse = np.unique(pair, return_inverse=True)
-    others = np.bincount(inverse, times)[inverse] - times
-    out = []
-    for i, chunk in enumerate(chunks):
-        base, shift = np.frombuffer(d[i], np.float32).reshape(2, -1).astype(float)
-        seen, n = others[edge[i] : edge[i + 1]], times[edge[i] : edge[i + 1]]
-        with np.errstate(divide="ignore"):
-            lp = np.logaddexp(np.log(seen) - shift, base) - np.log(2)
-        row = np.cumsum(np.frombuffer(a[i], np.uint32).astype(np.int64))
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out.append((0, chunk, row[first].astype(np.uint32).tobytes(), np.add.reduceat(lp * n, first).astype(np.float32).tobytes(), None, None))
-    return pa.Table.from_batches([_packed(out)])
-
-
-def _assemble(group: pa.Table) -> pa.Table:
-    """The texts of a chunk with their word scores: the partitions' sums put together."""
-    docs, total = None, None
-    p, a, b = (group[x].to_pylist() for x in ("p", "a", "b"))
-    for i in np.argsort(p):  # the texts' own row has p < 0
-        if p[i] < 0:
-            docs = pa.ipc.open_stream(a[i]).read_all()
-            total = np.zeros(docs.num_rows)
-        else:
-            total[np.frombuffer(a[i], np.uint32)] += np.frombuffer(b[i], np.float32)
-    score = -total / 2 / np.maximum(docs["size"].to_numpy(), 1)
-    return docs.append_column("word_surprise", pa.array(score))
-
-
-def bands(scored: DataFrame, score: str = "surprise") -> dict[int, tuple[float, float]]:
-    """Per language: median and median absolute deviation of the scores of texts that pass the base rules."""
-    hist = scored.filter("NOT base_failed").groupBy("k", F.floor(F.col(score) / STEP).alias("b")).agg(F.count("*").alias("n")).collect()
-    out = {}
-    for k in {r.k for r in hist}:
-        b, n = (np.array(c, float) for c in zip(*sorted((r.b, r.n) for r in hist if r.k == k), strict=True))
-        x = (b + 0.5) * STEP
-
-        def median(v, weight):
-            order = np.argsort(v)
-            return v[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)]
-        mid = median(x, n)
-        out[k] = (float(mid), float(max(median(np.abs(x - mid), n), FLOOR)))
-    return out
+    bundles, edge, keys, numbers = _received(group)
+    _, inverse = np.unique(keys, return_inverse=True)
+    answer = np.stack([np.bincount(inverse, x) for x in numbers])[:, inverse].astype(np.int64)
+    p = group["p"][0].as_py()
+    return _blocks([(p, b, None, shrink(answer[:, i:j].ravel())) for b, i, j in zip(bundles, edge[:-1], edge[1:], strict=True)])
+
+
+def _score(shift):
+    def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        b = Bundle(docs["docs"], shift)
+        of_pairs = pa.compute.less(answers["p"], 0)
+        total = _answered(answers.filter(of_pairs), 1)[0] >> 1
+        full, low = b.surprise(total, _answered(answers.filter(pa.compute.invert(of_pairs)), 5))
+        out, done = [], 0
+        for part in b.parts:
+            s = TextStats(part.column("text"))
+            counts = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words]
+            failed = (s.n_words < 50) | (100 * s.n_repeat_words > 50 * s.n_words)
+            own = slice(done, done + part.num_rows)
+            done += part.num_rows
+            out.append(pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("lang").fill_null(""), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(failed), pa.array(full[own]), pa.array(low[own])],
+                names=[c.split()[0] for c in SCORED.split(", ")]))
+        return pa.Table.from_batches(out)
+    return work
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """The counts and both scores (mean negative log probability of a word) of every row of ``docs``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bundles, parts = size // BUNDLE_BYTES + 1, max(PARTS, size // PART_BYTES)
+    shift = 64 - min(64, max(size, 2).bit_length() + SPARE)
+    packed = texts.withColumn("bundle", F.pmod(F.xxhash64("doc_id", "text"), F.lit(bundles))).mapInArrow(_pack, "bundle long, docs binary")
+    by_bundle = packed.groupBy("bundle")
+    pairs = by_bundle.applyInArrow(_send_pairs(parts, shift), BLOCK).groupBy("p").applyInArrow(_count_pairs, BLOCK)
+    words = by_bundle.cogroup(pairs.groupBy("target")).applyInArrow(_send_words(parts, shift), BLOCK).groupBy("p").applyInArrow(_count_words, BLOCK)
+    return by_bundle.cogroup(words.groupBy("target")).applyInArrow(_score(shift), SCORED)
+
+
+def bands(scored: DataFrame) -> DataFrame:
+    """Per language: texts that pass the base rules, medians and median absolute deviations of both scores, in
+    steps of ``STEP`` (so an aggregate holds a bounded number of different values)."""
+    def step(x):
+        return F.round(x / STEP) * STEP
+    good = scored.filter("NOT base_failed").select(F.col("lang").alias("of"), step(F.col("surprise")).alias("a"), step(F.col("word_surprise")).alias("b"))
+    mid = good.groupBy("of").agg(F.count("*").alias("texts"), F.percentile("a", 0.5).alias("mid"), F.percentile("b", 0.5).alias("word_mid"))
+    off = good.join(mid.withColumnRenamed("of", "to"), F.col("of") == F.col("to")).groupBy("of", "texts", "mid", "word_mid").agg(
+        F.percentile(step(F.abs(F.col("a") - F.col("mid"))), 0.5).alias("dev"), F.percentile(step(F.abs(F.col("b") - F.col("word_mid"))), 0.5).alias("word_dev"))
+    return off
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the counts, base_failed, perplexity and word_perplexity (both per byte) and kept."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    model = spark.sparkContext.broadcast(fit(texts.select("lang", "text")))
-    total = pair_totals(texts)
-    parts = max(PARTS, sum(total.values()) // PART_PAIRS)
-    packed = texts.mapInArrow(_judge(model, total, parts), PACKED).groupBy("p").applyInArrow(_score_pairs, PACKED)
-    scored = stage(packed.groupBy("chunk").applyInArrow(_assemble, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                   "n_repeat_words long, base_failed boolean, k int, surprise double, size long, word_surprise double"), "scored")
-
-    def limits(score):
-        mid, width = F.lit(None).cast("double"), F.lit(None).cast("double")
-        for k, (m, d) in bands(scored, score).items():
-            mid, width = F.when(F.col("k") == k, m).otherwise(mid), F.when(F.col("k") == k, d).otherwise(width)
-        return F.col(score) - mid, SPREAD * width + SHORT / F.sqrt(F.greatest("size", F.lit(1)))
-    (above, most), (above_word, most_word) = limits("surprise"), limits("word_surprise")
-    off = (F.abs(above) > most) | (above_word > most_word)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                         F.exp("surprise").alias("perplexity"), F.exp("word_surprise").alias("word_perplexity"),
-                         (~F.col("base_failed") & ~F.coalesce(off, F.lit(False))).alias("kept"))
+    """One row per row of ``docs``: doc_id, the counts, base_failed, perplexity and word_perplexity (per word) and kept."""
+    scored = stage(scores(docs), "scored")
+    per = stage(bands(scored), "bands")
+
+    def width(dev):
+        return SPREAD * F.greatest(F.col(dev), F.lit(FLOOR)) * (1 + FEW / F.col("texts")) + SHORT / F.sqrt(F.greatest("n_words", F.lit(1)))
+    off = (F.col("surprise") - F.col("mid") > width("dev")) | (F.abs(F.col("word_surprise") - F.col("word_mid")) > width("word_dev"))
+    return scored.join(per, F.col("lang") == F.col("of"), "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        F.exp("surprise").alias("perplexity"), F.exp("word_surprise").alias("word_perplexity"),
+        (~F.col("base_failed") & ~F.coalesce(off, F.lit(False))).alias("kept"))
