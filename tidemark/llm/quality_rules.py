@@ -44,10 +44,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.textops import U64, Words, mix, slices, text_buffers
-from tidemark.llm.textstats import TextStats, repeats
+from tidemark.llm.textstats import TextStats
 from tidemark.plans.staging import stage
 
-BUNDLE_BYTES = 24 << 20
+BUNDLE_BYTES = 16 << 20
 PART_BYTES = 32 << 20
 PARTS = 32
 SPARE = 10
@@ -57,6 +57,7 @@ FLOOR = 0.1
 FEW = 4.0
 SHORT = 6.0
 STEP = 0.005
+SCORE_WORDS = 1 << 18
 HELD_BYTES = 64 << 20
 BLOCK = "p long, target long, keys binary, numbers binary"
 SCORED = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -105,28 +106,49 @@ def _pack(batches):
         yield from flush(held)
 
 
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, the first place of each, the rank of every item and the counts."""
+    bits = max(len(x) - 1, 1).bit_length()
+    if len(x) and int(x.max()).bit_length() + bits <= 64:  # value and place in one number: a plain sort is several times as quick
+        y = np.sort((x.astype(U64) << U64(bits)) | np.arange(len(x), dtype=U64))
+        order = (y & U64((1 << bits) - 1)).astype(np.int64)
+        y >>= U64(bits)
+    else:
+        order = np.argsort(x, kind="stable")
+        y = x[order]
+    new = np.concatenate([[True], y[1:] != y[:-1]])[: len(y)]
+    start = np.flatnonzero(new)
+    rank = np.empty(len(x), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    return y[start], order[start], rank, np.diff(np.append(start, len(x)))
+
+
 class Bundle:
     """The words and pairs of a bundle's texts as sorted hash arrays."""
 
-    def __init__(self, pieces: pa.ChunkedArray, shift: int):
+    def __init__(self, pieces: pa.ChunkedArray, shift: int, names: bool = True):
         self.parts = [s for piece in pieces for b in pa.ipc.open_stream(piece.as_py()).read_all().to_batches() for s in slices(b, "text")]
         word, row, langs, done = [], [], [], 0
         for part in self.parts:
             w = Words(*text_buffers(part.column("text")))
             lang = self._languages(part.column("lang"))
             word.append(mix(w.hashes(3, lower=True) + lang[w.row]))
-            row.append(w.row + done)
+            row.append((w.row + done).astype(np.int32))
             langs.append(lang)
             done += part.num_rows
-        word, self.row, self.lang = np.concatenate(word), np.concatenate(row), np.concatenate(langs)
+        word, self.row, lang = np.concatenate(word), np.concatenate(row), np.concatenate(langs)
         self.rows = done
         new = np.concatenate([[True], self.row[1:] != self.row[:-1]])[: len(word)]
-        context = np.where(new, mix(self.lang + U64(1))[self.row], np.concatenate([word[:1], word[:-1]]))
+        context = np.concatenate([word[:1], word[:-1]])
+        context[new] = mix(lang + U64(1))[self.row[new]]
         pair = mix(mix(context) * U64(3) + word) >> U64(shift)
-        self.pair, self.sample, self.which, self.times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-        n = len(word)
-        self.name, at = np.unique(np.concatenate([context, word, mix(self.lang + U64(2))]) >> U64(shift), return_inverse=True)
-        self.context, self.word, self.whole = at[:n], at[n : 2 * n], at[2 * n :]
+        if not names:
+            self.pair, self.times = np.unique(pair, return_counts=True)
+        else:
+            n = len(word)
+            self.pair, self.sample, self.which, self.times = ranked(pair)
+            self.name, _, at, _ = ranked(np.concatenate([context, word, mix(lang + U64(2))]) >> U64(shift))
+            self.context, self.word, self.whole = at[:n], at[n : 2 * n], at[2 * n :]
 
     @staticmethod
     def _languages(column: pa.Array) -> np.ndarray:
@@ -149,33 +171,43 @@ class Bundle:
 
     def surprise(self, total: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text: mean negative log probability of a word by both models, the text's own pairs left out."""
-        row, pair = self.row, self.which.astype(U64)
-        own, again = repeats(pair, row)
-        seen = total[self.which]
-        other = seen - own
-        first = ~again
-
-        def leaves(name, weight):
-            """Sums of ``weight`` over the text's distinct pairs, for each position over those that share its name."""
-            _, group = np.unique(name.astype(np.int64) * self.rows + row, return_inverse=True)
-            return np.bincount(group[first], weight[first], minlength=len(group))[group]
+        edge = np.searchsorted(self.row, np.arange(self.rows + 1))
+        out, a = [], 0
+        while a < self.rows:  # texts don't depend on each other: some at a time
+            b = max(a + 1, int(np.searchsorted(edge, edge[a] + SCORE_WORDS, "right")) - 1)
+            out.append(self._surprise(a, b, slice(edge[a], edge[b]), total, sums))
+            a = b
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+    def _surprise(self, a: int, b: int, span: slice, total: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, which, whole, rows = self.row[span] - a, self.which[span], self.whole[a:b], b - a
+        context, word = self.context[span], self.word[span]
+        # the text's distinct pairs: one place of each, how often it stands there
+        _, first, rank, times = ranked(row.astype(np.int64) * len(self.pair) + which)
+        seen = total[which[first]]
+        other = seen - times
         before, after = np.minimum(seen, 3), np.minimum(other, 3)
-        kinds = [sums[k][self.context] - leaves(self.context, (before == k).astype(float) - (after == k)) for k in (1, 2, 3)]
-        followed = sums[0][self.context] - leaves(self.context, own)
         gone = (other == 0).astype(float)
-        into = sums[4][self.word] - leaves(self.word, gone)
-        every = sums[4][self.whole] - np.bincount(row[first], gone[first], minlength=self.rows)
-        slots = np.maximum(every, 1)[row]
-        low = ((1 - UNSEEN) * np.maximum(into, 0) + UNSEEN) / slots
-        n4, n1, n2, n3, _ = sums[:, self.whole].astype(float)
+        _, left, left_rank, _ = ranked(row.astype(np.int64) * len(self.name) + context)
+        _, right, right_rank, _ = ranked(row.astype(np.int64) * len(self.name) + word)
+
+        def less(names, places, ranks, column, weight):
+            """Numbers of the texts' names without what the texts' own pairs (``weight``) add to them."""
+            return sums[column][names[places]] - np.bincount(ranks[first], weight, minlength=len(places))
+        n4, n1, n2, n3, every = sums[:, whole].astype(float)
+        every = np.maximum(every - np.bincount(row[first], gone, minlength=rows), 1)
         y = n1 / np.maximum(n1 + 2 * n2, 1)
-        cut = [np.clip(j - (j + 1) * y * b / np.maximum(a, 1), 0.05, j - 0.05)[row] for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        high = np.maximum(other - np.choose(after.astype(int), [np.zeros(len(row)), *cut]), 0)
+        cut = [np.clip(j - (j + 1) * y * d / np.maximum(c, 1), 0.05, j - 0.05) for j, c, d in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         # a word that is followed elsewhere has held mass there; hashes that meet can't take it away
-        kept = np.maximum(sum(c * np.maximum(k, 0) for c, k in zip(cut, kinds, strict=True)), 0.05)
-        full = np.where(followed > 0, (high + kept * low) / np.maximum(followed, 1), low)
-        n = np.maximum(np.bincount(row, minlength=self.rows), 1)
-        return tuple(np.bincount(row, -np.log(p), minlength=self.rows) / n for p in (full, low))
+        kinds = [np.maximum(less(context, left, left_rank, k, (before == k).astype(float) - (after == k)), 0) for k in (1, 2, 3)]
+        held = np.maximum(sum(c[row[left]] * k for c, k in zip(cut, kinds, strict=True)), 0.05)[left_rank[first]]
+        followed = less(context, left, left_rank, 0, times)[left_rank[first]]
+        into = np.maximum(less(word, right, right_rank, 4, gone), 0)[right_rank[first]]
+        low = ((1 - UNSEEN) * into + UNSEEN) / every[row[first]]
+        high = np.maximum(other - np.choose(after, [np.zeros(len(first)), *(c[row[first]] for c in cut)]), 0)
+        full = np.where(followed > 0, (high + held * low) / np.maximum(followed, 1), low)
+        n = np.maximum(np.bincount(row, minlength=rows), 1)
+        return tuple(np.bincount(row[first], -times * np.log(p), minlength=rows) / n for p in (full, low))
 
 
 def _sent(keys: np.ndarray, numbers: np.ndarray, bundle: int, parts: int, shift: int) -> list:
@@ -202,7 +234,7 @@ def _answered(group: pa.Table, columns: int) -> np.ndarray:
 
 def _send_pairs(parts, shift):
     def work(docs: pa.Table) -> pa.Table:
-        b = Bundle(docs["docs"], shift)
+        b = Bundle(docs["docs"], shift, names=False)
         return _blocks(_sent(b.pair, b.times[None], docs["bundle"][0].as_py(), parts, shift))
     return work
 
@@ -210,7 +242,7 @@ def _send_pairs(parts, shift):
 def _count_pairs(group: pa.Table) -> pa.Table:
     """A part of the pair table: total counts, twice, plus one for the bundle that owns the pair."""
     bundles, edge, keys, numbers = _received(group)
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    _, first, inverse, _ = ranked(keys)
     owned = np.zeros(len(keys), np.int64)
     owned[first] = 1
     answer = 2 * np.bincount(inverse, numbers[0])[inverse].astype(np.int64) + owned
@@ -232,7 +264,7 @@ def _count_words(group: pa.Table) -> pa.Table:
     if group["p"][0].as_py() < 0:
         return group
     bundles, edge, keys, numbers = _received(group)
-    _, inverse = np.unique(keys, return_inverse=True)
+    _, _, inverse, _ = ranked(keys)
     answer = np.stack([np.bincount(inverse, x) for x in numbers])[:, inverse].astype(np.int64)
     p = group["p"][0].as_py()
     return _blocks([(p, b, None, shrink(answer[:, i:j].ravel())) for b, i, j in zip(bundles, edge[:-1], edge[1:], strict=True)])
