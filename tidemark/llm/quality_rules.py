@@ -18,7 +18,7 @@ hash space, each a sorted hash array:
 3. Each bundle scores its texts.  A text's own pairs are taken out of all counts first (leave-one-out: a pair
    that occurs nowhere else is new), so a text can't vouch for itself.
 
-Hashes have ``SPARE`` bits more than the corpus has bytes in powers of two, so that the chance that a new pair
+Hashes have ``SPARE`` bits more than the number of the corpus' bytes (``LEAST_BITS`` at least), so that the chance that a new pair
 meets another's hash (below 1 / 2^(SPARE + 1)) is the same at every size.
 
 A text has two scores over all its words: ``perplexity`` of the whole model and ``word_perplexity`` of the
@@ -47,10 +47,11 @@ from tidemark.llm.textops import U64, Words, mix, slices, text_buffers
 from tidemark.llm.textstats import TextStats
 from tidemark.plans.staging import stage
 
-BUNDLE_BYTES = 16 << 20
+BUNDLE_BYTES = 12 << 20
 PART_BYTES = 32 << 20
 PARTS = 32
-SPARE = 10
+SPARE = 6
+LEAST_BITS = 34
 UNSEEN = 0.05
 SPREAD = 6.0
 FLOOR = 0.1
@@ -58,7 +59,7 @@ FEW = 4.0
 SHORT = 6.0
 STEP = 0.005
 SCORE_WORDS = 1 << 18
-HELD_BYTES = 64 << 20
+HELD_BYTES = 32 << 20
 BLOCK = "p long, target long, keys binary, numbers binary"
 SCORED = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "base_failed boolean, surprise double, word_surprise double")
@@ -147,8 +148,11 @@ class Bundle:
         else:
             n = len(word)
             self.pair, self.sample, self.which, self.times = ranked(pair)
-            self.name, _, at, _ = ranked(np.concatenate([context, word, mix(lang + U64(2))]) >> U64(shift))
-            self.context, self.word, self.whole = at[:n], at[n : 2 * n], at[2 * n :]
+            del context, pair
+            self.name, _, at, _ = ranked(np.concatenate([word, mix(lang + U64(1)), mix(lang + U64(2))]) >> U64(shift))
+            self.word, start, self.whole = at[:n], at[n : n + done], at[n + done :]
+            self.context = np.concatenate([at[:1], self.word[:-1]])[:n]
+            self.context[new] = start[self.row[new]]
 
     @staticmethod
     def _languages(column: pa.Array) -> np.ndarray:
@@ -255,7 +259,7 @@ def _send_words(parts, shift):
         b, bundle = Bundle(docs["docs"], shift), docs["bundle"][0].as_py()
         answer = _answered(answers, 1)[0]
         # the totals go along under a part of their own, for the scores
-        return _blocks([(-1 - bundle, bundle, None, shrink(answer))] + _sent(b.name, b.sums(answer >> 1, (answer & 1) > 0), bundle, parts, shift))
+        return _blocks([(-1 - bundle, bundle, None, shrink(answer >> 1))] + _sent(b.name, b.sums(answer >> 1, (answer & 1) > 0), bundle, parts, shift))
     return work
 
 
@@ -274,7 +278,7 @@ def _score(shift):
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         b = Bundle(docs["docs"], shift)
         of_pairs = pa.compute.less(answers["p"], 0)
-        total = _answered(answers.filter(of_pairs), 1)[0] >> 1
+        total = _answered(answers.filter(of_pairs), 1)[0]
         full, low = b.surprise(total, _answered(answers.filter(pa.compute.invert(of_pairs)), 5))
         out, done = [], 0
         for part in b.parts:
@@ -295,7 +299,7 @@ def scores(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bundles, parts = size // BUNDLE_BYTES + 1, max(PARTS, size // PART_BYTES)
-    shift = 64 - min(64, max(size, 2).bit_length() + SPARE)
+    shift = 64 - min(64, max(LEAST_BITS, size.bit_length() + SPARE))
     packed = texts.withColumn("bundle", F.pmod(F.xxhash64("doc_id", "text"), F.lit(bundles))).mapInArrow(_pack, "bundle long, docs binary")
     by_bundle = packed.groupBy("bundle")
     pairs = by_bundle.applyInArrow(_send_pairs(parts, shift), BLOCK).groupBy("p").applyInArrow(_count_pairs, BLOCK)
