@@ -23,7 +23,9 @@ def summarize(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """The 18 metrics per group.  Neutral signals count as evaluated (and in MFE/MAE) but not in
     returns or rates."""
     if not by:
-        return summarize(outcomes.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
+        whole = summarize(outcomes.withColumn("_all", F.lit(1)), ["_all"])
+        one = outcomes.sparkSession.range(1).select(F.lit(1).alias("_all"))  # zeros without any outcome
+        return one.join(whole, "_all", "left").drop("_all").na.fill(0)
     rows = outcomes.withColumns({
         "_ev": F.col("reason") != "no_data",
         "_dir": (F.col("reason") != "no_data") & (F.col("direction") != "neutral")})
@@ -61,12 +63,17 @@ def _dimensions() -> dict[str, Column]:
 
 
 def report(outcomes: DataFrame, dimensions: list[str] | None = None) -> DataFrame:
-    """Long report keyed (dimension, key): every grouping from one pass over the outcomes."""
+    """Long report keyed (dimension, key): every grouping from one pass over the outcomes; the overall row
+    is there (with zeros) also without any."""
     dims = {k: v for k, v in _dimensions().items() if dimensions is None or k in dimensions}
     spread = outcomes.withColumn("_g", F.explode(F.array(*[
         F.struct(F.lit(name).alias("dimension"), value.alias("key")) for name, value in dims.items()])))
     long = spread.select("*", "_g.dimension", "_g.key").drop("_g")
-    return summarize(long, ["dimension", "key"])
+    rows = summarize(long, ["dimension", "key"])
+    if "overall" not in dims:
+        return rows
+    overall = outcomes.sparkSession.range(1).select(F.lit("overall").alias("dimension"), F.lit("*").alias("key"))
+    return rows.join(overall, ["dimension", "key"], "full").na.fill(0)
 
 
 def mixed_basis(report_rows: DataFrame) -> DataFrame:
