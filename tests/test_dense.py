@@ -39,3 +39,7 @@ def test_without_outcomes_the_overall_row_has_zeros(spark, dense):
 def test_freshness_without_gaps(spark, dense):
     assert same(spark, dense, "agg17_freshness") == ("", 5)
     assert same(spark, dense, "agg17_health_totals") == ("", 1)
+
+
+def test_a_stream_without_signals(spark, dense):
+    assert same(spark, dense, "str07_stop_and_resume") == ("", 0)

@@ -28,6 +28,12 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    """An empty folder reads as a table without rows; a missing one is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def drop_staged(spark: SparkSession) -> bool:
     """Delete what this application has staged; call it when the results are stored elsewhere."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
