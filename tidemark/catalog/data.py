@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import bar_series, ticks_to_minutes
+from tidemark.operators.bars import bar_series, calendar_bars, calendar_series, ticks_to_minutes
 from tidemark.plans.staging import stage
 
 FIXED = ["5m", "15m", "30m", "1h", "4h"]
@@ -59,21 +59,29 @@ def series(spark: SparkSession, sf: str, *timeframes: str) -> DataFrame:
     return df.filter(F.col("timeframe").isin(*timeframes)) if timeframes else df
 
 
-def build_supply_minutes(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    return ticks_to_minutes(
-        li, F.concat(F.lit("SUP."), F.col("l_suppkey").cast("string")), F.col("l_shipdate"), price,
+def _supply_ticks(spark: SparkSession, sf: str) -> dict:
+    return {
+        "ticks": table(spark, sf, "lineitem"), "symbol": F.concat(F.lit("SUP."), F.col("l_suppkey").cast("string")),
+        "ts": F.col("l_shipdate"), "price": F.col("l_extendedprice") / F.col("l_quantity"),
         # order key, line and part as one number of at most 29 digits
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(17,0)") * F.lit(10**11).cast("decimal(12,0)")
-         + F.col("l_partkey")).cast("decimal(29,0)"),
-        volume=F.col("l_quantity"), money=F.col("l_extendedprice"))
+        "tie": ((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(17,0)") * F.lit(10**11).cast("decimal(12,0)")
+                + F.col("l_partkey")).cast("decimal(29,0)"),
+        "volume": F.col("l_quantity"), "money": F.col("l_extendedprice")}
+
+
+def build_supply_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    return ticks_to_minutes(**_supply_ticks(spark, sf))
+
+
+def supply_calendar(spark: SparkSession, sf: str, timeframes: list[str]) -> DataFrame:
+    """Calendar bars per supplier, the unfinished last one included."""
+    return calendar_bars(**_supply_ticks(spark, sf), timeframes=timeframes)
 
 
 def supply_series(spark: SparkSession, sf: str) -> DataFrame:
     """Indexed daily bars per supplier."""
     def make():
-        return bar_series(stage(build_supply_minutes(spark, sf), "supply"), ["1d"])
+        return calendar_series(**_supply_ticks(spark, sf), timeframes=["1d"])
     return once(spark, ("supply", sf), make)
 
 

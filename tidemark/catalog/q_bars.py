@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.data import (
-    DERIVED, FIXED, M1, SUPPLY, all_bars_cte, build_supply_minutes, minutes, once, series, series_cte)
+    DERIVED, FIXED, M1, SUPPLY, all_bars_cte, minutes, once, series, series_cte, supply_calendar)
 from tidemark.catalog.registry import query
 from tidemark.catalog.util import OHLC, rounded, sel
 from tidemark.functions import timekeys as K
@@ -64,8 +64,7 @@ def _supply_cal():
 
 @query("agg02_supplier_weeks_months", sel("cal", [*BAR_KEYS, "emit_ts"], OHLC, _supply_cal(), digits=8))
 def _(spark, sf):
-    base = once(spark, ("supply_minutes", sf), lambda: stage(build_supply_minutes(spark, sf), "supply"))
-    return rounded(B.aggregate_all(base, ["1w", "1mon"]).select(*BAR_KEYS, "emit_ts", *OHLC), 8)
+    return rounded(supply_calendar(spark, sf, ["1w", "1mon"]).select(*BAR_KEYS, "emit_ts", *OHLC), 8)
 
 
 @query("agg03_all_timeframes", sel("bars_all", [*BAR_KEYS, "emit_ts"], OHLC, all_bars_cte(*DERIVED), "emit_ts IS NOT NULL"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType
 
-from tidemark.functions.timekeys import as_date, bar_date, ceil_to, day_text, epoch_micros, period_start
+from tidemark.functions.timekeys import as_date, bar_date, ceil_to, day_text, epoch_micros, period_start, utc_date
 from tidemark.plans.chunks import CHUNK_ROWS, scan
 from tidemark.plans.staging import stage
 from tidemark.schema import KEYS, TIMEFRAMES, lookup
@@ -110,9 +110,12 @@ def aggregate_all(
     A bucket is known at its label when a base bar closes exactly there, else when the symbol's
     next base bar arrives, which is the first base bar of the next bucket.
     """
-    grouped = stage(bucketed(base, timeframes), "buckets")
-    known = scan(grouped, KEYS, ["bucket"], _chunk(timeframes, chunk_rows),
-                 {"_next": ("lead", "_first")})
+    return _known(stage(bucketed(base, timeframes), "buckets"), _chunk(timeframes, chunk_rows))
+
+
+def _known(grouped: DataFrame, chunk: Column) -> DataFrame:
+    """Buckets with the moment at which each becomes known."""
+    known = scan(grouped, KEYS, ["bucket"], chunk, {"_next": ("lead", "_first")})
     emit = F.when(F.col("_on_time"), F.col("close_ts")).otherwise(F.col("_next"))
     return known.withColumns({"emit_ts": emit, "closed": emit.isNotNull()}).select(*BAR_COLUMNS)
 
@@ -150,8 +153,12 @@ def bar_series(
             "open_interest", "trading_day", F.lit(True).alias("_on_time"))
         grouped = grouped.unionByName(own)
         all_tfs.append("1m")
-    grouped = stage(grouped, "buckets")
-    out = scan(grouped, KEYS, ["bucket"], _chunk(all_tfs, chunk_rows), {
+    return _indexed(stage(grouped, "buckets"), _chunk(all_tfs, chunk_rows))
+
+
+def _indexed(grouped: DataFrame, chunk: Column) -> DataFrame:
+    """Closed bars of the buckets with row number and neighbours, as a staged table."""
+    out = scan(grouped, KEYS, ["bucket"], chunk, {
         "rn": ("count", "bucket"), "prev_close": ("lag", "close"), "next_open": ("lead", "open"),
         "next_close_ts": ("lead", "close_ts"), "_next_first": ("lead", "_first"),
         "_next_on_time": ("lead", "_on_time"), "_next_bucket": ("lead", "bucket"), "_final": ("overall", "bucket")})
@@ -165,6 +172,64 @@ def bar_series(
     return stage(closed.select(*BAR_COLUMNS, "rn", "prev_close", "next_open", "next_close_ts"), "series")
 
 
+# ------------------------------------------------------------------ calendar bars straight from ticks
+
+CHUNK_DAYS = 256
+
+
+def _calendar_buckets(
+    ticks: DataFrame, symbol: Column, ts: Column, price: Column, tie: Column, timeframes: list[str],
+    volume: Column | None, money: Column | None, chunk_days: int,
+) -> DataFrame:
+    """Days, weeks and months (UTC) of a tick table, with the chunk (``_days``) that each bucket lies in.
+
+    The narrow ticks are exchanged once, by series and chunk; the grouping, the windows of ``scan`` and its join
+    back all keep that partitioning and its order."""
+    volume = F.lit(1.0) if volume is None else volume
+    raw = ticks.select(
+        symbol.alias("symbol"), epoch_micros(ts).alias("_us"), tie.alias("_tie"), price.alias("_price"), volume.alias("_volume"),
+        (price * volume if money is None else money).alias("_money"), F.explode(F.array(*[F.lit(t) for t in timeframes])).alias("timeframe"))
+
+    def with_bucket(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_minute", (-F.floor(-F.col("_us") / F.lit(60_000_000)) * 60).cast("bigint"))
+        bucket = None
+        for tf in timeframes:
+            key, hit = period_start(tf, utc_date("_minute")), F.col("timeframe") == F.lit(tf)
+            bucket = F.when(hit, key) if bucket is None else bucket.when(hit, key)
+        return df.withColumn("bucket", bucket)
+
+    days = F.floor(F.col("bucket") / chunk_days).cast("bigint")
+    dealt = with_bucket(raw).withColumn("_days", days).drop("bucket", "_minute").filter("symbol IS NOT NULL AND _days IS NOT NULL").repartition(*KEYS, "_days")
+    place = F.struct("_us", "_tie")
+    grouped = with_bucket(dealt).groupBy(*KEYS, "_days", "bucket").agg(
+        F.min("_minute").alias("_first"), F.max("_minute").alias("_last"), F.min_by("_price", place).alias("open"), F.max("_price").alias("high"),
+        F.min("_price").alias("low"), F.max_by("_price", place).alias("close"), F.sum("_volume").alias("volume"), F.sum("_money").alias("money"),
+        F.count(F.lit(1)).alias("n"))
+    # true of every bucket: both readings of ``scan`` then ask for the same columns and share the one exchange
+    grouped = grouped.filter((F.col("n") > 0) | F.col("open").isNotNull() | F.col("volume").isNotNull() | F.col("money").isNotNull())
+    return grouped.select(
+        *KEYS, "_days", "bucket", "_first", "_last", (F.col("_first") - 60).alias("open_ts"), F.col("_last").alias("close_ts"),
+        "open", "high", "low", "close", "volume", "money", F.lit(0.0).alias("open_interest"), F.lit(None).cast("string").alias("trading_day"),
+        F.lit(False).alias("_on_time"))
+
+
+def calendar_series(
+    ticks: DataFrame, symbol: Column, ts: Column, price: Column, tie: Column, timeframes: list[str],
+    volume: Column | None = None, money: Column | None = None, chunk_days: int = CHUNK_DAYS,
+) -> DataFrame:
+    """Same bars as ``bar_series(ticks_to_minutes(...), timeframes)`` of days, weeks and months: for ticks so sparse that
+    minutes hardly shrink them, since every tick of a series' ``chunk_days`` meets in one task."""
+    return _indexed(_calendar_buckets(ticks, symbol, ts, price, tie, timeframes, volume, money, chunk_days), F.col("_days"))
+
+
+def calendar_bars(
+    ticks: DataFrame, symbol: Column, ts: Column, price: Column, tie: Column, timeframes: list[str],
+    volume: Column | None = None, money: Column | None = None, chunk_days: int = CHUNK_DAYS,
+) -> DataFrame:
+    """Same bars as ``aggregate_all(ticks_to_minutes(...), timeframes)``, as ``calendar_series`` gets them."""
+    return _known(_calendar_buckets(ticks, symbol, ts, price, tie, timeframes, volume, money, chunk_days), F.col("_days"))
+
+
 def index_bars(bars: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Number each series and attach its neighbours, as a staged table.
 
