@@ -1,6 +1,8 @@
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from tests.llm.cases import awkward, awkward_rows, clashing, empty
@@ -346,3 +348,30 @@ def test_cosine_against_brute_force():
         return {w: x / size for w, x in v.items()}
     header = vector(["gnu", "general", "public", "license", "version", "3"])
     assert round(max(sum(header[w] * v.get(w, 0) for w in header) for v in map(vector, texts)), 6) == 0.770438
+
+
+def test_quality_numbers_are_packed_close_to_their_entropy():
+    rng = np.random.default_rng(5)
+    for x in ([], [0] * 9, [0, 2**64 - 1, 1], rng.integers(0, 2**40, 5000), rng.integers(0, 9, (5, 700))):
+        x = np.array(x, np.uint64)
+        assert (Q.grow(Q.shrink(x)) == x.ravel()).all()
+        assert x.ndim > 1 or (Q.grow_gaps(Q.shrink_gaps(x)) == x).all()
+    sums = rng.integers(0, 50, (5, 99))
+    assert (Q.unfold(Q.fold(sums)) == sums).all()
+    gaps = rng.geometric(1 / 48_000, 45_000)
+    gaps[0] = 2**35  # the first is a hash
+    assert len(Q.shrink_gaps(gaps)) < 1.02 * 45_000 * np.log2(np.e * 48_000) / 8
+
+
+def test_quality_pair_totals_cross_one_exchange(spark):
+    """Only the numbers of words stand in what the bundles send for words; the totals come from the parts of pairs."""
+    docs = spark.createDataFrame([(i, "en", f"red fox {i} ran on") for i in range(50)], "doc_id long, lang string, text string")
+    plan = Q.scores(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+    packed = pa.chunked_array([next(Q._pack(iter([pa.RecordBatch.from_pydict({"bundle": [0], "doc_id": [1], "lang": ["en"], "text": ["a b c d"]})])))["docs"]])
+    shift, one = 30, pa.table({"bundle": [0], "docs": packed})
+    pairs = Q._send_pairs(4, shift)(one)
+    answers = pa.concat_tables([Q._count_pairs()(pairs.filter(pa.compute.equal(pairs["p"], p))) for p in set(pairs["p"].to_pylist())])
+    assert min(Q._send_words(4, shift)(one, answers)["p"].to_pylist()) >= 0
+    totals = pa.concat_tables([Q._count_pairs(4)(pairs.filter(pa.compute.equal(pairs["p"], p))) for p in set(pairs["p"].to_pylist())])
+    assert Q._answered(totals, 1).tolist() == [[0, 0, 0, 0]]  # no other bundle holds them
